@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.sharding import assign_shards
+from textloom.llm.substring_dedup import dedup_substrings
 from textloom.llm.url_filter import GLOBS, RULES, filter_urls
 
 
@@ -22,6 +24,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -46,5 +53,20 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM parts"""
 
 
+#: Words, and windows of 35 as strings; a window goes if its string occurs twice.
+_OP9_SQL = """
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, list_aggregate(list_slice(ws, i, i + 34), 'string_agg', ' ') AS s
+        FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT md5(s) AS h FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM win WHERE md5(s) IN (SELECT h FROM rep))),
+gone AS (SELECT r, list(j) AS js FROM hit GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda x, k: NOT list_contains(coalesce(js, []), k)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": _op8_sql()}
+    return {
+        "op9_substring_dedup": _OP9_SQL,
+        "op8_url_filters": _op8_sql()}
