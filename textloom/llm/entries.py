@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.sharding import assign_shards
 from textloom.llm.substring_dedup import dedup_substrings
 from textloom.llm.url_filter import GLOBS, RULES, filter_urls
@@ -20,6 +21,10 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
@@ -53,6 +58,18 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM parts"""
 
 
+#: Sets of shingles, pairs by shared shingles, components by reachability.
+_OP5_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.v) AS component_id
+FROM w JOIN reach r ON r.u = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
+
 #: Words, and windows of 35 as strings; a window goes if its string occurs twice.
 _OP9_SQL = """
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -68,5 +85,6 @@ FROM w LEFT JOIN gone USING (r)"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_jaccard_join": _OP5_SQL,
         "op9_substring_dedup": _OP9_SQL,
         "op8_url_filters": _op8_sql()}
