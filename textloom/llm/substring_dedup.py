@@ -10,7 +10,8 @@ are never written out. Instead:
    repeat and are dropped: this is the only step whose traffic follows all text,
    with some 1.5 bytes of rows a byte of Parquet.
 2. Contexts. Each surviving suffix gets its next words and, reversed, the words
-   before it, as 32-bit word codes. Equal contexts are folded by a pre-aggregated
+   before it, as 32-bit word codes, as far as its windows reach (those in which
+   it is the first of the least prefixes, so that each window has one owner). Equal contexts are folded by a pre-aggregated
    group-by, so a text that a third of the rows share is one context a map task.
 3. Subtrees. Suffixes are dealt by prefix and put in suffix order by Spark's
    external sort; longest common prefixes of neighbours then give each subtree's
@@ -87,8 +88,16 @@ def _anchor_rows(window: int, prefix: int):
                 places, g = anchors(words.hash, words.first, window, prefix)
                 doc = np.searchsorted(words.first, places, "right") - 1
                 row = doc + words.rows.start
+                # A prefix that repeats within the chunk is sent once, with its count; its other places,
+                # known to be shared, travel under keys of their own, so that no key gathers them all.
+                _, once, n = np.unique(g, return_index=True, return_counts=True)
+                weight = np.full(len(g), 2, np.int32)
+                weight[once] = n
+                own = np.ones(len(g), bool)
+                own[once] = False
+                key = np.where(own, mix(g + places.astype(U64) * U64(0x9E3779B97F4A7C15) + k1[row].view(U64)), g)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(g)), pa.array(k1[row]), pa.array(k2[row]), pa.array((places - words.first[doc]).astype(np.int32))], names=["g", "k1", "k2", "pos"]
+                    [pa.array(_signed(key)), pa.array(weight), pa.array(k1[row]), pa.array(k2[row]), pa.array((places - words.first[doc]).astype(np.int32))], names=["g", "weight", "k1", "k2", "pos"]
                 )
 
     return run
@@ -113,25 +122,32 @@ def _context_rows(window: int, prefix: int):
                 pos = flat[lo:hi].astype(np.int64)
                 at, end = words.first[doc] + pos, words.first[doc + 1]
                 codes = _codes(words)
-                g = _signed(grams(words.hash, prefix) | U64(1))[at]
+                g = grams(words.hash, prefix) | U64(1)
                 for part in range(0, len(at), 8192):
                     s = slice(part, part + 8192)
-                    right, rlen = _gather(codes, at[s, None] + np.arange(window), np.minimum(end[s] - at[s], window))
-                    left, llen = _gather(codes, at[s, None] - 1 - np.arange(reach), np.minimum(pos[s], reach))
+                    rlen, llen = np.minimum(end[s] - at[s], window), np.minimum(pos[s], reach)
+                    if reach:  # no further than the windows in which this prefix is the (first) least one
+                        own = g[at[s], None]
+                        after = g[np.minimum(at[s, None] + np.arange(1, reach + 1), len(g) - 1)] < own
+                        before = g[np.maximum(at[s, None] - np.arange(1, reach + 1), 0)] <= own
+                        rlen = np.minimum(rlen, np.where(after.any(1), after.argmax(1) + prefix, window))
+                        llen = np.minimum(llen, np.where(before.any(1), before.argmax(1), reach))
+                    right = _gather(codes, at[s, None] + np.arange(window), rlen)
+                    left = _gather(codes, at[s, None] - 1 - np.arange(reach), llen)
                     row = doc[s] + words.rows.start
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g[s]), right, left, pa.array(k1[row]), pa.array(k2[row]), pa.array(pos[s].astype(np.int32))], names=["g", "right", "left", "k1", "k2", "pos"]
-                    )
+                        [pa.array(_signed(g[at[s]])), right, left, pa.array(k1[row]), pa.array(k2[row]), pa.array(pos[s].astype(np.int32))], names=["g", "right", "left", "k1", "k2", "pos"]
+                    ).filter(pa.array(rlen + llen >= window))
 
     return run
 
 
-def _gather(codes: np.ndarray, index: np.ndarray, length: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def _gather(codes: np.ndarray, index: np.ndarray, length: np.ndarray) -> pa.Array:
     """Rows of codes as binary values of 4 * length bytes."""
     taken = codes[np.clip(index, 0, max(len(codes) - 1, 0))]
     kept = taken[np.arange(index.shape[1]) < length[:, None]]
     ends = np.concatenate(([0], np.cumsum(length * 4))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(kept.tobytes())]), length
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(kept.tobytes())])
 
 
 def _unpack(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +299,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(F.xxhash64(*key).alias("k1"), F.hash(*reversed(key)).alias("k2"), F.col(id_col).alias("_id"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)), text.alias("text"))
     bodies = keyed.select("k1", "k2", "text")
 
-    found = bodies.mapInArrow(_anchor_rows(window, prefix), "g long, k1 long, k2 int, pos int")
-    shared = found.withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1")
+    found = bodies.mapInArrow(_anchor_rows(window, prefix), "g long, weight int, k1 long, k2 int, pos int")
+    shared = found.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).where("n > 1")
     places = shared.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
     contexts = bodies.join(places, ["k1", "k2"]).mapInArrow(_context_rows(window, prefix), "g long, right binary, left binary, k1 long, k2 int, pos int")
     contexts = materialize(contexts.withColumn("cd", F.xxhash64("g", "right", "left")), "suffix-contexts")
