@@ -66,7 +66,7 @@ def test_lists_do_not_depend_on_batches():
     import pyarrow as pa
 
     r = np.random.default_rng(0)
-    rows = sorted((int(t), int(s), int(s), int(20 + s % 7), int(s % 4)) for t, s in zip(r.integers(0, 40, 300), r.integers(0, 30, 300)))
+    rows = sorted((int(t), int(s), int(20 + s % 7), int(s % 4)) for t, s in zip(r.integers(0, 40, 300), r.integers(0, 30, 300)))
     cols = [np.array(c) for c in zip(*rows)]
     batch = J._posting_batch(*cols)
     one = pa.Table.from_batches(J._lists([batch])).to_pydict()

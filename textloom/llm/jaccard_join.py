@@ -53,7 +53,7 @@ from textloom.llm.scratch import materialize
 
 SHINGLE = 5
 #: Largest number of frequent shingles that are ranked and broadcast (16 bytes each).
-RANKED = 500_000
+RANKED = 200_000
 #: Shingles whose frequencies are counted together; one that occurs twice in no window stays unranked.
 COUNT_WINDOW = 8_000_000
 #: Largest light set that is considered, and what a posting costs against a subset.
@@ -183,7 +183,7 @@ def _id_rows(k: int):
 
 
 def _postings(k: int, light: int, order):
-    """(tok, ord, sid, n, pos): prefix shingles of heavy sets by ``sid``, subsets of light ones by size with pos = -c."""
+    """(tok, sid, at): prefix shingles of heavy sets, subsets of light ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = order.value, set()
@@ -201,7 +201,7 @@ def _postings(k: int, light: int, order):
                 doc = np.repeat(np.arange(len(length)), length)
                 pos = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
                 ids = sid[listed][doc]
-                yield _posting_batch(some[begin[:-1][doc] + pos].view(np.int64), ids, ids, n[listed][doc], pos)
+                yield _posting_batch(some[begin[:-1][doc] + pos].view(np.int64), ids, n[listed][doc], pos)
                 tok, ids, size, sub = [], [], [], []
                 for i in np.flatnonzero(new & (n <= light)):
                     m = int(n[i])
@@ -214,22 +214,29 @@ def _postings(k: int, light: int, order):
                         size += [m] * len(keys)
                         sub += [-c] * len(keys)
                 if tok:
-                    yield _posting_batch(mix(np.array(tok, U64)).view(np.int64), np.array(size), np.array(ids), np.array(size), np.array(sub))
+                    yield _posting_batch(mix(np.array(tok, U64)).view(np.int64), ids, size, sub)
 
     return run
 
 
-_POSTING = "tok long, ord long, sid long, n int, pos int"
+_POSTING = "tok long, sid long, at long"
+#: The leader of a subset's list is its smallest set; that of a shingle's list has the least sid.
+_LEADS = "if(at < 0, -at >> 20, sid)"
 
 
-def _posting_batch(tok, by, sid, n, pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tok), pa.array(np.asarray(by, np.int64)), pa.array(np.asarray(sid, np.int64)), pa.array(np.asarray(n, np.int32)), pa.array(np.asarray(pos, np.int32))], names=["tok", "ord", "sid", "n", "pos"]
-    )
+def _posting_batch(tok, sid, n, pos) -> pa.RecordBatch:
+    """A posting's size and place in one number: n * 2**32 + pos, and -(n * 2**20 + c) for a subset of c."""
+    n, pos = np.asarray(n, np.int64), np.asarray(pos, np.int64)
+    at = np.where(pos >= 0, (n << 32) + pos, -((n << 20) - pos))
+    return pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.asarray(sid, np.int64)), pa.array(at)], names=["tok", "sid", "at"])
+
+
+def _size_and_place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(at >= 0, at >> 32, -at >> 20), np.where(at >= 0, at & 0xFFFFFFFF, -(-at & 0xFFFFF))
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (tok, ord, sid) -> those of lists with several sets, each with its leader (the first).
+    """Postings sorted by (tok, lead, sid) -> those of lists with several sets, each with its leader (the first).
 
     state: 0 cannot link to the leader, 1 may, 2 does (by a subset). One row is carried between batches.
     """
@@ -237,7 +244,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        tok, sid, n, pos = (batch.column(c).to_numpy() for c in ("tok", "sid", "n", "pos"))
+        tok, sid, at = (batch.column(c).to_numpy() for c in ("tok", "sid", "at"))
+        n, pos = _size_and_place(at)
         given = False
         if carry is not None:
             tok, sid, n, pos = (np.concatenate(([c], x)) for c, x in zip(carry[0], (tok, sid, n, pos)))
@@ -253,7 +261,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.flatnonzero(start)
         size = np.bincount(group)
         l = lead[group]
-        a, b, i, j = n[l].astype(np.int64), n.astype(np.int64), pos[l].astype(np.int64), pos.astype(np.int64)
+        a, b, i, j = n[l], n, pos[l], pos
         subset = j < 0
         fits = np.where(subset, 9 * -j >= 4 * (a + b), 9 * np.minimum(a - i, b - j) >= 4 * (a + b))
         state = np.where(fits, 1 + subset, 0)
@@ -266,7 +274,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail_given = bool(size[tail] > 1 or (tail == 0 and given))
         carry = ((tok[lead[tail]], sid[lead[tail]], n[lead[tail]], pos[lead[tail]]), tail_given, last_sid if tok[-1] == tok[lead[tail]] else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tok[out]), pa.array(sid[out]), pa.array(n[out]), pa.array(pos[out]), pa.array(sid[l][out]), pa.array(state[out].astype(np.int32))], names=["tok", "sid", "n", "pos", "lead", "state"]
+            [pa.array(tok[out]), pa.array(sid[out]), pa.array(n[out].astype(np.int32)), pa.array(pos[out].astype(np.int32)), pa.array(sid[l][out]), pa.array(state[out].astype(np.int32))], names=["tok", "sid", "n", "pos", "lead", "state"]
         )
 
 
@@ -274,7 +282,11 @@ def _fetch(k: int):
     """Sets and sketches of the documents that carry a wanted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array([s not in seen and not seen.add(s) for s in batch.column("sid").to_pylist()], pa.bool_()))
+            if len(seen) > 1_000_000:
+                seen.clear()
             for rows, tokens, first in _scan_sets(batch, k):
                 marks = sketches(tokens, first)
                 for a in range(0, len(first) - 1, 2048):
@@ -322,13 +334,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     scanned = materialize(bodies.mapInArrow(_id_rows(shingle), "k1 long, k2 long, sid long, n long"), "set-ids")
     rows = scanned.where("k1 IS NOT NULL")
-    frequent = scanned.where("k1 IS NULL").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(RANKED).toPandas()
-    order = spark.sparkContext.broadcast(Order(frequent["sid"].to_numpy(np.int64).view(U64), frequent["n"].to_numpy(np.int64)))
+    frequent = scanned.where("k1 IS NULL").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(RANKED).toArrow()
+    order = spark.sparkContext.broadcast(Order(frequent["sid"].to_numpy().view(U64), frequent["n"].to_numpy()))
     sizes = rows.where("n > 0").groupBy("sid", "n").agg(F.lit(1).alias("one")).groupBy("n").agg(F.count("*").alias("c"))
     light = boundary({r["n"]: r["c"] for r in sizes.where(F.col("n") <= 2 * LIGHT_MOST).toLocalIterator()})
 
     postings = bodies.mapInArrow(_postings(shingle, light, order), _POSTING)
-    lists = postings.repartition("tok").sortWithinPartitions("tok", "ord", "sid").mapInArrow(_lists, "tok long, sid long, n int, pos int, lead long, state int")
+    lists = postings.repartition("tok").sortWithinPartitions("tok", F.expr(_LEADS), "sid").mapInArrow(_lists, "tok long, sid long, n int, pos int, lead long, state int")
     lists = materialize(lists, "lists")
     by_subset = lists.where("state = 2").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
     heavy = lists.where("pos >= 0")
@@ -336,10 +348,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = heavy.select("sid").distinct()
     carriers = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2")
     carriers = materialize(carriers, "carriers")
-    if carriers.count() <= FETCH_BROADCAST:
+    n_carriers = carriers.count()
+    if n_carriers <= FETCH_BROADCAST:
         carriers = F.broadcast(carriers)
     shape = "sid long, n int, tokens binary, " + ", ".join(f"s{w} long" for w in range(SKETCH))
-    sets = materialize(bodies.join(carriers, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "text").mapInArrow(_fetch(shingle), shape), "sets")
+    sets = materialize(bodies.join(carriers, ["k1", "k2"]).select("sid", "text").mapInArrow(_fetch(shingle), shape), "sets")
+    if sets.count() > n_carriers:  # rows of one id and text: each gave its set
+        sets = materialize(sets.dropDuplicates(["sid"]), "sets")
 
     stars = heavy.where("state = 1").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
     links = materialize(_links(stars, sets).unionByName(by_subset), "links")
