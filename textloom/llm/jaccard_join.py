@@ -27,7 +27,7 @@ distance never exceeds the true difference. All pruning is exact. That second
 join is a plain sort-merge join on the shingle, so AQE splits a hot list.
 
 Only ids, sizes and hashes are shuffled, and of the whole sets those that share a
-rare shingle with another. ``sid`` has 64 bits: some 25 pairs of 3e10 different
+rare shingle with another, with 40 bits a shingle. ``sid`` has 64 bits: some 25 pairs of 3e10 different
 sets would be taken as equal.
 
 Cases: null texts and texts without words have an empty set and stay alone. Texts
@@ -55,7 +55,7 @@ SHINGLE = 5
 #: Largest number of frequent shingles that are ranked and broadcast (16 bytes each).
 RANKED = 200_000
 #: Shingles whose frequencies are counted together; one that occurs twice in no window stays unranked.
-COUNT_WINDOW = 8_000_000
+COUNT_WINDOW = 4_000_000
 #: Largest light set that is considered, and what a posting costs against a subset.
 LIGHT_MOST, POSTING_COST = 16, 3.0
 #: Up to so many sets, the ids of those to fetch are broadcast (24 bytes each); beyond, joined by shuffle.
@@ -291,8 +291,9 @@ def _fetch(k: int):
                 marks = sketches(tokens, first)
                 for a in range(0, len(first) - 1, 2048):
                     b = min(a + 2048, len(first) - 1)
-                    ends = pa.py_buffer(((first[a : b + 1] - first[a]) * 8).astype(np.int32))
-                    sets = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(tokens[first[a] : first[b]].tobytes())])
+                    ends = pa.py_buffer(((first[a : b + 1] - first[a]) * 5).astype(np.int32))
+                    high = tokens[first[a] : first[b]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+                    sets = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(high.tobytes())])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("sid").slice(rows.start + a, b - a), pa.array(np.diff(first[a : b + 1]).astype(np.int32)), sets, *(pa.array(marks[a:b, w].copy()) for w in range(SKETCH))],
                         names=["sid", "n", "tokens", *(f"s{w}" for w in range(SKETCH))],
@@ -307,8 +308,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for name in ("ta", "tb"):
             col = batch.column(name)
-            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) // 8
-            parts.append((np.frombuffer(col.buffers()[2], U64), ends.tolist()))
+            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+            high = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]] if batch.num_rows else np.zeros(0, np.uint8)
+            whole = np.zeros((len(high) // 5, 8), np.uint8)
+            whole[:, 3:] = high.reshape(-1, 5)
+            parts.append((whole.view("<u8").ravel(), ((ends - ends[0]) // 5).tolist()))
         (xa, ea), (xb, eb) = parts
         for r in range(batch.num_rows):
             both = np.concatenate((xa[ea[r] : ea[r + 1]], xb[eb[r] : eb[r + 1]]))

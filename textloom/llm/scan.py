@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are scanned at once; a longer text is one chunk by itself.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
