@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -52,6 +53,18 @@ def byte_characters() -> list[str]:
 
 
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
+NEVER = 1 << 40
+
+
+def _ranges(chars: list[str]) -> str:
+    """Characters as the inside of a class."""
+    out: list[list[str]] = []
+    for c in chars:
+        if out and ord(c) == ord(out[-1][1]) + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in out)
 
 
 class Encoder:
@@ -64,15 +77,22 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {}
+        self.ranks: dict[int, int] = {}  # of a pair, left << 20 | right
+        self.made: list[int] = []  # by rank, the token of the merged pair
         for rank, (a, b) in enumerate(merges):
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.ranks.setdefault(self.vocab[a] << 20 | self.vocab[b], rank)
+            self.made.append(self.vocab[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
         # Letters and digits of later Unicode versions than the library's, which takes them for symbols.
-        later = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and _LETTER.match(c))
-        self.later = regex.compile(f"[{later}]") if later else None
+        later = _ranges([c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and _LETTER.match(c)])
+        self.later = re.compile(f"[{later}]") if later else None
         self.split_later = regex.compile("(?V1)" + regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{later}]]", pattern))
+        # The same pattern for texts of Latin-1 characters, whose classes the faster standard engine can state.
+        for name, kind in (("L", "L"), ("N", "N")):
+            own = _ranges([c for c in map(chr, range(0x100)) if unicodedata.category(c).startswith(kind)])
+            pattern = pattern.replace(f"[\\p{{{name}}}]", f"[{own}]").replace(f"\\p{{{name}}}", own)
+        self.split_latin = re.compile(pattern.replace(r"\s", "\t-\r \x85\xa0"))
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.to_chars = {b: c for b, c in enumerate(byte_characters())}
         self.longest = max(map(len, self.vocab))
@@ -89,30 +109,42 @@ class Encoder:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: always the pair of lowest rank, leftmost first."""
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        ids, rank, made = list(ids), self.ranks.get, self.made
+        ranks = [rank(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                break
+            i = ranks.index(least)
+            ids[i] = new = made[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | new, NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(new << 20 | ids[i + 1], NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
-        if n < 2:
-            return ids
         ids, nxt, prv = list(ids), list(range(1, n)) + [-1], list(range(-1, n - 1))
-        merges = self.merges
-        heap = [(*m, i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        rank = self.ranks.get
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            least, i = heapq.heappop(heap)
             j = nxt[i]
-            if ids[i] < 0 or j < 0:
-                continue
-            m = merges.get((ids[i], ids[j]))
-            if m is None or m != (rank, new):
+            if ids[i] < 0 or j < 0 or rank(ids[i] << 20 | ids[j]) != least:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[least], -1
             nxt[i] = k = nxt[j]
             if k >= 0:
                 prv[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1]))
-            if (k := prv[i]) >= 0 and (m := merges.get((ids[k], new))):
-                heapq.heappush(heap, (m[0], k, m[1]))
+                if (r := rank(ids[i] << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (k := prv[i]) >= 0 and (r := rank(ids[k] << 20 | ids[i])) is not None:
+                heapq.heappush(heap, (r, k))
         return [t for t in ids if t >= 0]
 
     def parts(self, token: int) -> list[int]:
@@ -196,7 +228,10 @@ class Encoder:
         return out + self._found(text[at:])
 
     def _found(self, text: str) -> list[str]:
-        if not text.isascii():
+        try:
+            text.encode("latin-1")
+            return self.split_latin.findall(text.lower())
+        except UnicodeEncodeError:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
             if self.later is not None and self.later.search(text):
                 return self.split_later.findall(text.lower())
