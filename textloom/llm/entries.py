@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import language_id, quality
 from textloom.llm.bpe import encode_and_decode
 from textloom.llm.decontamination import decontaminate
 from textloom.llm.jaccard_join import jaccard_join
@@ -20,6 +21,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_model(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> language_id.Model:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.fit(docs.where(language_id.fold(F.col("doc_id"), 4) != 2), path)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.predict(_read(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return out.select("doc_id", (language_id.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
@@ -51,6 +62,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").where(language_id.fold(F.col("doc_id"), 5) != 0)
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
+    out = quality.score(docs, quality.fit(labelled))
+    return out.select("doc_id", (language_id.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
