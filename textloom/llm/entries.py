@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.llm import language_id, quality
 from textloom.llm.bpe import encode_and_decode
 from textloom.llm.decontamination import decontaminate
+from textloom.llm.html_extract import extract_text
 from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.sharding import assign_shards
 from textloom.llm.substring_dedup import dedup_substrings
@@ -43,6 +44,10 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
