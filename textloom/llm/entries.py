@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import language_id, quality
+from textloom.llm import language_id, media, quality
 from textloom.llm.bpe import encode_and_decode
 from textloom.llm.decontamination import decontaminate
 from textloom.llm.html_extract import extract_text
@@ -52,6 +52,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = media.fingerprints(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.search(prints, "vec_id", F.col("vec_id") % 20 == 0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     out = encode_and_decode(_read(spark, sf_dir, "documents"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
