@@ -40,11 +40,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the least id (one row of it)."""
-    groups = jaccard_join(docs)
-    kept = groups.where("component_id = doc_id OR component_id IS NULL").select("doc_id").distinct()
+    groups = jaccard_join(docs).where("component_id = doc_id OR component_id IS NULL")
+    kept = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    # Rows that repeat an id are of one group too if their texts are equal.
-    return rows.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    if not kept.where("n > 1").isEmpty():  # rows that repeat an id and a text are one document
+        rows = rows.dropDuplicates(["doc_id", "text"])
+    return rows.select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
