@@ -366,7 +366,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # What is left: pairs across components, in lists that hold several of them.
     marked = heavy.select("tok", "sid", "n", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = marked.groupBy("tok").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("tok")
+    # Lists of the same sets tell the same; of these only the first in the order of shingles, which comes first in each set, is needed.
+    members = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    mixed = marked.groupBy("tok").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c"), F.sum("pos").alias("p"), *members).where("a <> b")
+    mixed = mixed.groupBy("c", "m1", "m2").agg(F.min_by("tok", "p").alias("tok")).select("tok")
     left = marked.join(mixed, "tok", "left_semi").join(sets.select("sid", *(f"s{w}" for w in range(SKETCH))), "sid")
     left = materialize(left, "mixed-lists")
     a, b = left.alias("a"), left.alias("b")
