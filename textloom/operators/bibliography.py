@@ -23,7 +23,11 @@ def field_profile(path: Column) -> Column:
 def long_fields(records: DataFrame) -> DataFrame:
     """Rendered fields of records in long form: record_id, path, source_text."""
     single = F.array(*(F.struct(F.lit(c).alias("path"), F.col(c).alias("source_text")) for c in ("title", "containerTitle", "publisher", "place")))
-    people = [F.transform(c, lambda x, k, c=c: F.struct(F.concat(F.lit(f"{c}."), k.cast("string"), F.lit(".literal")).alias("path"), x.alias("source_text"))) for c in ("authors", "editors", "translators")]
+
+    def names(kind: str) -> Column:
+        return F.transform(kind, lambda x, k: F.struct(F.concat(F.lit(f"{kind}."), k.cast("string"), F.lit(".literal")).alias("path"), x.alias("source_text")))
+
+    people = [names(kind) for kind in ("authors", "editors", "translators")]
     every = F.filter(F.concat(single, *people), lambda f: f["source_text"].isNotNull())
     return records.select("record_id", F.explode(every).alias("f")).select("record_id", "f.*")
 
