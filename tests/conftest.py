@@ -6,10 +6,14 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-@pytest.fixture(scope="session")
-def spark():
+def make_session():
     from textloom.session import session
 
     s = session("textloom-tests", "local[4]", spark__sql__shuffle__partitions="4")
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return make_session()

@@ -26,13 +26,13 @@ def valid_entries(raw: DataFrame) -> DataFrame:
 
 def lemma_status(senses: Column) -> Column:
     """DOM17: form-of and alt-of senses make a non-lemma; no sense is unknown."""
-    derived = lambda s: (F.size(F.coalesce(s["form_of"], F.array())) > 0) | (F.size(F.coalesce(s["alt_of"], F.array())) > 0)
+    derived = lambda s: F.coalesce(F.size(s["form_of"]) > 0, F.lit(False)) | F.coalesce(F.size(s["alt_of"]) > 0, F.lit(False))
     return F.when(F.coalesce(F.size(senses), F.lit(0)) <= 0, "UNKNOWN").when(F.forall(senses, derived), "NON_LEMMA").otherwise("LEMMA")
 
 
 def observations(entries: DataFrame) -> DataFrame:
     """DOM17: one row for each distinct romanisation of an entry, or one without."""
-    romanized = F.filter(F.coalesce("forms", F.array().cast("array<struct<form:string,tags:array<string>,romanization:string>>")), lambda f: F.array_contains(F.coalesce(f["tags"], F.array().cast("array<string>")), "romanization"))
+    romanized = F.filter("forms", lambda f: F.array_contains(F.coalesce(f["tags"], F.array().cast("array<string>")), "romanization"))
     texts = F.array_distinct(F.transform(romanized, lambda f: F.struct(F.coalesce(f["romanization"], f["form"]).alias("romanization"), F.array_sort(F.coalesce(f["tags"], F.array().cast("array<string>"))).alias("tags"))))
     out = entries.withColumn("normalized", T.normalize_text(F.col("word"))).withColumn("lemma", lemma_status(F.col("senses")))
     out = out.select("entry_id", "word", "normalized", "pos", "lemma", F.posexplode_outer(texts).alias("idx", "o"))
