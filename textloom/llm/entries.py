@@ -75,8 +75,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where(language_id.fold(F.col("doc_id"), 5) != 0)
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
-    out = quality.score(docs, quality.fit(labelled))
+    out = quality.score(docs, quality.fit(docs, labels))
     return out.select("doc_id", (language_id.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -101,15 +101,19 @@ def fit_texts(texts: Sequence[tuple[int, str]]) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """A model from at most about ``rows`` rows a label of ``labelled``, with the labels' true shares."""
-    known = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    sizes = {r["y"]: r["n"] for r in known.groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
+    """A model from at most about ``rows`` rows a label of ``labels``, with the labels' true shares.
+
+    The sampled labels (bounded by ``rows``) are broadcast to the texts, so no text is shuffled.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("_y"))
+    sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit_texts([])
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))))
-    sample = known.where(place <= share[F.col(label_col)]).select(F.xxhash64(id_col).alias("h"), F.col(label_col).alias("y"), F.col(text_col).alias("t")).toArrow()
+    chosen = F.broadcast(known.where(place <= share[F.col("_y")]))
+    sample = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(chosen, id_col).select(F.xxhash64(id_col).alias("h"), F.col("_y").alias("y"), F.col(text_col).alias("t")).toArrow()
     model = fit_texts([(y, t) for _, y, t in sorted(zip(*(sample[c].to_pylist() for c in ("h", "y", "t"))))])
     taken = [max(1, sum(v == y for v in sample["y"].to_pylist())) for y in (1, 0)]
     if model.good and len(sizes) == 2:
