@@ -18,7 +18,7 @@ def test_forward_sums_all_segmentations():
     pieces = [b"a", b"b", b"ab", b"ba", b"aba", b"bb"]
     p = np.random.default_rng(0).random((6, 2))
     words = [b"ababba", b"a", b"bbb"]
-    got = L.Lattice(words, {x: i for i, x in enumerate(pieces)}, 3).likelihood(p)
+    got = L.Lattice(words, L.index_of(pieces), 3).likelihood(p)
     for w, row in zip(words, got):
         want = np.zeros(2)
         for cuts in itertools.product([0, 1], repeat=len(w) - 1):
@@ -30,7 +30,7 @@ def test_forward_sums_all_segmentations():
 
 
 def test_expectation_matches_enumeration():
-    pieces = {b"a": 0, b"b": 1, b"ab": 2}
+    pieces = L.index_of([b"a", b"b", b"ab"])
     p = np.array([[0.5], [0.3], [0.2]])
     uses = L.Lattice([b"ab"], pieces, 2).expected(p, np.array([[4.0]]))
     whole = 0.5 * 0.3 + 0.2

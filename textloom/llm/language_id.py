@@ -51,8 +51,15 @@ def read_pieces(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in file if line.strip()]
 
 
+def index_of(pieces: Sequence[bytes]) -> dict[bytes, int]:
+    """Places of pieces, and -1 for beginnings of pieces that are none themselves."""
+    out = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    out.update((p, i) for i, p in enumerate(pieces))
+    return out
+
+
 class Lattice:
-    """All segmentations of a list of words, as arcs in order of their ends."""
+    """All segmentations of a list of words, as arcs in order of their ends; ``pieces`` is made by :func:`index_of`."""
 
     def __init__(self, words: Sequence[bytes], pieces: dict[bytes, int], longest: int):
         word, begin, end, piece = [], [], [], []
@@ -62,7 +69,9 @@ class Lattice:
             for i in range(n):
                 for j in range(i + 1, min(n, i + longest) + 1):
                     k = get(text[i:j])
-                    if k is not None:
+                    if k is None:
+                        break  # no piece begins so
+                    if k >= 0:
                         word.append(w)
                         begin.append(i)
                         end.append(j)
@@ -118,7 +127,7 @@ def _bytes(word: str) -> list[bytes]:
 class Model:
     def __init__(self, languages: list[str], pieces: list[bytes], p: np.ndarray):
         self.languages, self.p = languages, p
-        self.pieces = {b: i for i, b in enumerate(pieces)}
+        self.pieces = index_of(pieces)
         self.longest = max(map(len, pieces), default=0)
         self.known: dict[str, int] = {}
         self.log = np.zeros((1024, len(languages)))
