@@ -23,7 +23,8 @@ are never written out. Instead:
    and so are only counted; no group is ever held in memory beyond ``SUBTREE``.
 4. Masks of repeated windows go back to their documents, which are rewritten.
 
-Word codes have 32 bits and a repeat compares 35 of them with a 64-bit prefix, so
+Texts that are dealt by document (twice: to take contexts, and to be rewritten) are
+packed by zstandard on the way. Word codes have 32 bits and a repeat compares 35 of them with a 64-bit prefix, so
 a wrong match needs windows that differ in single words whose codes collide
 (2**-32 each). Documents are dealt by a 96-bit key of id and text.
 
@@ -38,6 +39,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,32 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as a zstandard frame: half the bytes of a shuffle of plain texts."""
+    squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            frames = pa.array([squeeze(t or b"") for t in part.columns[-1].cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], frames], names=batch.schema.names)
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    *lead, text = df.columns
+    shapes = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in lead)
+    return df.mapInArrow(_pack, f"{shapes}, {text} binary")
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with the packed text column read again."""
+    expand = zstandard.ZstdDecompressor().decompress
+    k = batch.schema.get_field_index("text")
+    for at in range(0, batch.num_rows, 1000):
+        part = batch.slice(at, 1000)
+        texts = pa.array([expand(t) for t in part.column(k).to_pylist()], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([texts if i == k else c for i, c in enumerate(part.columns)], names=batch.schema.names)
+
+
 def _anchor_rows(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +140,7 @@ def _context_rows(window: int, prefix: int):
     reach = window - prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for packed in batches for part in _texts(packed)):
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             lists = batch.column("places")
             lofs, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -253,7 +281,7 @@ def _rewrite(window: int):
     """Documents with their masks -> kept text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for packed in batches for part in _texts(packed)):
             lists = batch.column("marks")
             lofs = lists.offsets.to_numpy()
             marks = lists.flatten() if lists.null_count == 0 else lists.values
@@ -302,7 +330,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = bodies.mapInArrow(_anchor_rows(window, prefix), "g long, weight int, k1 long, k2 int, pos int")
     shared = found.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).where("n > 1")
     places = shared.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
-    contexts = bodies.join(places, ["k1", "k2"]).mapInArrow(_context_rows(window, prefix), "g long, right binary, left binary, k1 long, k2 int, pos int")
+    contexts = _packed(bodies).join(places, ["k1", "k2"]).mapInArrow(_context_rows(window, prefix), "g long, right binary, left binary, k1 long, k2 int, pos int")
     contexts = materialize(contexts.withColumn("cd", F.xxhash64("g", "right", "left")), "suffix-contexts")
 
     folded = contexts.groupBy("g", "right", "left", "cd").agg(F.count("*").alias("n"))
@@ -317,7 +345,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = contexts.select("g", "cd", "k1", "k2", "pos").join(masks, ["g", "cd"])
     marks = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
 
-    joined = keyed.join(marks, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<pos:int,mask:bigint>>")))
+    joined = _packed(keyed).join(marks, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<pos:int,mask:bigint>>")))
     lead = ["_id", *(f"_carry{i}" for i in range(len(carry)))]
     shape = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in lead)
     out = joined.select(*lead, "text", "marks").mapInArrow(_rewrite(window), f"{shape}, _words long, _removed long, _kept string")
