@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import hashing as H
 from textloom.functions import text as T
+from textloom.operators import audit as A
 from textloom.operators import bibliography as B
 from textloom.operators import coverage as C
 from textloom.operators import evidence as E
@@ -499,6 +500,49 @@ def etl(spark, sf_dir):
     return rows.groupBy("w").agg(F.sum("n").alias("observations"), F.count("*").alias("variants")).withColumn("consensus", F.when(F.col("variants") > 1, "CONFLICTING").otherwise("UNANIMOUS"))
 
 
+# Audits
+
+
+@query("jon25_membership_audit", """WITH k AS (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS f, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AS l, c_custkey IN (SELECT user_id FROM events) AS e FROM customer)
+SELECT count(*) AS rows, count_if(f) AS finished, count_if(l) AS large, count_if(e) AS active, count_if(NOT (f OR l OR e)) AS outside, round(count_if(NOT (f OR l OR e)) / count(*) * 100, 1) AS outside_percent FROM k""")
+def membership(spark, sf_dir):
+    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    sets = {"finished": orders.where("o_orderstatus = 'F'").select("o_custkey"), "large": orders.where("o_totalprice > 200000").select("o_custkey"), "active": events.select("user_id")}
+    return A.membership_audit(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", sets)
+
+
+@query("agg27_family_duplicates", """WITH k AS (SELECT p_partkey, p_type, 'NAME' AS family, p_name AS k FROM part UNION ALL SELECT p_partkey, p_type, 'BRAND_SIZE', p_brand || ':' || p_size FROM part), f AS (SELECT family, k, min(p_partkey) AS first, arg_min(p_type, p_partkey) AS s FROM k GROUP BY 1, 2)
+SELECT p_partkey, first, family FROM k JOIN f USING (family, k) WHERE p_partkey <> first AND p_type = s""")
+def families(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return A.family_duplicates(part, "p_partkey", {"NAME": F.col("p_name"), "BRAND_SIZE": F.concat_ws(":", "p_brand", F.col("p_size").cast("string"))}, "p_partkey", "p_type")
+
+
+@query("agg3_multiplicity", """SELECT CASE WHEN n = 0 THEN 'NONE' WHEN n = 1 THEN 'ONE' ELSE 'MANY' END AS bucket, count(*) AS keys FROM (SELECT o_custkey, count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END) n FROM orders GROUP BY 1) GROUP BY 1""")
+def multiplicity(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("v"))
+    return A.multiplicity(rows, "o_custkey", "v")
+
+
+@query("agg38_table_counts", """SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS lineitem, (SELECT count(*) FROM part) AS part, (SELECT count(*) FROM documents) AS documents""")
+def table_counts(spark, sf_dir):
+    return A.table_counts({t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "documents")})
+
+
+@query("agg41_field_presence", """SELECT field, present, rows FROM (SELECT count(*) AS rows, count_if(length(text) > 0) AS text, count_if(length(lang) > 0) AS lang, count_if(length(source) > 0) AS source FROM documents) UNPIVOT (present FOR field IN (text, lang, source))""")
+def presence(spark, sf_dir):
+    return A.field_presence(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
+
+
+@query("msc10_intercepted", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'LEXICON_RESOLVED' WHEN o_orderstatus = 'P' THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS s FROM orders WHERE o_orderkey % 13 <> 0), e AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'LEXICON_RESOLVED' ELSE 'UNRESOLVED' END AS s FROM orders)
+SELECT CASE WHEN b.s IS NULL OR e.s IS NULL THEN 'UNALIGNED' WHEN b.s = e.s THEN 'SAME' WHEN e.s = 'LEXICON_RESOLVED' THEN 'GAINED' WHEN b.s = 'LEXICON_RESOLVED' THEN 'LOST' ELSE 'MOVED' END AS change, count(*) AS n FROM b FULL JOIN e USING (o_orderkey) GROUP BY 1""")
+def intercepted(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "LEXICON_RESOLVED").when(F.col("o_orderstatus") == "P", "AMBIGUOUS").otherwise("UNRESOLVED")
+    now = F.when(F.col("o_totalprice") > 150000, "LEXICON_RESOLVED").otherwise("UNRESOLVED")
+    return A.intercepted(orders.where("o_orderkey % 13 <> 0").select("o_orderkey", status.alias("state")), orders.select("o_orderkey", now.alias("state")), ["o_orderkey"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
