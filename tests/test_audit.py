@@ -11,8 +11,10 @@ def test_reading_alignment(spark):
 
 
 def test_title_pairs(spark):
-    df = spark.createDataFrame([(1, "کتاب"), (1, "Kitab"), (2, "Kitab"), (3, "کتاب"), (3, "نامه"), (3, "Kitab")], "r int, title string")
-    assert {r.r: (r.state, r.original, r.romanized) for r in A.pair_titles(df, "r").collect()} == {1: ("PAIRED", "کتاب", "Kitab"), 2: ("INCOMPLETE", None, None), 3: ("AMBIGUOUS", None, None)}
+    rows = [(1, 0, "کتاب", None), (1, 1, "Kitab", "ROMANIZATION"), (2, 0, "Kitab", None), (3, 0, "کتاب", None), (3, 1, "پنج", None), (3, 2, "Kitab", None), (4, 0, "کتاب", None), (5, 0, "باب", None), (5, 1, "Bab", None)]
+    df = spark.createDataFrame(rows, "r int, ord int, title string, relationship string")
+    want = {1: ("PERSIAN_WITH_OBSERVED_ROMANIZATION", "کتاب"), 2: ("LATIN_ONLY", None), 3: ("UNCERTAIN_LANGUAGE_OR_PAIRING", "کتاب"), 4: ("PERSIAN_ONLY", "کتاب"), 5: ("UNCERTAIN_LANGUAGE_OR_PAIRING", None)}
+    assert {r.r: (r.state, r.persian_title) for r in A.pair_titles(df, "r").collect()} == want
 
 
 def test_verification(spark):

@@ -21,7 +21,7 @@ def test_tokens_and_relations(spark, lexicon):
     assert rows[0] == ("کتاب", 0, 4, "persian-word") and rows[2] == ("خوب", 5, 8, "persian-word") and rows[3][3] == "punctuation"
     assert tokens.where("id <> 1").count() == 0
     got = {(r.src_idx, r.next_idx): r.relation for r in R.relations(tokens, lexicon, "id").collect()}
-    assert got == {(0, 2): "LEXICAL_IZAFAT", (5, 7): "EXPLICIT_IZAFAT"}
+    assert got == {(0, 2): "CURATED_LEXICAL_CONTEXT", (5, 7): "EXPLICIT_HEH_ORTHOGRAPHY"}
 
 
 def test_suffixes(spark, lexicon):

@@ -66,9 +66,9 @@ def test_dictionary_to_pack(spark, tmp_path):
     assert {r["reason"]: r["n"] for r in raw.groupBy("reason").agg(F.count("*").alias("n")).collect()} == {None: 5, "MALFORMED_JSON": 1, "NO_ARABIC_SCRIPT": 1}
     done = E.interpret(E.observations(raw.where("reason IS NULL")))
     got = {(r.normalized, r.romanization): (r.status, r.hypothesis) for r in done.collect()}
-    assert got == {("کتاب", "ketâb"): ("DETERMINISTIC", "kitāb"), ("کتاب", "kitāb"): ("DIRECT", "kitāb"), ("باد", "bâd"): ("DETERMINISTIC", "bād"), ("سر", None): ("NO_ROMANIZATION", None), ("شب", "shab"): ("UNCLASSIFIED_PROFILE", None), ("بن", "bon"): ("NON_LEMMA", None)}
+    assert got == {("کتاب", "ketâb"): ("DETERMINISTIC_EQUIVALENT", "kitāb"), ("کتاب", "kitāb"): ("DIRECT_EQUIVALENT", "kitāb"), ("باد", "bâd"): ("DETERMINISTIC_EQUIVALENT", "bād"), ("سر", None): ("UNSUPPORTED", None), ("شب", "shab"): ("CONTEXT_REQUIRED", None), ("بن", "bon"): ("CONTEXT_REQUIRED", None)}
     pack = {r.normalized: (r.hypothesis, r.consensus, r.tier) for r in E.fallback_pack(done).collect()}
-    assert pack == {"کتاب": ("kitāb", "UNANIMOUS", "CROSS_PROFILE"), "باد": ("bād", "SINGLE_SOURCE", "IRANIAN_ONLY")}
+    assert pack == {"کتاب": ("kitāb", "UNANIMOUS_DETERMINISTIC", "CROSS_PROFILE_CONSENSUS"), "باد": ("bād", "UNANIMOUS_DETERMINISTIC", "SINGLE_OBSERVATION_DETERMINISTIC")}
     head = sinks.write_pack(E.fallback_pack(done), "normalized", str(tmp_path / "pack")).first()
     assert head["bytes"] > 0 and len(head["semantic_sha256"]) == 64
     with pytest.raises(ValueError):
@@ -86,7 +86,7 @@ def test_marc_linkage(spark, tmp_path):
     records = R.marc(spark, str(tmp_path / "m.xml"))
     cells = R.marc_fields(records).groupBy("record_id", "place", "tag").agg(F.max(F.when(F.col("code") == "6", F.col("value"))).alias("linkage"), F.max(F.when(F.col("code") == "a", F.col("value"))).alias("value"))
     got = {(r.tag, r.occurrence): (r.status, r.regular, r.alternate) for r in E.linked_fields(cells).collect()}
-    assert got == {("245", "01"): ("MATCHED", "Kitab", "کتاب"), ("260", "02"): ("UNPAIRED", "Tihran", None)}
+    assert got == {("245", "01"): ("MATCHED", "Kitab", "کتاب")}
     f008 = records.select(F.filter("controlfield", lambda c: c["_tag"] == "008")[0]["_VALUE"].alias("f"))
     assert len(f008.first()["f"]) >= 3
     (tmp_path / "bad.xml").write_text("<!DOCTYPE x><collection/>")

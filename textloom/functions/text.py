@@ -124,8 +124,8 @@ def script_counts(c: Column) -> Column:
 def script_class(c: Column) -> Column:
     """TXT19: five classes of a text's scripts."""
     arabic, latin = c.rlike(r"\p{IsArabic}"), c.rlike(r"\p{IsLatin}")
-    other = c.rlike(r"[\p{L}&&[^\p{IsArabic}\p{IsLatin}]]")
-    return F.when(arabic & (latin | other), "MIXED").when(arabic, "ARABIC").when(latin & other, "MIXED").when(latin, "LATIN").when(other, "OTHER").otherwise("NONE")
+    persian = c.rlike("[پچژگکی]")
+    return F.when(arabic & latin, "MIXED_ARABIC_LATIN").when(arabic & persian, "PERSIAN_SCRIPT").when(arabic, "ARABIC_SCRIPT_UNCERTAIN_LANGUAGE").when(latin, "LATIN_ONLY").otherwise("OTHER_SCRIPT")
 
 
 def lookup_form(c: Column) -> Column:
@@ -321,10 +321,11 @@ def same_text(a: Column, b: Column) -> Column:
 
 
 def title_match(a: Column, b: Column) -> Column:
-    """TXT26: EXACT, NORMALIZED, CONTAINED (10 characters at least) or NONE."""
-    na, nb = F.lower(normalize_text(unicode_trim(a))), F.lower(normalize_text(unicode_trim(b)))
-    inside = (F.least(F.length(na), F.length(nb)) >= 10) & (na.contains(nb) | nb.contains(na) | (F.left(na, F.lit(10)) == F.left(nb, F.lit(10))))
-    return F.when(a == b, "EXACT").when(na == nb, "NORMALIZED").when(inside, "CONTAINED").otherwise("NONE")
+    """TXT26: exact, equal when normalised, contained or with a common beginning of ten characters, or none."""
+    a, b = unicode_trim(a), unicode_trim(b)
+    na, nb = unicode_trim(normalize_text(a)), unicode_trim(normalize_text(b))
+    begins = (F.length(na) > 5) & (F.length(nb) > 5) & (na.startswith(F.left(nb, F.lit(10))) | nb.startswith(F.left(na, F.lit(10))))
+    return F.when(a == b, "EXACT_PERSIAN_TITLE_MATCH").when(na == nb, "NORMALIZATION_EQUIVALENT_TITLE_MATCH").when(na.contains(nb) | nb.contains(na) | begins, "PARTIAL_TITLE_MATCH").otherwise("NO_CONFIRMED_MATCH")
 
 
 def reading_identity(reading_id: Column, canonical: Column) -> Column:

@@ -89,11 +89,16 @@ def governance(status: Column, adjudication: Column, adopted: Column) -> list[tu
 
 
 def pair_titles(titles: DataFrame, record: str) -> DataFrame:
-    """DOM19: the one Arabic-script and the one Latin title of a record, or why there is no pair."""
+    """DOM19: the Persian title of a record and how its Latin variants (``relationship``) stand to it; ``ord`` is the input order."""
     kind = T.script_class(F.col("title"))
-    by = titles.groupBy(record).agg(F.array_sort(F.collect_set(F.when(kind == "ARABIC", F.col("title")))).alias("_a"), F.array_sort(F.collect_set(F.when(kind == "LATIN", F.col("title")))).alias("_l"))
-    state = F.when((F.size("_a") == 1) & (F.size("_l") == 1), "PAIRED").when((F.size("_a") > 1) | (F.size("_l") > 1), "AMBIGUOUS").otherwise("INCOMPLETE")
-    return by.select(record, state.alias("state"), F.when(state == "PAIRED", F.col("_a")[0]).alias("original"), F.when(state == "PAIRED", F.col("_l")[0]).alias("romanized"))
+    persian = F.array_sort(F.collect_list(F.when(kind == "PERSIAN_SCRIPT", F.struct("ord", "title"))))
+    by = titles.groupBy(record).agg(persian.alias("_p"), F.count("*").alias("_n"), F.count_if(kind == "LATIN_ONLY").alias("_l"), F.count_if((kind == "LATIN_ONLY") & F.col("relationship").eqNullSafe(F.lit("ROMANIZATION"))).alias("_r"))
+    n = F.size("_p")
+    state = (
+        F.when((n == 0) & (F.col("_l") == F.col("_n")), "LATIN_ONLY").when(n != 1, "UNCERTAIN_LANGUAGE_OR_PAIRING").when(F.col("_l") == 0, "PERSIAN_ONLY")
+        .when(F.col("_r") > 1, "MULTIPLE_ROMANIZATION_VARIANTS").when(F.col("_r") == 1, "PERSIAN_WITH_OBSERVED_ROMANIZATION").otherwise("UNCERTAIN_LANGUAGE_OR_PAIRING")
+    )
+    return by.select(record, state.alias("state"), F.get("_p", F.lit(0))["title"].alias("persian_title"))
 
 
 def _alignments(words: list[str], readings: list[list[str]], target: str, most: int = 2) -> list[list[int]]:

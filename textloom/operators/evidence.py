@@ -10,7 +10,7 @@ from textloom.functions.hashing import content_id
 from textloom.operators.transduce import profile_of, transduced
 
 # Schemes whose forms are comparable with each other.
-COMPARABLE_SCHEMES = ("ALA_LC", "IJMES", "IRANICA", "DMG", "UN_2012")
+COMPARABLE_SCHEMES = ("ALA_LC", "IJMES", "IRANICA", "ISO", "DMG")
 
 
 def valid_entries(raw: DataFrame) -> DataFrame:
@@ -25,9 +25,10 @@ def valid_entries(raw: DataFrame) -> DataFrame:
 
 
 def lemma_status(senses: Column) -> Column:
-    """DOM17: form-of and alt-of senses make a non-lemma; no sense is unknown."""
-    derived = lambda s: F.coalesce(F.size(s["form_of"]) > 0, F.lit(False)) | F.coalesce(F.size(s["alt_of"]) > 0, F.lit(False))
-    return F.when(F.coalesce(F.size(senses), F.lit(0)) <= 0, "UNKNOWN").when(F.forall(senses, derived), "NON_LEMMA").otherwise("LEMMA")
+    """DOM17: a form-of, alt-of or inflection sense makes a non-lemma form; no sense is unknown."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    derived = lambda s: yes(F.size(s["form_of"]) > 0) | yes(F.size(s["alt_of"]) > 0) | yes(F.arrays_overlap(s["tags"], F.array(F.lit("form-of"), F.lit("inflection"))))
+    return F.when(F.coalesce(F.size(senses), F.lit(0)) <= 0, "UNKNOWN").when(F.exists(senses, derived), "NON_LEMMA_FORM").otherwise("LEMMA")
 
 
 def observations(entries: DataFrame) -> DataFrame:
@@ -41,16 +42,18 @@ def observations(entries: DataFrame) -> DataFrame:
 
 
 def interpret(obs: DataFrame) -> DataFrame:
-    """DOM13: binding, romanisation, lemma, then alignment; the first blocker holds."""
+    """DOM13: romanisation, lemma, profile, then alignment; the first blocker holds. Status is one of four."""
     t = transduced(F.col("normalized"), F.col("romanization"), F.col("profile"))
     out = obs.withColumn("_t", t)
     blocker = (
         F.when(F.col("romanization").isNull(), "NO_ROMANIZATION")
-        .when(F.col("lemma") == "NON_LEMMA", "NON_LEMMA")
+        .when(F.col("lemma") == "NON_LEMMA_FORM", "NON_LEMMA_SOURCE_FORM")
         .when(~F.col("profile").isin("IRANIAN", "CLASSICAL_DARI"), "UNCLASSIFIED_PROFILE")
         .when(F.col("_t.canonical").isNull(), F.col("_t.status"))
     )
-    return out.withColumn("blocker", blocker).withColumn("hypothesis", F.when(F.col("blocker").isNull(), F.col("_t.canonical"))).withColumn("status", F.coalesce("blocker", F.col("_t.status"))).drop("_t")
+    return out.withColumn("blocker", blocker).withColumn("hypothesis", F.when(F.col("blocker").isNull(), F.col("_t.canonical"))).withColumn(
+        "status", F.when(F.col("blocker").isNull(), F.concat(F.col("_t.status"), F.lit("_EQUIVALENT"))).when(F.col("blocker").isin("NON_LEMMA_SOURCE_FORM", "UNCLASSIFIED_PROFILE"), "CONTEXT_REQUIRED").otherwise("UNSUPPORTED")
+    ).drop("_t")
 
 
 def candidates(evidence: DataFrame, form: str, scheme: str, value: str, ident: str) -> DataFrame:
@@ -68,29 +71,36 @@ def candidates(evidence: DataFrame, form: str, scheme: str, value: str, ident: s
 
 
 def consensus(interpreted: DataFrame, form: str, strict: bool = True) -> DataFrame:
-    """AGG7/8: status of each form's hypotheses. ``strict``: any failure makes agreement partial."""
-    out = interpreted.groupBy(form).agg(F.array_sort(F.collect_set("hypothesis")).alias("hypotheses"), F.count("*").alias("evidence_count"), F.count("hypothesis").alias("usable"), F.count_if(F.col("blocker").isNotNull()).alias("blocked"))
+    """AGG7/8: status of each form's hypotheses.
+
+    ``strict`` (dictionary evidence): agreement is unanimous only if every row has a
+    hypothesis; otherwise (catalogue evidence) rows without a romanisation do not count
+    against it. Without a hypothesis a form is blocked, or has nothing to interpret.
+    """
+    silent = F.col("blocker").eqNullSafe(F.lit("NO_ROMANIZATION"))
+    failed = F.col("blocker").isNotNull() if strict else F.col("blocker").isNotNull() & ~silent
+    out = interpreted.groupBy(form).agg(F.array_sort(F.collect_set("hypothesis")).alias("hypotheses"), F.count("*").alias("evidence_count"), F.count_if(failed).alias("failed"), F.count_if(silent).alias("silent"))
     status = (
-        F.when(F.size("hypotheses") > 1, "CONFLICTING")
-        .when(F.size("hypotheses") == 0, "NO_HYPOTHESIS")
-        .when(F.col("blocked") > 0, "PARTIAL" if strict else "CONSENSUS_WITH_BLOCKED")
-        .when(F.col("usable") == 1, "SINGLE_SOURCE")
-        .otherwise("UNANIMOUS")
+        F.when(F.size("hypotheses") > 1, "CONFLICTING_DETERMINISTIC")
+        .when((F.size("hypotheses") == 1) & (F.col("failed") == 0), "UNANIMOUS_DETERMINISTIC")
+        .when(F.size("hypotheses") == 1, "PARTIAL")
+        .when(F.col("silent") == F.col("evidence_count"), "NO_INTERPRETABLE_EVIDENCE")
+        .otherwise("BLOCKED")
     )
     return out.withColumn("consensus", status)
 
 
-def confidence_tier(profiles: Column) -> Column:
-    """AGG9: both profiles agree, one of them, or neither."""
-    a, b = F.array_contains(profiles, "IRANIAN"), F.array_contains(profiles, "CLASSICAL_DARI")
-    return F.when(a & b, "CROSS_PROFILE").when(a, "IRANIAN_ONLY").when(b, "CLASSICAL_ONLY").otherwise("NONE")
+def confidence_tier(profiles: Column, evidence: Column) -> Column:
+    """AGG9: both profiles agree, several observations do, or there is one."""
+    both = F.array_contains(profiles, "IRANIAN") & F.array_contains(profiles, "CLASSICAL_DARI")
+    return F.when(both, "CROSS_PROFILE_CONSENSUS").when(evidence >= 2, "MULTI_OBSERVATION_CONSENSUS").otherwise("SINGLE_OBSERVATION_DETERMINISTIC")
 
 
 def fallback_pack(interpreted: DataFrame) -> DataFrame:
     """AGG10/SNK9: eligible forms with their one hypothesis, and a hash of the entry."""
-    agreed = consensus(interpreted, "normalized").where("consensus IN ('UNANIMOUS', 'SINGLE_SOURCE', 'PARTIAL')")
+    agreed = consensus(interpreted, "normalized").where("consensus = 'UNANIMOUS_DETERMINISTIC'")
     profiles = interpreted.where("hypothesis IS NOT NULL").groupBy("normalized").agg(F.array_sort(F.collect_set("profile")).alias("profiles"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
-    out = agreed.join(profiles, "normalized").withColumn("hypothesis", F.col("hypotheses")[0]).withColumn("tier", confidence_tier(F.col("profiles")))
+    out = agreed.join(profiles, "normalized").withColumn("hypothesis", F.col("hypotheses")[0]).withColumn("tier", confidence_tier(F.col("profiles"), F.col("evidence_count")))
     return out.select("normalized", "hypothesis", "consensus", "tier", "evidence_count", "profiles", "evidence_ids").withColumn("entry_hash", F.sha2(F.to_json(F.struct("normalized", "hypothesis", "evidence_ids")), 256))
 
 
@@ -119,7 +129,8 @@ def positional_alignment(pairs: DataFrame, left: str, right: str) -> DataFrame:
     out = pairs.withColumn("_l", l).withColumn("_r", r).withColumn("aligned", F.size("_l") == F.size("_r"))
     zipped = F.when(F.col("aligned"), F.arrays_zip("_l", "_r"))
     out = out.select("*", F.posexplode_outer(zipped).alias("place", "_z")).withColumn("source_word", F.col("_z._l")).withColumn("roman_word", F.col("_z._r"))
-    eligible = F.when(~F.col("aligned"), "COUNT_MISMATCH").when(F.col("roman_word").contains("-"), "HYPHENATED").otherwise("ELIGIBLE")
+    blank = F.coalesce(T.unicode_trim(F.col("roman_word")), F.lit("")) == ""
+    eligible = F.when(~F.col("aligned"), "COUNT_MISMATCH").when(blank | F.col("roman_word").contains("-"), "CONTEXT_BOUND").otherwise("ELIGIBLE")
     return out.withColumn("eligibility", eligible).drop("_l", "_r", "_z")
 
 
@@ -133,7 +144,8 @@ def interpret_scheme(value: Column) -> Column:
 def linked_fields(fields: DataFrame) -> DataFrame:
     """JON14/DOM18: regular fields and their 880 fields by (record, tag, occurrence).
 
-    ``fields``: record_id, tag, linkage ($6), value. Status is MATCHED, UNPAIRED, ALTERNATE_ONLY, DUPLICATE or MALFORMED.
+    ``fields``: record_id, tag, linkage ($6), value. An 880 field is MATCHED, UNMATCHED_NONZERO, AMBIGUOUS_DUPLICATE, OCCURRENCE_00
+    or MALFORMED_LINKAGE; a regular field that no 880 field answers makes no row.
     """
     parsed = fields.withColumn("_p", T.linkage_subfield(F.col("linkage")))
     good = parsed.where("_p.tag IS NOT NULL AND _p.occurrence <> '00'")
@@ -141,9 +153,9 @@ def linked_fields(fields: DataFrame) -> DataFrame:
     other = good.where("tag = '880'").select("record_id", F.col("_p.tag").alias("tag"), F.col("_p.occurrence").alias("occurrence"), F.col("value").alias("alternate"))
     keys = ["record_id", "tag", "occurrence"]
     one = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(f"n_{c}"), F.first(c).alias(c))
-    both = one(regular, "regular").join(one(other, "alternate"), keys, "full")
-    status = F.when((F.col("n_regular") > 1) | (F.col("n_alternate") > 1), "DUPLICATE").when(F.col("alternate").isNull(), "UNPAIRED").when(F.col("regular").isNull(), "ALTERNATE_ONLY").otherwise("MATCHED")
-    bad = parsed.where("linkage IS NOT NULL AND (_p.tag IS NULL OR _p.occurrence = '00')").select("record_id", "tag", F.col("_p.occurrence").alias("occurrence"), F.when(F.col("_p.tag").isNull(), "MALFORMED").otherwise("UNLINKED").alias("status"))
+    both = one(other, "alternate").join(one(regular, "regular"), keys, "left")
+    status = F.when((F.col("n_regular") > 1) | (F.col("n_alternate") > 1), "AMBIGUOUS_DUPLICATE").when(F.col("regular").isNull(), "UNMATCHED_NONZERO").otherwise("MATCHED")
+    bad = parsed.where("tag = '880' AND (_p.tag IS NULL OR _p.occurrence = '00')").select("record_id", F.coalesce("_p.tag", "tag").alias("tag"), F.col("_p.occurrence").alias("occurrence"), F.when(F.col("_p.tag").isNull(), "MALFORMED_LINKAGE").otherwise("OCCURRENCE_00").alias("status"))
     return both.select(*keys, status.alias("status"), "regular", "alternate").unionByName(bad, allowMissingColumns=True)
 
 

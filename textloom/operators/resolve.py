@@ -57,18 +57,36 @@ def next_word(tokens: DataFrame, id_col: str) -> DataFrame:
 
 
 def relations(tokens: DataFrame, lexicon: DataFrame, id_col: str) -> DataFrame:
-    """DOM7/JON7: first rule that holds between neighbours: written izafat, a lexical pair, a final vowel, or none."""
+    """DOM7/JON7: first of four rules that holds between neighbours.
+
+    Plural with izafat on a reviewed stem, written izafat, a curated pair, or (as a
+    candidate) a resolved noun before a resolved noun, adjective or proper noun.
+    """
     pairs = next_word(tokens, id_col)
     pairs = pairs.withColumn("lookup", T.lookup_form(F.col("surface"))).withColumn("next_lookup", T.lookup_form(F.col("next_surface")))
-    lex = small(lexicon.select(F.col("normalized").alias("lookup"), "izafat_after"))
-    out = pairs.join(lex, "lookup", "left")
+    pairs = pairs.withColumn("plural_stem", F.nullif(F.regexp_extract("lookup", f"^(.+){ZWNJ}های$", 1), F.lit("")))
+    lex = small(lexicon.select("normalized", "category", "canonicals", "izafat_after"))
+    own = lex.select(F.col("normalized").alias("lookup"), "izafat_after", F.col("category").alias("_c"), (F.size("canonicals") == 1).alias("_one"))
+    following = lex.select(F.col("normalized").alias("next_lookup"), F.col("category").alias("_nc"), (F.size("canonicals") == 1).alias("_none"))
+    stems = lex.where(F.col("category").isin("noun", "proper-noun")).select(F.col("normalized").alias("plural_stem"), F.lit(True).alias("_plural"))
+    out = pairs.join(own, "lookup", "left").join(following, "next_lookup", "left").join(stems, "plural_stem", "left")
     ortho = T.orthography(F.col("surface"))
+    grammatical = (F.col("_c") == "noun") & F.col("_nc").isin("noun", "adjective", "proper-noun") & F.col("_one") & F.col("_none")
     kind = (
-        F.when(ortho["izafat"].isNotNull(), "EXPLICIT_IZAFAT")
-        .when(F.coalesce(F.array_contains("izafat_after", F.col("next_lookup")), F.lit(False)), "LEXICAL_IZAFAT")
-        .when(F.col("surface").rlike("[اوی]ی$"), "POSSIBLE_IZAFAT")
+        F.when(F.col("_plural"), "EXPLICIT_PLURAL_IZAFAT_YE")
+        .when(ortho["izafat"] == "HEH_ORTHOGRAPHY", "EXPLICIT_HEH_ORTHOGRAPHY")
+        .when(ortho["izafat"].isNotNull(), "EXPLICIT_FINAL_KASRA")
+        .when(F.coalesce(F.array_contains("izafat_after", F.col("next_lookup")), F.lit(False)), "CURATED_LEXICAL_CONTEXT")
+        .when(grammatical, "GRAMMATICAL_CANDIDATE")
     )
-    return out.withColumn("relation", kind).where("relation IS NOT NULL").select(id_col, "src_idx", "next_idx", "relation")
+    out = out.withColumn("relation", kind).where("relation IS NOT NULL")
+    return out.select(id_col, "src_idx", "next_idx", "relation", F.when(F.col("relation") == "GRAMMATICAL_CANDIDATE", "CANDIDATE").otherwise("CONFIRMED").alias("status"))
+
+
+def _final_classes(canonicals: str) -> Column:
+    """Classes of the last letters of a stem's readings."""
+    low = lambda c: F.lower(c)
+    return F.array_distinct(F.transform(canonicals, lambda c: F.when(low(c).rlike("[aāiīuū]$"), "VOWEL_FINAL").when(low(c).rlike("[a-zšžčġḍḥṣṭẓʿʾ]$"), "CONSONANT_FINAL").otherwise("UNKNOWN")))
 
 
 def suffix_proposals(words: DataFrame, form: str, lexicon: DataFrame, unsupported: Column | None = None) -> DataFrame:
@@ -87,10 +105,10 @@ def suffix_proposals(words: DataFrame, form: str, lexicon: DataFrame, unsupporte
     stem = F.substr(word, F.lit(1), F.length(word) - tail)
     out = out.withColumn("joiner", stem.endswith(ZWNJ)).withColumn("stem", F.regexp_replace(stem, f"{ZWNJ}$", ""))
     out = out.where(F.length("stem") > 0)
-    lex = small(lexicon.select("normalized", "category"))
-    out = out.join(lex.select(F.col("normalized").alias("stem"), F.col("category").alias("stem_category")), "stem", "left")
+    lex = small(lexicon.select("normalized", "category", _final_classes("canonicals").alias("_finals")))
+    out = out.join(lex.select(F.col("normalized").alias("stem"), F.col("category").alias("stem_category"), "_finals"), "stem", "left")
     out = out.join(lex.select(F.col("normalized").alias(form), F.lit(True).alias("whole_word")), form, "left").withColumn("whole_word", F.coalesce("whole_word", F.lit(False)))
-    ending = F.when(F.col("stem_category").isNull(), "UNKNOWN").when(F.col("stem").rlike("[اوی]$"), "VOWEL_FINAL").when(F.col("stem").endswith("ه"), "HEH_FINAL").otherwise("CONSONANT_FINAL")
+    ending = F.when(F.coalesce(F.size("_finals"), F.lit(0)) <= 0, "UNKNOWN").when(F.col("stem").endswith("ه"), "HEH_FINAL").when(F.size("_finals") == 1, F.col("_finals")[0]).otherwise("UNKNOWN")
     out = out.withColumn("host_ending", ending)
     known = F.col("stem_category").isNotNull()
     compatible = known & F.array_contains("hosts", F.col("stem_category"))
@@ -100,12 +118,15 @@ def suffix_proposals(words: DataFrame, form: str, lexicon: DataFrame, unsupporte
     out = out.withColumn("status", status).where("NOT (whole_word AND stem_category IS NULL)")
     order = F.when(F.col("status") == "CONFIRMED", 0).when(F.col("status") == "CONFLICT", 1).otherwise(2)
     w = Window.partitionBy(form).orderBy(order, F.desc(F.length("stem")), "rule_order")
-    return out.withColumn("rank", F.row_number().over(w)).drop("_bad", "hosts")
+    return out.withColumn("rank", F.row_number().over(w)).drop("_bad", "hosts", "_finals")
 
 
-def morphology_strength(status: Column, known_stem: Column, joiner: Column) -> Column:
-    """DOM2"""
-    return F.when(status == "CONFIRMED", "CONFIRMED").when(status == "CONFLICT", "CONFLICT").when(known_stem & joiner, "STRONG_CANDIDATE").when(known_stem, "STEM_ONLY").otherwise("SHAPE_ONLY")
+def morphology_strength(status: Column, known_stem: Column, whole_word: Column, blocked: Column) -> Column:
+    """DOM2: ``blocked`` by written evidence (unsupported marks or vowels)."""
+    return (
+        F.when(status.isNull(), "CANDIDATE_SHAPE_ONLY").when(blocked, "BLOCKED_BY_EXPLICIT_EVIDENCE").when((status == "CONFIRMED") & known_stem, "CONFIRMED_REVIEWED")
+        .when(whole_word | (known_stem & (status == "CANDIDATE")), "COMPETING_REVIEWED").when(status == "CONFLICT", "UNSUPPORTED_OR_AMBIGUOUS").when(~known_stem, "CANDIDATE_SHAPE_ONLY").otherwise("UNSUPPORTED_OR_AMBIGUOUS")
+    )
 
 
 def resolve_suffix(best: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -119,13 +140,15 @@ def resolve_suffix(best: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def vocalized_outcome(readings: Column, evidence: Column) -> Column:
     """DOM4: readings (array of (canonical, vocalization map place -> vowel)) against written vowels (map)."""
-    fit = lambda r: F.forall(F.map_entries(evidence), lambda e: F.coalesce(F.try_element_at(r["vocalization"], e["key"]) == e["value"], F.lit(True)))
-    sure = lambda r: F.forall(F.map_keys(evidence), lambda k: F.map_contains_key(r["vocalization"], k))
-    possible = F.filter(readings, fit)
-    return F.struct(
-        F.when(F.size(readings) == 0, "NO_READING").when(F.size(possible) == 0, "CONFLICT").when((F.size(possible) == 1) & F.exists(possible, sure), "MATCH").when(F.size(possible) == 1, "SINGLE").otherwise("AMBIGUOUS").alias("outcome"),
-        F.transform(possible, lambda r: r["canonical"]).alias("canonicals"),
+    fits = lambda r: F.forall(F.map_entries(evidence), lambda e: F.coalesce(F.try_element_at(r["vocalization"], e["key"]) == e["value"], F.lit(True)))
+    sure = lambda r: (F.cardinality(evidence) > 0) & F.forall(F.map_keys(evidence), lambda k: F.map_contains_key(r["vocalization"], k))
+    match = F.filter(readings, lambda r: fits(r) & sure(r))
+    unknown = F.filter(readings, lambda r: fits(r) & ~sure(r))
+    outcome = (
+        F.when((F.size(match) == 1) & (F.size(unknown) == 0), "RESOLVED").when(F.size(match) > 0, "AMBIGUOUS").when(F.size(unknown) > 0, "INSUFFICIENT").otherwise("CONFLICT")
     )
+    left = F.when(F.size(match) + F.size(unknown) > 0, F.concat(match, unknown)).otherwise(readings)
+    return F.struct(outcome.alias("outcome"), F.transform(left, lambda r: r["canonical"]).alias("canonicals"))
 
 
 def cascade(tokens: DataFrame, lookup: str, sources: list[tuple[str, DataFrame]], mode: str = "AUTHORITY_FIRST") -> DataFrame:

@@ -25,6 +25,9 @@ COMPATIBLE = {
     "ب": ("b",), "پ": ("p",), "ف": ("f",), "د": ("d",), "ر": ("r",), "ل": ("l",), "م": ("m",), "ن": ("n",),
     "و": ("v", "w"), "ی": ("y", "j"),
 }
+# Tags of the two varieties.
+CLASSICAL_TAGS = ("classical-persian", "classical", "early-classical-persian", "dari", "hazaragi")
+IRANIAN_TAGS = ("iranian-persian", "iranian", "tehrani", "standard-iranian", "iran")
 LONG_A, APOSTROPHES, HAMZA = "âā", "ʿʾʼ’'`", "ءأإؤئ"
 #: Short vowels by profile; a letter that is missing fails.
 SHORT = {"IRANIAN": {"a": "a", "e": "i", "o": "u"}, "CLASSICAL_DARI": {"a": "a", "i": "i", "u": "u"}}
@@ -133,8 +136,9 @@ def transduced(word: pd.Series, roman: pd.Series, profile: pd.Series) -> pd.Data
 
 def profile_of(tags: Column) -> Column:
     """DOM14: profile from variety tags; both kinds conflict."""
-    iranian = F.arrays_overlap(tags, F.array(F.lit("Iran"), F.lit("Iranian-Persian"), F.lit("Tehrani")))
-    classical = F.arrays_overlap(tags, F.array(F.lit("Classical-Persian"), F.lit("Dari"), F.lit("Classical")))
+    low = F.transform(tags, lambda t: F.lower(F.trim(t)))
+    iranian = F.arrays_overlap(low, F.array(*map(F.lit, IRANIAN_TAGS)))
+    classical = F.arrays_overlap(low, F.array(*map(F.lit, CLASSICAL_TAGS)))
     return F.when(F.coalesce(iranian & classical, F.lit(False)), "CONFLICTING").when(iranian, "IRANIAN").when(classical, "CLASSICAL_DARI").otherwise("UNCLASSIFIED")
 
 

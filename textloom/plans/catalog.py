@@ -271,7 +271,7 @@ def scheme_conflicts(spark, sf_dir):
 
 
 @query("agg7_consensus", """SELECT l_suppkey, array_to_string(list_sort(list_distinct(list(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END))), ',') AS hypotheses, count(*) AS evidence_count,
-CASE WHEN count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) > 1 THEN 'CONFLICTING' WHEN count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) = 0 THEN 'NO_HYPOTHESIS' WHEN count_if(l_returnflag = 'N') > 0 THEN 'PARTIAL' WHEN count(CASE WHEN l_returnflag <> 'N' THEN 1 END) = 1 THEN 'SINGLE_SOURCE' ELSE 'UNANIMOUS' END AS consensus FROM lineitem GROUP BY 1""")
+CASE WHEN count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) > 1 THEN 'CONFLICTING_DETERMINISTIC' WHEN count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) = 0 THEN 'BLOCKED' WHEN count_if(l_returnflag = 'N') > 0 THEN 'PARTIAL' ELSE 'UNANIMOUS_DETERMINISTIC' END AS consensus FROM lineitem GROUP BY 1""")
 def consensus(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("hypothesis"), F.when(F.col("l_returnflag") == "N", "OPEN").alias("blocker"))
     return E.consensus(rows, "l_suppkey").select("l_suppkey", F.array_join("hypotheses", ",").alias("hypotheses"), "evidence_count", "consensus")
