@@ -36,9 +36,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.scan import chunks, text_buffer
+from textloom.llm.scan import chunks, text_buffer, tidy
 
-WORDS_KEPT, PAIRS_KEPT = 400_000, 4_000_000
+WORDS_KEPT, PAIRS_KEPT = 250_000, 2_000_000
 #: Bytes of text whose words are encoded together.
 ENCODE_CHUNK = 1 << 20
 
@@ -284,8 +284,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 values = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(rows.start, count) for c in range(1 + len(carry))), lists, decoded], names=[*batch.schema.names[:-1], "_ids", "_decoded"])
+        bpe.words.clear()
 
     narrow = docs.select(*lead, F.col(text_col).alias("text"))
     shapes = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in narrow.columns[:-1])
-    out = narrow.mapInArrow(run, f"{shapes}, _ids array<int>, _decoded string")
+    out = narrow.mapInArrow(tidy(run), f"{shapes}, _ids array<int>, _decoded string")
     return out.select(F.col("_id").alias(id_col), *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)), F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))

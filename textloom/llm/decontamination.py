@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.llm.fm_index import FMIndex
-from textloom.llm.scan import NON_ALNUM, scan
+from textloom.llm.scan import NON_ALNUM, scan, tidy
 from textloom.llm.scratch import materialize
 
 WINDOW = 10
@@ -147,7 +147,7 @@ def _search(phrases, carried: int):
 
 def _scan_block(docs: DataFrame, shapes: str, ids: list, texts: list, window: int) -> DataFrame:
     phrases = docs.sparkSession.sparkContext.broadcast(Phrases(ids, texts, window))
-    return docs.mapInArrow(_search(phrases, len(docs.columns) - 1), f"{shapes}, _words long, _spans array<struct<begin:int,end:int>>, _items array<string>")
+    return docs.mapInArrow(tidy(_search(phrases, len(docs.columns) - 1)), f"{shapes}, _words long, _spans array<struct<begin:int,end:int>>, _items array<string>")
 
 
 def _merged(spans):

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.scan import U64, WHITE, grams, mix, scan
+from textloom.llm.scan import U64, WHITE, grams, mix, scan, tidy
 from textloom.llm.scratch import materialize
 
 SHINGLE = 5
@@ -326,7 +326,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sets are as similar as asked."""
     own = sets.select("sid", "tokens")
     first = pairs.join(own.withColumnsRenamed({"sid": "u", "tokens": "ta"}), "u")
-    return first.join(own.withColumnsRenamed({"sid": "v", "tokens": "tb"}), "v").select("u", "v", "ta", "tb").mapInArrow(_verify, "u long, v long")
+    return first.join(own.withColumnsRenamed({"sid": "v", "tokens": "tb"}), "v").select("u", "v", "ta", "tb").mapInArrow(tidy(_verify), "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -336,15 +336,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(F.xxhash64(*key).alias("k1"), F.hash(*reversed(key)).cast("long").alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bodies = keyed.select("k1", "k2", "text")
 
-    scanned = materialize(bodies.mapInArrow(_id_rows(shingle), "k1 long, k2 long, sid long, n long"), "set-ids")
+    scanned = materialize(bodies.mapInArrow(tidy(_id_rows(shingle)), "k1 long, k2 long, sid long, n long"), "set-ids")
     rows = scanned.where("k1 IS NOT NULL")
     frequent = scanned.where("k1 IS NULL").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(RANKED).toArrow()
     order = spark.sparkContext.broadcast(Order(frequent["sid"].to_numpy().view(U64), frequent["n"].to_numpy()))
     sizes = rows.where("n > 0").groupBy("sid", "n").agg(F.lit(1).alias("one")).groupBy("n").agg(F.count("*").alias("c"))
     light = boundary({r["n"]: r["c"] for r in sizes.where(F.col("n") <= 2 * LIGHT_MOST).toLocalIterator()})
 
-    postings = bodies.mapInArrow(_postings(shingle, light, order), _POSTING)
-    lists = postings.repartition("tok").sortWithinPartitions("tok", F.expr(_LEADS), "sid").mapInArrow(_lists, "tok long, sid long, n int, pos int, lead long, state int")
+    postings = bodies.mapInArrow(tidy(_postings(shingle, light, order)), _POSTING)
+    lists = postings.repartition("tok").sortWithinPartitions("tok", F.expr(_LEADS), "sid").mapInArrow(tidy(_lists), "tok long, sid long, n int, pos int, lead long, state int")
     lists = materialize(lists, "lists")
     by_subset = lists.where("state = 2").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
     heavy = lists.where("pos >= 0")
@@ -356,7 +356,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if n_carriers <= FETCH_BROADCAST:
         carriers = F.broadcast(carriers)
     shape = "sid long, n int, tokens binary, " + ", ".join(f"s{w} long" for w in range(SKETCH))
-    sets = materialize(bodies.join(carriers, ["k1", "k2"]).select("sid", "text").mapInArrow(_fetch(shingle), shape), "sets")
+    sets = materialize(bodies.join(carriers, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), shape), "sets")
     if sets.count() > n_carriers:  # rows of one id and text: each gave its set
         sets = materialize(sets.dropDuplicates(["sid"]), "sets")
 

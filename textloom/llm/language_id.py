@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.scan import chunks, text_buffer
+from textloom.llm.scan import chunks, text_buffer, tidy
 
 FIT_ROWS = 800
 ROUNDS = 4
 LONGEST = 48
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 PIECE_BYTES = 12
 #: Texts at least this likely to be in the predicted language are kept by :func:`keep`.
 KEEP = 0.5
@@ -224,9 +224,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 names, scores = own.score(column.slice(rows.start, rows.stop - rows.start).to_pylist())
                 lead = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*lead, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "_lang", "_score"])
+        own.known.clear()
 
     shapes = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in narrow.columns[:-1])
-    out = narrow.mapInArrow(run, f"{shapes}, _lang string, _score double")
+    out = narrow.mapInArrow(tidy(run), f"{shapes}, _lang string, _score double")
     return out.select(F.col("_id").alias(id_col), *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 

@@ -9,6 +9,7 @@ follows ``CHUNK_BYTES`` (or the longest single text), not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -139,6 +140,24 @@ def scan(column: pa.Array, seps: np.ndarray, lower: bool = False, hashes: bool =
         yield Words(rows, buf, lo, start, end, first, h)
 
 
+def tidy(run):
+    """A batch function that gives freed memory back to the system when its task ends.
+
+    Python workers live on between tasks and stages; what one leaves allocated would
+    count against the next.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive words (document bounds are the caller's)."""
     if len(h) < k:

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.scan import U64, WHITE, grams, mix, scan
+from textloom.llm.scan import U64, WHITE, grams, mix, scan, tidy
 from textloom.llm.scratch import materialize
 
 WINDOW = 35
@@ -95,7 +95,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(df: DataFrame) -> DataFrame:
     *lead, text = df.columns
     shapes = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in lead)
-    return df.mapInArrow(_pack, f"{shapes}, {text} binary")
+    return df.mapInArrow(tidy(_pack), f"{shapes}, {text} binary")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -327,15 +327,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(F.xxhash64(*key).alias("k1"), F.hash(*reversed(key)).alias("k2"), F.col(id_col).alias("_id"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)), text.alias("text"))
     bodies = keyed.select("k1", "k2", "text")
 
-    found = bodies.mapInArrow(_anchor_rows(window, prefix), "g long, weight int, k1 long, k2 int, pos int")
+    found = bodies.mapInArrow(tidy(_anchor_rows(window, prefix)), "g long, weight int, k1 long, k2 int, pos int")
     shared = found.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).where("n > 1")
     places = shared.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
-    contexts = _packed(bodies).join(places, ["k1", "k2"]).mapInArrow(_context_rows(window, prefix), "g long, right binary, left binary, k1 long, k2 int, pos int")
+    contexts = _packed(bodies).join(places, ["k1", "k2"]).mapInArrow(tidy(_context_rows(window, prefix)), "g long, right binary, left binary, k1 long, k2 int, pos int")
     contexts = materialize(contexts.withColumn("cd", F.xxhash64("g", "right", "left")), "suffix-contexts")
 
     folded = contexts.groupBy("g", "right", "left", "cd").agg(F.count("*").alias("n"))
     ordered = folded.repartition("g").sortWithinPartitions("g", "right")
-    replies = materialize(ordered.mapInArrow(_subtrees(window, prefix, subtree), _REPLY), "suffix-replies")
+    replies = materialize(ordered.mapInArrow(tidy(_subtrees(window, prefix, subtree)), _REPLY), "suffix-replies")
     masks = replies.where("leaf IS NULL").select("g", "cd", "mask")
     split = replies.where("leaf IS NOT NULL")
     if not split.isEmpty():
@@ -348,7 +348,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = _packed(keyed).join(marks, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<pos:int,mask:bigint>>")))
     lead = ["_id", *(f"_carry{i}" for i in range(len(carry)))]
     shape = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in lead)
-    out = joined.select(*lead, "text", "marks").mapInArrow(_rewrite(window), f"{shape}, _words long, _removed long, _kept string")
+    out = joined.select(*lead, "text", "marks").mapInArrow(tidy(_rewrite(window)), f"{shape}, _words long, _removed long, _kept string")
     return out.select(
         F.col("_id").alias(id_col), *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)), F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_kept").alias("kept_text")
     )
