@@ -56,7 +56,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words of benchmark phrases; documents without a character left go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS[1:])
+    # Written first: searching and cutting in one task would need two Python workers a core.
+    found = materialize(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS[1:]), "spans")
     return _with_text(found, cut_spans("text", "spans"))
 
 
