@@ -7,8 +7,9 @@ rectangles are taken at every frame, each log ratio is quantised to two bits of
 Gray code, and the codes are packed into one 32-bit integer a frame.
 
 *Alignment.* Equal integers of a query and a recording vote for the offset between
-them. The offsets with most votes are verified by the share of differing bits over
-the whole overlap.
+them. Every offset with enough votes and overlap is verified by the share of
+differing bits over the whole overlap; the best has most bits below the limit, so
+that a short overlap of pauses does not stand before a long one of sound.
 
 The search holds a block of queries (``BLOCK`` fingerprints; sorted integers) on
 every executor and streams all recordings past it, block by block: any number of
@@ -117,18 +118,17 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
 
 
 def best_offset(query: np.ndarray, other: np.ndarray, votes: dict[int, int]) -> tuple[int, int, float] | None:
-    """(offset, overlap, bit error) of the best of the offsets with most votes; offset is other's place of query's start."""
-    best = None
-    for offset, n in sorted(votes.items(), key=lambda x: (-x[1], abs(x[0]), x[0]))[:3]:
-        if n < VOTES:
-            break
+    """(offset, overlap, bit error) of the best of all offsets with enough votes; offset is other's place of query's start."""
+    best, most = None, 0.0
+    for offset in sorted((k for k, n in votes.items() if n >= VOTES), key=lambda k: (abs(k), k)):
         a, b = max(0, -offset), max(0, offset)
         m = min(len(query) - a, len(other) - b)
         if m < OVERLAP:
             continue
-        error = float(np.bitwise_count(query[a : a + m] ^ other[b : b + m]).sum()) / (32 * m)
-        if error <= BIT_ERRORS and (best is None or error < best[2]):
-            best = (offset, m, error)
+        wrong = int(np.bitwise_count(query[a : a + m] ^ other[b : b + m]).sum())
+        margin = BIT_ERRORS * 32 * m - wrong
+        if margin >= 0 and (best is None or margin > most):
+            best, most = (offset, m, wrong / (32 * m)), margin
     return best
 
 
