@@ -77,6 +77,8 @@ def every_offset(query, other):
     for offset in range(M.OVERLAP - len(query), len(other) - M.OVERLAP + 1):
         a, b = max(0, -offset), max(0, offset)
         m = min(len(query) - a, len(other) - b)
+        if m < M.OVERLAP:
+            continue
         wrong = int(np.bitwise_count(query[a : a + m] ^ other[b : b + m]).sum())
         if wrong <= M.BIT_ERRORS * 32 * m:
             found.append((wrong - M.BIT_ERRORS * 32 * m, abs(offset), offset, m, wrong / (32 * m)))
@@ -97,6 +99,37 @@ def test_pauses_do_not_hide_the_offset():
         assert found == every_offset(a, b) and found[0] == 40
 
 
+def equal_at_best(query, other, found):
+    a, b = max(0, -found[0]), max(0, found[0])
+    return int((query[a : a + found[1]] == other[b : b + found[1]]).sum())
+
+
+def test_noisy_copies_are_found_without_equal_integers(spark):
+    r = np.random.default_rng(7)
+    vectors = [r.normal(size=64) for _ in range(12)]
+    vectors += [v + r.normal(scale=0.3, size=64) for v in vectors]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    prints = M.fingerprints(df, "vec_id", "embedding")
+    own = {x["vec_id"]: np.frombuffer(bytes(x["print"]), "<u4") for x in prints.collect()}
+    want = {(q, k): f for q in own if q < 12 for k in own if k != q and (f := every_offset(own[q], own[k]))}
+    got = {(x.vec_id, m.class_id): tuple(m)[1:] for x in M.search(prints, "vec_id", F.col("vec_id") < 12).collect() for m in x.matches or ()}
+    assert got == want
+    assert sum(equal_at_best(own[q], own[k], f) < 3 for (q, k), f in want.items()) > 3
+
+
+def test_alignment_of_all_lengths_against_every_offset():
+    r = np.random.default_rng(11)
+    tune = r.integers(0, 1 << 32, 3400, dtype=np.uint32)
+    cuts = [(0, 24), (10, 60), (5, 115), (30, 200), (0, 23), (0, 700), (400, 3300), (200, 3400), (0, 0)]
+    noise = lambda n: np.packbits(r.random((n, 32)) < 0.1, axis=1).view(np.uint32).ravel()
+    prints = [tune[a:b] ^ noise(b - a) for a, b in cuts] + [np.zeros(90, np.uint32), np.zeros(40, np.uint32)]
+    prints += [tune[k : k + 60 + k] ^ noise(60 + k) for k in range(90)]
+    own = list(range(len(prints)))
+    want = {(q, k): f for q in own[:30] for k in own if k != q and (f := every_offset(prints[q], prints[k]))}
+    got = {(q, k): (offset, m, e) for q, k, offset, m, e in zip(*(x.tolist() for x in M.Queries(own[:30], prints[:30]).matches(own, prints)))}
+    assert got == want and want[6, 7][:2] == (200, 2900)
+
+
 def test_integral_image_filters_are_rectangle_sums():
     pcm = M.render(np.random.default_rng(1).normal(size=40)).astype(float)
     image = M.chroma(pcm)

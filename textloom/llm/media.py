@@ -6,16 +6,22 @@ gives the sum of any rectangle in four look-ups; ``FILTERS`` rectangles-against-
 rectangles are taken at every frame, each log ratio is quantised to two bits of a
 Gray code, and the codes are packed into one 32-bit integer a frame.
 
-*Alignment.* Equal integers of a query and a recording vote for the offset between
-them. Every offset with enough votes and overlap is verified by the share of
-differing bits over the whole overlap; the best has most bits below the limit, so
-that a short overlap of pauses does not stand before a long one of sound.
-
-The search holds a block of queries (``BLOCK`` fingerprints; sorted integers) on
-every executor and streams all recordings past it, block by block: any number of
-queries is a number of passes, and nothing broadcast grows with the data. Equal
-fingerprints are one class from the start, so copies neither meet each other nor
-multiply results: rows carry their class, matches are between classes.
+*Alignment.* Every query is held against every recording at every offset that
+leaves ``OVERLAP`` frames: no shared integer is asked for. Bits count as 1 and -1,
+so the agreement at all offsets of a pair is one correlation, taken for a tile of
+pairs by Fourier transforms and one matrix product a frequency. Sums are whole
+numbers, and rounding makes them exact. An offset fits if the share of differing
+bits over the whole overlap is at most ``BIT_ERRORS``; the best has most bits below
+that limit, so that a short overlap of pauses does not stand before a long one of
+sound.
+
+The search holds a block of queries (``BLOCK`` fingerprints) on every executor and
+streams all recordings past it, block by block: any number of queries is a number
+of passes, and nothing broadcast grows with the data. The work is a constant for
+each pair of a query and a recording of equal lengths. Equal fingerprints are one
+class from the start, so copies neither meet each other nor multiply results: rows
+carry their class, matches are between classes. A worker holds 33 transforms of each
+recording of a tile.
 
 The tables at hand hold no sound, so :func:`render` turns a vector into a melody:
 one note for each component, its pitch class the component's normal quantile.
@@ -44,9 +50,11 @@ NOTE = 256
 CLASSES = 12
 #: Frames that the widest filter spans.
 SPAN = 16
-#: Largest share of differing bits, least frames of overlap and least votes of a match.
-BIT_ERRORS, OVERLAP, VOTES = 0.25, 24, 3
+#: Largest share of differing bits and least frames of overlap of a match.
+BIT_ERRORS, OVERLAP = 0.25, 24
 BLOCK = 10_000
+#: Most queries or recordings on a side of a tile, its recordings for one set of spectra, and its places over a side.
+SIDE, SETS, PLACES = 64, 16, 1 << 14
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -117,10 +125,10 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_offset(query: np.ndarray, other: np.ndarray, votes: dict[int, int]) -> tuple[int, int, float] | None:
-    """(offset, overlap, bit error) of the best of all offsets with enough votes; offset is other's place of query's start."""
+def best_offset(query: np.ndarray, other: np.ndarray, votes: dict[int, int] | None = None) -> tuple[int, int, float] | None:
+    """(offset, overlap, bit error) of the best of all offsets; offset is other's place of query's start. ``votes`` is not needed."""
     best, most = None, 0.0
-    for offset in sorted((k for k, n in votes.items() if n >= VOTES), key=lambda k: (abs(k), k)):
+    for offset in sorted(range(OVERLAP - len(query), len(other) - OVERLAP + 1), key=lambda k: (abs(k), k)):
         a, b = max(0, -offset), max(0, offset)
         m = min(len(query) - a, len(other) - b)
         if m < OVERLAP:
@@ -132,35 +140,97 @@ def best_offset(query: np.ndarray, other: np.ndarray, votes: dict[int, int]) ->
     return best
 
 
+def _smooth(n: int) -> int:
+    """The least number from ``n`` on with no prime factor over 5."""
+    while True:
+        k = n
+        for f in (2, 3, 5):
+            while k % f == 0:
+                k //= f
+        if k == 1:
+            return n
+        n += 1
+
+
+def _runs(prints: list[np.ndarray]) -> list[np.ndarray]:
+    """Places of the prints that can overlap enough, in runs of like lengths."""
+    size = np.array([len(p) for p in prints], np.int64)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] >= OVERLAP]
+    cuts, first = [], None
+    for k, n in enumerate(size[order].tolist()):
+        if first is None or n > 1.5 * first:
+            first = n
+            cuts.append(k)
+    return np.split(order, cuts[1:]) if cuts else []
+
+
+#: Weight of a frame: added to the agreement of its bits, the sum is 0 at the limit of bit errors.
+_WEIGHT = 32 * (1 - 2 * BIT_ERRORS)
+
+
+def _spectra(prints: list[np.ndarray], size: int, kind: type, weight: float) -> np.ndarray:
+    """Fourier transforms [frequency, print, channel] of the 32 bits as 1 and -1, and of a weight a frame."""
+    bits = np.zeros((len(prints), 33, size), kind)
+    for i, p in enumerate(prints):
+        bits[i, :32, : len(p)] = 2.0 * np.unpackbits(p.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1).T - 1
+        bits[i, 32, : len(p)] = weight
+    return np.ascontiguousarray(np.fft.rfft(bits).transpose(2, 0, 1))
+
+
+def align(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, other, offset, overlap, differing bits) of the best offset of every pair that has one, as arrays for each tile."""
+    nq, no = np.array([len(p) for p in queries]), np.array([len(p) for p in others])
+    # Offsets with enough overlap do not fall on others' places round the circle.
+    size = _smooth(int(nq.max() + no.max()) - OVERLAP)
+    kind = np.float32 if (32 + _WEIGHT) * math.sqrt(int(nq.max()) * int(no.max())) < 1 << 17 else np.float64
+    root = math.sqrt(_WEIGHT)
+    shift = np.arange(size)
+    shift[shift > no.max() - OVERLAP] -= size
+    side = max(1, min(SIDE, PLACES // size))
+    for begin in range(0, len(others), side * SETS):
+        spectra = _spectra(others[begin : begin + side * SETS], size, kind, -root).transpose(0, 2, 1)
+        for q in range(0, len(queries), side):
+            mine = _spectra(queries[q : q + side], size, kind, root).conj()
+            late = shift[:, None] >= OVERLAP - nq[q : q + side]
+            for o in range(begin, min(len(others), begin + side * SETS), side):
+                value = np.fft.irfft(mine @ spectra[:, :, o - begin : o - begin + side], size, axis=0)
+                early = shift[:, None] <= no[o : o + side] - OVERLAP
+                place, i, j = np.nonzero((value > -0.5) & late[:, :, None] & early[:, None, :])
+                if not len(place):
+                    continue
+                offset, excess = shift[place], value[place, i, j]
+                i, j = i + q, j + o
+                overlap = np.minimum(nq[i] - np.maximum(0, -offset), no[j] - np.maximum(0, offset))
+                wrong = np.rint((32 * overlap - _WEIGHT * overlap - excess) / 2).astype(np.int64)
+                margin = BIT_ERRORS * 32 * overlap - wrong
+                fits = (overlap >= OVERLAP) & (margin >= 0)
+                found = [x[fits] for x in (i, j, offset, overlap, wrong, margin)]
+                order = np.lexsort((found[2], np.abs(found[2]), -found[5], found[1], found[0]))
+                found = [x[order] for x in found]
+                new = np.ones(len(order), bool)
+                new[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
+                yield tuple(x[new] for x in found[:5])
+
+
 class Queries:
-    """A block of queries as sorted integers with their owners and places."""
+    """A block of queries, in runs of like lengths."""
 
     def __init__(self, ids: list[int], prints: list[np.ndarray]):
-        self.ids, self.prints = ids, prints
-        size = [len(p) for p in prints]
-        values = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-        order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        self.owner = np.repeat(np.arange(len(ids)), size)[order]
-        self.place = np.concatenate([np.arange(n) for n in size])[order] if size else np.zeros(0, np.int64)
-
-    def matches(self, own: int, other: np.ndarray) -> list[tuple[int, int, int, float]]:
-        lo, hi = np.searchsorted(self.values, other, "left"), np.searchsorted(self.values, other, "right")
-        count = hi - lo
-        if not count.any():
-            return []
-        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        place = np.repeat(np.arange(len(other)), count)
-        shift = 1 << 31
-        key, n = np.unique(self.owner[at] << 32 | (place - self.place[at] + shift), return_counts=True)
-        votes: dict[int, dict[int, int]] = {}
-        for k, c in zip(key[n >= VOTES].tolist(), n[n >= VOTES].tolist()):
-            votes.setdefault(k >> 32, {})[(k & 0xFFFFFFFF) - shift] = c
-        out = []
-        for q, v in votes.items():
-            if self.ids[q] != own and (found := best_offset(self.prints[q], other, v)):
-                out.append((self.ids[q], *found))
-        return out
+        self.ids = np.array(ids, np.int64)
+        self.runs = [(at, [prints[k] for k in at]) for at in _runs(prints)]
+
+    def matches(self, ids: list[int], others: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Columns query, class, offset, overlap and bit error of all matches with recordings of other classes."""
+        own = np.array(ids, np.int64)
+        out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),)]
+        for there in _runs(others):
+            held = [others[k] for k in there]
+            for here, prints in self.runs:
+                for i, j, offset, overlap, wrong in align(prints, held):
+                    query, other = self.ids[here[i]], own[there[j]]
+                    out.append(tuple(x[query != other] for x in (query, other, offset, overlap, wrong / (32 * overlap))))
+        return tuple(map(np.concatenate, zip(*out)))
 
 
 def _prints(kind: str):
@@ -201,12 +271,10 @@ def search(prints: DataFrame, id_col: str, is_query, block: int = BLOCK) -> Data
     def passed(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for own, p in zip(batch.column("class_id").to_pylist(), batch.column("print").to_pylist()):
-                    rows += [(q, own, *m) for q, *m in shared.value.matches(own, np.frombuffer(p, "<u4"))]
-                columns = list(zip(*rows)) if rows else [[]] * 5
+                prints = [np.frombuffer(p, "<u4") for p in batch.column("print").to_pylist()]
+                columns = shared.value.matches(batch.column("class_id").to_pylist(), prints)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["query", "class_id", "offset", "overlap", "bit_error"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query", "class_id", "offset", "overlap", "bit_error"])
 
         return run
 
