@@ -27,6 +27,26 @@ def test_paths_decide_without_marks():
     assert extract(page(body)) == "\n".join(["Head"] + [LOREM] * 4)
 
 
+PARAGRAPH = ("One of the sentences, that make up a paragraph, ends here. " * 6).strip()
+ITEMS = [f"{n} cups of fine flour" for n in "one two three four five six seven eight".split()]
+TABLE = "<table><tr><th>Year<th>Place<tr><td>1920<td>Third<tr><td>1924<td>First</table>"
+FIGURE = "<figure><img src=x.png><figcaption>The mill by night</figcaption></figure>"
+SHORT = f"<ul>{''.join(f'<li>{i}' for i in ITEMS)}</ul>{TABLE}<dl><dt>Rye<dd>A grain</dl>{FIGURE}"
+SHORT_TEXTS = [*ITEMS, "Year", "Place", "1920", "Third", "1924", "First", "Rye", "A grain", "The mill by night"]
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div role=main", "div itemprop=articleBody", "div id=text"])
+def test_short_blocks_of_the_article_stay(element):
+    body = f"<nav><ul><li><a href=/>Home</a></ul></nav><{element}><h1>Bread</h1>{f'<p>{PARAGRAPH}</p>' * 10}{SHORT}</{element.split()[0]}><ul><li><a href=/a>More of it</a><li><a href=/b>Other pages</a></ul><div>Short</div>"
+    assert extract(page(body)) == "\n".join(["Bread", *[PARAGRAPH] * 10, *SHORT_TEXTS])
+
+
+def test_what_lies_beside_an_article_in_main_is_judged():
+    links = "".join(f"<li><a href=/{i}>Word {i}</a>" for i in range(10))
+    body = f"<main><article><p>{PARAGRAPH}</p><ul><li>{ITEMS[0]}</ul></article><ul>{links}</ul></main>"
+    assert extract(page(body)) == f"{PARAGRAPH}\n{ITEMS[0]}"
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "<p></p>", "<script>x", "<!-- x", "<nav>a</nav>"])
 def test_nothing(text):
     assert extract(text) == ""

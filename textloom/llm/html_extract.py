@@ -7,7 +7,10 @@ paragraph shares the fate of the other paragraphs. A path's ratio is its text pe
 block times its punctuation per block, both damped, less its share of links.
 Ratios are smoothed over paths with the same container (weighted by text), fused
 with the path's own, and paths above a share of the page's text-weighted mean are
-content. Elements that HTML or their names mark as something else (navigation,
+content. Parts of lists, tables and figures (``PARTS``) are also smoothed over the
+paths around the whole list, table or figure, less their links. Text of an article
+element (of a main element where no article has any) is content whatever its ratio:
+short items, cells and captions are the article's too. Elements that HTML or their names mark as something else (navigation,
 adverts, forms, scripts, comments, ...) are never content.
 
 A page is worked on in one pass over its tags and one over its blocks, in Python
@@ -66,13 +69,15 @@ ENDS = {
     "th": ({"td", "th", "p"}, frozenset(("tr", "table"))),
     "option": ({"option"}, frozenset(("select",))),
 }
-MARKS = frozenset(("article", "main"))
+#: Elements that mark the article, the closest mark highest.
+MARKS = {"main": 1, "article": 2}
+PARTS = frozenset("li ul ol dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 
 
 class _Block:
     __slots__ = ("path", "parts", "linked", "marked", "barred")
 
-    def __init__(self, path: tuple[str, ...], marked: bool, barred: bool):
+    def __init__(self, path: tuple[str, ...], marked: int, barred: bool):
         self.path, self.parts, self.linked, self.marked, self.barred = path, [], 0, marked, barred
 
 
@@ -80,7 +85,7 @@ def blocks_of(page: str) -> list[_Block]:
     """Blocks of text in page order."""
     out: list[_Block] = []
     # Open elements: (name, label, marked, barred); links are counted apart.
-    stack: list[tuple[str, str, bool, bool]] = []
+    stack: list[tuple[str, str, int, bool]] = []
     path: tuple[str, ...] = ()
     links, block, raw, at = 0, None, None, 0
 
@@ -91,7 +96,7 @@ def blocks_of(page: str) -> list[_Block]:
         if block is None:
             if text.isspace():
                 return
-            marked, barred = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            marked, barred = (stack[-1][2], stack[-1][3]) if stack else (0, False)
             block = _Block(path, marked, barred)
             out.append(block)
         block.parts.append(text)
@@ -143,7 +148,7 @@ def blocks_of(page: str) -> list[_Block]:
                 elif stack[k][0] in scope or (not scope and stack[k][0] not in closing and stack[k][0] != "p"):
                     break
         links = 0
-        marked = (stack[-1][2] if stack else False) or name in MARKS
+        marked = max(stack[-1][2] if stack else 0, MARKS.get(name, 0))
         barred = stack[-1][3] if stack else False
         label = name
         if m[3].strip():
@@ -153,8 +158,10 @@ def blocks_of(page: str) -> list[_Block]:
                 words.update(w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w)
                 if a[1].lower() in ("class", "id"):
                     label += "." + re.sub(r"\d+", "", value)
-                if "main" in words and a[1].lower() == "role" or "articlebody" in value.lower():
-                    marked = True
+                if "articlebody" in value.lower():
+                    marked = 2
+                elif "main" in words and a[1].lower() == "role":
+                    marked = max(marked, 1)
             if name not in ("html", "body", *MARKS) and (words & ASIDE_WORDS or _HIDDEN.search(m[3])):
                 barred = True
         if name in ASIDE and not (name == "header" and marked):
@@ -167,7 +174,7 @@ def blocks_of(page: str) -> list[_Block]:
     return out
 
 
-def path_of(stack: list[tuple[str, str, bool, bool]]) -> tuple[str, ...]:
+def path_of(stack: list[tuple[str, str, int, bool]]) -> tuple[str, ...]:
     return tuple(e[1] for e in stack)
 
 
@@ -196,9 +203,21 @@ def extract(page: str | None) -> str:
         a = around.setdefault(p[:-1], [0.0, 0.0])
         a[0] += s[1] * ratio[p]
         a[1] += s[1]
-    fused = {p: OWN * r + (1 - OWN) * around[p[:-1]][0] / around[p[:-1]][1] for p, r in ratio.items()}
+
+    def surroundings(p: tuple) -> float:
+        near = around[p[:-1]][0] / around[p[:-1]][1]
+        end = len(p)
+        while end and p[end - 1].split(".", 1)[0] in PARTS:
+            end -= 1
+        if end < len(p) and p[:end] in around:
+            far = around[p[:end]]
+            near = max(near, far[0] / far[1] * (1 - sums[p][3] / sums[p][1]))
+        return near
+
+    fused = {p: OWN * r + (1 - OWN) * surroundings(p) for p, r in ratio.items()}
+    top = max(b.marked for b, _ in found)
     mean = sum(sums[p][1] * f for p, f in fused.items()) / sum(s[1] for s in sums.values())
-    return "\n".join(text for b, text in found if fused[b.path] >= THRESHOLD * mean)
+    return "\n".join(text for b, text in found if (b.marked and b.marked == top) or fused[b.path] >= THRESHOLD * mean)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: Sequence[str] = ("url",)) -> DataFrame:
