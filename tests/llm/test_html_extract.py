@@ -47,6 +47,27 @@ def test_what_lies_beside_an_article_in_main_is_judged():
     assert extract(page(body)) == f"{PARAGRAPH}\n{ITEMS[0]}"
 
 
+ROUND = f"""<header><h1>Site</h1></header><div class="sidebar"><p>{LOREM}</p></div>{{}}<section id=comments><article class=comment><p>{LOREM} I agree.</p></article></section>
+<div class="newsletter"><form><p>{LOREM}</p></form></div><footer><p>{LOREM}</p></footer>"""
+
+
+@pytest.mark.parametrize("wrapper", ["div id=page class='has-sidebar'", "div class=comments-open", "div class=header-fixed", "section class=layout-widget", "form id=aspnetForm", "div id=page"])
+@pytest.mark.parametrize("element", ["article", "main", "div role=main", "div id=text"])
+def test_names_of_wrappers_do_not_bar_the_page(wrapper, element):
+    inner = f"<{element}><h1>Bread</h1>{f'<p>{PARAGRAPH}</p>' * 3}<div class=share>Share, please.</div></{element.split()[0]}>"
+    body = f"<a href=#text>Skip to the text</a><{wrapper}>{ROUND.format(inner)}</{wrapper.split()[0]}>"
+    got = extract(page(body)).split("\n")
+    assert got[-4:] == ["Bread", *[PARAGRAPH] * 3] and set(got[:-4]) <= {"Skip to the text"}
+
+
+def test_barred_sections_stay_barred_beside_content():
+    section = f"<section id=comments><article><p>{LOREM}</p></article></section><div class=related><main><p>{LOREM}</p></main></div>"
+    for element in ("article", "main", "div"):
+        assert extract(page(f"<{element}><p>{PARAGRAPH}</p></{element}>{section}")) == PARAGRAPH
+    assert extract(page(f"<div style='display:none'><article>{LOREM}</article></div><aside><article>{LOREM}</article></aside>")) == ""
+    assert extract(page("<div class=breadcrumbs><a href=/>Home</a> <a href=/b>News</a></div>")) == ""
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "<p></p>", "<script>x", "<!-- x", "<nav>a</nav>"])
 def test_nothing(text):
     assert extract(text) == ""

@@ -10,8 +10,14 @@ with the path's own, and paths above a share of the page's text-weighted mean ar
 content. Parts of lists, tables and figures (``PARTS``) are also smoothed over the
 paths around the whole list, table or figure, less their links. Text of an article
 element (of a main element where no article has any) is content whatever its ratio:
-short items, cells and captions are the article's too. Elements that HTML or their names mark as something else (navigation,
-adverts, forms, scripts, comments, ...) are never content.
+short items, cells and captions are the article's too.
+
+Elements that HTML or their names mark as something else (navigation, adverts,
+forms, scripts, comments, ...) are not content. A name or a form may belong to a
+wrapper of the whole page (``has-sidebar``), so the bars of such ancestors are
+lifted from an article or main element with more text than all that is not barred,
+if nothing outside the bars is marked as closely; and, where at most links are left
+outside the bars, from the path with most text. Other bars stay.
 
 A page is worked on in one pass over its tags and one over its blocks, in Python
 on the executors; the plan is a scan and one Arrow map.
@@ -71,21 +77,27 @@ ENDS = {
 }
 #: Elements that mark the article, the closest mark highest.
 MARKS = {"main": 1, "article": 2}
+#: Elements that are barred, but may wrap a page.
+SOFT = frozenset(("form", "fieldset"))
+#: Bar of an element that cannot be lifted.
+HARD = -1
+#: What text counts for with every further bar, where bars have to be lifted.
+NESTED = 0.25
 PARTS = frozenset("li ul ol dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "marked", "barred")
+    __slots__ = ("path", "parts", "linked", "marked", "bars", "mark")
 
-    def __init__(self, path: tuple[str, ...], marked: int, barred: bool):
-        self.path, self.parts, self.linked, self.marked, self.barred = path, [], 0, marked, barred
+    def __init__(self, path: tuple[str, ...], marked: int, bars: tuple[int, ...], mark: tuple | None):
+        self.path, self.parts, self.linked, self.marked, self.bars, self.mark = path, [], 0, marked, bars, mark
 
 
 def blocks_of(page: str) -> list[_Block]:
     """Blocks of text in page order."""
     out: list[_Block] = []
-    # Open elements: (name, label, marked, barred); links are counted apart.
-    stack: list[tuple[str, str, int, bool]] = []
+    # Open elements: (name, label, marked, places of barring elements, (place, bars) of the closest mark); links are counted apart.
+    stack: list[tuple[str, str, int, tuple[int, ...], tuple | None]] = []
     path: tuple[str, ...] = ()
     links, block, raw, at = 0, None, None, 0
 
@@ -96,8 +108,7 @@ def blocks_of(page: str) -> list[_Block]:
         if block is None:
             if text.isspace():
                 return
-            marked, barred = (stack[-1][2], stack[-1][3]) if stack else (0, False)
-            block = _Block(path, marked, barred)
+            block = _Block(path, *(stack[-1][2:] if stack else (0, (), None)))
             out.append(block)
         block.parts.append(text)
         if links:
@@ -148,8 +159,9 @@ def blocks_of(page: str) -> list[_Block]:
                 elif stack[k][0] in scope or (not scope and stack[k][0] not in closing and stack[k][0] != "p"):
                     break
         links = 0
-        marked = max(stack[-1][2] if stack else 0, MARKS.get(name, 0))
-        barred = stack[-1][3] if stack else False
+        above, bars, mark = stack[-1][2:] if stack else (0, (), None)
+        own = MARKS.get(name, 0)
+        soft, hard = name in SOFT, False
         label = name
         if m[3].strip():
             words: set[str] = set()
@@ -159,25 +171,51 @@ def blocks_of(page: str) -> list[_Block]:
                 if a[1].lower() in ("class", "id"):
                     label += "." + re.sub(r"\d+", "", value)
                 if "articlebody" in value.lower():
-                    marked = 2
+                    own = 2
                 elif "main" in words and a[1].lower() == "role":
-                    marked = max(marked, 1)
-            if name not in ("html", "body", *MARKS) and (words & ASIDE_WORDS or _HIDDEN.search(m[3])):
-                barred = True
-        if name in ASIDE and not (name == "header" and marked):
-            barred = True
-        if name == "form" or name == "head":
-            barred = True
-        stack.append((name, label, marked, barred))
+                    own = max(own, 1)
+            if name not in ("html", "body", *MARKS):
+                soft = soft or bool(words & ASIDE_WORDS)
+                hard = bool(_HIDDEN.search(m[3]))
+        marked = max(above, own)
+        if hard or (name in ASIDE and name not in SOFT and not (name == "header" and marked)):
+            bars = (HARD,)
+        elif soft and HARD not in bars:
+            bars = (*bars, m.start())
+        if own and own >= above:
+            mark = (m.start(), bars)
+        stack.append((name, label, marked, bars, mark))
         path, block = path_of(stack), None
     add(page[at:])
     return out
 
 
-def path_of(stack: list[tuple[str, str, int, bool]]) -> tuple[str, ...]:
+def path_of(stack: list[tuple[str, str, int, tuple[int, ...], tuple | None]]) -> tuple[str, ...]:
     return tuple(e[1] for e in stack)
 
 
+def lifted(found: list[tuple[_Block, str]]) -> frozenset[int]:
+    """Bars that only come from wrappers of the page's content."""
+    top = max((b.marked for b, _ in found if not b.bars), default=0)
+    if top == max(MARKS.values()):
+        return frozenset()
+    outside = 0
+    marks: dict[tuple, int] = {}
+    paths: dict[tuple, int] = {}
+    for b, text in found:
+        n = len(text) - b.linked
+        if n <= b.linked:
+            continue
+        if not b.bars:
+            outside += n
+            continue
+        if b.marked > top and b.bars == b.mark[1]:
+            marks[b.mark] = marks.get(b.mark, 0) + n
+        paths[b.path, b.bars] = paths.get((b.path, b.bars), 0) + n
+    sums = {m: n for m, n in marks.items() if n > outside} | ({} if outside else paths)
+    return frozenset(max(sums, key=lambda k: sums[k] * NESTED ** len(k[1]))[1]) if sums else frozenset()
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -185,8 +223,11 @@ def extract(page: str | None) -> str:
     found = []
     for b in blocks_of(page):
         text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
-        if text and not b.barred:
+        if text and HARD not in b.bars:
             found.append((b, text))
+    if any(b.bars for b, _ in found):
+        free = lifted(found)
+        found = [(b, text) for b, text in found if free.issuperset(b.bars)]
     if not found:
         return ""
     sums: dict[tuple, list[float]] = {}
