@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,34 @@ def test_expectation_matches_enumeration():
     assert np.allclose(uses[:, 0], [4 * 0.15 / whole, 4 * 0.15 / whole, 4 * 0.2 / whole])
 
 
+def exact_log(word, model, language):
+    """Logarithm of the sum over all segmentations, by decimals that neither overflow nor vanish."""
+    sums = [Decimal(1)]
+    for j in range(1, len(word) + 1):
+        ids = ((i, model.pieces.get(word[i:j], -1)) for i in range(j))
+        sums.append(sum((sums[i] * Decimal(float(model.p[k, language])) for i, k in ids if k >= 0), Decimal(0)))
+    return float(sums[-1].ln())
+
+
+def test_every_piece_and_whole_words_are_scored():
+    pieces = L.read_pieces(PATH)
+    texts = [("en", "internationalization of the understandings and misunderstandings"), ("de", "die donaudampfschifffahrtsgesellschaftskapitänswitwenrentenanspruchsberechtigung und der hund")]
+    model = L.fit_texts(texts, pieces)
+    assert all(model.pieces[p] >= 0 for p in pieces) and model.longest == max(map(len, pieces)) > 12
+    for word in ("responsibilities", "internationalization" * 4, "donaudampfschifffahrt" * 9, "x" * 900, "日本語" * 30):
+        model.score([word])
+        assert np.allclose(model.log[model.known[word]], [exact_log((" " + word).encode(), model, c) for c in range(2)], rtol=1e-9)
+
+
+def test_logarithms_give_the_same_expectation():
+    pieces = L.index_of([b"a", b"b", b"ab", b"ba", b"aba", b"bb"])
+    r = np.random.default_rng(2)
+    p, words, counts = r.random((6, 2)), [b"ababba", b"a", b"bbb", b"abab"], r.random((4, 2))
+    lattice = L.Lattice(words, pieces, 3)
+    assert np.allclose(lattice.log_expected(np.log(p), counts), lattice.expected(p, counts))
+    assert np.allclose(lattice.log_likelihood(np.log(p)), np.log(lattice.likelihood(p)))
+
+
 def test_held_out_accuracy_and_edges(spark, monkeypatch):
     docs = spark.read.parquet(SF + "/documents.parquet")
     model = L.fit(docs.where(L.fold(docs.doc_id, 4) != 2), PATH, rows=60)

@@ -12,8 +12,9 @@ vocabulary. Prediction is a scan and one Arrow map; each worker scores a word
 once (all new words of a chunk in one vectorised pass over positions) and keeps
 at most ``WORDS_KEPT`` words.
 
-Words are runs of letters, lower-cased, with a leading space. A run of over
-``LONGEST`` bytes is scored in parts of that length.
+Words are runs of letters, lower-cased, with a leading space. Words of over
+``LONGEST`` bytes, and words too rare for floating point, take the same pass in
+logarithms, as a whole; ``CELLS`` bounds how many at once.
 
 Cases: a text that is null or has no letter gets ``und`` and score 0. With nothing
 to learn from, every text does. Ties go to the first language by name. Repeated
@@ -38,7 +39,7 @@ FIT_ROWS = 800
 ROUNDS = 4
 LONGEST = 48
 WORDS_KEPT = 200_000
-PIECE_BYTES = 12
+CELLS = 1 << 21
 #: Texts at least this likely to be in the predicted language are kept by :func:`keep`.
 KEEP = 0.5
 
@@ -115,13 +116,68 @@ class Lattice:
         return uses
 
 
+    def log_forward(self, logp: np.ndarray) -> np.ndarray:
+        """Logarithms of alpha[position, word, language]."""
+        n, top = len(self.lengths), int(self.lengths.max(initial=0))
+        alpha = np.full((top + 1, n, logp.shape[1]), -np.inf)
+        alpha[0] = 0
+        for j in range(1, top + 1):
+            a, b = self.steps[j - 1], self.steps[j]
+            if a < b:
+                w = self.word[a:b]
+                words, sums = _log_sums(w, alpha[self.begin[a:b], w] + logp[self.piece[a:b]])
+                alpha[j, words] = sums
+        return alpha
+
+    def log_likelihood(self, logp: np.ndarray) -> np.ndarray:
+        return self.log_forward(logp)[self.lengths, np.arange(len(self.lengths))]
+
+    def log_expected(self, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, by logarithms; counts[word, language]."""
+        alpha = self.log_forward(logp)
+        n, top = len(self.lengths), len(alpha) - 1
+        beta = np.full_like(alpha, -np.inf)
+        beta[self.lengths, np.arange(n)] = 0
+        order = np.lexsort((self.word, self.begin))
+        steps = np.searchsorted(self.begin[order], np.arange(top + 1))
+        for i in range(top - 1, -1, -1):
+            arcs = order[steps[i] : steps[i + 1]]
+            if len(arcs):
+                w = self.word[arcs]
+                words, sums = _log_sums(w, beta[self.end[arcs], w] + logp[self.piece[arcs]])
+                beta[i, words] = sums
+        total = alpha[self.lengths, np.arange(n)]
+        share = np.exp(alpha[self.begin, self.word] + logp[self.piece] + beta[self.end, self.word] - total[self.word]) * counts[self.word]
+        return np.stack([np.bincount(self.piece, share[:, c], minlength=len(logp)) for c in range(logp.shape[1])], axis=1)
+
+
+def _log_sums(word: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (in ascending order, repeated) and the logarithm of the sum of each one's rows."""
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    most = np.maximum.reduceat(logs, first)
+    most[np.isneginf(most)] = -1e300
+    sums = np.add.reduceat(np.exp(logs - np.repeat(most, np.diff(np.append(first, len(word))), axis=0)), first)
+    return word[first], most + np.log(np.maximum(sums, 1e-300))
+
+
+def _groups(words: Sequence[bytes], languages: int) -> Iterator[list[int]]:
+    """Places of words, those of like lengths together, in groups of about ``CELLS`` positions and languages."""
+    group: list[int] = []
+    for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+        if group and (len(group) + 1) * (len(words[k]) + 1) * languages > CELLS:
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
+
+
 def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def _bytes(word: str) -> list[bytes]:
-    raw = (" " + word).encode("utf-8", "surrogatepass")
-    return [raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST)]
+def _bytes(word: str) -> bytes:
+    return (" " + word).encode("utf-8", "surrogatepass")
 
 
 class Model:
@@ -132,19 +188,31 @@ class Model:
         self.known: dict[str, int] = {}
         self.log = np.zeros((1024, len(languages)))
 
+    def log_likelihood(self, words: Sequence[bytes]) -> np.ndarray:
+        out = np.full((len(words), len(self.languages)), -np.inf)
+        short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+        if short:
+            like = Lattice([words[k] for k in short], self.pieces, self.longest).likelihood(self.p)
+            out[short] = np.log(np.maximum(like, 1e-300))
+            out[np.array(short)[(like < 1e-290).any(1)]] = -np.inf
+        left = np.flatnonzero(np.isneginf(out).any(1)).tolist()
+        if left:
+            logp = np.log(self.p)
+            for group in _groups([words[k] for k in left], len(self.languages)):
+                at = [left[g] for g in group]
+                out[at] = Lattice([words[k] for k in at], self.pieces, self.longest).log_likelihood(logp)
+        return out
+
     def learn(self, words: Sequence[str]) -> None:
         if len(self.known) + len(words) > WORDS_KEPT:
             self.known.clear()
         for at in range(0, len(words), 5000):
             some = words[at : at + 5000]
-            parts = [_bytes(w) for w in some]
-            owner = np.repeat(np.arange(len(some)), [len(x) for x in parts])
-            like = np.log(np.maximum(Lattice([b for x in parts for b in x], self.pieces, self.longest).likelihood(self.p), 1e-300))
+            like = self.log_likelihood([_bytes(w) for w in some])
             base = len(self.known)
             while base + len(some) > len(self.log):
                 self.log = np.concatenate((self.log, np.zeros_like(self.log)))
-            self.log[base : base + len(some)] = 0
-            np.add.at(self.log, base + owner, like)
+            self.log[base : base + len(some)] = like
             self.known.update(zip(some, range(base, base + len(some))))
 
     def score(self, texts: Sequence[str]) -> tuple[list[str], list[float]]:
@@ -178,21 +246,22 @@ def fit_texts(texts: Sequence[tuple[str, str]], pieces: list[bytes], rounds: int
         counts.setdefault(language, Counter()).update(words_of(text or ""))
     languages = sorted(k for k, c in counts.items() if c)
     single = {bytes([b]) for b in range(256)}
-    usable = [p for p in pieces if len(p) <= PIECE_BYTES]
-    usable += sorted(single - set(usable))
+    usable = [*pieces, *sorted(single - set(pieces))]
     model = Model(languages, usable, np.zeros((len(usable), len(languages))))
     if not languages:
         return model
     vocabulary = sorted(set().union(*(counts[k] for k in languages)))
-    parts = [_bytes(w) for w in vocabulary]
+    words = [_bytes(w) for w in vocabulary]
     weight = np.array([[counts[k][w] for k in languages] for w in vocabulary], float)
-    owner = np.repeat(np.arange(len(vocabulary)), [len(x) for x in parts])
-    flat = [b for x in parts for b in x]
-    blocks = [(Lattice(flat[a : a + 20_000], model.pieces, model.longest), weight[owner[a : a + 20_000]]) for a in range(0, len(flat), 20_000)]
+    short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+    long = [k for k, w in enumerate(words) if len(w) > LONGEST]
+    lattice = lambda at: (Lattice([words[k] for k in at], model.pieces, model.longest), weight[at])
+    blocks = [lattice(short[a : a + 20_000]) for a in range(0, len(short), 20_000)]
+    long_blocks = [lattice([long[g] for g in group]) for group in _groups([words[k] for k in long], len(languages))]
     p = np.full_like(model.p, 1 / len(usable))
     lengths = np.array([len(b) for b in usable], float)[:, None]
     for r in range(rounds):
-        uses = sum(lattice.expected(p, w) for lattice, w in blocks)
+        uses = sum(x.expected(p, w) for x, w in blocks) + sum(x.log_expected(np.log(p), w) for x, w in long_blocks)
         uses += 0.05 / lengths**2  # unseen pieces keep a little, short ones more
         p = uses / uses.sum(0)
     model.p = p
