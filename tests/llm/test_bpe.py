@@ -42,6 +42,14 @@ def test_same_as_library(spark, library, monkeypatch, kept):
             assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_special_tokens_in_a_text_of_more_words_than_are_kept(library, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 20)
+    text = "<|startoftext|>" + " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)) + "<|endoftext|>"
+    encoder = bpe.Encoder(PATH)
+    for t in (text, "some other words", text):
+        assert encoder.encode([t]) == [library.encode(t, add_special_tokens=False).ids]
+
+
 def test_most_words_are_not_merged(library):
     encoder = bpe.Encoder(PATH)
     merged = []

@@ -9,7 +9,8 @@ pair, and only those, go through exact merging.
 
 Tokens of words are kept by word, so a corpus costs a split and two look-ups a
 word. The memories are bounded: they are emptied when they exceed ``WORDS_KEPT``
-and ``PAIRS_KEPT``. The plan is a scan and one Arrow map, without a shuffle.
+(or what a single chunk of text needs) and ``PAIRS_KEPT``. The plan is a scan and one
+Arrow map, without a shuffle.
 
 The vocabulary is read from a tokenizer file of the public kind "BPE with word
 ends": normalisation is NFC, white space to a space, and lower case; words follow
@@ -179,9 +180,7 @@ class Encoder:
         return out
 
     def learn(self, words: Sequence[str]) -> None:
-        """Encode words (as found in normalised text) that are not known yet."""
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
+        """Encode words (as found in normalised text) that are not known yet; :func:`encode` makes room for them."""
         chars = ["".join(map(self.to_chars.__getitem__, w.encode("utf-8", "surrogatepass"))) if not (w.isascii() and w.isprintable()) else w for w in words]
         proposals = [self.propose(c) for c in chars]
         sizes = np.fromiter((len(p) if p else 0 for p in proposals), np.int64, len(proposals))
