@@ -80,9 +80,52 @@ def test_lists_do_not_depend_on_batches():
 
 def test_sketch_never_exceeds_difference():
     r = np.random.default_rng(2)
-    a, b = np.unique(r.integers(0, 500, 200)).astype(np.uint64), np.unique(r.integers(0, 500, 220)).astype(np.uint64)
-    s = J.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
-    assert sum(bin(int(x) & 0xFFFFFFFFFFFFFFFF).count("1") for x in s[0] ^ s[1]) <= len(np.setxor1d(a, b))
+    sets = [np.unique(r.integers(0, 2 * n, n)).astype(np.uint64) for n in (1, 5, 30, 200, 220, 300, 900, 1000)]
+    words, levels = J.sketches(sets)
+    seen = 0
+    for m, (places, marks) in levels.items():
+        for i, a in zip(places, marks):
+            for j, b in zip(places, marks):
+                if min(words[i], words[j]) == m:
+                    seen += 1
+                    assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(sets[i], sets[j]))
+    assert seen > 20
+
+
+@pytest.mark.parametrize("head_bytes,rows,few", [(1 << 23, 4096, 64), (2000, 7, 0), (500, 30, 10_000)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, head_bytes, rows, few):
+    monkeypatch.setattr(J, "HEAD_BYTES", head_bytes)
+    monkeypatch.setattr(J, "ROWS", rows)
+    monkeypatch.setattr(J, "FEW", few)
+    r = random.Random(9)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(150)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(150)] = f"n{r.randint(0, 9999)}"
+        if i % 9 == 0:
+            w += [f"x{r.randint(0, 9999)}" for _ in range(r.randint(0, 60))]
+        texts.append((i, " ".join(w)))
+    made = []
+    real = J._across
+    monkeypatch.setattr(J, "_across", lambda *a: made.append(real(*a)) or made[0])
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = brute(texts)
+    assert 2 < len({c for _, _, c in want}) < 120
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_join(df).collect()), key=repr) == want
+    assert 0 < made[0].count() < 2000  # 12,720 pairs
+
+
+def test_long_texts(spark):
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 99999)}" for _ in range(30_000)]
+    other = list(base)
+    for k in range(0, 30_000, 60):
+        other[k] = "y"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:25_000])), (4, " ".join(base[8_000:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_join(df).collect()), key=repr) == brute(rows)
 
 
 def test_empty(spark):

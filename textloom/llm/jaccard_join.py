@@ -21,13 +21,18 @@ same sets would put into lists, by the histogram of set sizes.
 
 Links. A list of m sets is not m^2 pairs: first each set is compared only with
 its list's leader (least ``sid``, so a group of near copies agrees on few leaders),
-then components are formed, and only pairs across components that can still
-link are compared: by position, size and a 512-bit parity sketch whose Hamming
-distance never exceeds the true difference. All pruning is exact. That second
-join is a plain sort-merge join on the shingle, so AQE splits a hot list.
+then components are formed. What is left are pairs of one leader's sets that are
+in different components. Each leader's sets are dealt as tiles: *heads* (sets outside
+the leader's largest component, at most about ``HEAD_BYTES``) against *rows* (about
+``ROWS`` sets). A tile tests pairs by size and by a parity sketch of over four bits a
+shingle, whose Hamming distance never exceeds the true difference, verifies what is left on
+the whole sets, and joins components as it goes: a pair whose components are
+joined is never looked at, and a tile gives fewer links than it has rows. All
+pruning is exact. Rows grow with heads times rows over a tile's size, so
+no pair is ever a row.
 
 Only ids, sizes and hashes are shuffled, and of the whole sets those that share a
-rare shingle with another, with 40 bits a shingle. ``sid`` has 64 bits: some 25 pairs of 3e10 different
+rare shingle with another. Shingles and ``sid`` have 64 bits: some 25 pairs of 3e10 different
 sets would be taken as equal.
 
 Cases: null texts and texts without words have an empty set and stay alone. Texts
@@ -60,7 +65,10 @@ COUNT_WINDOW = 4_000_000
 LIGHT_MOST, POSTING_COST = 16, 3.0
 #: Up to so many sets, the ids of those to fetch are broadcast (24 bytes each); beyond, joined by shuffle.
 FETCH_BROADCAST = 250_000
-SKETCH = 8  # 64-bit words
+#: Bytes of heads' shingles and number of rows of a tile.
+HEAD_BYTES, ROWS = 8 << 20, 4096
+#: Pairs of a tile up to which no sketch is made.
+FEW = 64
 
 
 def needed(a: int, b: int) -> int:
@@ -94,14 +102,24 @@ def set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U64)).view(np.int64)
 
 
-def sketches(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens by bit, for each set."""
-    n = len(first) - 1
-    h = mix(tokens ^ U64(0x8EBC6AF09C88C6E3))
-    doc = np.repeat(np.arange(n), np.diff(first))
-    counts = np.bincount(doc * (64 * SKETCH) + (h % U64(64 * SKETCH)).astype(np.int64), minlength=n * 64 * SKETCH)
-    bits = (counts & 1).astype(np.uint8).reshape(n, 64 * SKETCH)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Words of each set's sketch (a power of two, from a 16th of its size), and for each number of words
+    (and its half) the sets of that many or twice as many with their sketches, the longer ones folded."""
+    size = np.array([len(t) for t in sets], np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(size / 16, 1))).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(words)))
+    h = mix(np.concatenate(sets) ^ U64(0x8EBC6AF09C88C6E3)) if len(sets) else np.zeros(0, U64)
+    bit = (h & (np.repeat(words, size) * 64 - 1).astype(U64)).astype(np.int64)
+    flat = np.zeros(begin[-1], U64)
+    np.bitwise_xor.at(flat, np.repeat(begin[:-1], size) + (bit >> 6), U64(1) << (bit & 63).astype(U64))
+    out = {}
+    for m in np.unique(np.concatenate((words, np.maximum(words // 2, 1)))).tolist():
+        places = np.flatnonzero((words == m) | (words == 2 * m))
+        matrix = flat[begin[places, None] + np.arange(m)]
+        twice = words[places] == 2 * m
+        matrix[twice] ^= flat[begin[places[twice], None] + m + np.arange(m)]
+        out[m] = places, matrix
+    return words, out
 
 
 class Order:
@@ -279,7 +297,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(k: int):
-    """Sets and sketches of the documents that carry a wanted set."""
+    """Sets of the documents that carry a wanted set, as 8 bytes a shingle, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -288,45 +306,134 @@ def _fetch(k: int):
             if len(seen) > 1_000_000:
                 seen.clear()
             for rows, tokens, first in _scan_sets(batch, k):
-                marks = sketches(tokens, first)
                 for a in range(0, len(first) - 1, 2048):
                     b = min(a + 2048, len(first) - 1)
-                    ends = pa.py_buffer(((first[a : b + 1] - first[a]) * 5).astype(np.int32))
-                    high = tokens[first[a] : first[b]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-                    sets = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(high.tobytes())])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("sid").slice(rows.start + a, b - a), pa.array(np.diff(first[a : b + 1]).astype(np.int32)), sets, *(pa.array(marks[a:b, w].copy()) for w in range(SKETCH))],
-                        names=["sid", "n", "tokens", *(f"s{w}" for w in range(SKETCH))],
-                    )
+                    ends = pa.py_buffer(((first[a : b + 1] - first[a]) * 8).astype(np.int32))
+                    sets = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(tokens[first[a] : first[b]].astype("<u8").tobytes())])
+                    yield pa.RecordBatch.from_arrays([batch.column("sid").slice(rows.start + a, b - a), sets], names=["sid", "tokens"])
 
     return run
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8") if len(column) and ends[-1] > ends[0] else np.zeros(0, U64)
+    return np.split(flat, ((ends[1:-1] - ends[0]) // 8).tolist()) if len(column) else []
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= 80 * (len(both) - shared)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        parts = []
-        for name in ("ta", "tb"):
-            col = batch.column(name)
-            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-            high = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]] if batch.num_rows else np.zeros(0, np.uint8)
-            whole = np.zeros((len(high) // 5, 8), np.uint8)
-            whole[:, 3:] = high.reshape(-1, 5)
-            parts.append((whole.view("<u8").ravel(), ((ends - ends[0]) // 5).tolist()))
-        (xa, ea), (xb, eb) = parts
-        for r in range(batch.num_rows):
-            both = np.concatenate((xa[ea[r] : ea[r + 1]], xb[eb[r] : eb[r + 1]]))
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            keep[r] = 100 * shared >= 80 * (len(both) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
+        keep = pa.array([linked(a, b) for a, b in zip(_sets(batch.column("ta")), _sets(batch.column("tb")))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sets are as similar as asked."""
-    own = sets.select("sid", "tokens")
-    first = pairs.join(own.withColumnsRenamed({"sid": "u", "tokens": "ta"}), "u")
-    return first.join(own.withColumnsRenamed({"sid": "v", "tokens": "tb"}), "v").select("u", "v", "ta", "tb").mapInArrow(tidy(_verify), "u long, v long")
+    first = pairs.join(sets.withColumnsRenamed({"sid": "u", "tokens": "ta"}), "u")
+    return first.join(sets.withColumnsRenamed({"sid": "v", "tokens": "tb"}), "v").select("u", "v", "ta", "tb").mapInArrow(tidy(_verify), "u long, v long")
+
+
+class Tile:
+    """Heads of a tile, and the components that its links have joined so far."""
+
+    def __init__(self):
+        self.sid, self.root, self.sets = [], [], []
+        self.parent: dict[int, int] = {}
+        self.ready = None
+
+    def find(self, root: int) -> int:
+        up = self.parent
+        while (over := up.get(root, root)) != root:
+            up[root] = root = up.get(over, over)
+        return root
+
+    def add_heads(self, sid: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.sid.append(sid)
+        self.root.append(root)
+        self.sets += [s.copy() for s in sets]
+
+    def pairs(self, sid: np.ndarray, root: np.ndarray, other: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """(head, rows) that may be linked, head by head."""
+        if self.ready is None:
+            self.sid, self.root = np.concatenate(self.sid), np.concatenate(self.root)
+            self.size = np.array([len(s) for s in self.sets], np.int64)
+            self.ready = sketches(self.sets) if len(self.sets) * len(sets) > FEW else ()
+        size = np.array([len(s) for s in sets], np.int64)
+
+        def fits(h: int, rows: np.ndarray) -> np.ndarray:
+            n = size[rows]
+            # A pair of two heads is looked at once.
+            return (root[rows] != self.root[h]) & (9 * np.minimum(n, self.size[h]) >= 4 * (n + self.size[h])) & (~other[rows] | (sid[rows] > self.sid[h]))
+
+        if len(self.sets) * len(sets) <= FEW:
+            every = np.arange(len(sets))
+            for h in range(len(self.sets)):
+                yield h, every[fits(h, every)]
+            return
+        self.ready = self.ready or sketches(self.sets)
+        words, levels = sketches(sets)
+        for m in sorted(self.ready[1].keys() & levels.keys()):
+            rows, there = levels[m]
+            for h, here in zip(self.ready[1][m][0].tolist(), self.ready[1][m][1]):
+                near = np.flatnonzero((np.minimum(words[rows], self.ready[0][h]) == m) & fits(h, rows))
+                if len(near):
+                    far = np.bitwise_count(there[near] ^ here).sum(1, dtype=np.int64)
+                    yield h, rows[near[9 * far <= size[rows[near]] + self.size[h]]]
+
+    def links(self, sid: np.ndarray, root: np.ndarray, other: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        for h, rows in self.pairs(sid, root, other, sets):
+            for r in rows.tolist():
+                a, b = self.find(int(self.root[h])), self.find(int(root[r]))
+                if a != b and linked(self.sets[h], sets[r]):
+                    self.parent[a] = b
+                    yield int(self.sid[h]), int(sid[r])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile, each tile's heads first -> its links."""
+    last, tile = None, Tile()
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "block", "part", "kind")], axis=1)
+        sid, root = batch.column("sid").to_numpy(), batch.column("root").to_numpy()
+        other = batch.column("other").to_numpy(zero_copy_only=False)
+        sets = _sets(batch.column("tokens"))
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True]))).tolist() if len(key) else []
+        found: list[tuple[int, int]] = []
+        for a, b in zip(cuts, cuts[1:]):
+            own = tuple(key[a, :3].tolist())
+            if own != last:
+                last, tile = own, Tile()
+            if key[a, 3] == 0:
+                tile.add_heads(sid[a:b], root[a:b], sets[a:b])
+            elif tile.sets:
+                found += tile.links(sid[a:b], root[a:b], other[a:b], sets[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components, of sets (lead, sid, n) with a leader in common."""
+    marked = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    same = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    parts = marked.groupBy("lead", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"), *same)
+    top = F.max(F.struct("c", "w", "root"))
+    mixed = parts.groupBy("lead").agg(F.count("*").alias("k"), top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), *(F.bit_xor(f"m{k}").alias(f"m{k}") for k in (1, 2))).where("k > 1")
+    # Leaders of the same sets tell the same.
+    mixed = mixed.groupBy("c", "m1", "m2").agg(F.min("lead").alias("lead"), F.first("top.root").alias("major"), (F.first("w") - F.first("top.w")).alias("heads"))
+    mixed = mixed.select("lead", "major", F.ceil(8 * F.col("heads") / HEAD_BYTES).cast("int").alias("blocks"), F.ceil(F.col("c") / ROWS).cast("int").alias("parts"))
+    rows = marked.select("lead", "sid", "root").join(mixed, "lead").withColumn("other", F.col("root") != F.col("major")).join(sets, "sid")
+    own = lambda c, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(c)).cast("int").alias(c[:-1])
+    lead = ["lead", "sid", "root", "other", "tokens"]
+    whole = rows.select(*lead, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own("parts", 7), F.lit(1).alias("kind"))
+    heads = rows.where("other").select(*lead, own("blocks", 5), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    tiles = heads.unionByName(whole).repartition("lead", "block", "part").sortWithinPartitions("lead", "block", "part", "kind")
+    return tiles.select("lead", "block", "part", "kind", "sid", "root", "other", "tokens").mapInArrow(tidy(_tiles), "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -355,33 +462,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_carriers = carriers.count()
     if n_carriers <= FETCH_BROADCAST:
         carriers = F.broadcast(carriers)
-    shape = "sid long, n int, tokens binary, " + ", ".join(f"s{w} long" for w in range(SKETCH))
-    sets = materialize(bodies.join(carriers, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), shape), "sets")
+    sets = materialize(bodies.join(carriers, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, tokens binary"), "sets")
     if sets.count() > n_carriers:  # rows of one id and text: each gave its set
         sets = materialize(sets.dropDuplicates(["sid"]), "sets")
 
     stars = heavy.where("state = 1").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
     links = materialize(_links(stars, sets).unionByName(by_subset), "links")
     roots = materialize(components(links), "roots")
-
-    # What is left: pairs across components, in lists that hold several of them.
-    marked = heavy.select("tok", "sid", "n", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    # Lists of the same sets tell the same; of these only the first in the order of shingles, which comes first in each set, is needed.
-    members = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    mixed = marked.groupBy("tok").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c"), F.sum("pos").alias("p"), *members).where("a <> b")
-    mixed = mixed.groupBy("c", "m1", "m2").agg(F.min_by("tok", "p").alias("tok")).select("tok")
-    left = marked.join(mixed, "tok", "left_semi").join(sets.select("sid", *(f"s{w}" for w in range(SKETCH))), "sid")
-    left = materialize(left, "mixed-lists")
-    a, b = left.alias("a"), left.alias("b")
-    distance = sum((F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}"))) for w in range(1, SKETCH)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    total = F.col("a.n") + F.col("b.n")
-    may = (
-        (F.col("a.tok") == F.col("b.tok")) & (F.col("a.root") != F.col("b.root")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.sid") < F.col("b.sid"))))
-        & (9 * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= 4 * total)
-        & (9 * distance <= total)
-    )
-    across = a.join(b, may).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct()
-    more = materialize(_links(across, sets), "links")
+    more = materialize(_across(heavy.select("lead", "sid", "n").distinct(), roots, sets), "links")
     if not more.isEmpty():
         roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
 
