@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "edges")
+        edges, old = materialize(small, "edges"), edges
+        discard(old)
         now = _mark(edges)
         if now == before:
             break

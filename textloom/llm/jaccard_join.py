@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.scan import U64, WHITE, grams, mix, scan, tidy
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import discard, materialize
 
 SHINGLE = 5
 #: Largest number of frequent shingles that are ranked and broadcast (16 bytes each).
@@ -460,22 +460,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carriers = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).select("sid", "k.k1", "k.k2")
     carriers = materialize(carriers, "carriers")
     n_carriers = carriers.count()
-    if n_carriers <= FETCH_BROADCAST:
-        carriers = F.broadcast(carriers)
-    sets = materialize(bodies.join(carriers, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, tokens binary"), "sets")
+    fetched = F.broadcast(carriers) if n_carriers <= FETCH_BROADCAST else carriers
+    sets = materialize(bodies.join(fetched, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, tokens binary"), "sets")
     if sets.count() > n_carriers:  # rows of one id and text: each gave its set
-        sets = materialize(sets.dropDuplicates(["sid"]), "sets")
+        sets, old = materialize(sets.dropDuplicates(["sid"]), "sets"), sets
+        discard(old)
 
     stars = heavy.where("state = 1").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
     links = materialize(_links(stars, sets).unionByName(by_subset), "links")
-    roots = materialize(components(links), "roots")
+    roots = components(links)
     more = materialize(_across(heavy.select("lead", "sid", "n").distinct(), roots, sets), "links")
     if not more.isEmpty():
-        roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    discard(carriers, lists, sets, links, more)
 
     labelled = rows.where("n > 0").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("k1", "k2", "n", F.coalesce("root", "sid").alias("root"))
     named = keyed.select("k1", "k2", "id").join(labelled.distinct(), ["k1", "k2"], "left")
     named = materialize(named, "named")
+    discard(scanned)
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     return named.join(least, "root", "left").select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
