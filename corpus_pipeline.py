@@ -19,7 +19,7 @@ from textloom.llm import language_id
 from textloom.llm.bpe import encode_and_decode
 from textloom.llm.decontamination import cut_spans, decontaminate
 from textloom.llm.jaccard_join import jaccard_join
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import discard, materialize, shrink_heaps
 from textloom.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,6 +33,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learnt languages; texts without letters or between languages go."""
+    shrink_heaps(spark)
     model = language_id.fit(docs.where(language_id.fold(F.col("doc_id"), 4) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     judged = language_id.predict(docs, model, carry=COLUMNS[1:])
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.KEEP)).select(*COLUMNS)
@@ -40,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the least id (one row of it)."""
+    shrink_heaps(spark)
     groups = jaccard_join(docs).where("component_id = doc_id OR component_id IS NULL")
     kept = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
@@ -50,12 +52,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every word under a repeated window; documents without a word left go."""
+    shrink_heaps(spark)
     kept = dedup_substrings(docs, carry=[c for c in COLUMNS[1:]])
     return _with_text(kept, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words of benchmark phrases; documents without a character left go."""
+    shrink_heaps(spark)
     # Written first: searching and cutting in one task would need two Python workers a core.
     found = materialize(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS[1:]), "spans")
     return _with_text(found, cut_spans("text", "spans"))
@@ -63,6 +67,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text; decoding must give the tokens' own text."""
+    shrink_heaps(spark)
     out = encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["lang", "source"])
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -81,6 +86,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for k, (_, stage) in enumerate(STAGES):
+        docs, before = materialize(stage(spark, docs, sf_dir), "stage"), docs
+        if k:
+            discard(before)
     return docs
