@@ -81,9 +81,9 @@ def test_lists_do_not_depend_on_batches():
 def test_sketch_never_exceeds_difference():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 2 * n, n)).astype(np.uint64) for n in (1, 5, 30, 200, 220, 300, 900, 1000)]
-    words, levels = J.sketches(sets)
+    flat, words = J.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
     seen = 0
-    for m, (places, marks) in levels.items():
+    for m, (places, marks) in J.folded(flat, words).items():
         for i, a in zip(places, marks):
             for j, b in zip(places, marks):
                 if min(words[i], words[j]) == m:
@@ -109,7 +109,7 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, head_bytes, rows, few)
         texts.append((i, " ".join(w)))
     made = []
     real = J._across
-    monkeypatch.setattr(J, "_across", lambda *a: made.append(real(*a)) or made[0])
+    monkeypatch.setattr(J, "_across", lambda *a: made.append(J.materialize(real(*a), "made")) or made[0])
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     want = brute(texts)
     assert 2 < len({c for _, _, c in want}) < 120

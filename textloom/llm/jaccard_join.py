@@ -24,12 +24,12 @@ its list's leader (least ``sid``, so a group of near copies agrees on few leader
 then components are formed. What is left are pairs of one leader's sets that are
 in different components. Each leader's sets are dealt as tiles: *heads* (sets outside
 the leader's largest component, at most about ``HEAD_BYTES``) against *rows* (about
-``ROWS`` sets). A tile tests pairs by size and by a parity sketch of over four bits a
-shingle, whose Hamming distance never exceeds the true difference, verifies what is left on
-the whole sets, and joins components as it goes: a pair whose components are
-joined is never looked at, and a tile gives fewer links than it has rows. All
-pruning is exact. Rows grow with heads times rows over a tile's size, so
-no pair is ever a row.
+``ROWS`` sets). A first pass tests all pairs of a tile by size and by parity sketches of over
+four bits a shingle, whose Hamming distance never exceeds the true difference, and
+gives the sets that have a partner left; a second pass deals only those, with their
+whole sets, verifies, and joins components as it goes: a pair whose components are
+joined is not looked at, and a tile gives fewer links than it has rows. All
+pruning is exact, and no pair is ever a row: rows grow with heads times rows over a tile's size.
 
 Only ids, sizes and hashes are shuffled, and of the whole sets those that share a
 rare shingle with another. Shingles and ``sid`` have 64 bits: some 25 pairs of 3e10 different
@@ -102,24 +102,26 @@ def set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U64)).view(np.int64)
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Words of each set's sketch (a power of two, from a 16th of its size), and for each number of words
-    (and its half) the sets of that many or twice as many with their sketches, the longer ones folded."""
-    size = np.array([len(t) for t in sets], np.int64)
+def sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of sets one after the other, and how many words each has: a power of two, from a 16th of its size."""
     words = 1 << np.ceil(np.log2(np.maximum(size / 16, 1))).astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(words)))
-    h = mix(np.concatenate(sets) ^ U64(0x8EBC6AF09C88C6E3)) if len(sets) else np.zeros(0, U64)
-    bit = (h & (np.repeat(words, size) * 64 - 1).astype(U64)).astype(np.int64)
-    flat = np.zeros(begin[-1], U64)
-    np.bitwise_xor.at(flat, np.repeat(begin[:-1], size) + (bit >> 6), U64(1) << (bit & 63).astype(U64))
-    out = {}
+    begin = np.cumsum(words) - words
+    bit = (mix(tokens ^ U64(0x8EBC6AF09C88C6E3)) & (np.repeat(words, size) * 64 - 1).astype(U64)).astype(np.int64)
+    flat = np.zeros(int(words.sum()), U64)
+    np.bitwise_xor.at(flat, np.repeat(begin, size) + (bit >> 6), U64(1) << (bit & 63).astype(U64))
+    return flat, words
+
+
+def folded(flat: np.ndarray, words: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of words (and its half) the sets of that many or twice as many with their sketches, the longer ones folded."""
+    begin, out = np.cumsum(words) - words, {}
     for m in np.unique(np.concatenate((words, np.maximum(words // 2, 1)))).tolist():
         places = np.flatnonzero((words == m) | (words == 2 * m))
         matrix = flat[begin[places, None] + np.arange(m)]
         twice = words[places] == 2 * m
         matrix[twice] ^= flat[begin[places[twice], None] + m + np.arange(m)]
         out[m] = places, matrix
-    return words, out
+    return out
 
 
 class Order:
@@ -296,8 +298,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Runs of 64-bit words as binary values."""
+    ends = np.concatenate(([0], np.cumsum(8 * size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u8").tobytes())])
+
+
 def _fetch(k: int):
-    """Sets of the documents that carry a wanted set, as 8 bytes a shingle, ascending."""
+    """Sets of the documents that carry a wanted set, as 8 bytes a shingle, ascending, with their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -308,9 +316,8 @@ def _fetch(k: int):
             for rows, tokens, first in _scan_sets(batch, k):
                 for a in range(0, len(first) - 1, 2048):
                     b = min(a + 2048, len(first) - 1)
-                    ends = pa.py_buffer(((first[a : b + 1] - first[a]) * 8).astype(np.int32))
-                    sets = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(tokens[first[a] : first[b]].astype("<u8").tobytes())])
-                    yield pa.RecordBatch.from_arrays([batch.column("sid").slice(rows.start + a, b - a), sets], names=["sid", "tokens"])
+                    some, size = tokens[first[a] : first[b]], np.diff(first[a : b + 1])
+                    yield pa.RecordBatch.from_arrays([batch.column("sid").slice(rows.start + a, b - a), _binary(some, size), _binary(*sketches(some, size))], names=["sid", "tokens", "marks"])
 
     return run
 
@@ -336,104 +343,147 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sets are as similar as asked."""
+    sets = sets.select("sid", "tokens")
     first = pairs.join(sets.withColumnsRenamed({"sid": "u", "tokens": "ta"}), "u")
     return first.join(sets.withColumnsRenamed({"sid": "v", "tokens": "tb"}), "v").select("u", "v", "ta", "tb").mapInArrow(tidy(_verify), "u long, v long")
 
 
-class Tile:
-    """Heads of a tile, and the components that its links have joined so far."""
-
-    def __init__(self):
-        self.sid, self.root, self.sets = [], [], []
-        self.parent: dict[int, int] = {}
-        self.ready = None
-
-    def find(self, root: int) -> int:
-        up = self.parent
-        while (over := up.get(root, root)) != root:
-            up[root] = root = up.get(over, over)
-        return root
-
-    def add_heads(self, sid: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> None:
-        self.sid.append(sid)
-        self.root.append(root)
-        self.sets += [s.copy() for s in sets]
-
-    def pairs(self, sid: np.ndarray, root: np.ndarray, other: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """(head, rows) that may be linked, head by head."""
-        if self.ready is None:
-            self.sid, self.root = np.concatenate(self.sid), np.concatenate(self.root)
-            self.size = np.array([len(s) for s in self.sets], np.int64)
-            self.ready = sketches(self.sets) if len(self.sets) * len(sets) > FEW else ()
-        size = np.array([len(s) for s in sets], np.int64)
-
-        def fits(h: int, rows: np.ndarray) -> np.ndarray:
-            n = size[rows]
-            # A pair of two heads is looked at once.
-            return (root[rows] != self.root[h]) & (9 * np.minimum(n, self.size[h]) >= 4 * (n + self.size[h])) & (~other[rows] | (sid[rows] > self.sid[h]))
-
-        if len(self.sets) * len(sets) <= FEW:
-            every = np.arange(len(sets))
-            for h in range(len(self.sets)):
-                yield h, every[fits(h, every)]
-            return
-        self.ready = self.ready or sketches(self.sets)
-        words, levels = sketches(sets)
-        for m in sorted(self.ready[1].keys() & levels.keys()):
-            rows, there = levels[m]
-            for h, here in zip(self.ready[1][m][0].tolist(), self.ready[1][m][1]):
-                near = np.flatnonzero((np.minimum(words[rows], self.ready[0][h]) == m) & fits(h, rows))
+class Side:
+    """Rows of a tile: ids, roots, sizes, sets (in the second pass) and sketches."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.sid, self.root, self.n = (batch.column(c).to_numpy().astype(np.int64) for c in ("sid", "root", "n"))
+        self.other = batch.column("other").to_numpy(zero_copy_only=False)
+        self.data = _sets(batch.column("data"))
+
+    def part(self, a: int, b: int) -> Side:
+        out = object.__new__(Side)
+        out.sid, out.root, out.n, out.other, out.data = self.sid[a:b], self.root[a:b], self.n[a:b], self.other[a:b], self.data[a:b]
+        return out
+
+    def add(self, more: Side) -> Side:
+        out = object.__new__(Side)
+        out.sid, out.root, out.n, out.other = (np.concatenate((getattr(self, c), getattr(more, c))) for c in ("sid", "root", "n", "other"))
+        out.data = self.data + more.data
+        return out
+
+    def levels(self, whole: bool) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        if not hasattr(self, "_levels"):
+            size = np.array([len(x) for x in self.data], np.int64)
+            flat = np.concatenate(self.data)
+            flat, words = sketches(flat, size) if whole else (flat, size)
+            self._levels = words, folded(flat, words)
+        return self._levels
+
+
+def _pairs(heads: Side, rows: Side, whole: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(head, rows) that may be linked, by size and sketch, head by head; ``whole``: sets are given, not sketches."""
+
+    def fits(h: int, at) -> np.ndarray:
+        n, m = rows.n[at], heads.n[h]
+        # A pair of two heads is looked at once.
+        return (rows.root[at] != heads.root[h]) & (9 * np.minimum(n, m) >= 4 * (n + m)) & (~rows.other[at] | (rows.sid[at] > heads.sid[h]))
+
+    if whole and len(heads.sid) * len(rows.sid) <= FEW:
+        for h in range(len(heads.sid)):
+            yield h, np.flatnonzero(fits(h, slice(None)))
+        return
+    words_h, levels_h = heads.levels(whole)
+    words_r, levels_r = rows.levels(whole)
+    for m in sorted(levels_h.keys() & levels_r.keys()):
+        at, there = levels_r[m]
+        for h, here in zip(levels_h[m][0].tolist(), levels_h[m][1]):
+            near = np.flatnonzero((np.minimum(words_r[at], words_h[h]) == m) & fits(h, at))
+            if len(near):
+                far = np.bitwise_count(there[near] ^ here).sum(1, dtype=np.int64)
+                near = near[9 * far <= rows.n[at[near]] + heads.n[h]]
                 if len(near):
-                    far = np.bitwise_count(there[near] ^ here).sum(1, dtype=np.int64)
-                    yield h, rows[near[9 * far <= size[rows[near]] + self.size[h]]]
+                    yield h, at[near]
 
-    def links(self, sid: np.ndarray, root: np.ndarray, other: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        for h, rows in self.pairs(sid, root, other, sets):
-            for r in rows.tolist():
-                a, b = self.find(int(self.root[h])), self.find(int(root[r]))
-                if a != b and linked(self.sets[h], sets[r]):
-                    self.parent[a] = b
-                    yield int(self.sid[h]), int(sid[r])
 
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile, each tile's heads first -> its links."""
-    last, tile = None, Tile()
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Side, Side, dict]]:
+    """(tile, heads, some of its rows, what is kept for the tile) from batches sorted by tile, each tile's heads first."""
+    last, heads, kept = None, None, {}
     for batch in batches:
         key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "block", "part", "kind")], axis=1)
-        sid, root = batch.column("sid").to_numpy(), batch.column("root").to_numpy()
-        other = batch.column("other").to_numpy(zero_copy_only=False)
-        sets = _sets(batch.column("tokens"))
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True]))).tolist() if len(key) else []
-        found: list[tuple[int, int]] = []
+        side = Side(batch) if len(key) else None
         for a, b in zip(cuts, cuts[1:]):
-            own = tuple(key[a, :3].tolist())
+            own, part = tuple(key[a, :3].tolist()), side.part(a, b)
             if own != last:
-                last, tile = own, Tile()
+                last, heads, kept = own, None, {}
             if key[a, 3] == 0:
-                tile.add_heads(sid[a:b], root[a:b], sets[a:b])
-            elif tile.sets:
-                found += tile.links(sid[a:b], root[a:b], other[a:b], sets[a:b])
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
-
-
-def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between components, of sets (lead, sid, n) with a leader in common."""
-    marked = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+                heads = part if heads is None else heads.add(part)
+            elif heads is not None:
+                yield own, heads, part, kept
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pass: the sets of each tile that some other set may be linked to, by their sketches."""
+    out, total = [], 0
+    names = ["lead", "sid", "n", "root"]
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=names)
+
+    for tile, heads, rows, _ in _tiles(batches):
+        near_h, near_r = np.zeros(len(heads.sid), bool), np.zeros(len(rows.sid), bool)
+        for h, at in _pairs(heads, rows, False):
+            near_h[h] = True
+            near_r[at] = True
+        for side, near in ((heads, near_h), (rows, near_r)):
+            if near.any():
+                out.append((np.full(int(near.sum()), tile[0], np.int64), side.sid[near], side.n[near], side.root[near]))
+                total += len(out[-1][0])
+        if total > 10_000:
+            yield made()
+            out, total = [], 0
+    yield made()
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second pass: links of each tile between components that none of its links has joined."""
+    found: list[tuple[int, int]] = []
+    for _, heads, rows, parent in _tiles(batches):
+
+        def find(root: int, up=parent) -> int:
+            while (over := up.get(root, root)) != root:
+                up[root] = root = up.get(over, over)
+            return root
+
+        for h, at in _pairs(heads, rows, True):
+            for r in at.tolist():
+                a, b = find(int(heads.root[h])), find(int(rows.root[r]))
+                if a != b and linked(heads.data[h], rows.data[r]):
+                    parent[a] = b
+                    found.append((int(heads.sid[h]), int(rows.sid[r])))
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+
+def _deal(marked: DataFrame, data: DataFrame, bits: int) -> DataFrame:
+    """Tiles of the sets (lead, sid, n, root) of leaders with several components; ``data`` (sid, data) has so many bits a shingle."""
     same = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
     parts = marked.groupBy("lead", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"), *same)
     top = F.max(F.struct("c", "w", "root"))
     mixed = parts.groupBy("lead").agg(F.count("*").alias("k"), top.alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), *(F.bit_xor(f"m{k}").alias(f"m{k}") for k in (1, 2))).where("k > 1")
     # Leaders of the same sets tell the same.
-    mixed = mixed.groupBy("c", "m1", "m2").agg(F.min("lead").alias("lead"), F.first("top.root").alias("major"), (F.first("w") - F.first("top.w")).alias("heads"))
-    mixed = mixed.select("lead", "major", F.ceil(8 * F.col("heads") / HEAD_BYTES).cast("int").alias("blocks"), F.ceil(F.col("c") / ROWS).cast("int").alias("parts"))
-    rows = marked.select("lead", "sid", "root").join(mixed, "lead").withColumn("other", F.col("root") != F.col("major")).join(sets, "sid")
+    mixed = mixed.groupBy("c", "m1", "m2").agg(F.min_by(F.struct("lead", F.col("top.root").alias("major"), (F.col("w") - F.col("top.w")).alias("heads")), "lead").alias("g"))
+    mixed = mixed.select("g.lead", "g.major", F.ceil(bits * F.col("g.heads") / (8 * HEAD_BYTES)).cast("int").alias("blocks"), F.ceil(F.col("c") / ROWS).cast("int").alias("parts"))
+    rows = marked.select("lead", "sid", "n", "root").join(mixed, "lead").withColumn("other", F.col("root") != F.col("major")).join(data, "sid")
     own = lambda c, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(c)).cast("int").alias(c[:-1])
-    lead = ["lead", "sid", "root", "other", "tokens"]
-    whole = rows.select(*lead, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own("parts", 7), F.lit(1).alias("kind"))
-    heads = rows.where("other").select(*lead, own("blocks", 5), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(c[:-1])
+    lead = ["lead", "sid", "n", "root", "other", "data"]
+    heads, whole = rows.where("other").select(*lead, own("blocks", 5), every("parts"), F.lit(0).alias("kind")), rows.select(*lead, every("blocks"), own("parts", 7), F.lit(1).alias("kind"))
     tiles = heads.unionByName(whole).repartition("lead", "block", "part").sortWithinPartitions("lead", "block", "part", "kind")
-    return tiles.select("lead", "block", "part", "kind", "sid", "root", "other", "tokens").mapInArrow(tidy(_tiles), "u long, v long")
+    return tiles.select("lead", "block", "part", "kind", "sid", "n", "root", "other", "data")
+
+
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components, of sets (lead, sid, n) with a leader in common."""
+    marked = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    near = _deal(marked, sets.select("sid", F.col("marks").alias("data")), 8).mapInArrow(tidy(_near_rows), "lead long, sid long, n long, root long")
+    near = materialize(near.distinct(), "near-sets")
+    return _deal(near, sets.select("sid", F.col("tokens").alias("data")), 64).mapInArrow(tidy(_tile_links), "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -461,7 +511,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carriers = materialize(carriers, "carriers")
     n_carriers = carriers.count()
     fetched = F.broadcast(carriers) if n_carriers <= FETCH_BROADCAST else carriers
-    sets = materialize(bodies.join(fetched, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, tokens binary"), "sets")
+    sets = materialize(bodies.join(fetched, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, tokens binary, marks binary"), "sets")
     if sets.count() > n_carriers:  # rows of one id and text: each gave its set
         sets, old = materialize(sets.dropDuplicates(["sid"]), "sets"), sets
         discard(old)
