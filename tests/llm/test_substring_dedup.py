@@ -38,7 +38,7 @@ def corpus(seed, vocab, n, longest):
     return rows + [(1, rows[1][1]), (None, None), (7, ""), (8, "  \n"), (None, "one two")]
 
 
-@pytest.mark.parametrize("window,prefix,subtree,vocab,longest", [(35, 6, 100_000, 4000, 150), (35, 6, 100_000, 2, 90), (5, 3, 100_000, 6, 40), (35, 6, 5, 3, 120), (2, 6, 3, 5, 12), (1, 6, 100_000, 60, 6)])
+@pytest.mark.parametrize("window,prefix,subtree,vocab,longest", [(35, 6, 100_000, 4000, 150), (35, 6, 100_000, 2, 90), (5, 3, 100_000, 6, 40), (35, 6, 5, 3, 120), (35, 6, 1, 2, 90), (20, 4, 2, 2, 60), (2, 6, 3, 5, 12), (3, 1, 1, 4, 20), (1, 6, 100_000, 60, 6)])
 def test_against_brute_force(spark, window, prefix, subtree, vocab, longest):
     rows = corpus(vocab, vocab, 60, longest)
     df = spark.createDataFrame([(i, t, "xx", 5) for i, t in rows], SCHEMA).repartition(3)
@@ -58,6 +58,15 @@ def test_over_full_prefix_is_split(spark):
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got), key=repr) == brute(rows, 10)
 
 
+def test_long_texts(spark):
+    r = random.Random(8)
+    part = [f"w{r.randint(0, 9999)}" for _ in range(20_000)]
+    rows = [(1, " ".join(part + ["x"] + part[100:5000])), (2, " ".join(part[3000:4000])), (3, "y " * 50_000), (4, "z" * 300_000)]
+    df = spark.createDataFrame([(i, t, "xx", 5) for i, t in rows], SCHEMA)
+    got = dedup_substrings(df).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got), key=repr) == brute(rows, 35)
+
+
 def test_empty_and_carry(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert dedup_substrings(df, carry=["lang"]).columns == ["doc_id", "lang", "n_words", "n_removed", "kept_text"]

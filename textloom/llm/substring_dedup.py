@@ -8,20 +8,24 @@ are never written out. Instead:
    window's branching prefix; the places that hold one (about 1 word in 15) are
    the prefix's suffixes. Prefixes that occur once in the corpus cannot carry a
    repeat and are dropped: this is the only step whose traffic follows all text,
-   with some 1.5 bytes of rows a byte of Parquet.
+   with some 1.5 bytes of rows a byte of Parquet. A prefix that a task has seen to
+   repeat is sent once by it, so a hot one is about a row a map task.
 2. Contexts. Each surviving suffix gets its next words and, reversed, the words
    before it, as 32-bit word codes, as far as its windows reach (those in which
    it is the first of the least prefixes, so that each window has one owner). Equal contexts are folded by a pre-aggregated
    group-by, so a text that a third of the rows share is one context a map task.
-3. Subtrees. Suffixes are dealt by prefix and put in suffix order by Spark's
+3. Longer prefixes. The contexts of every prefix are counted, and a prefix with more than
+   ``SUBTREE`` of them is made longer by ``e`` words: windows that reach ``e`` words further
+   right go under the prefix with those words, the others, which then reach ``e`` words
+   further left, under the one with those. ``e`` is half of the words that are free, so
+   after at most five rounds a prefix is a whole window, whose suffixes are all the same
+   repeat. No task gets more than ``SUBTREE`` suffixes of one prefix.
+4. Subtrees. Suffixes are dealt by prefix and put in suffix order by Spark's
    external sort; longest common prefixes of neighbours then give each subtree's
    internal nodes. For every depth ``WINDOW - d`` the leaves below a node are told
    apart by the ``d`` words on their left: a node with two equal leaves is a
    repeat that reaches ``d`` words left and ``WINDOW - d`` right of the prefix.
-   A prefix with more than ``SUBTREE`` suffixes is split by longer prefixes, at
-   once by the longest that matters (the window), whose groups are single leaves
-   and so are only counted; no group is ever held in memory beyond ``SUBTREE``.
-4. Masks of repeated windows go back to their documents, which are rewritten.
+5. Masks of repeated windows go back to their documents, which are rewritten.
 
 Texts that are dealt by document (twice: to take contexts, and to be rewritten) are
 packed by zstandard on the way. Word codes have 32 bits and a repeat compares 35 of them with a 64-bit prefix, so
@@ -44,12 +48,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.scan import U64, WHITE, grams, mix, scan, tidy
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import discard, materialize
 
 WINDOW = 35
 PREFIX = 6
-#: Suffixes (distinct contexts) of one prefix that are held at once.
-SUBTREE = 100_000
+#: Suffixes (distinct contexts) of one prefix, which are held at once; beyond, the prefix is made longer.
+SUBTREE = 2_000
+#: Repeated prefixes that a task remembers.
+REPEATED_KEPT = 500_000
 
 
 def _slide(v: np.ndarray, w: int, op) -> np.ndarray:
@@ -110,19 +116,23 @@ def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _anchor_rows(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = np.zeros(0, U64)  # sent by this task with a weight of two or more
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for words in scan(batch.column("text"), WHITE):
                 places, g = anchors(words.hash, words.first, window, prefix)
                 doc = np.searchsorted(words.first, places, "right") - 1
                 row = doc + words.rows.start
-                # A prefix that repeats within the chunk is sent once, with its count; its other places,
-                # known to be shared, travel under keys of their own, so that no key gathers them all.
-                _, once, n = np.unique(g, return_index=True, return_counts=True)
+                # A prefix that repeats within the chunk is sent once, with its count; its other places here and
+                # later, known to be shared, travel under keys of their own, so that no key gathers them all.
+                kinds, once, n = np.unique(g, return_index=True, return_counts=True)
+                known = np.isin(kinds, repeated, assume_unique=True)
                 weight = np.full(len(g), 2, np.int32)
-                weight[once] = n
+                weight[once[~known]] = n[~known]
                 own = np.ones(len(g), bool)
-                own[once] = False
+                own[once[~known]] = False
+                fresh = kinds[~known & (n > 1)]
+                repeated = np.concatenate((repeated, fresh)) if len(repeated) + len(fresh) <= REPEATED_KEPT else fresh
                 key = np.where(own, mix(g + places.astype(U64) * U64(0x9E3779B97F4A7C15) + k1[row].view(U64)), g)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(key)), pa.array(weight), pa.array(k1[row]), pa.array(k2[row]), pa.array((places - words.first[doc]).astype(np.int32))], names=["g", "weight", "k1", "k2", "pos"]
@@ -188,14 +198,14 @@ def _unpack(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def _depth_keys(g: np.ndarray, right: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarray, window: int):
+def _depth_keys(key: np.ndarray, right: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarray, window: int):
     """For each d: which leaves have d words left and window - d right, and their node with those left words."""
-    same = np.concatenate(([False], g[1:] == g[:-1]))
-    differ = np.ones((len(g), window), bool)
+    same = np.concatenate(([False], key[1:] == key[:-1]))
+    differ = np.ones((len(key), window), bool)
     differ[1:] = right[1:] != right[:-1]
     common = np.where(differ.any(1), differ.argmax(1), window)  # longest common prefix with the row before
     common[~same] = 0
-    label = np.zeros(len(g), U64)
+    label = np.zeros(len(key), U64)
     for d in range(left.shape[1] + 1):
         if d:
             label = mix(label * U64(0xD6E8FEB86659FD93) + left[:, d - 1].astype(U64) + U64(1))
@@ -203,78 +213,75 @@ def _depth_keys(g: np.ndarray, right: np.ndarray, rlen: np.ndarray, left: np.nda
         yield d, (llen >= d) & (rlen >= window - d), node, label
 
 
-def _subtrees(window: int, prefix: int, limit: int):
-    """Rows in suffix order -> (g, cd, mask) of repeated windows; leaves of an over-full prefix singly."""
+def _subtrees(window: int, prefix: int):
+    """Rows in suffix order -> (g, cd, mask) of repeated windows with lo to hi words on the left."""
     reach = window - prefix
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        g, cd, n = (t[c].combine_chunks().to_numpy() for c in ("g", "cd", "n"))
+        key, g, cd, n, lo, hi = (t[c].combine_chunks().to_numpy() for c in ("key", "g", "cd", "n", "lo", "hi"))
         right, rlen = _unpack(t["right"].combine_chunks(), window)
         left, llen = _unpack(t["left"].combine_chunks(), reach)
         mask = np.zeros(len(g), np.int64)
-        for d, valid, node, label in _depth_keys(g, right, rlen, left, llen, window):
-            at = np.flatnonzero(valid)
-            key = mix(node[at] * U64(0x9E3779B97F4A7C15) + label[at])
-            order = np.argsort(key, kind="stable")
-            equal = key[order][1:] == key[order][:-1]
+        for d, valid, node, label in _depth_keys(key, right, rlen, left, llen, window):
+            at = np.flatnonzero(valid & (lo <= d) & (d <= hi))
+            leaf = mix(node[at] * U64(0x9E3779B97F4A7C15) + label[at])
+            order = np.argsort(leaf, kind="stable")
+            equal = leaf[order][1:] == leaf[order][:-1]
             twice = n[at] > 1
             twice[order[1:][equal]] = True
             twice[order[:-1][equal]] = True
             mask[at[twice]] |= 1 << d
         keep = mask != 0
-        return _reply(g[keep], cd[keep], mask[keep], None)
-
-    def leaves(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        g, cd, n = (t[c].combine_chunks().to_numpy() for c in ("g", "cd", "n"))
-        right, rlen = _unpack(t["right"].combine_chunks(), window)
-        left, llen = _unpack(t["left"].combine_chunks(), reach)
-        run = np.zeros((len(g), window + 1), U64)
-        for j in range(window):
-            run[:, j + 1] = mix(run[:, j] * U64(0xD6E8FEB86659FD93) + right[:, j].astype(U64) + U64(1))
-        for d, valid, _, label in _depth_keys(g, right, rlen, left, llen, window):
-            at = np.flatnonzero(valid)
-            full = mix(label[at] * U64(0x9E3779B97F4A7C15) + run[at, window - d] + U64(d))
-            yield _reply(g[at], cd[at], np.full(len(at), 1 << d, np.int64), full, n[at])
+        return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(cd[keep]), pa.array(mask[keep])], names=["g", "cd", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows, over = 0, None
+        rows = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             held.append(batch)
             rows += batch.num_rows
-            t = pa.Table.from_batches(held)
-            g = t["g"].to_numpy()
-            if over is not None:  # the rest of a prefix that has been split
-                m = int(np.argmax(g != over)) if (g != over).any() else len(g)
-                yield from leaves(t.slice(0, m))
-                t, g = t.slice(m), g[m:]
-                over = over if not len(g) else None
-            if len(g) and rows >= 20_000:
-                cut = int(np.argmax(g == g[-1]))  # the last prefix may go on
+            if rows >= 20_000:
+                t = pa.Table.from_batches(held)
+                key = t["key"].to_numpy()
+                cut = int(np.argmax(key == key[-1]))  # the last prefix may go on
                 if cut:
                     yield solve(t.slice(0, cut))
-                    t, g = t.slice(cut), g[cut:]
-                if len(g) >= limit:
-                    over = g[0]
-                    yield from leaves(t)
-                    t = t.slice(len(g))
-            held, rows = t.to_batches(), t.num_rows
+                    t = t.slice(cut)
+                held, rows = t.to_batches(), t.num_rows
         if rows:
             yield solve(pa.Table.from_batches(held))
 
     return run
 
 
-_REPLY = "g long, cd long, mask long, leaf long, n long"
-
-
-def _reply(g, cd, mask, leaf, n=None) -> pa.RecordBatch:
-    empty = pa.nulls(len(g), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(g), pa.array(cd), pa.array(mask), empty if leaf is None else pa.array(_signed(leaf)), empty if n is None else pa.array(n)], names=["g", "cd", "mask", "leaf", "n"]
-    )
+def _longer_prefixes(folded: DataFrame, window: int, prefix: int, limit: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Suffixes under prefixes (``key``) of at most ``limit`` of them, windows that are a prefix with more, and written tables.
+
+    A prefix is ``a`` words before the first one's start and ``b`` from it on; its windows have
+    ``lo`` to ``hi`` words before that start.
+    """
+    free, spent = window - prefix, []
+    rows = folded.withColumns({"key": F.col("g"), "a": F.lit(0), "b": F.lit(prefix), "lo": F.lit(0), "hi": F.lit(free)})
+    done = None
+    while True:
+        full = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > limit).select("key"), "full-prefixes")
+        spent.append(full)
+        if full.isEmpty():
+            return (rows if done is None else done.unionByName(rows)), None, spent
+        fits = rows.join(full, "key", "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        over = rows.join(full, "key", "left_semi")
+        if not free:
+            return done, over.select("g", "cd", F.expr("shiftleft(1L, lo)").alias("mask")), spent
+        e = (free + 1) // 2
+        turn = F.lit(window) - F.col("b") - e  # most words left of windows that reach e words further right
+        further = over.where((F.octet_length("right") >= 4 * (F.col("b") + e)) & (F.col("lo") <= turn))
+        further = further.withColumns({"key": F.xxhash64("key", F.lit(1), F.expr(f"substring(right, 4 * b + 1, {4 * e})")), "hi": F.least("hi", turn), "b": F.col("b") + e})
+        before = over.where((F.octet_length("left") >= 4 * (F.col("a") + e)) & (F.col("hi") > turn))
+        before = before.withColumns({"key": F.xxhash64("key", F.lit(2), F.expr(f"substring(left, 4 * a + 1, {4 * e})")), "lo": F.greatest("lo", turn + 1), "a": F.col("a") + e})
+        rows = materialize(further.unionByName(before.select(further.columns)), "longer-prefixes")
+        spent.append(rows)
+        free -= e
 
 
 def _rewrite(window: int):
@@ -333,15 +340,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     contexts = _packed(bodies).join(places, ["k1", "k2"]).mapInArrow(tidy(_context_rows(window, prefix)), "g long, right binary, left binary, k1 long, k2 int, pos int")
     contexts = materialize(contexts.withColumn("cd", F.xxhash64("g", "right", "left")), "suffix-contexts")
 
-    folded = contexts.groupBy("g", "right", "left", "cd").agg(F.count("*").alias("n"))
-    ordered = folded.repartition("g").sortWithinPartitions("g", "right")
-    replies = materialize(ordered.mapInArrow(tidy(_subtrees(window, prefix, subtree)), _REPLY), "suffix-replies")
-    masks = replies.where("leaf IS NULL").select("g", "cd", "mask")
-    split = replies.where("leaf IS NOT NULL")
-    if not split.isEmpty():
-        leaf = ["mask", "g", "leaf"]
-        repeated = split.groupBy(*leaf).agg(F.sum("n").alias("total")).where("total > 1")
-        masks = masks.unionByName(split.join(repeated, leaf, "left_semi").groupBy("g", "cd").agg(F.bit_or("mask").alias("mask")))
+    folded = materialize(contexts.groupBy("g", "right", "left", "cd").agg(F.count("*").alias("n")), "suffixes")
+    suffixes, whole, spent = _longer_prefixes(folded, window, prefix, subtree)
+    ordered = suffixes.select("key", "g", "right", "left", "cd", "n", "lo", "hi").repartition("key").sortWithinPartitions("key", "right")
+    masks = ordered.mapInArrow(tidy(_subtrees(window, prefix)), "g long, cd long, mask long")
+    masks = materialize(masks if whole is None else masks.unionByName(whole), "suffix-masks")
+    discard(folded, *spent)
     hits = contexts.select("g", "cd", "k1", "k2", "pos").join(masks, ["g", "cd"])
     marks = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
 
