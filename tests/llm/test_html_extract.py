@@ -96,3 +96,80 @@ def test_null_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (None, "u", "<p>t", 6)], "page_id long, url string, html string, text int")
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract_text(df).collect()), key=repr) == sorted([(1, None, "", 0), (1, None, "", 0), (None, "u", "t", 1)], key=repr)
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_only_whole_attributes_are_names():
+    for attributes in ('data-id="comment-5"', "title='class=sidebar'", "data-class=advert", 'aria-label="id=footer"'):
+        assert extract(page(f"<div {attributes}><p>{PARAGRAPH}</p></div><div class=sidebar>{LOREM}</div>")) == PARAGRAPH
+
+
+def test_unclosed_tags_and_quotes():
+    assert extract('<p>one <b title="x>two</b> three</p>') == "one two three"
+    assert extract("<p>one</p><a href='x") == "one\n<a href='x"
+    assert extract("<div><!x <p>one</p>") == "one"
+    assert extract("<script>var a = '<p>'; if (a < b) {}</SCRIPT ><p>one") == "one"
+    assert extract("<svg/><p>one</p><svg><text>two</text></svg>") == "one"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class=ad>", "<a ", '<a "', '<a "x>" ', "<p><li>", "<ul><li>", "<!x ", "<!--", "<b x='", "</div ", "<script>"])
+def test_time_follows_the_length(part):
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        extract(part * n + f"<p>{PARAGRAPH}</p>")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5, took
+
+
+def plain(page_text):
+    """The same text by explicit sets and lists, for pages of divs and paragraphs with classes."""
+    import math
+
+    tree = re.findall(r"<(/?)(div|p)(?: class=([a-z]+))?>([^<]*)", page_text)
+    stack, rows = [], []
+    for close, name, kind, text in tree:
+        if close:
+            stack.pop()
+        else:
+            stack.append(name + (f".{kind}" if kind else ""))
+        if text.strip():
+            rows.append((tuple(stack), text.strip()))
+    bars = [sum(x.endswith((".sidebar", ".ad")) for x in path) for path, _ in rows]
+    total = sum(len(t) for _, t in rows)
+    home = min(d for d in set(bars) if sum(len(t) for b, (_, t) in zip(bars, rows) if b == d) > 0.02 * total)
+    assert home == 0
+    own, lengths = {}, {}
+    for path in {p for p, _ in rows}:
+        texts = [t for p, t in rows if p == path]
+        marks = sum(len(re.findall("[,.;:!?]", t)) for t in texts)
+        lengths[path] = sum(map(len, texts))
+        own[path] = math.log1p(lengths[path] / len(texts)) * (0.25 + math.log1p(marks / len(texts)))
+    fused = {}
+    for path in own:
+        mates = [p for p in own if p[:-1] == path[:-1]]
+        near = sum(own[p] * lengths[p] for p in mates) / sum(lengths[p] for p in mates)
+        fused[path] = (0.4 * own[path] + 0.6 * near) * 0.1 ** sum(x.endswith((".sidebar", ".ad")) for x in path)
+    mean = sum(fused[p] * lengths[p] for p in own) / total
+    return "\n".join(t for p, t in rows if fused[p] >= 0.25 * mean)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_against_brute_force(seed):
+    import random
+
+    r = random.Random(seed)
+
+    def section(depth):
+        out = []
+        for _ in range(r.randint(1, 4)):
+            kind = r.choice(["", "", " class=sidebar", " class=ad", " class=story", " class=x"])
+            if depth < 3 and r.random() < 0.5:
+                out.append(f"<div{kind}>{section(depth + 1)}</div>")
+            else:
+                out.append(f"<p{kind}>" + " ".join(r.choice(["word", "words,", "end."]) for _ in range(r.choice([1, 4, 60]))) + "</p>")
+        return "".join(out)
+
+    text = f"<div>{section(0)}<p>{LOREM * 4}</p></div>"
+    assert extract(text) == plain(text)

@@ -9,18 +9,19 @@ Ratios are smoothed over paths with the same container (weighted by text), fused
 with the path's own, and paths above a share of the page's text-weighted mean are
 content. Parts of lists, tables and figures (``PARTS``) are also smoothed over the
 paths around the whole list, table or figure, less their links. Text of an article
-element (of a main element where no article has any) is content whatever its ratio:
-short items, cells and captions are the article's too.
+element (of a main element where no article has any) with no such name of its own is
+content whatever its ratio: short items, cells and captions are the article's too.
 
-Elements that HTML or their names mark as something else (navigation, adverts,
-forms, scripts, comments, ...) are not content. A name or a form may belong to a
-wrapper of the whole page (``has-sidebar``), so the bars of such ancestors are
-lifted from an article or main element with more text than all that is not barred,
-if nothing outside the bars is marked as closely; and, where at most links are left
-outside the bars, from the path with most text. Other bars stay.
+Elements that HTML itself marks as something else (navigation, scripts, hidden ones, ...)
+are not content. Names in a class, id or role, and forms, only weigh: the fused ratio
+of a path counts for ``NAMED`` with every element of such a name around it. Names may
+also belong to a wrapper of the whole page (``has-sidebar``), so those around the page's
+text do not count: its *home* is where, at the least such depth with more than ``HOME`` of
+the page's text, most of it stands.
 
 A page is worked on in one pass over its tags and one over its blocks, in Python
-on the executors; the plan is a scan and one Arrow map.
+on the executors, in time that follows its length at any depth of nesting and for unclosed
+tags and quotes; the plan is a scan and one Arrow map.
 
 Cases: null, empty and text-free pages give an empty text. Unclosed and stray tags
 are closed as browsers do for paragraphs, list items and table cells, and ignored
@@ -47,8 +48,15 @@ OWN = 0.4
 #: How much more a path within an article or main element counts.
 MARKED = 8.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What a path's ratio counts for with every name around it that marks something else.
+NAMED = 0.1
+#: Least share of the page's text without links at the depth of its home.
+HOME = 0.02
+
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--|!\[CDATA\[|[!?]))")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = frozenset(("class", "id", "role", "itemprop"))
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[,.;:!?…，。；：！？、«»„“”]")
@@ -77,188 +85,248 @@ ENDS = {
 }
 #: Elements that mark the article, the closest mark highest.
 MARKS = {"main": 1, "article": 2}
-#: Elements that are barred, but may wrap a page.
+#: Elements that only weigh, as names do.
 SOFT = frozenset(("form", "fieldset"))
-#: Bar of an element that cannot be lifted.
-HARD = -1
-#: What text counts for with every further bar, where bars have to be lifted.
-NESTED = 0.25
 PARTS = frozenset("li ul ol dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 
 
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closing, name, attributes) of every tag; comments and declarations have no name.
+
+    A quoted ``>`` does not end a tag, unless its quote is never closed.
+    """
+    at, quotes = 0, True
+    while m := _START.search(page, at):
+        at = m.end()
+        if m[3]:
+            close = {"!--": "-->", "![CDATA[": "]]>"}.get(m[3], ">")
+            end = page.find(close, at)
+            if end < 0 and close == ">":
+                return
+            at = len(page) if end < 0 else end + len(close)
+            yield m.start(), at, False, "", ""
+            continue
+        end, i = -1, at
+        while quotes:
+            stop = _STOP.search(page, i)
+            if stop is None:
+                quotes = False
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            elif (i := page.find(stop[0], stop.end()) + 1) == 0:
+                quotes = False
+        if end < 0:
+            end = page.find(">", at)
+            if end < 0:
+                return
+        name, begin = m[2].lower(), m.start()
+        yield begin, end + 1, bool(m[1]), name, page[at:end]
+        at = end + 1
+        if name in RAW and not m[1] and not (page[end - 1] == "/" and name in ("svg", "math")):
+            close = _END[name].search(page, at)
+            at = len(page) if close is None else close.start()
+            yield begin, at, False, "", ""  # what it holds is no text
+
+
 class _Block:
-    __slots__ = ("path", "parts", "linked", "marked", "bars", "mark")
-
-    def __init__(self, path: tuple[str, ...], marked: int, bars: tuple[int, ...], mark: tuple | None):
-        self.path, self.parts, self.linked, self.marked, self.bars, self.mark = path, [], 0, marked, bars, mark
-
-
-def blocks_of(page: str) -> list[_Block]:
-    """Blocks of text in page order."""
-    out: list[_Block] = []
-    # Open elements: (name, label, marked, places of barring elements, (place, bars) of the closest mark); links are counted apart.
-    stack: list[tuple[str, str, int, tuple[int, ...], tuple | None]] = []
-    path: tuple[str, ...] = ()
-    links, block, raw, at = 0, None, None, 0
-
-    def add(text: str) -> None:
-        nonlocal block
-        if raw is not None or not text:
-            return
-        if block is None:
-            if text.isspace():
+    __slots__ = ("path", "parts", "linked", "marked", "bar")
+
+    def __init__(self, path: int, marked: int, bar: int):
+        self.path, self.parts, self.linked, self.marked, self.bar = path, [], 0, marked, bar
+
+
+#: The bar of an element that is never content.
+HARD = -1
+
+
+class Page:
+    """Blocks of text in page order; paths and bars (names that mark something else) are chains of numbers."""
+
+    def __init__(self, page: str):
+        self.blocks: list[_Block] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.above, self.label = [0], [""]  # of a path
+        self.bar_above, self.bar_depth = [0], [0]  # of a bar; 0 is none
+        self._read(page)
+
+    def _path(self, above: int, label: str) -> int:
+        key = (above, label)
+        if key not in self.paths:
+            self.paths[key] = len(self.above)
+            self.above.append(above)
+            self.label.append(label)
+        return self.paths[key]
+
+    def _read(self, page: str) -> None:
+        # Open elements: name, path, mark, bar. Links are counted apart.
+        stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        opened: dict[str, int] = {}
+        links, block, at = 0, None, 0
+
+        def add(text: str) -> None:
+            nonlocal block
+            if not text or block is None and text.isspace():
                 return
-            block = _Block(path, *(stack[-1][2:] if stack else (0, (), None)))
-            out.append(block)
-        block.parts.append(text)
-        if links:
-            block.linked += len(text)
-
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name or (raw is not None and not (m[1] and name == raw)):
-            if raw is not None and name:
+            if block is None:
+                block = _Block(*stack[-1][1:])
+                self.blocks.append(block)
+            block.parts.append(text)
+            if links:
+                block.linked += len(text)
+
+        def pop(size: int) -> None:
+            for e in stack[size:]:
+                opened[e[0]] -= 1
+            del stack[size:]
+
+        for begin, end, closing, name, attributes in _tags(page):
+            if begin >= at:
+                add(page[at:begin])
+            at = end
+            if not name:
                 continue
-            continue
-        if m[1]:
-            if name == raw:
-                raw = None
-            elif name == "a":
-                links = max(0, links - 1)
-            elif name in INLINE:
-                pass
-            elif any(e[0] == name for e in stack):
-                while stack.pop()[0] != name:
+            if closing:
+                if name == "a":
+                    links = 0
+                elif name in INLINE or name in RAW:
                     pass
-                path, block = tuple(e[1] for e in stack), None
-            elif name == "p":
-                block = None
-            continue
-        if name == "br":
-            add(" ")
-            continue
-        if name == "a":
-            links = 1
-            continue
-        if name in INLINE:
-            continue
-        if name in VOID:
-            if name == "hr":
-                block = None
-            continue
-        if name in RAW:
-            raw = None if m[3].endswith("/") and name in ("svg", "math") else name
-            continue
-        if name in ENDS:
-            closing, scope = ENDS[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing:
-                    del stack[k:]
-                elif stack[k][0] in scope or (not scope and stack[k][0] not in closing and stack[k][0] != "p"):
-                    break
-        links = 0
-        above, bars, mark = stack[-1][2:] if stack else (0, (), None)
-        own = MARKS.get(name, 0)
-        soft, hard = name in SOFT, False
-        label = name
-        if m[3].strip():
-            words: set[str] = set()
-            for a in _NAMES.finditer(m[3]):
-                value = a[2] or a[3] or a[4] or ""
-                words.update(w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w)
-                if a[1].lower() in ("class", "id"):
-                    label += "." + re.sub(r"\d+", "", value)
-                if "articlebody" in value.lower():
-                    own = 2
-                elif "main" in words and a[1].lower() == "role":
-                    own = max(own, 1)
-            if name not in ("html", "body", *MARKS):
-                soft = soft or bool(words & ASIDE_WORDS)
-                hard = bool(_HIDDEN.search(m[3]))
-        marked = max(above, own)
-        if hard or (name in ASIDE and name not in SOFT and not (name == "header" and marked)):
-            bars = (HARD,)
-        elif soft and HARD not in bars:
-            bars = (*bars, m.start())
-        if own and own >= above:
-            mark = (m.start(), bars)
-        stack.append((name, label, marked, bars, mark))
-        path, block = path_of(stack), None
-    add(page[at:])
-    return out
-
-
-def path_of(stack: list[tuple[str, str, int, tuple[int, ...], tuple | None]]) -> tuple[str, ...]:
-    return tuple(e[1] for e in stack)
-
-
-def lifted(found: list[tuple[_Block, str]]) -> frozenset[int]:
-    """Bars that only come from wrappers of the page's content."""
-    top = max((b.marked for b, _ in found if not b.bars), default=0)
-    if top == max(MARKS.values()):
-        return frozenset()
-    outside = 0
-    marks: dict[tuple, int] = {}
-    paths: dict[tuple, int] = {}
-    for b, text in found:
-        n = len(text) - b.linked
-        if n <= b.linked:
-            continue
-        if not b.bars:
-            outside += n
-            continue
-        if b.marked > top and b.bars == b.mark[1]:
-            marks[b.mark] = marks.get(b.mark, 0) + n
-        paths[b.path, b.bars] = paths.get((b.path, b.bars), 0) + n
-    sums = {m: n for m, n in marks.items() if n > outside} | ({} if outside else paths)
-    return frozenset(max(sums, key=lambda k: sums[k] * NESTED ** len(k[1]))[1]) if sums else frozenset()
+                elif opened.get(name):
+                    size = len(stack) - 1
+                    while stack[size][0] != name:
+                        size -= 1
+                    pop(size)
+                    block = None
+                elif name == "p":
+                    block = None
+                continue
+            if name == "br":
+                add(" ")
+                continue
+            if name == "a":
+                links = 1
+                continue
+            if name in INLINE or name in RAW:
+                continue
+            if name in VOID:
+                if name == "hr":
+                    block = None
+                continue
+            if name in ENDS:
+                names, scope = ENDS[name]
+                size = len(stack)
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in names:
+                        size = k
+                    elif stack[k][0] in scope or not scope:
+                        break
+                    if not any(opened.get(n, 0) for n in names):
+                        break
+                pop(size)
+            links = 0
+            _, path, above, bar = stack[-1]
+            own, soft, hard, label = MARKS.get(name, 0), name in SOFT, False, name
+            if attributes.strip(" /"):
+                words: set[str] = set()
+                for m in _ATTRIBUTE.finditer(attributes):
+                    key = m[1].lower()
+                    if key not in _NAMED:
+                        continue
+                    value = m[2] or m[3] or m[4] or ""
+                    words.update(w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w)
+                    if key in ("class", "id"):
+                        label += "." + re.sub(r"\d+", "", value)
+                    if "articlebody" in value.lower():
+                        own = 2
+                    elif "main" in words and key == "role":
+                        own = max(own, 1)
+                if name not in ("html", "body", *MARKS):
+                    soft = soft or bool(words & ASIDE_WORDS)
+                    hard = bool(_HIDDEN.search(attributes))
+            marked = max(above, own)
+            if bar == HARD or hard or (name in ASIDE and name not in SOFT and not (name == "header" and marked)):
+                bar = HARD
+            elif soft:
+                self.bar_above.append(bar)
+                self.bar_depth.append(self.bar_depth[bar] + 1)
+                bar = len(self.bar_above) - 1
+            stack.append((name, self._path(path, label), marked, bar))
+            opened[name] = opened.get(name, 0) + 1
+            block = None
+        add(page[at:])
+
+
+def _home(bars: dict[int, int], depth: list[int]) -> int:
+    """The bar of the page's text: of the least depth that holds a share of it, the one with most."""
+    total = sum(bars.values())
+    by_depth: dict[int, int] = {}
+    for b, n in bars.items():
+        by_depth[depth[b]] = by_depth.get(depth[b], 0) + n
+    least = min((d for d, n in by_depth.items() if n > HOME * total), default=0)
+    return max((b for b in bars if depth[b] == least), key=lambda b: (bars[b], -b), default=0)
 
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    found = []
-    for b in blocks_of(page):
-        text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
-        if text and HARD not in b.bars:
+    read = Page(page)
+    found, bars = [], {}
+    for b in read.blocks:
+        text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip() if b.bar != HARD else ""
+        if text:
             found.append((b, text))
-    if any(b.bars for b, _ in found):
-        free = lifted(found)
-        found = [(b, text) for b, text in found if free.issuperset(b.bars)]
+            if len(text) > 2 * b.linked:
+                bars[b.bar] = bars.get(b.bar, 0) + len(text) - b.linked
     if not found:
         return ""
-    sums: dict[tuple, list[float]] = {}
+    if not bars:  # nothing but links: what a name marks is not content
+        found = [(b, text) for b, text in found if not b.bar]
+        if not found:
+            return ""
+    home = _home(bars, read.bar_depth)
+    excess = {}
+    while home:
+        excess[home] = 0
+        home = read.bar_above[home]
+    excess[0] = 0
+    for b in range(1, len(read.bar_above)):  # a bar comes after the one around it
+        if b not in excess:
+            excess[b] = excess[read.bar_above[b]] + 1
+
+    sums: dict[int, list[float]] = {}
     for b, text in found:
-        s = sums.setdefault(b.path, [0, 0, 0, 0, 1.0])
+        s = sums.setdefault(b.path, [0, 0, 0, 0, 1.0, 1.0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_PUNCTUATION.findall(text))
         s[3] += min(b.linked, len(text))
-        s[4] = MARKED if b.marked else 1.0
-    ratio = {p: math.log1p(length / n) * (0.25 + math.log1p(marks / n)) * max(0.0, 1 - linked / length) * weight for p, (n, length, marks, linked, weight) in sums.items()}
-    around: dict[tuple, list[float]] = {}
+        s[4] = MARKED if b.marked and not excess[b.bar] else 1.0
+        s[5] = min(s[5], NAMED ** excess[b.bar])
+    ratio = {p: math.log1p(length / n) * (0.25 + math.log1p(marks / n)) * max(0.0, 1 - linked / length) * weight for p, (n, length, marks, linked, weight, _) in sums.items()}
+    around: dict[int, list[float]] = {}
     for p, s in sums.items():
-        a = around.setdefault(p[:-1], [0.0, 0.0])
+        a = around.setdefault(read.above[p], [0.0, 0.0])
         a[0] += s[1] * ratio[p]
         a[1] += s[1]
 
-    def surroundings(p: tuple) -> float:
-        near = around[p[:-1]][0] / around[p[:-1]][1]
-        end = len(p)
-        while end and p[end - 1].split(".", 1)[0] in PARTS:
-            end -= 1
-        if end < len(p) and p[:end] in around:
-            far = around[p[:end]]
+    def surroundings(p: int) -> float:
+        near = around[read.above[p]][0] / around[read.above[p]][1]
+        end = p
+        while end and read.label[end].split(".", 1)[0] in PARTS:
+            end = read.above[end]
+        if end != p and end in around:
+            far = around[end]
             near = max(near, far[0] / far[1] * (1 - sums[p][3] / sums[p][1]))
         return near
 
-    fused = {p: OWN * r + (1 - OWN) * surroundings(p) for p, r in ratio.items()}
-    top = max(b.marked for b, _ in found)
+    fused = {p: (OWN * r + (1 - OWN) * surroundings(p)) * sums[p][5] for p, r in ratio.items()}
+    top = max((b.marked for b, _ in found if not excess[b.bar]), default=0)
     mean = sum(sums[p][1] * f for p, f in fused.items()) / sum(s[1] for s in sums.values())
-    return "\n".join(text for b, text in found if (b.marked and b.marked == top) or fused[b.path] >= THRESHOLD * mean)
+    return "\n".join(text for b, text in found if (b.marked and b.marked == top and not excess[b.bar]) or fused[b.path] >= max(THRESHOLD * mean, 1e-9))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: Sequence[str] = ("url",)) -> DataFrame:
