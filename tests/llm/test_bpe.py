@@ -42,6 +42,16 @@ def test_same_as_library(spark, library, monkeypatch, kept):
             assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_marks_and_letters_of_later_unicode_versions(library):
+    r = random.Random(1)
+    pool = [0x9FE, 0x11930, 0x11935, 0x1DFA, 0x300, 0x301, 0x323, 0x345, 0xA7CB, 0xA7DC, 0x10D50, 0x10D40, 0x16130, 0x13460, 0x16EA0, 0x61, 0x45, 0xC5, 0x3A3, 0x31, 0xB2, 0x20]
+    texts = ["a\u0323\u09fe\u0323\u0301e\u0301", "\u09fe\u0323\u0301"]
+    texts += ["".join(chr(r.choice([*pool, r.randint(0x80, 0x2FFF), r.randint(0x10000, 0x1EFFF)])) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    encoder = bpe.Encoder(PATH)
+    for text, ids, want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert ids == want.ids, [hex(ord(c)) for c in text]
+
+
 def test_special_tokens_in_a_text_of_more_words_than_are_kept(library, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 20)
     text = "<|startoftext|>" + " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)) + "<|endoftext|>"

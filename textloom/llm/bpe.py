@@ -68,6 +68,38 @@ def _ranges(chars: list[str]) -> str:
     return "".join(f"{a}-{b}" for a, b in out)
 
 
+# Combining marks that came after Unicode 9, whose tables the library normalises with, and the one later
+# second half of a composition. They stand as they are, and nothing is reordered or composed across them.
+LATE_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 "
+    "11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+# Letters and digits of Unicode 16, which the library's pattern knows and Python's tables do not.
+LATE_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D40-10D49 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 116D0-116E3 11BC0-11BE0 11BF0-11BF9 13460-143FA 16100-1611D 16130-16139 16D40-16D6C 16D70-16D79 18CFF "
+    "1CCF0-1CCF9 1E5D0-1E5ED 1E5F0 1E5F1-1E5FA"
+)
+# First and last capital and first small letter of the alphabets that are paired since Unicode 16 and 17.
+LATE_CASES = "1C89-1C89-1C8A A7CB-A7CB-264 A7CC-A7CC-A7CD A7CE-A7CE-A7CF A7D2-A7D2-A7D3 A7D4-A7D4-A7D5 A7DA-A7DA-A7DB A7DC-A7DC-19B 10D50-10D65-10D70 16EA0-16EB8-16EBB"
+
+
+def _inside(ranges: str) -> str:
+    return "".join("-".join(chr(int(c, 16)) for c in part.split("-")) for part in ranges.split())
+
+
+_LATE = re.compile(f"([{_inside(LATE_MARKS)}])")
+_LATE_LETTER = re.compile(f"[{_inside(LATE_LETTERS)}]")
+_LOWER = {a + k: b + k for part in LATE_CASES.split() for a, z, b in [[int(c, 16) for c in part.split("-")]] for k in range(z - a + 1)}
+_LATE_CAPITAL = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+
+
+def nfc(text: str) -> str:
+    """NFC by the library's tables."""
+    if not _LATE.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(_LATE.split(text)))
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -86,7 +118,7 @@ class Encoder:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
         # Letters and digits of later Unicode versions than the library's, which takes them for symbols.
-        later = _ranges([c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and _LETTER.match(c)])
+        later = _ranges([c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and _LETTER.match(c) and not _LATE_LETTER.match(c)])
         self.later = re.compile(f"[{later}]") if later else None
         self.split_later = regex.compile("(?V1)" + regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{later}]]", pattern))
         # The same pattern for texts of Latin-1 characters, whose classes the faster standard engine can state.
@@ -231,7 +263,9 @@ class Encoder:
             text.encode("latin-1")
             return self.split_latin.findall(text.lower())
         except UnicodeEncodeError:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+            text = nfc(text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+            if _LATE_CAPITAL.search(text):
+                text = text.translate(_LOWER)
             if self.later is not None and self.later.search(text):
                 return self.split_later.findall(text.lower())
         return self.split.findall(text.lower())
