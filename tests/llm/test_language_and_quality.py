@@ -66,6 +66,11 @@ def test_logarithms_give_the_same_expectation():
     assert np.allclose(lattice.log_likelihood(np.log(p)), np.log(lattice.likelihood(p)))
 
 
+def test_ties_go_to_the_first_language():
+    model = L.fit_texts([("b", "one two"), ("a", "one two")], [b"on", b"one"])
+    assert model.score(["one two", "² ½", ""]) == (["a", "und", "und"], [0.5, 0.0, 0.0])
+
+
 def test_held_out_accuracy_and_edges(spark, monkeypatch):
     docs = spark.read.parquet(SF + "/documents.parquet")
     model = L.fit(docs.where(L.fold(docs.doc_id, 4) != 2), PATH, rows=60)
@@ -82,6 +87,14 @@ def test_held_out_accuracy_and_edges(spark, monkeypatch):
     assert {r.lang_pred for r in L.predict(edge, none).collect()} == {"und"}
 
 
+def test_only_letters_make_words():
+    import unicodedata
+
+    assert L.words_of("² ½ Ⅷ ٣ 12_x2é Ünï²b") == ["x", "é", "ünï", "b"]
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        assert bool(L.words_of(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+
+
 def test_word_memory_does_not_change_scores(monkeypatch):
     texts = ["the cat and dog", "le chat et le chien", "el perro y gato"] * 3
     model = L.fit_texts(list(zip(["en", "fr", "es"] * 3, texts)), L.read_pieces(PATH))

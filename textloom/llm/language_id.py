@@ -43,6 +43,9 @@ CELLS = 1 << 21
 #: Texts at least this likely to be in the predicted language are kept by :func:`keep`.
 KEEP = 0.5
 
+#: Numbers that are no digits (fractions, superscripts, Roman numerals, ...), which the class below would take for letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NUMBER = re.compile(f"[{_NUMBERS}]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,7 +118,6 @@ class Lattice:
                 uses[:, c] += np.bincount(self.piece[a:b], share[:, c], minlength=len(p))
         return uses
 
-
     def log_forward(self, logp: np.ndarray) -> np.ndarray:
         """Logarithms of alpha[position, word, language]."""
         n, top = len(self.lengths), int(self.lengths.max(initial=0))
@@ -173,7 +175,11 @@ def _groups(words: Sequence[bytes], languages: int) -> Iterator[list[int]]:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters (Unicode's categories L), lower-cased."""
+    text = text.lower()
+    if not text.isascii() and _NUMBER.search(text):
+        text = _NUMBER.sub(" ", text)
+    return _LETTERS.findall(text)
 
 
 def _bytes(word: str) -> bytes:
