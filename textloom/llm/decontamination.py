@@ -1,12 +1,11 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Words of documents are mapped to the symbols of the benchmark's own words; all
-other words are one symbol that no test phrase holds, and runs of known words
-too short for the shortest phrase become such a symbol too. Each shard (about
-``scan.CHUNK_BYTES`` of text within a task) gets an FM-index of its symbols. All
-test phrases are searched backwards at once through wavelet-tree ranks, their
+Each shard (about ``scan.CHUNK_BYTES`` of text within a task) gets an FM-index of all
+its words, with a mark after each document: its symbols are the shard's own
+vocabulary, so it can be asked for any phrase. All test phrases whose words the
+shard knows are searched backwards at once through wavelet-tree ranks, their
 occurrences are located by sampled suffix positions, and the spans of words
-below them are merged.
+below them are merged. Nothing of a shard is left out of its index.
 
 The benchmark is the query set. It is split into blocks of at most
 ``BLOCK_WORDS`` words, only one of which is sent to the executors at a time; the
@@ -58,58 +57,52 @@ class Phrases:
             at += len(part.hash)
         hashes = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
-        symbols = symbols + 2  # 0 ends a shard, 1 is any other word
-        self.sigma = len(self.vocabulary) + 2
-        lengths = np.array([n for _, n in rows], np.int64)
         matrix = np.zeros((len(rows), window), np.int64)
         for r, (begin, n) in enumerate(rows):
-            matrix[r, :n] = symbols[begin : begin + n]
+            matrix[r, :n] = symbols[begin : begin + n] + 1
         self.patterns, which = np.unique(matrix, axis=0, return_inverse=True) if len(rows) else (matrix, np.zeros(0, np.int64))
         self.lengths = (self.patterns > 0).sum(1)
-        self.least = int(lengths.min()) if len(rows) else 0
         self.items: list[set[str]] = [set() for _ in range(len(self.patterns))]
         for r, k in enumerate(which.ravel().tolist()):
             if ids[owner[r]] is not None:
                 self.items[k].add(str(ids[owner[r]]))
 
+
+class Shard:
+    """The FM-index of all words of some documents."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
+        docs = np.diff(first)
+        text = np.ones(len(hashes) + len(docs), np.int64)  # 1 stands after each document; 0 ends the shard
+        self.to_word = np.arange(len(text)) - np.repeat(np.arange(len(docs)), docs + 1)
+        own = np.ones(len(text), bool)
+        own[first[1:] + np.arange(len(docs))] = False
+        text[own] = symbols.ravel() + 2
+        self.index = FMIndex(text, len(self.vocabulary) + 2)
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Symbols of words; 0 for those that the shard does not hold."""
         if not len(self.vocabulary):
-            return np.ones(len(hashes), np.int64)
+            return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 2, 1)
-
-
-def _shard_text(symbols: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of known words that can hold a phrase, each followed by symbol 1, and their words' places."""
-    known = symbols > 1
-    start, stop = known.copy(), known.copy()
-    inner = first[(first > 0) & (first < len(symbols))]
-    start[1:] &= ~known[:-1]
-    stop[:-1] &= ~known[1:]
-    start[inner] = known[inner]
-    stop[inner - 1] = known[inner - 1]
-    begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    long = end - begin >= max(least, 1)
-    begin, end = begin[long], end[long]
-    size = end - begin + 1
-    offset = np.cumsum(size) - size
-    places = np.repeat(begin - offset, size) + np.arange(size.sum())
-    text = symbols[np.minimum(places, len(symbols) - 1)] if len(symbols) else symbols
-    text[offset + size - 1] = 1
-    return text, places
+        return np.where(self.vocabulary[at] == hashes, at + 2, 0)
+
+    def find(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of every occurrence of rows of symbols."""
+        lo, hi = self.index.search(patterns, lengths)
+        count = hi - lo
+        rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return self.to_word[self.index.locate(rows)], np.repeat(np.arange(len(lo)), count)
 
 
 def _hits(words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """(first word, phrase) of every occurrence in a chunk."""
-    text, places = _shard_text(phrases.symbols(words.hash), words.first, phrases.least)
-    if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    index = FMIndex(text, phrases.sigma)
-    lo, hi = index.search(phrases.patterns, phrases.lengths)
-    count = hi - lo
-    phrase = np.repeat(np.arange(len(lo)), count)
-    rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return places[index.locate(rows)], phrase
+    shard = Shard(words.hash, words.first)
+    own = np.concatenate(([0], shard.symbols(phrases.vocabulary)))
+    known = np.flatnonzero(((own[phrases.patterns] > 0) | (phrases.patterns == 0)).all(1))
+    start, which = shard.find(own[phrases.patterns[known]], phrases.lengths[known])
+    return start, known[which]
 
 
 def _search(phrases, carried: int):

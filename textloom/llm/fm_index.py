@@ -6,30 +6,32 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling; only ties are sorted again in each round.
+    """Suffix order of symbols that end with their only 0, by prefix doubling from as many symbols as fit 63 bits.
 
-    The rank of a suffix is the first place of its group of ties in the order.
+    The rank of a suffix is the first place of its group of ties in the order; only ties are sorted again in each round.
     """
-    n = len(text)
-    order = np.argsort(text, kind="stable")
+    n, bits = len(text), max(1, int(text.max()).bit_length())
+    span = max(1, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(span):
+        key <<= bits
+        key[: max(n - j, 0)] |= text[j:]
+    order = np.argsort(key)
     rank = np.zeros(n, np.int64)
-    tied = np.arange(n)
-    key = (text[order],)
-    span = 0
-    while len(tied):
-        if span:
-            suffixes = order[tied]
-            group = rank[suffixes]
-            after = np.where(suffixes + span < n, rank[np.minimum(suffixes + span, n - 1)] + 1, 0)
-            again = np.lexsort((after, group))
-            order[tied] = suffixes[again]
-            key = (group[again], after[again])
-        heads = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in key], axis=0))))
+    tied, key = np.arange(n), key[order]
+    while True:
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.concatenate((heads, [len(tied)])))
         rank[order[tied]] = np.repeat(tied[heads], sizes)
         tied = tied[np.repeat(sizes, sizes) > 1]
-        span = span * 2 or 1
-    return order
+        if not len(tied):
+            return order
+        suffixes = order[tied]
+        after = np.where(suffixes + span < n, rank[np.minimum(suffixes + span, n - 1)] + 1, 0)
+        key = rank[suffixes] << 32 | after
+        again = np.argsort(key)
+        order[tied], key = suffixes[again], key[again]
+        span *= 2
 
 
 class WaveletMatrix:
