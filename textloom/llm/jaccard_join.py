@@ -25,7 +25,7 @@ then components are formed. What is left are pairs of one leader's sets that are
 in different components. Each leader's sets are dealt as tiles: *heads* (sets outside
 the leader's largest component, at most about ``HEAD_BYTES``) against *rows* (about
 ``ROWS`` sets). A first pass tests all pairs of a tile by size and by parity sketches of over
-four bits a shingle, whose Hamming distance never exceeds the true difference, and
+two bits a shingle, whose Hamming distance never exceeds the true difference, and
 gives the sets that have a partner left; a second pass deals only those, with their
 whole sets, verifies, and joins components as it goes: a pair whose components are
 joined is not looked at, and a tile gives fewer links than it has rows. All
@@ -103,8 +103,8 @@ def set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketches of sets one after the other, and how many words each has: a power of two, from a 16th of its size."""
-    words = 1 << np.ceil(np.log2(np.maximum(size / 16, 1))).astype(np.int64)
+    """Parity sketches of sets one after the other, and how many words each has: a power of two, from a 32nd of its size."""
+    words = 1 << np.ceil(np.log2(np.maximum(size / 32, 1))).astype(np.int64)
     begin = np.cumsum(words) - words
     bit = (mix(tokens ^ U64(0x8EBC6AF09C88C6E3)) & (np.repeat(words, size) * 64 - 1).astype(U64)).astype(np.int64)
     flat = np.zeros(int(words.sum()), U64)
@@ -317,7 +317,7 @@ def _fetch(k: int):
                 for a in range(0, len(first) - 1, 2048):
                     b = min(a + 2048, len(first) - 1)
                     some, size = tokens[first[a] : first[b]], np.diff(first[a : b + 1])
-                    yield pa.RecordBatch.from_arrays([batch.column("sid").slice(rows.start + a, b - a), _binary(some, size), _binary(*sketches(some, size))], names=["sid", "tokens", "marks"])
+                    yield pa.RecordBatch.from_arrays([batch.column("sid").slice(rows.start + a, b - a), pa.array(size.astype(np.int32)), _binary(some, size), _binary(*sketches(some, size))], names=["sid", "n", "tokens", "marks"])
 
     return run
 
@@ -341,11 +341,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
 
+def near(a: np.ndarray, b: np.ndarray, total: int) -> bool:
+    """Whether two sketches leave it open that their sets, of so many shingles together, are linked."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return 9 * int(np.bitwise_count(a ^ b).sum()) <= total
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+        keep = pa.array([near(a, b, n) for a, b, n in zip(_sets(batch.column("ma")), _sets(batch.column("mb")), total)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Pairs (u, v) with columns of either set, named by their initial and a or b."""
+    for side, key in (("a", "u"), ("b", "v")):
+        pairs = pairs.join(sets.select(F.col("sid").alias(key), *(F.col(c).alias(initial + side) for c, initial in names.items())), key)
+    return pairs.select("u", "v", *(initial + side for initial in names.values() for side in "ab"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose sets are as similar as asked."""
-    sets = sets.select("sid", "tokens")
-    first = pairs.join(sets.withColumnsRenamed({"sid": "u", "tokens": "ta"}), "u")
-    return first.join(sets.withColumnsRenamed({"sid": "v", "tokens": "tb"}), "v").select("u", "v", "ta", "tb").mapInArrow(tidy(_verify), "u long, v long")
+    """Pairs (u, v) whose sets are as similar as asked: tested by sketches, what is left by whole sets."""
+    left = materialize(_with_both(pairs, sets, {"n": "n", "marks": "m"}).mapInArrow(tidy(_near_pairs), "u long, v long"), "near-pairs")
+    return _with_both(left, sets, {"tokens": "t"}).mapInArrow(tidy(_verify), "u long, v long")
 
 
 class Side:
@@ -481,9 +503,9 @@ def _deal(marked: DataFrame, data: DataFrame, bits: int) -> DataFrame:
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between components, of sets (lead, sid, n) with a leader in common."""
     marked = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    near = _deal(marked, sets.select("sid", F.col("marks").alias("data")), 8).mapInArrow(tidy(_near_rows), "lead long, sid long, n long, root long")
-    near = materialize(near.distinct(), "near-sets")
-    return _deal(near, sets.select("sid", F.col("tokens").alias("data")), 64).mapInArrow(tidy(_tile_links), "u long, v long")
+    close = _deal(marked, sets.select("sid", F.col("marks").alias("data")), 8).mapInArrow(tidy(_near_rows), "lead long, sid long, n long, root long")
+    close = materialize(close.distinct(), "near-sets")
+    return _deal(close, sets.select("sid", F.col("tokens").alias("data")), 64).mapInArrow(tidy(_tile_links), "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -511,7 +533,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carriers = materialize(carriers, "carriers")
     n_carriers = carriers.count()
     fetched = F.broadcast(carriers) if n_carriers <= FETCH_BROADCAST else carriers
-    sets = materialize(bodies.join(fetched, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, tokens binary, marks binary"), "sets")
+    sets = materialize(bodies.join(fetched, ["k1", "k2"]).select("sid", "text").mapInArrow(tidy(_fetch(shingle)), "sid long, n int, tokens binary, marks binary"), "sets")
     if sets.count() > n_carriers:  # rows of one id and text: each gave its set
         sets, old = materialize(sets.dropDuplicates(["sid"]), "sets"), sets
         discard(old)
