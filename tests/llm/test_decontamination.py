@@ -82,3 +82,34 @@ def test_cut_and_empty(spark):
     assert {x.doc_id: x.t for x in out} == {1: "Keep, . and ü", 2: "", 3: None, 4: "clean  text "}
     assert decontaminate(df.limit(0), bench).count() == 0
     assert {tuple(x.spans) for x in decontaminate(df, bench.limit(0)).collect()} == {()}
+
+
+def test_index_answers_phrases_outside_the_benchmark():
+    import pyarrow as pa
+
+    from textloom.llm.decontamination import Shard
+    from textloom.llm.scan import NON_ALNUM, hash_bytes, scan
+
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randint(0, 30)}" for _ in range(r.randint(0, 80))) for _ in range(40)]
+    words = next(scan(pa.array(texts), NON_ALNUM, lower=True))
+    shard = Shard(words.hash, words.first)
+    every = [w for t in texts for w in t.split()]
+    for _ in range(60):
+        phrase = [f"w{r.randint(0, 31)}" for _ in range(r.randint(1, 3))]
+        symbols = shard.symbols(hash_bytes([w.encode() for w in phrase]))
+        got = sorted(shard.find(symbols[None, :], np.array([len(phrase)]))[0].tolist()) if symbols.all() else []
+        ends = {int(x) for x in words.first}
+        assert got == [i for i in range(len(every)) if every[i : i + len(phrase)] == phrase and not any(i < e < i + len(phrase) for e in ends)]
+
+
+def test_long_texts(spark):
+    r = random.Random(2)
+    long = [f"w{r.randint(0, 5000)}" for _ in range(60_000)]
+    items = [(1, " ".join(long[40_000:40_030])), (2, " ".join(long[5:9])), (3, "y " * 12)]
+    docs = [(1, " ".join(long)), (2, "y " * 30_000), (3, "z" * 400_000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: (x.n_words, [tuple(s) for s in x.spans], list(x["items"])) for x in decontaminate(df, bench).collect()}
+    assert got[2] == (30_000, [(0, 30_000)], ["3"]) and got[3] == (1, [], [])
+    assert got[1][0] == 60_000 and (40_000, 40_030) in got[1][1] and (5, 9) in got[1][1] and set(got[1][2]) == {"1", "2"}

@@ -53,5 +53,23 @@ def test_stages_against_brute_force(spark):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_repeated_and_null_ids_in_groups(spark):
+    long = lambda k: " ".join(f"w{k}{i}" for i in range(60))
+    near = long("b").replace("wb30 ", "x ")
+    rows = [(5, long("a")), (5, near), (2, long("b")), (2, near), (None, long("c")), (None, long("c")), (None, long("a")), (9, long("d")), (9, long("d")), (7, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == len(set(got)) == 5
+    assert {(5, long("a")), (9, long("d")), (7, "one"), (None, long("c"))} <= set(got)
+    assert len({t for i, t in got if i == 2} & {long("b"), near}) == 1
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "t")
+        assert docs.count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100

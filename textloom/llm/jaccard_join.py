@@ -508,11 +508,16 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     return _deal(close, sets.select("sid", F.col("tokens").alias("data")), 64).mapInArrow(tidy(_tile_links), "u long, v long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every row of ``docs``."""
-    spark = docs.sparkSession
+def row_keys(id_col: str, text_col: str) -> list:
+    """The 96 bits, as ``k1`` and ``k2``, by which rows of an id and a text are told apart."""
     key = [F.col(id_col), F.col(text_col)]
-    keyed = docs.select(F.xxhash64(*key).alias("k1"), F.hash(*reversed(key)).cast("long").alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return [F.xxhash64(*key).alias("k1"), F.hash(*reversed(key)).cast("long").alias("k2")]
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keyed_rows: bool = False) -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every row of ``docs``; with ``keyed_rows`` also ``k1, k2``, see :func:`row_keys`."""
+    spark = docs.sparkSession
+    keyed = docs.select(*row_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bodies = keyed.select("k1", "k2", "text")
 
     scanned = materialize(bodies.mapInArrow(tidy(_id_rows(shingle)), "k1 long, k2 long, sid long, n long"), "set-ids")
@@ -552,5 +557,5 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(scanned)
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     return named.join(least, "root", "left").select(
-        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
+        *(["k1", "k2"] if keyed_rows else []), F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
     )
