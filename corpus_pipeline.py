@@ -6,7 +6,7 @@ text. The last returns each document's tokens.
 
 Cases: null and letterless texts are rejected by the first stage, so later ones
 see only texts with words. Documents whose text is used up by a removing stage go.
-An empty table passes through.
+Rows with an id in common are told apart by their texts. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from textloom.llm import language_id
 from textloom.llm.bpe import encode_and_decode
 from textloom.llm.decontamination import cut_spans, decontaminate
-from textloom.llm.jaccard_join import jaccard_join
+from textloom.llm.jaccard_join import jaccard_join, row_keys
 from textloom.llm.scratch import discard, materialize, shrink_heaps
 from textloom.llm.substring_dedup import dedup_substrings
 
@@ -40,13 +40,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the least id (one row of it)."""
+    """Keeps of each group of linked documents one row with the least id; rows of groups without any id stay, one for each text."""
     shrink_heaps(spark)
-    groups = jaccard_join(docs).where("component_id = doc_id OR component_id IS NULL")
-    kept = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    groups = jaccard_join(docs, keyed_rows=True)
+    least = groups.where("component_id = doc_id").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n")).select("k.k1", "k.k2", "n")
+    unnamed = groups.where("component_id IS NULL").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    kept = materialize(least.unionByName(unnamed), "kept")
+    rows = docs.select(*row_keys("doc_id", "text"), *COLUMNS).join(kept.select("k1", "k2"), ["k1", "k2"], "left_semi")
     if not kept.where("n > 1").isEmpty():  # rows that repeat an id and a text are one document
-        rows = rows.dropDuplicates(["doc_id", "text"])
+        rows = rows.dropDuplicates(["k1", "k2"])
     return rows.select(*COLUMNS)
 
 
