@@ -99,3 +99,47 @@ def test_lineage_and_closure(spark):
     cands = spark.createDataFrame([("k", ["e1", "e2"]), ("l", ["e3"])], "candidate_id string, evidence_ids array<string>")
     have = spark.createDataFrame([("k", "e1"), ("l", "e3"), ("m", "e9")], "candidate_id string, evidence_id string")
     assert {r.candidate_id: (r.missing, r.extra) for r in E.closure_breaks(cands, have).collect()} == {"k": (["e2"], []), "m": ([], ["e9"])}
+
+
+def test_routing_policies_differ(spark):
+    columns = "id int, whole_state string, whole_canonical string, strength string, morph_state string, morph_canonical string, fallback string, marks boolean, vowels boolean"
+    tokens = spark.createDataFrame([
+        (1, "LEXICON_RESOLVED", "w", "COMPETING_REVIEWED", "AMBIGUOUS", None, "f", False, False), (2, None, None, "CANDIDATE_SHAPE_ONLY", "UNRESOLVED", None, "f", False, False),
+        (3, None, None, "CANDIDATE_SHAPE_ONLY", "UNRESOLVED", None, "f", False, True), (4, None, None, "COMPETING_REVIEWED", "AMBIGUOUS", None, "f", False, False),
+        (5, None, None, "CONFIRMED_REVIEWED", "LEXICON_RESOLVED", "s-t", "f", False, False), (6, None, None, None, None, None, "f", False, True), (7, None, None, None, None, None, "f", False, False),
+        (8, "LEXICON_RESOLVED", "w", None, None, None, None, True, False)], columns)
+    answers = lambda policy: {r.id: (r.state, r.canonical, r.proposal) for r in R.routed(tokens, policy).collect()}
+    now, safe = answers("CURRENT_PRODUCTION"), answers("SAFE_WHOLE_WORD_EVIDENCE")
+    assert now[1] == ("AMBIGUOUS", None, None) and safe[1] == ("LEXICON_RESOLVED", "w", None)
+    assert now[2] == ("UNRESOLVED", None, None) and safe[2] == ("UNRESOLVED", None, "f")
+    assert now[3] == safe[3] == ("UNRESOLVED", None, None)
+    assert now[4] == ("AMBIGUOUS", None, None) and safe[4] == ("UNRESOLVED", None, "f")
+    assert now[5] == safe[5] == ("LEXICON_RESOLVED", "s-t", None)
+    assert now[6] == ("UNRESOLVED", None, "f") and safe[6] == ("UNRESOLVED", None, None)
+    assert now[7] == safe[7] == ("UNRESOLVED", None, "f") and now[8] == safe[8] == ("UNRESOLVED", None, None)
+    with pytest.raises(ValueError):
+        R.routed(tokens, "OTHER")
+
+
+def test_seven_rules_of_review(spark):
+    tokens = spark.createDataFrame([
+        (1, "UNRESOLVED", "CANDIDATE", True, True, ["x"], None, None), (2, "UNRESOLVED", "CANDIDATE", False, True, ["x"], None, None), (3, "UNRESOLVED", None, None, None, ["x"], "INSUFFICIENT_VOCALIZATION", None),
+        (4, "UNRESOLVED", None, None, None, [], "INSUFFICIENT_VOCALIZATION", "p"), (5, "AMBIGUOUS", None, None, None, [], None, "p"), (6, "UNRESOLVED", None, None, None, [], None, "p"),
+        (7, "UNRESOLVED", None, None, None, [], None, None), (8, "LEXICON_RESOLVED", "CANDIDATE", True, True, ["x"], None, None)],
+        "idx int, state string, morph_status string, whole_word boolean, allomorph boolean, unsupported_marks array<string>, blocking string, proposal string").withColumns({"doc": F.lit(1), "start": F.col("idx"), "surface": F.lit("w")})
+    found = R.review_issues(tokens, "doc")
+    assert {r.idx: r.issue_type for r in found.collect()} == {
+        1: "MORPHOLOGY_AMBIGUITY", 2: "UNSUPPORTED_ALLOMORPH", 3: "UNSUPPORTED_ORTHOGRAPHIC_EVIDENCE", 4: "INSUFFICIENT_VOCALIZATION", 5: "LEXICAL_AMBIGUITY", 6: "EVIDENCE_DERIVED_READING", 7: "UNKNOWN_TOKEN"}
+    assert [x.start for x in R.in_order(found, "doc").first()["issues"]] == [1, 2, 3, 4, 5, 6, 7]
+    relations = spark.createDataFrame([(1, 0, "CANDIDATE", None), (1, 2, "CANDIDATE", "REJECTED"), (1, 4, "CONFIRMED", None)], "doc int, src_idx int, status string, disposition string")
+    assert [(r.idx, r.issue_type) for r in R.relation_issues(relations, "doc").collect()] == [(0, "IZAFAT_CANDIDATE")]
+    states = spark.createDataFrame([(1, "LEXICON_RESOLVED")], "doc int, state string")
+    assert R.document_status(states, "doc", "state", relations).first()["status"] == "AMBIGUOUS"
+
+
+def test_small_counts_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([("x" * 100,)] * 50, "v string")
+    hinted = lambda: "ResolvedHint" in R.small(df)._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 5000)
+    assert not hinted()

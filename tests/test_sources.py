@@ -101,8 +101,23 @@ def test_catalogue_json_and_pages(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     for k in range(3):
         (tmp_path / "pages" / f"{k}.json").write_text(json.dumps({"results": [{"id": f"{k}-{i}", "title": "t", "language": "fa", "type": "book", "year": 2000} for i in range(2)]}))
-    spark.dataSource.register(remote.WorksSource)
-    assert spark.read.format("works").option("pages", str(tmp_path / "pages")).load().select("id").distinct().count() == 6
+    saved = remote.saved_pages(spark, str(tmp_path / "pages"))
+    assert saved.select("id").distinct().count() == 6 and saved.first()["year"] == 2000
+    (tmp_path / "cursors").mkdir()
+    for k, (cursor, after) in enumerate([("*", "a"), ("a", "b"), ("a", None)]):
+        (tmp_path / "cursors" / f"{k}.json").write_text(json.dumps({"cursor": cursor, "next": after, "results": []}))
+    got = {(r.page, r.finding) for r in remote.page_findings(spark, str(tmp_path / "cursors")).collect()}
+    assert got == {("1.json", "MISSING_NEXT"), ("1.json", "CURSOR_TWICE"), ("2.json", "CURSOR_TWICE")}
+
+
+def test_paged_source(spark):
+    def fetch(query, cursor):
+        k = 0 if cursor == "*" else int(cursor)
+        return 200, {"results": [{"id": f"{query}{k}", "title": "t", "year": 2000 + k}], "next": str(k + 1) if k < 3 else None}, None
+
+    spark.dataSource.register(remote.paged_source("works", fetch, budget=3))
+    rows = spark.read.format("works").option("queries", "a\nb").load().collect()
+    assert sorted((r.id, r.year) for r in rows) == [(f"{q}{k}", 2000 + k) for q in "ab" for k in range(3)]
 
 
 def test_pager():

@@ -81,3 +81,56 @@ def test_stream_equals_batch(spark, tmp_path):
     G.running_counts(G.stream_parquet(spark, str(tmp_path / "in"), 2), ["k"], "v", "counts", str(tmp_path / "cp2")).awaitTermination()
     batch = source.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     assert {(r.k, r.n, r.total) for r in spark.table("counts").collect()} == {(r.k, r.n, r.total) for r in batch.collect()}
+
+
+def test_guarded_publication_and_its_memory_twin(spark, tmp_path):
+    path, keys = str(tmp_path / "s"), ["provider", "source_id"]
+    one, two = rows(spark, [("a", "1", "x"), ("a", "2", "y")]), rows(spark, [("a", "1", "z")])
+    memory = V.MemoryStore()
+    first = V.publish_incremental(one, path, "s1", keys, "h", keys, None)
+    assert first.first() == memory.publish(one, "s1", keys, "h", keys).first()
+    for store in (lambda e: V.publish_incremental(two, path, "s2", keys, "h", keys, e), lambda e: memory.publish(two, "s2", keys, "h", keys, e)):
+        with pytest.raises(ValueError, match="active snapshot is s1"):
+            store(None)
+        assert store("s1").first()["candidate_count"] == 2
+    want = [("a", "1", "z"), ("a", "2", "y")]
+    assert sorted(map(tuple, V.active(spark, path).collect())) == sorted(map(tuple, memory.active().collect())) == want
+    V.activate(spark, path, "s1")
+    memory.restore("s1")
+    assert V.pointed(spark, path) == (3, "s1") and memory.active().count() == 2
+    with pytest.raises(ValueError):
+        memory.restore("none")
+    assert V.pointed(spark, str(tmp_path / "empty")) == (0, None)
+
+
+def test_append_only_lists_and_manifests(spark):
+    before = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 2)], "k int, v string, n int")
+    after = spark.createDataFrame([(1, "a", None), (2, "b", 9), (4, "d", 0)], "k int, v string, n int")
+    assert {r.k: r.finding for r in V.immutable_breaks(before, after, "k", ["v", "n"]).collect()} == {2: "UPDATED", 3: "DELETED"}
+    lists = spark.createDataFrame([(1, '["a","b"]'), (2, "[]"), (3, None), (4, "no json")], "k int, items string")
+    assert sorted((r.k, r.item) for r in V.lateral_items(lists, "items", "item").collect()) == [(1, "a"), (1, "b")]
+    with pytest.raises(ValueError):
+        V.with_manifest(before, after)
+    with pytest.raises(ValueError):
+        V.bounded(before, [F.asc("k")], 101)
+    null = V.insert_evidence(spark.createDataFrame([(1, None), (2, "x")], "k int, h string"), spark.createDataFrame([(1, None), (2, None), (3, None)], "k int, h string"), "k", "h")
+    assert {r.k: r.outcome for r in null.collect()} == {1: "IDEMPOTENT", 2: "VIOLATION", 3: "INSERT"}
+
+
+def test_numbering_of_a_hot_key(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("string").alias("fp"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("a"), F.col("id").alias("b"))
+    got = {r.b: r.record_id for r in S.occurrence_ids(df, "fp", ["a", "b"]).collect()}
+    seen, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b)):
+        seen[r.fp] = seen.get(r.fp, 0) + 1
+        want[r.b] = f"record:{r.fp}:{seen[r.fp]}"
+    assert got == want
+
+
+def test_a_target_belongs_to_one_checkpoint(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(str(tmp_path / "in"))
+    stream = G.stream_parquet(spark, str(tmp_path / "in"))
+    G.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"]).awaitTermination()
+    with pytest.raises(Exception, match="another checkpoint"):
+        G.ingest(stream, str(tmp_path / "out"), str(tmp_path / "other"), ["k"]).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1

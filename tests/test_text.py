@@ -74,3 +74,15 @@ def test_hashes(spark):
     assert one(spark, '{"b": [1, {"d": 2, "c": 3}], "a": null}', H.stable_json(X)) == '{"a":null,"b":[1,{"c":3,"d":2}]}'
     assert one(spark, "hello\n", H.git_blob_sha1(X)) == "ce013625030ba8dba906f756967f9e9ca394464a"
     assert one(spark, None, H.content_id(X, F.lit("b"))) == one(spark, "", H.content_id(X, F.lit("b")))
+
+
+def test_json_strings_as_scripts_write_them(spark):
+    import hashlib
+    import json
+
+    texts = ["plain", 'q"uo\\te', "line\nfeed\ttab\r\b\f", "\x00\x01\x1f end", "é 🙂 /", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.j, r.h) for r in df.select("t", H.json_string(F.col("t")).alias("j"), H.quoted_sha256(F.col("t")).alias("h")).collect()}
+    for t in texts:
+        want = json.dumps(t, ensure_ascii=False)
+        assert got[t] == (want, hashlib.sha256(want.encode()).hexdigest())

@@ -54,8 +54,17 @@ def stable_json(s: pd.Series) -> pd.Series:
 
 def quoted_sha256(c: Column) -> Column:
     """HSH6: hash of a string as JSON, quotes and all."""
-    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.sha2(F.concat(F.lit('"'), escaped, F.lit('"')), 256)
+    return F.sha2(json_string(c), 256)
+
+
+def json_string(c: Column) -> Column:
+    """A string as JSON text: quotes, backslashes and control characters escaped, all else as it is."""
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    full = plain
+    for k in range(32):
+        full = F.replace(full, F.lit(chr(k)), F.lit("\\" + short.get(k, f"u{k:04x}")))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1F]"), full).otherwise(plain), F.lit('"'))
 
 
 def set_fingerprint(values: Column) -> Column:
@@ -68,6 +77,16 @@ def manifest_checksum(head: list[Column], lines: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *head, F.array_join(F.array_sort(F.collect_list(lines)), "\n")), 256)
 
 
+def bucketed_checksum(rows, keys: list[str], line: Column):
+    """HSH8 by parts: lines are hashed by the first two digits of their own hash, then the hashes by key.
+
+    No task gathers a key's lines: a bucket is one in 256 of them.
+    """
+    own = rows.select(*keys, line.alias("_line")).withColumn("_b", F.substring(F.sha2("_line", 256), 1, 2))
+    parts = own.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), manifest_checksum([F.first("_b")], F.col("_line")).alias("_h"))
+    return parts.groupBy(*keys).agg(manifest_checksum([F.first(F.concat_ws(":", *keys))], F.concat_ws(":", "_b", "_h")).alias("checksum"), F.sum("_n").alias("n"))
+
+
 def git_blob_sha1(content: Column) -> Column:
     """HSH9"""
     raw = content.cast("binary")

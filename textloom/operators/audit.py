@@ -203,3 +203,59 @@ def field_presence(df: DataFrame, fields: list[str]) -> DataFrame:
     present = lambda c: F.count_if(F.col(c).isNotNull() & (F.length(F.col(c).cast("string")) > 0))
     one = df.agg(F.count("*").alias("rows"), *(present(c).alias(c) for c in fields))
     return one.select("rows", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("present")) for c in fields))).alias("f")).select("f.field", "f.present", "rows")
+
+
+def ordered_json(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """AGG37: each key's rows as one JSON list, in order of their columns; a key's rows are the largest group."""
+    return rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("items"))
+
+
+def pilot_metrics(linked: DataFrame) -> DataFrame:
+    """AGG39: linked fields and records by status."""
+    by = linked.groupBy("status", "record_id").agg(F.count("*").alias("n"))
+    return by.groupBy("status").agg(F.sum("n").alias("fields"), F.count("*").alias("records"))
+
+
+def interpretation_report(forms: DataFrame) -> DataFrame:
+    """AGG40: forms and evidence by the consensus of their hypotheses."""
+    return forms.groupBy("consensus").agg(F.count("*").alias("forms"), F.sum("evidence_count").alias("evidence"))
+
+
+# Lexicon categories of entity types.
+CATEGORIES = {"PERSON": "proper-noun", "PLACE": "proper-noun", "WORD": "noun"}
+
+
+def entity_category(kind: Column) -> Column:
+    """MSC6: the lexicon category of an entity type."""
+    out = F.lit("unmapped")
+    for k, v in CATEGORIES.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return out
+
+
+def validate_candidates(rows: DataFrame, ident: str, rules: list[tuple[str, Column]], families: dict[str, Column], order: str, known: DataFrame, key: str) -> DataFrame:
+    """MSC14: one list of findings of schema rules, duplicates by key family, and overlap with known keys."""
+    from textloom.operators.store import violations
+
+    schema = violations(rows, rules, [ident]).select(ident, F.concat(F.lit("SCHEMA:"), "violation").alias("finding"))
+    twice = family_duplicates(rows, ident, families, order).select(ident, F.concat(F.lit("DUPLICATE:"), "family").alias("finding"))
+    overlap = rows.join(known.select(key).distinct(), key, "left_semi").select(ident, F.lit("OVERLAP").alias("finding"))
+    return schema.unionByName(twice).unionByName(overlap)
+
+
+def review_candidates(rows: DataFrame) -> DataFrame:
+    """MSC17: eligible rows as a reviewer's candidates."""
+    return rows.where("eligibility = 'ELIGIBLE'").select("candidate_id", "surface")
+
+
+def triage(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """DOM24: a row's class by its id; ids without a rule are UNCLASSIFIED."""
+    from textloom.operators.resolve import small
+
+    return rows.join(small(rules.select("id", F.col("triage").alias("_t"))), "id", "left").withColumn("triage", F.coalesce("_t", F.lit("UNCLASSIFIED"))).drop("_t")
+
+
+def rule_registry(spark) -> DataFrame:
+    """MSC3: the consonant rules as a dimension table: letter, rendering, and whether that is one letter."""
+    rows = [(k, v, "SINGLE" if len(v) == 1 else "MULTIPLE") for k, v in T.CONSONANTS.items()]
+    return spark.createDataFrame(rows, "letter string, rendering string, status string")

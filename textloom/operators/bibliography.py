@@ -145,6 +145,11 @@ def review_csv(processed: DataFrame) -> DataFrame:
     return processed.select("record_id", F.array_join(F.transform(cells, T.csv_cell), ",").alias("line"))
 
 
+def sheet(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """SNK7/8: a review sheet: the given columns as one CSV line for each row."""
+    return rows.select(F.array_join(F.transform(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), T.csv_cell), ",").alias("line"))
+
+
 def final_csv(records: DataFrame, fields: DataFrame, columns: list[str]) -> DataFrame:
     """SNK2: final values in columns, then the sorted union of passthrough headers."""
     heads = [r["h"] for r in records.select(F.explode(F.map_keys("passthrough")).alias("h")).distinct().orderBy("h").collect()]

@@ -149,3 +149,18 @@ def accuracy(references: DataFrame, predictions: DataFrame) -> DataFrame:
         F.count_if(normal(F.col("proposal")) == normal(F.col("canonical"))).alias("normalized"),
     )
     return out.withColumn("exact_interval", wilson(F.col("exact"), F.col("cases")))
+
+
+def dominant(counts: DataFrame, category: str, value: str) -> DataFrame:
+    """AGG42: the category with the greatest value, ties to the least name; ``counts`` is already aggregated."""
+    return counts.select(category, value).orderBy(F.desc(value), F.asc(category)).limit(1)
+
+
+def frozen_baseline(cases: DataFrame, ident: str, outcome: str) -> DataFrame:
+    """MSC9: for each class its number of cases and their ids in order (a benchmark's cases, not a corpus's)."""
+    return cases.groupBy(outcome).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(ident)).alias("cases"))
+
+
+def before_and_after(tokens: DataFrame, covered: str, also: Column) -> DataFrame:
+    """MSC12: tokens that are covered before and after a change."""
+    return tokens.agg(F.count("*").alias("tokens"), F.count_if(F.col(covered)).alias("before"), F.count_if(also).alias("after"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 ZWNJ = T.ZWNJ
 
 # Productive suffixes: surface, type, host categories, rendering, needs a consonant-final host, allowed without a joiner.
@@ -30,8 +30,14 @@ _RULE = "suffix string, type string, hosts array<string>, rendering string, cons
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint behind a check of the size; beyond it the join is left to shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A broadcast hint behind a check of the size; beyond it the join is left to shuffle.
+
+    Rows and the bytes of their texts and arrays are counted, of at most one row more than may be broadcast.
+    """
+    wide = [F.octet_length(F.col(c).cast("string")) for c, kind in df.dtypes if kind == "string"] + [16 * F.size(c) for c, kind in df.dtypes if kind.startswith("array")]
+    size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(df.columns)))
+    n, total = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,8 +188,47 @@ def published_authority(phrases: DataFrame, entries: DataFrame) -> DataFrame:
 _SEVERITY = ("DETERMINISTIC", "LEXICON_RESOLVED", "USER_OVERRIDE", "AMBIGUOUS", "UNRESOLVED")
 
 
-def document_status(tokens: DataFrame, id_col: str, state: str = "state") -> DataFrame:
-    """AGG33: the most severe state of a document's tokens."""
+def routed(tokens: DataFrame, policy: str = "CURRENT_PRODUCTION") -> DataFrame:
+    """DOM6: which of a token's resolutions holds, by routing policy.
+
+    Tokens carry ``whole_state`` and ``whole_canonical`` (null without a reviewed entry of the
+    whole word), ``strength``, ``morph_state`` and ``morph_canonical`` (null without a suffix analysis),
+    ``fallback`` (a proposal or null), ``marks`` and ``vowels`` (booleans of the spelling). Production lets any
+    suffix analysis go first; SAFE_WHOLE_WORD_EVIDENCE the reviewed whole word, then confirmed
+    analyses, and a fallback where the analysis is only a shape.
+    """
+    if policy not in ("CURRENT_PRODUCTION", "SAFE_WHOLE_WORD_EVIDENCE"):
+        raise ValueError(policy)
+    safe = policy == "SAFE_WHOLE_WORD_EVIDENCE"
+    text = lambda x: F.lit(x).cast("string")
+    answer = lambda state, canonical, proposal, blocking: F.struct(state.alias("state"), canonical.alias("canonical"), proposal.alias("proposal"), blocking.alias("blocking"))
+    open_ = lambda blocking, proposal=None: answer(text("UNRESOLVED"), text(None), text(None) if proposal is None else proposal, text(blocking))
+    whole = F.col("whole_state").isNotNull()
+    token = F.when(F.col("marks"), open_("UNSUPPORTED_ORTHOGRAPHIC_EVIDENCE")).when(whole, answer(F.col("whole_state"), F.col("whole_canonical"), text(None), text(None)))
+    if safe:
+        token = token.when(F.col("vowels"), open_("INSUFFICIENT_VOCALIZATION"))
+    token = token.when(F.col("fallback").isNotNull(), open_("NO_LEXICAL_ENTRY", F.col("fallback"))).otherwise(open_("NO_LEXICAL_ENTRY"))
+    morph = answer(F.col("morph_state"), F.col("morph_canonical"), text(None), text(None))
+    if safe:
+        shape = (F.col("strength") == "CANDIDATE_SHAPE_ONLY") & ~F.col("vowels") & ~F.col("marks") & F.col("fallback").isNotNull()
+        rival = (F.col("strength") == "COMPETING_REVIEWED") & F.col("fallback").isNotNull()
+        chosen = F.when(whole | F.col("strength").isNull(), token).when(rival, open_("WHOLE_WORD_FALLBACK_MORPHOLOGY_COMPETITION", F.col("fallback"))).when(shape, open_("NO_LEXICAL_ENTRY", F.col("fallback"))).otherwise(morph)
+    else:
+        chosen = F.when(F.col("strength").isNotNull(), morph).otherwise(token)
+    return tokens.withColumn("_a", chosen).select(*tokens.columns, "_a.*")
+
+
+def relation_issues(found: DataFrame, id_col: str) -> DataFrame:
+    """DOM8: an issue for every candidate relation that nobody has decided (``disposition``)."""
+    open_ = found.where("status = 'CANDIDATE' AND coalesce(disposition, '') NOT IN ('ACCEPTED', 'REJECTED')")
+    return open_.select(id_col, F.col("src_idx").alias("idx"), F.lit("IZAFAT_CANDIDATE").alias("issue_type"))
+
+
+def document_status(tokens: DataFrame, id_col: str, state: str = "state", relations: DataFrame | None = None) -> DataFrame:
+    """AGG33: the most severe state of a document's tokens and relations (a candidate relation is ambiguous)."""
+    if relations is not None:
+        open_ = relations.where("status = 'CANDIDATE'").select(id_col, F.lit("AMBIGUOUS").alias(state))
+        tokens = tokens.select(id_col, state).unionByName(open_)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, _SEVERITY)), F.col(state)), F.lit(1))
     return tokens.groupBy(id_col).agg(F.max(rank).alias("_r")).select(id_col, F.element_at(F.array(*map(F.lit, _SEVERITY)), F.col("_r").cast("int")).alias("status"))
 
@@ -199,18 +244,33 @@ def render_documents(tokens: DataFrame, id_col: str, text: str, marks: DataFrame
 
 
 def review_issues(tokens: DataFrame, id_col: str) -> DataFrame:
-    """DOM8/SRT6: the first rule that a token breaks, with a stable id."""
+    """DOM8: the first of seven rules that an open token breaks, with a stable id; ``in_order`` sorts them.
+
+    Optional columns: ``whole_word`` (a reviewed whole word competes), ``allomorph`` (the suffix needs a form that is
+    not supported), ``blocking`` and ``proposal`` as :func:`routed` gives them.
+    """
     from textloom.functions.hashing import fnv1a_32
 
+    has = lambda c: F.col(c) if c in tokens.columns else F.lit(None)
+    yes = lambda c: F.coalesce(has(c).cast("boolean"), F.lit(False))
+    open_ = ~F.coalesce(F.col("state").isin("DETERMINISTIC", "LEXICON_RESOLVED", "USER_OVERRIDE"), F.lit(False))
     kind = (
-        F.when(F.size("unsupported_marks") > 0, "UNSUPPORTED_MARK")
-        .when(F.col("state") == "AMBIGUOUS", "AMBIGUOUS_READING")
-        .when(F.col("morph_status") == "CONFLICT", "MORPHOLOGY_CONFLICT")
-        .when((F.col("state") == "UNRESOLVED") & (F.col("morph_status") == "CANDIDATE"), "MORPHOLOGY_CANDIDATE")
-        .when(F.col("state") == "UNRESOLVED", "UNRESOLVED_WORD")
+        F.when(yes("whole_word") & (F.coalesce("morph_status", F.lit("CONFIRMED")) != "CONFIRMED"), "MORPHOLOGY_AMBIGUITY")
+        .when((F.col("morph_status") == "CANDIDATE") & yes("allomorph"), "UNSUPPORTED_ALLOMORPH")
+        .when(F.size("unsupported_marks") > 0, "UNSUPPORTED_ORTHOGRAPHIC_EVIDENCE")
+        .when(has("blocking") == "INSUFFICIENT_VOCALIZATION", "INSUFFICIENT_VOCALIZATION")
+        .when((F.col("state") == "AMBIGUOUS") | (has("blocking") == "LEXICAL_AMBIGUITY"), "LEXICAL_AMBIGUITY")
+        .when((F.col("state") == "UNRESOLVED") & has("proposal").isNotNull(), "EVIDENCE_DERIVED_READING")
+        .when((F.col("state") == "UNRESOLVED") | has("blocking").isin("NO_LEXICAL_ENTRY", "VOCALIZATION_CONFLICT"), "UNKNOWN_TOKEN")
     )
+    kind = F.when(open_, kind)
     out = tokens.withColumn("issue_type", kind).where("issue_type IS NOT NULL")
-    return out.withColumn("issue_id", fnv1a_32(F.concat_ws("|", "issue_type", F.col("start").cast("string"), "surface"))).select(id_col, "idx", "start", "issue_id", "issue_type").orderBy(id_col, "start", "issue_id")
+    return out.withColumn("issue_id", fnv1a_32(F.concat_ws("|", "issue_type", F.col("start").cast("string"), "surface"))).select(id_col, "idx", "start", "issue_id", "issue_type")
+
+
+def in_order(issues: DataFrame, id_col: str) -> DataFrame:
+    """SRT6: each document's issues as one list, by place, then id; a document is the largest group."""
+    return issues.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "issue_id", "issue_type"))).alias("issues"))
 
 
 def apply_decisions(tokens: DataFrame, decisions: DataFrame, id_col: str) -> DataFrame:

@@ -27,17 +27,34 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 last_wins = latest_per_key  # SET1
 
 
+def _bounds(df: DataFrame, order: list[str], parts: int) -> Column:
+    """The range that a row falls in, by quantiles of the first column of the order (ranges with ties stay whole)."""
+    first = order[0]
+    kind = dict(df.dtypes)[first]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "timestamp_ntz", "date") or kind.startswith("decimal"):
+        cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    else:  # texts: cuts among the hashed least of many
+        some = df.where(F.col(first).isNotNull()).select(first).orderBy(F.xxhash64(first), first).limit(50 * parts).toPandas()[first].sort_values().tolist()
+        cuts = some[50::50]
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.coalesce(c < F.col(first), F.lit(False))))
+
+
 def running(df: DataFrame, order: list[str], value: Column | None = None) -> DataFrame:
     """WIN5/7/9: row number ``rank`` (from 1) and, with ``value``, the sum ``before`` each row, in total order.
 
-    Rows are dealt by range and numbered within their partition; the partitions'
-    own counts and sums (one row each) are added up and joined back, so no single
-    task sees all rows.
+    Rows are dealt by ranges of the first column of the order and numbered within
+    their range; the ranges' own counts and sums (one row each) are added up and joined
+    back, so no single task sees all rows, unless all share one value of that column.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     amount = F.lit(0).cast("double") if value is None else value
-    dealt = df.withColumn("_v", amount).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    # Which partition a row is in must not change between the two uses: bounds are computed once and are plain values then.
+    bounds = _bounds(df, order, parts)
+    dealt = df.withColumn("_v", amount).withColumn("_part", bounds)
     inside = Window.partitionBy("_part").orderBy(*order)
     own = dealt.withColumn("_r", F.row_number().over(inside)).withColumn("_b", F.coalesce(F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
@@ -114,6 +131,15 @@ def with_share(counts: DataFrame, value: str) -> DataFrame:
 
 
 def occurrence_ids(df: DataFrame, fingerprint: str, order: list[str]) -> DataFrame:
-    """HSH4/WIN6: ``record:<fingerprint>:<n>`` in row order."""
-    n = F.row_number().over(Window.partitionBy(fingerprint).orderBy(*order))
-    return df.withColumn("record_id", F.concat(F.lit("record:"), F.col(fingerprint), F.lit(":"), n.cast("string")))
+    """HSH4/WIN6: ``record:<fingerprint>:<n>`` in row order.
+
+    Each fingerprint's rows are numbered by ranges of the order, so a hot one is many tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = df.withColumn("_part", _bounds(df, order, parts))
+    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(fingerprint, "_part").orderBy(*order)))
+    earlier = Window.partitionBy(fingerprint).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(fingerprint, "_part").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    both = own.alias("a").join(offsets.alias("b"), F.col(f"a.{fingerprint}").eqNullSafe(F.col(f"b.{fingerprint}")) & (F.col("a._part") == F.col("b._part")))
+    n = (F.col("_r") + F.col("_o")).cast("string")
+    return both.select("a.*", F.concat(F.lit("record:"), F.col(f"a.{fingerprint}"), F.lit(":"), n).alias("record_id")).drop("_part", "_r")

@@ -7,9 +7,11 @@ single writer.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import manifest_checksum
@@ -68,7 +70,8 @@ def publish(rows: DataFrame, path: str, snapshot_id: str, keys: list[str], conte
     spark = rows.sparkSession
     rows.write.mode("error").parquet(f"{path}/snapshot_id={snapshot_id}")
     stored = spark.read.parquet(f"{path}/snapshot_id={snapshot_id}")
-    manifest = build_snapshot(rows, snapshot_id, keys, content)
+    # From what was written: a plan that is run again may give other rows.
+    manifest = build_snapshot(stored, snapshot_id, keys, content)
     if not verify_snapshot(stored, manifest, keys, content).isEmpty():
         raise ValueError(f"snapshot {snapshot_id} does not match its manifest")
     manifest.write.mode("error").parquet(f"{path}/_manifests/{snapshot_id}")
@@ -76,15 +79,66 @@ def publish(rows: DataFrame, path: str, snapshot_id: str, keys: list[str], conte
     return manifest
 
 
+_POINTER = "version long, snapshot_id string"
+
+
+def pointed(spark, path: str) -> tuple[int, str | None]:
+    """Version and snapshot of the pointer; (0, None) before the first."""
+    try:
+        row = spark.read.schema(_POINTER).parquet(f"{path}/_pointer").agg(F.max(F.struct("version", "snapshot_id")).alias("p")).first()["p"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return (row["version"], row["snapshot_id"]) if row is not None else (0, None)
+
+
 def activate(spark, path: str, snapshot_id: str) -> None:
-    """STO5: point to a snapshot (again)."""
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_pointer")
+    """STO5: point to a snapshot (again), by one more version of the pointer; older ones stay, so readers always find one."""
+    version = pointed(spark, path)[0] + 1
+    spark.createDataFrame([(version, snapshot_id)], _POINTER).coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
 
 
 def active(spark, path: str) -> DataFrame:
     """SRC17: rows of the active snapshot; only its folder is read."""
-    name = spark.read.parquet(f"{path}/_pointer").first()["snapshot_id"]
-    return spark.read.parquet(f"{path}/snapshot_id={name}")
+    return spark.read.parquet(f"{path}/snapshot_id={pointed(spark, path)[1]}")
+
+
+def publish_incremental(rows: DataFrame, path: str, snapshot_id: str, keys: list[str], content: str, source_keys: list[str], expected: str | None, full_rebuild: bool = False) -> DataFrame:
+    """STO1: guard, compose, publish. ``expected`` names the snapshot that must be active (None: none yet); rows of sources that do not come in are retained."""
+    spark = rows.sparkSession
+    now = pointed(spark, path)[1]
+    if now != expected:
+        raise ValueError(f"the active snapshot is {now}, not {expected}")
+    composed = rows if now is None else retain(active(spark, path), rows, source_keys, full_rebuild)
+    return publish(require_rows(composed, "a snapshot has rows"), path, snapshot_id, keys, content)
+
+
+class MemoryStore:
+    """STO2: the same snapshots held as DataFrames: one publication at a time, none half done."""
+
+    def __init__(self):
+        self._lock, self._snapshots, self._active = threading.Lock(), {}, None
+
+    def publish(self, rows: DataFrame, snapshot_id: str, keys: list[str], content: str, source_keys: list[str], expected: str | None = None, full_rebuild: bool = False) -> DataFrame:
+        with self._lock:
+            if self._active != expected:
+                raise ValueError(f"the active snapshot is {self._active}, not {expected}")
+            if snapshot_id in self._snapshots:
+                raise ValueError(f"snapshot {snapshot_id} exists")
+            composed = rows if expected is None else retain(self._snapshots[expected][0], rows, source_keys, full_rebuild)
+            manifest = build_snapshot(composed, snapshot_id, keys, content)
+            self._snapshots[snapshot_id], self._active = (composed, manifest), snapshot_id
+            return manifest
+
+    def restore(self, snapshot_id: str) -> None:
+        with self._lock:
+            if snapshot_id not in self._snapshots:
+                raise ValueError(f"no snapshot {snapshot_id}")
+            self._active = snapshot_id
+
+    def active(self) -> DataFrame:
+        return self._snapshots[self._active][0]
 
 
 def record_versions(versions: DataFrame, keys: list[str], seen: str) -> DataFrame:
@@ -121,8 +175,46 @@ def promotion_plan(accepted: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def insert_evidence(stored: DataFrame, incoming: DataFrame, key: str, content: str) -> DataFrame:
     """STO11: INSERT, IDEMPOTENT or VIOLATION for every incoming row."""
-    out = incoming.join(stored.select(key, F.col(content).alias("_old")), key, "left")
-    return out.withColumn("outcome", F.when(F.col("_old").isNull(), "INSERT").when(F.col("_old") == F.col(content), "IDEMPOTENT").otherwise("VIOLATION")).drop("_old")
+    out = incoming.join(stored.select(key, F.col(content).alias("_old"), F.lit(True).alias("_there")), key, "left")
+    return out.withColumn("outcome", F.when(F.col("_there").isNull(), "INSERT").when(F.col("_old").eqNullSafe(F.col(content)), "IDEMPOTENT").otherwise("VIOLATION")).drop("_old", "_there")
+
+
+def immutable_breaks(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """STO9: rows of an append-only table that were DELETED or UPDATED between two reads of it."""
+    old = before.select(key, F.struct(*columns).alias("_old"))
+    new = after.select(key, F.struct(*columns).alias("_new"), F.lit(True).alias("_there"))
+    both = old.join(new, key, "left")
+    finding = F.when(F.col("_there").isNull(), "DELETED").when(~F.col("_old").eqNullSafe(F.col("_new")), "UPDATED")
+    return both.withColumn("finding", finding).where("finding IS NOT NULL").select(key, "finding")
+
+
+def lateral_items(df: DataFrame, column: str, item: str) -> DataFrame:
+    """JON20: a row for each element of a JSON array of texts; rows without elements make none."""
+    return df.withColumn(item, F.explode(F.from_json(F.col(column), "array<string>"))).drop(column)
+
+
+def with_manifest(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """JON24: every row beside the one row of a manifest; more or fewer rows there are an error."""
+    if len(manifest.limit(2).take(2)) != 1:
+        raise ValueError("a manifest has one row")
+    return rows.crossJoin(F.broadcast(manifest))
+
+
+def bounded(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """SRT9: the first rows, 1 to 100 of them."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1-100")
+    return df.orderBy(*order).limit(limit)
+
+
+def publication_findings(events: DataFrame, entry: str, version: str) -> DataFrame:
+    """STO6: events that their entry's state does not allow: publishing what is published, withdrawing what is not, rolling back to nothing."""
+    w = Window.partitionBy(entry).orderBy(version)
+    before = F.lag("event_kind").over(w)
+    live = F.coalesce(before.isin("PUBLISH", "ROLLBACK"), F.lit(False))
+    kind = F.col("event_kind")
+    finding = F.when((kind == "PUBLISH") & live, "ALREADY_PUBLISHED").when((kind == "WITHDRAW") & ~live, "NOT_PUBLISHED").when((kind == "ROLLBACK") & before.isNull(), "NOTHING_TO_ROLL_BACK")
+    return events.withColumn("finding", finding).where("finding IS NOT NULL").select(entry, version, "finding")
 
 
 def violations(df: DataFrame, rules: Sequence[tuple[str, Column]], ident: list[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def transduce(word: str | None, roman: str | None, profile: str | None) -> tuple
     if not roman:
         return "NO_ROMANIZATION", None
     clean = unicodedata.normalize("NFC", (word or "").replace("‌", "").replace("‍", ""))
-    low = unicodedata.normalize("NFC", roman.replace("‌", "").replace("‍", "")).lower()
+    low = unicodedata.normalize("NFC", roman.replace("‌", "").replace("‍", "")).strip().lower()
     if "ē" in low or "ō" in low:
         return "MAJHUL_VOWEL", None
     if clean[-1:] in ("ه", "ۀ") and low[-1:] in ("e", "a"):

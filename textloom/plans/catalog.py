@@ -72,24 +72,14 @@ def txt2(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("cs")).select("doc_id", count("number").alias("numbers"), count("latin").alias("latin"), count("punctuation").alias("punctuation"))
 
 
-@query("txt2_token_offsets", None)
-def txt2_offsets(spark, sf_dir):
-    return R.token_table(table(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
 @query("txt18_script_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '\p{Arabic}'))::INT AS arabic, len(regexp_extract_all(text, '\p{Latin}'))::INT AS latin FROM documents""")
 def txt18(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.script_counts(F.col("text")).alias("s")).select("doc_id", "s.arabic", "s.latin")
 
 
-@query("txt9_without_diacritics", "SELECT item_id, strip_accents(text) AS plain FROM benchmark")
+@query("txt9_without_diacritics", "SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def txt9(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.without_diacritics(F.col("text")).alias("plain"))
-
-
-@query("txt10_publication_titles", None)
-def txt10(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.publication_title(F.col("p_name")).alias("title"), T.citation_title(F.col("p_name")).alias("citation"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.without_diacritics(F.col("text")).alias("plain"))
 
 
 @query("txt14_header_keys", r"SELECT p_partkey, regexp_replace(lower(p_type), '[\s\-_]+', '', 'g') AS k FROM part")
@@ -97,25 +87,16 @@ def txt14(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.header_key(F.col("p_type")).alias("k"))
 
 
-@query("hsh1_fnv", None)
-def hsh1(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", H.fnv1a_32(F.col("c_name")).alias("h32"), H.fnv1a_64(F.col("c_name")).alias("h64"))
-
-
 @query("hsh5_content_ids", """SELECT o_orderkey, 'o-' || left(sha256(o_orderkey::VARCHAR || chr(0) || coalesce(o_orderstatus, '') || chr(0) || coalesce(o_orderpriority, '')), 16) AS id FROM orders""")
 def hsh5(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", H.content_id(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), prefix="o-").alias("id"))
 
 
-@query("hsh8_manifest_checksum", r"""SELECT o_orderstatus, sha256(o_orderstatus || chr(10) || string_agg(o_orderkey::VARCHAR || ':' || o_orderpriority, chr(10) ORDER BY o_orderkey::VARCHAR || ':' || o_orderpriority)) AS checksum, count(*) AS n FROM orders GROUP BY 1""")
+@query("hsh8_manifest_checksum", r"""WITH l AS (SELECT o_orderstatus AS s, o_orderkey::VARCHAR || ':' || o_orderpriority AS line FROM orders), b AS (SELECT s, left(sha256(line), 2) AS b, sha256(left(sha256(line), 2) || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM l GROUP BY s, left(sha256(line), 2))
+SELECT s AS o_orderstatus, sha256(s || chr(10) || string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS checksum, sum(n)::BIGINT AS n FROM b GROUP BY 1""")
 def hsh8(spark, sf_dir):
     line = F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderpriority")
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(H.manifest_checksum([F.first("o_orderstatus")], line).alias("checksum"), F.count("*").alias("n"))
-
-
-@query("hsh9_git_blob", None)
-def hsh9(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", H.git_blob_sha1(F.col("text")).alias("sha1"))
+    return H.bucketed_checksum(table(spark, sf_dir, "orders"), ["o_orderstatus"], line)
 
 
 # Joins and coverage
@@ -166,14 +147,6 @@ def eligibility(spark, sf_dir):
     return C.title_eligibility(table(spark, sf_dir, "documents"), "text", "lang", ["doc_id"], "fr").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("jon4_published_authority", None)
-def authority(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    entries = parts.select(F.lower("p_brand").alias("normalized"), F.col("p_type").alias("profile"), F.when(F.col("p_size") > 25, "PERSON_NAME").otherwise("TITLE").alias("context"), F.lit("PUBLISHED").alias("status"), F.col("p_brand").alias("canonical")).distinct()
-    phrases = parts.select(F.col("p_partkey").alias("phrase_id"), F.lower("p_brand").alias("normalized"), F.col("p_type").alias("profile"), F.lit("TITLE").alias("context"))
-    return R.published_authority(phrases, entries)
-
-
 @query("jon5_cascade", f"""WITH w AS (SELECT item_id, {_WORDS} FROM benchmark), a AS (SELECT lower(c_mktsegment) AS w FROM customer GROUP BY 1), n AS (SELECT w FROM w GROUP BY 1 HAVING count(*) > 20)
 SELECT CASE WHEN a.w IS NOT NULL THEN 'SEGMENT' WHEN n.w IS NOT NULL THEN 'FREQUENT' END AS source, CASE WHEN a.w IS NOT NULL OR n.w IS NOT NULL THEN 'LEXICON_RESOLVED' ELSE 'UNRESOLVED' END AS state, count(*) AS n FROM w LEFT JOIN a USING (w) LEFT JOIN n USING (w) GROUP BY 1, 2""")
 def cascade(spark, sf_dir):
@@ -186,18 +159,8 @@ def cascade(spark, sf_dir):
 
 @query("jon6_next_turn", """SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations QUALIFY next_role IS NOT NULL""")
 def next_turn(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role")).where("next_role IS NOT NULL")
-
-
-@query("jon8_suffix_shapes", f"""WITH w AS (SELECT {_WORDS} FROM benchmark), f AS (SELECT w, count(*) n FROM w GROUP BY 1), r AS (SELECT unnest(['tion', 'ing', 'ed', 'ment', 'heit']) s)
-SELECT s AS suffix, count(*) AS forms, sum(n)::BIGINT AS tokens, count_if(EXISTS (SELECT 1 FROM f g WHERE g.w = left(f.w, length(f.w) - length(s)))) AS known_stems FROM f JOIN r ON f.w LIKE '%' || s AND length(f.w) > length(s) GROUP BY 1""")
-def suffixes(spark, sf_dir):
-    forms = _words(table(spark, sf_dir, "benchmark")).groupBy("w").agg(F.count("*").alias("n"))
-    rules = F.filter(F.array(*map(F.lit, ("tion", "ing", "ed", "ment", "heit"))), lambda s: F.col("w").endswith(s) & (F.length("w") > F.length(s)))
-    hit = forms.select("w", "n", F.explode(rules).alias("suffix")).withColumn("stem", F.substr("w", F.lit(1), F.length("w") - F.length("suffix")))
-    known = R.small(forms.select(F.col("w").alias("stem"), F.lit(1).alias("k")))
-    return hit.join(known, "stem", "left").groupBy("suffix").agg(F.count("*").alias("forms"), F.sum("n").alias("tokens"), F.count("k").alias("known_stems"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), F.col("role").alias("surface"), F.lit("persian-word").alias("class"))
+    return R.next_word(turns, "conv_id").select("conv_id", F.col("src_idx").alias("turn"), F.col("surface").alias("role"), F.col("next_surface").alias("next_role"))
 
 
 @query("jon15_blocked_pairs", r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '/(\d+)', 1) AS num FROM pages),
@@ -209,31 +172,32 @@ def blocked(spark, sf_dir):
     return E.blocked_pairs(pages, "page_id", [("host", "SAME_HOST", 2), ("num", "SAME_NUMBER", 1)])
 
 
-@query("jon17_pack_union", """WITH a AS (SELECT p_brand AS k, max(p_size)::BIGINT AS v FROM part WHERE p_size <= 25 GROUP BY 1), b AS (SELECT p_brand AS k, max(p_size)::BIGINT AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@query("jon17_pack_union", """WITH a AS (SELECT p_brand AS k, max(p_size)::BIGINT AS v FROM part WHERE p_size <= 25 GROUP BY 1), b AS (SELECT p_brand AS k, max(p_size)::BIGINT AS v FROM part WHERE p_size > 15 GROUP BY 1)
 SELECT k, CASE WHEN b.v IS NULL THEN 'LEFT_ONLY' WHEN a.v IS NULL THEN 'RIGHT_ONLY' WHEN a.v = b.v THEN 'EQUAL' ELSE 'CONFLICT' END AS action, CASE WHEN a.v IS NULL OR b.v IS NULL OR a.v = b.v THEN coalesce(a.v, b.v) END AS v FROM a FULL JOIN b USING (k)""")
 def pack_union(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     top = lambda df: df.groupBy(F.col("p_brand").alias("k")).agg(F.max("p_size").cast("long").alias("v"))
-    return E.pack_union(top(part.where("p_size <= 25")), top(part.where("p_partkey % 3 = 0")), "k", "v")
+    return E.pack_union(top(part.where("p_size <= 25")), top(part.where("p_size > 15")), "k", "v")
 
 
 def _cuts(spark, sf_dir):
+    """The orders before 1998 and those from 1995 on, with dear ones changed: every row is in one of them."""
     orders = table(spark, sf_dir, "orders")
-    old = orders.where("o_orderkey % 5 <> 0").withColumn("h", F.sha2(F.concat_ws("|", "o_orderstatus", "o_orderpriority"), 256))
-    status = F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))
-    new = orders.where("o_orderkey % 11 <> 0").withColumn("h", F.sha2(F.concat_ws("|", status, "o_orderpriority"), 256))
+    old = orders.where("o_orderdate < timestamp '1998-01-01'").withColumn("h", F.sha2(F.concat_ws("|", "o_orderstatus", "o_orderpriority"), 256))
+    status = F.when(F.col("o_totalprice") > 300000, "X").otherwise(F.col("o_orderstatus"))
+    new = orders.where("o_orderdate >= timestamp '1995-01-01'").withColumn("h", F.sha2(F.concat_ws("|", status, "o_orderpriority"), 256))
     return old, new
 
 
-@query("jon18_snapshot_diff", """WITH o AS (SELECT o_orderkey, sha256(o_orderstatus || '|' || o_orderpriority) h FROM orders WHERE o_orderkey % 5 <> 0),
-n AS (SELECT o_orderkey, sha256(CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END || '|' || o_orderpriority) h FROM orders WHERE o_orderkey % 11 <> 0)
+@query("jon18_snapshot_diff", """WITH o AS (SELECT o_orderkey, sha256(o_orderstatus || '|' || o_orderpriority) h FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+n AS (SELECT o_orderkey, sha256(CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END || '|' || o_orderpriority) h FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
 SELECT n.o_orderkey, CASE WHEN o.h IS NULL THEN 'NEW' WHEN o.h = n.h THEN 'UNCHANGED' ELSE 'CHANGED' END AS change FROM n LEFT JOIN o USING (o_orderkey)""")
 def diff(spark, sf_dir):
     old, new = _cuts(spark, sf_dir)
     return V.snapshot_diff(old, new, ["o_orderkey"], "h").select("o_orderkey", "change")
 
 
-@query("jon19_incremental_retain", """WITH o AS (SELECT o_orderkey, 'old' AS side FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT o_orderkey, 'new' AS side FROM orders WHERE o_orderkey % 11 <> 0)
+@query("jon19_incremental_retain", """WITH o AS (SELECT o_orderkey, 'old' AS side FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT o_orderkey, 'new' AS side FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n)""")
 def retained(spark, sf_dir):
     old, new = _cuts(spark, sf_dir)
@@ -245,15 +209,6 @@ def latest(spark, sf_dir):
     return S.latest_per_key(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
-@query("jon10_positional_alignment", r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '\p{L}+') ws FROM conversations), p AS (SELECT a.conv_id, a.turn, a.ws x, b.ws y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, len(x) = len(y) AS aligned, CASE WHEN len(x) = len(y) THEN len(x) ELSE 0 END::BIGINT AS pairs FROM p""")
-def alignment(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("x"))
-    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
-    pairs = t.join(after, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", (F.size("x") == F.size("y")).alias("aligned"), F.when(F.size("x") == F.size("y"), F.size("x")).otherwise(0).cast("long").alias("pairs"))
-
-
 # Aggregates
 
 
@@ -340,20 +295,15 @@ def filled(spark, sf_dir):
     return C.zero_filled(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O", "P", "X"], "X")
 
 
-@query("agg21_release_gate", _CASES + """, m AS (SELECT count_if(o IN ('CORRECT_AUTHORITATIVE', 'CORRECT_REVIEW_REQUIRED', 'OVER_BLOCKED')) / count(*) AS safe, count_if(o = 'CORRECT_AUTHORITATIVE') / count(*) AS exact FROM c)
-SELECT 'safe' AS gate, round(safe, 9) AS value, 0.5 ::DOUBLE AS minimum, safe >= 0.5 AS met FROM m UNION ALL SELECT 'exact', round(exact, 9), 0.99, exact >= 0.99 FROM m""")
-def release(spark, sf_dir):
-    m = _cases(spark, sf_dir).agg((F.count_if(F.col("outcome").isin(*C.SAFE)) / F.count("*")).alias("safe"), (F.count_if(F.col("outcome") == "CORRECT_AUTHORITATIVE") / F.count("*")).alias("exact"))
-    return C.release_gate(m, {"safe": 0.5, "exact": 0.99}).withColumn("value", F.round("value", 9))
-
-
 # Windows, sorts, sets
 
 
 @query("win5_running_offsets", """SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text))::BIGINT AS start FROM conversations""")
 def offsets(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("start"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    ordered = S.running(turns, ["conv_id", "turn"], F.col("n").cast("double"))
+    first = ordered.groupBy("conv_id").agg(F.min("before").alias("b"))
+    return ordered.join(first, "conv_id").select("conv_id", "turn", (F.col("before") - F.col("b")).cast("long").alias("start"))
 
 
 @query("win6_occurrence_ids", """SELECT o_orderkey, 'record:' || o_orderpriority || ':' || row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS record_id FROM orders""")
@@ -413,12 +363,6 @@ def difference(spark, sf_dir):
 # Store, JSON, exports
 
 
-@query("sto3_build_snapshot", None)
-def snapshot(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("h", F.sha2(F.concat_ws("|", "o_orderstatus", "o_orderpriority"), 256))
-    return V.build_snapshot(orders, "s1", ["o_orderkey"], "h")
-
-
 @query("sto4_record_versions", """WITH v AS (SELECT user_id, event_type AS checksum, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY 1, 2)
 SELECT user_id, checksum, epoch_us(first_seen_at) AS first_seen, epoch_us(last_seen_at) AS last_seen, row_number() OVER (PARTITION BY user_id ORDER BY last_seen_at DESC, checksum DESC) = 1 AS is_current FROM v""")
 def versions(spark, sf_dir):
@@ -458,12 +402,6 @@ def props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
 
 
-@query("agg37_ordered_json", None)
-def ordered_json(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))).alias("lines"))
-    return rows
-
-
 def _bibliography(spark, sf_dir):
     none = F.lit(None).cast("string")
     part = table(spark, sf_dir, "part")
@@ -495,8 +433,15 @@ def csv_cells(spark, sf_dir):
 @query("json_lines_etl", r"""WITH e AS (SELECT user_id, event_type, ('{"w": "' || event_type || '", "k": ' || (props->>'$.k') || '}') AS j FROM events)
 SELECT event_type AS w, count(*) AS observations, count(DISTINCT (j->>'$.k')) AS variants, CASE WHEN count(DISTINCT (j->>'$.k')) > 1 THEN 'CONFLICTING' ELSE 'UNANIMOUS' END AS consensus FROM e GROUP BY 1""")
 def etl(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").select(F.concat(F.lit('{"w": "'), "event_type", F.lit('", "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("j"))
-    rows = lines.select(F.from_json("j", "w string, k string").alias("e")).groupBy("e.w", "e.k").agg(F.count("*").alias("n"))
+    """Events as dictionary lines: written, read with malformed lines kept, taken apart, grouped."""
+    from textloom.shared import shared_path
+    from textloom.sources import records
+
+    form = F.struct(F.get_json_object("props", "$.k").alias("form"), F.array(F.lit("romanization")).alias("tags"))
+    lines = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("word"), F.lit("fa").alias("lang_code"), F.array(form).alias("forms"), F.col("event_id").cast("string").alias("etymology_number"))))
+    path = shared_path(spark, "lines")
+    lines.write.text(path)
+    rows = E.observations(records.dictionary(spark, path).where("_corrupt_record IS NULL")).groupBy(F.col("word").alias("w"), "romanization").agg(F.count("*").alias("n"))
     return rows.groupBy("w").agg(F.sum("n").alias("observations"), F.count("*").alias("variants")).withColumn("consensus", F.when(F.col("variants") > 1, "CONFLICTING").otherwise("UNANIMOUS"))
 
 
@@ -534,13 +479,17 @@ def presence(spark, sf_dir):
     return A.field_presence(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
 
 
-@query("msc10_intercepted", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'LEXICON_RESOLVED' WHEN o_orderstatus = 'P' THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS s FROM orders WHERE o_orderkey % 13 <> 0), e AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'LEXICON_RESOLVED' ELSE 'UNRESOLVED' END AS s FROM orders)
+@query("msc10_intercepted", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'LEXICON_RESOLVED' WHEN o_orderstatus = 'P' THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS s FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'), e AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'LEXICON_RESOLVED' ELSE 'UNRESOLVED' END AS s FROM orders)
 SELECT CASE WHEN b.s IS NULL OR e.s IS NULL THEN 'UNALIGNED' WHEN b.s = e.s THEN 'SAME' WHEN e.s = 'LEXICON_RESOLVED' THEN 'GAINED' WHEN b.s = 'LEXICON_RESOLVED' THEN 'LOST' ELSE 'MOVED' END AS change, count(*) AS n FROM b FULL JOIN e USING (o_orderkey) GROUP BY 1""")
 def intercepted(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "LEXICON_RESOLVED").when(F.col("o_orderstatus") == "P", "AMBIGUOUS").otherwise("UNRESOLVED")
     now = F.when(F.col("o_totalprice") > 150000, "LEXICON_RESOLVED").otherwise("UNRESOLVED")
-    return A.intercepted(orders.where("o_orderkey % 13 <> 0").select("o_orderkey", status.alias("state")), orders.select("o_orderkey", now.alias("state")), ["o_orderkey"])
+    return A.intercepted(orders.where("o_orderdate < timestamp '1999-01-01'").select("o_orderkey", status.alias("state")), orders.select("o_orderkey", now.alias("state")), ["o_orderkey"])
+
+
+# The other modules of queries register themselves.
+from textloom.plans import texts, records, files  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

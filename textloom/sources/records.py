@@ -16,27 +16,52 @@ datafield array<struct<_tag:string,_ind1:string,_ind2:string,subfield:array<stru
 
 # Bounds of an XML document.
 MAX_XML_BYTES = 5 * 1024 * 1024
+#: Bounds of one record.
+MAX_FIELDS, MAX_SUBFIELDS, MAX_VALUE = 1_000, 10_000, 100_000
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """SRC5-7: JSON lines (gzip by name) with malformed lines kept; ``entry_id`` is file and place.
+    """SRC5-7: JSON lines (gzip by name) with malformed lines kept; ``entry_id`` is the file's name and the line's hash.
 
-    Blank lines are no rows. Offsets and limits by valid rows are the caller's, on an order of its own.
+    Blank lines are no rows. Ids do not depend on how files are split; equal lines of a file share theirs.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
     parsed = lines.withColumn("e", F.from_json("value", ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    return parsed.select(F.concat_ws("#", "file", F.col("line").cast("string")).alias("entry_id"), "e.*")
+    return parsed.select(F.concat_ws("#", "file", F.substring(F.sha2("value", 256), 1, 16)).alias("entry_id"), "e.*")
+
+
+def valid_range(entries: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """SRC5/SRT11: valid rows (``reason`` is null) from ``offset`` on, at most ``limit``, in order of their ids; invalid rows do not count."""
+    from textloom.operators.selection import running
+
+    ranked = running(entries.where("reason IS NULL"), ["entry_id"]).where(F.col("rank") > offset)
+    return (ranked if limit is None else ranked.where(F.col("rank") <= offset + limit)).drop("rank")
 
 
 def marc(spark: SparkSession, path: str) -> DataFrame:
     """SRC8/9: MARC XML with a fixed string schema; files with a DTD or above the size bound are refused."""
-    files = spark.read.format("binaryFile").load(path)
-    bad = files.where((F.col("length") > MAX_XML_BYTES) | F.decode("content", "UTF-8").rlike("(?i)<!DOCTYPE|<!ENTITY"))
-    if not bad.isEmpty():
-        raise ValueError("XML with a document type or above the size bound: " + bad.first()["path"])
+    bad = [r["path"] for r in refused_xml(spark, path).collect()]
+    if bad:
+        raise ValueError("XML with a document type or above the size bound: " + ", ".join(sorted(bad)[:5]))
     return spark.read.format("xml").option("rowTag", "record").schema(MARC).load(path)
 
 
+def refused_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder that are not to be read: (path, reason). Contents of files above the bound are not looked at."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.decode("content", "UTF-8")
+    reason = F.when(F.col("length") > MAX_XML_BYTES, "TOO_LARGE").when(text.rlike("(?i)<!DOCTYPE|<!ENTITY"), "DOCUMENT_TYPE")
+    return files.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def bounded_records(records: DataFrame) -> DataFrame:
+    """SRC9: MARC records with the bound they break, if any."""
+    subfields = F.aggregate("datafield", F.lit(0), lambda n, d: n + F.coalesce(F.size(d["subfield"]), F.lit(0)))
+    longest = F.array_max(F.flatten(F.transform("datafield", lambda d: F.transform(d["subfield"], lambda s: F.coalesce(F.length(s["_VALUE"]), F.lit(0))))))
+    reason = F.when(F.size("datafield") > MAX_FIELDS, "TOO_MANY_FIELDS").when(subfields > MAX_SUBFIELDS, "TOO_MANY_SUBFIELDS").when(longest > MAX_VALUE, "VALUE_TOO_LONG")
+    return records.withColumn("bound", reason)
+
+
 def marc_fields(records: DataFrame) -> DataFrame:
     """A row for each subfield: record_id, place, tag, code, value."""
     ident = F.filter("controlfield", lambda c: c["_tag"] == "001")[0]["_VALUE"]
@@ -64,6 +89,6 @@ def title_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("title")).where("title <> ''")
 
 
-def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC15"""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def json_document(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """SRC15: documents that are whole files, or one a line."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)

@@ -1,19 +1,19 @@
-"""SRC10-13: paged catalogue services as a Python data source.
+"""SRC10-13: paged catalogue services.
 
-Options: ``pages`` (a folder of saved responses, one JSON file a page; there is no
-network here) or a ``fetch`` function registered by name. Retries, page budgets and
-cursor checks are those of :class:`Pager`.
+:func:`paged_source` makes a Spark data source of a ``fetch`` function: a partition for each query, read
+by a :class:`Pager` with its retries, budget and cursor checks. :func:`saved_pages` reads
+responses that were saved, from any file system that Spark reads.
 """
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Indexes that may be searched, records of a request, records of a scan.
@@ -58,34 +58,53 @@ class Pager:
             cursor = page.get("next") if page["results"] else None
 
 
-class _Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+WORK = "id string, title string, language string, type string, year int, raw string"
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.folder = options["pages"]
+class _Query(InputPartition):
+    def __init__(self, text: str):
+        self.text = text
 
-    def partitions(self):
-        return [_Page(p) for p in sorted(glob.glob(os.path.join(self.folder, "*.json")))] or [_Page("")]
 
-    def read(self, partition):
-        if partition.path:
-            with open(partition.path, encoding="utf-8") as file:
-                for item in json.load(file)["results"]:
+def paged_source(name: str, fetch: Callable[[str, str], tuple[int, dict, float | None]], budget: int = MAX_SCAN) -> type[DataSource]:
+    """A data source ``name`` over ``fetch(query, cursor)``; option ``queries`` has one query a line, each a partition."""
+
+    class Reader(DataSourceReader):
+        def __init__(self, options):
+            self.queries = [q for q in options.get("queries", "").split("\n") if q]
+
+        def partitions(self):
+            return [_Query(q) for q in self.queries] or [_Query("")]
+
+        def read(self, partition):
+            if partition.text:
+                for item in Pager(lambda cursor: fetch(partition.text, cursor), budget):
                     yield item.get("id"), item.get("title"), item.get("language"), item.get("type"), item.get("year"), json.dumps(item, ensure_ascii=False, sort_keys=True)
 
+    class Paged(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return WORK
+
+        def reader(self, schema):
+            return Reader(self.options)
+
+    return Paged
 
-class WorksSource(DataSource):
-    """``spark.read.format("works").option("pages", folder)``: a partition for each saved page."""
 
-    @classmethod
-    def name(cls):
-        return "works"
+def saved_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Works of saved responses, one JSON file a page, with the page they came on."""
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("page"), F.explode(F.from_json("value", "results array<string>")["results"]).alias("raw"))
+    return pages.select("page", F.from_json("raw", "id string, title string, language string, type string, year int").alias("w"), "raw").select("page", "w.*", "raw")
 
-    def schema(self):
-        return "id string, title string, language string, type string, year int, raw string"
 
-    def reader(self, schema):
-        return _Reader(self.options)
+def page_findings(spark: SparkSession, path: str) -> DataFrame:
+    """SRC11: saved pages whose next cursor no page answers, or that several pages name as theirs (``cursor``, ``next``)."""
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("page"), F.from_json("value", "cursor string, next string").alias("p")).select("page", "p.*")
+    held = pages.groupBy("cursor").agg(F.count("*").alias("n"))
+    open_ = pages.where("next IS NOT NULL").join(held.select(F.col("cursor").alias("next")), "next", "left_anti").select("page", F.lit("MISSING_NEXT").alias("finding"))
+    twice = pages.join(held.where("n > 1"), "cursor", "left_semi").select("page", F.lit("CURSOR_TWICE").alias("finding"))
+    return open_.unionByName(twice)

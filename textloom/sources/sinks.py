@@ -47,9 +47,21 @@ def broken_blobs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).schema("content binary, sha256 string").parquet(folder).where(F.sha2("content", 256) != F.col("sha256"))
 
 
-def save_repository(df: DataFrame, path: str) -> None:
-    """SNK11"""
+def save_repository(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """SNK11: rows, and with ``keys`` a manifest that they are checked against when loaded."""
     df.write.mode("error").parquet(path)
+    if keys:
+        stored = df.sparkSession.read.parquet(path)
+        pack_hash(stored.withColumn("_k", F.to_json(F.struct(*keys))), "_k").coalesce(1).write.mode("error").json(f"{path}/_manifest")
+
+
+def load_repository(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """SNK11: the rows, if they still are what the manifest says."""
+    rows = spark.read.parquet(path)
+    want = spark.read.schema("bytes long, semantic_sha256 string").json(f"{path}/_manifest").first()
+    if pack_hash(rows.withColumn("_k", F.to_json(F.struct(*keys))), "_k").first() != want:
+        raise ValueError(f"{path} is not what was saved")
+    return rows
 
 
 def report_lines(metrics: DataFrame, title: str) -> str:

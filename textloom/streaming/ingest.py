@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,20 @@ def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
+def claim(spark: SparkSession, target: str, checkpoint: str) -> None:
+    """Name the checkpoint's query as the owner of a target, or fail if another one is: its batches would be overwritten."""
+    own = json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+    try:
+        owner = spark.read.text(f"{target}/_owner").first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([(own,)], "value string").coalesce(1).write.text(f"{target}/_owner")
+        return
+    if owner != own:
+        raise ValueError(f"{target} is filled by another checkpoint")
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], sink: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Append rows whose key is not stored yet; a batch that is run again adds nothing.
 
@@ -28,6 +44,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], sin
 
     def batch(df: DataFrame, number: int) -> None:
         new = df.dropDuplicates(keys)
+        if number == 0:
+            claim(spark, target, checkpoint)
         if number:
             earlier = spark.read.parquet(target).where(F.col("batch") < number).select(*keys)
             new = new.join(earlier, keys, "left_anti")
