@@ -85,6 +85,8 @@ TOKEN_CLASSES = (
     ("punctuation", r"\p{P}"),
     ("unknown", r"(?s:.)"),
 )
+#: The character that a token of each class begins with.
+TOKEN_BEGINS = (("whitespace", rf"[{SPACES}]"), ("persian-word", ARABIC_LETTER), ("number", r"\p{Nd}"), ("latin", r"[\p{IsLatin}&&\p{L}]"), ("punctuation", r"\p{P}"))
 _ANY_TOKEN = "|".join(f"(?:{rx})" for _, rx in TOKEN_CLASSES)
 
 
@@ -93,6 +95,20 @@ def utf16_length(c: Column) -> Column:
     return F.length(c) + F.length(F.regexp_replace(c, r"[\x{0}-\x{FFFF}]", ""))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def utf16_starts(surfaces: pd.Series) -> pd.Series:
+    """WIN5: where each of a text's tokens starts, in UTF-16 units; linear in the text."""
+
+    def starts(words):
+        out, at = [], 0
+        for w in words:
+            out.append(at)
+            at += len(w.encode("utf-16-le", "surrogatepass")) // 2
+        return out
+
+    return surfaces.map(lambda words: None if words is None else starts(words))
+
+
 def tokens(c: Column) -> Column:
     """TXT2: array of surfaces; every character is in exactly one token."""
     return F.regexp_extract_all(c, F.lit(_ANY_TOKEN), F.lit(0))
@@ -100,9 +116,9 @@ def tokens(c: Column) -> Column:
 
 def token_class(surface: Column) -> Column:
     """TXT2/TXT3: class of one token, by its first character."""
-    out = F.lit("unknown")
-    for name, rx in reversed(TOKEN_CLASSES[:-1]):
-        out = F.when(surface.rlike(rf"^(?:{rx})$"), name).otherwise(out)
+    first, out = F.substring(surface, 1, 1), F.lit("unknown")
+    for name, rx in reversed(TOKEN_BEGINS):
+        out = F.when(first.rlike(rx), name).otherwise(out)
     return out
 
 

@@ -43,13 +43,11 @@ def small(df: DataFrame) -> DataFrame:
 def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """TXT2/WIN5: a row for each token with its class and UTF-16 offsets.
 
-    Offsets are a fold over the document's own token lengths: no shuffle.
+    Offsets are running sums over the document's own tokens: no shuffle.
     """
     norm = docs.select(F.col(id_col), T.normalize_text(F.col(text_col)).alias("text"))
-    lengths = F.transform("surfaces", T.utf16_length)
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    cut = norm.withColumn("surfaces", T.tokens(F.col("text"))).withColumn("ends", ends)
-    rows = cut.select(id_col, F.posexplode(F.arrays_zip("surfaces", F.slice("ends", 1, F.size("surfaces")).alias("starts"))).alias("idx", "t"))
+    cut = norm.withColumn("surfaces", T.tokens(F.col("text"))).withColumn("starts", T.utf16_starts(F.col("surfaces")))
+    rows = cut.select(id_col, F.posexplode(F.arrays_zip("surfaces", "starts")).alias("idx", "t"))
     out = rows.select(id_col, "idx", F.col("t.surfaces").alias("surface"), F.col("t.starts").alias("start"))
     return out.withColumn("end", F.col("start") + T.utf16_length(F.col("surface"))).withColumn("class", T.token_class(F.col("surface")))
 
