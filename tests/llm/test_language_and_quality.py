@@ -95,6 +95,24 @@ def test_only_letters_make_words():
         assert bool(L.words_of(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
 
 
+def test_unlearnt_languages_and_noise_are_not_typical(spark):
+    pieces = L.read_pieces(PATH)
+    docs = [(r.lang, r.text) for r in spark.read.parquet(SF + "/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect()]
+    names = sorted({k for k, _ in docs})
+    whole = L.fit_texts(docs[::2], pieces)
+    clean = [t for _, t in docs[1::2] if len(t) > 300]
+    judged = whole.judge(clean)[2]
+    assert sum(judged) >= 0.99 * len(judged)
+    r = random.Random(5)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(120)) for _ in range(20)]
+    assert not any(whole.judge(noise)[2])
+    for name in names:
+        rest = L.fit_texts([(k, t) for k, t in docs[::2] if k != name], pieces)
+        other = [t for k, t in docs[1::2] if k == name and len(t) > 300]
+        assert sum(rest.judge(other)[2]) <= 0.1 * len(other), name
+    assert whole.judge(["x"])[2] == [True] and whole.judge(["", "12"])[2] == [False, False]
+
+
 def test_word_memory_does_not_change_scores(monkeypatch):
     texts = ["the cat and dog", "le chat et le chien", "el perro y gato"] * 3
     model = L.fit_texts(list(zip(["en", "fr", "es"] * 3, texts)), L.read_pieces(PATH))

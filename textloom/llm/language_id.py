@@ -16,6 +16,11 @@ Words are runs of letters, lower-cased, with a leading space. Words of over
 ``LONGEST`` bytes, and words too rare for floating point, take the same pass in
 logarithms, as a whole; ``CELLS`` bounds how many at once.
 
+The score tells the learnt languages apart, and says nothing of others. ``typical`` does: a text is not
+typical if the logarithm of its likelihood, by byte of its words, is more than ``WORSE`` times (as far below 0
+as) the mean of the predicted language's own fit texts; texts that mix languages or hold some junk reach 1.8.
+Texts of fewer than ``JUDGED`` bytes of words are always typical.
+
 Cases: a text that is null or has no letter gets ``und`` and score 0. With nothing
 to learn from, every text does. Ties go to the first language by name. Repeated
 rows, long texts, empty tables and further columns are handled alike.
@@ -40,6 +45,8 @@ ROUNDS = 4
 LONGEST = 48
 WORDS_KEPT = 200_000
 CELLS = 1 << 21
+#: How much worse than the fit texts' mean a typical text may be, and bytes of words from which a text is judged.
+WORSE, JUDGED = 1.95, 200
 #: Texts at least this likely to be in the predicted language are kept by :func:`keep`.
 KEEP = 0.5
 
@@ -192,7 +199,8 @@ class Model:
         self.pieces = index_of(pieces)
         self.longest = max(map(len, pieces), default=0)
         self.known: dict[str, int] = {}
-        self.log = np.zeros((1024, len(languages)))
+        self.log, self.bytes = np.zeros((1024, len(languages))), np.zeros(1024)  # of a known word, by language and altogether
+        self.floor = np.full(len(languages), -np.inf)
 
     def log_likelihood(self, words: Sequence[bytes]) -> np.ndarray:
         out = np.full((len(words), len(self.languages)), -np.inf)
@@ -217,32 +225,52 @@ class Model:
             like = self.log_likelihood([_bytes(w) for w in some])
             base = len(self.known)
             while base + len(some) > len(self.log):
-                self.log = np.concatenate((self.log, np.zeros_like(self.log)))
+                self.log, self.bytes = (np.concatenate((x, np.zeros_like(x))) for x in (self.log, self.bytes))
             self.log[base : base + len(some)] = like
+            self.bytes[base : base + len(some)] = [len(_bytes(w)) for w in some]
             self.known.update(zip(some, range(base, base + len(some))))
 
-    def score(self, texts: Sequence[str]) -> tuple[list[str], list[float]]:
+    def sums(self, texts: Sequence[str]) -> list[np.ndarray | None]:
+        """Logarithms of each text's likelihood by language, and its bytes; None for texts without words."""
         found = [words_of(t) if t else [] for t in texts]
-        if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
         new = list({w for ws in found for w in ws if w not in self.known})
         if len(self.known) + len(new) > WORDS_KEPT:
             self.known.clear()
             new = list({w for ws in found for w in ws})
         if new:
             self.learn(new)
-        names, scores = [], []
         get = self.known.__getitem__
-        for ws in found:
-            if not ws:
+        places = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in found]
+        return [np.append(self.log[at].sum(0), self.bytes[at].sum()) if len(at) else None for at in places]
+
+    def judge(self, texts: Sequence[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether the text is typical of that language."""
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        names, scores, typical = [], [], []
+        for row in self.sums(texts):
+            if row is None:
                 names.append("und")
                 scores.append(0.0)
+                typical.append(False)
                 continue
-            total = self.log[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0)
+            total, size = row[:-1], row[-1]
             best = int(total.argmax())
             names.append(self.languages[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
-        return names, scores
+            typical.append(bool(size < JUDGED or total[best] >= self.floor[best] * size))
+        return names, scores, typical
+
+    def score(self, texts: Sequence[str]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def set_floors(self, texts: Sequence[tuple[str, str]]) -> None:
+        """The least logarithm a byte that is typical of each language, from the texts it was fitted on."""
+        for k, language in enumerate(self.languages):
+            rows = [r for r in self.sums([t for name, t in texts if name == language]) if r is not None and r[-1] >= JUDGED]
+            if rows:
+                self.floor[k] = WORSE * np.mean([r[k] / r[-1] for r in rows])
+        self.known.clear()
 
 
 def fit_texts(texts: Sequence[tuple[str, str]], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
@@ -271,6 +299,7 @@ def fit_texts(texts: Sequence[tuple[str, str]], pieces: list[bytes], rounds: int
         uses += 0.05 / lengths**2  # unseen pieces keep a little, short ones more
         p = uses / uses.sum(0)
     model.p = p
+    model.set_floors(texts)
     return model
 
 
@@ -287,7 +316,7 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """``id_col, *carry, lang_pred, score`` of every row."""
+    """``id_col, *carry, lang_pred, score, typical`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)), F.col(text_col).alias("text"))
 
@@ -296,14 +325,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             column = batch.column("text")
             for rows in chunks(text_buffer(column)[1]):
-                names, scores = own.score(column.slice(rows.start, rows.stop - rows.start).to_pylist())
+                names, scores, typical = own.judge(column.slice(rows.start, rows.stop - rows.start).to_pylist())
                 lead = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*lead, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "_lang", "_score"])
+                yield pa.RecordBatch.from_arrays([*lead, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(typical, pa.bool_())], names=[*batch.schema.names[:-1], "_lang", "_score", "_typical"])
         own.known.clear()
 
     shapes = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in narrow.columns[:-1])
-    out = narrow.mapInArrow(tidy(run), f"{shapes}, _lang string, _score double")
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    out = narrow.mapInArrow(tidy(run), f"{shapes}, _lang string, _score double, _typical boolean")
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_typical").alias("typical"))
 
 
 def fold(id_col: Column, folds: int) -> Column:
