@@ -32,11 +32,11 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the learnt languages; texts without letters or between languages go."""
+    """Keeps documents in one of the learnt languages; texts without letters, between languages or in none of them go."""
     shrink_heaps(spark)
     model = language_id.fit(docs.where(language_id.fold(F.col("doc_id"), 4) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     judged = language_id.predict(docs, model, carry=COLUMNS[1:])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.KEEP)).select(*COLUMNS)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.KEEP) & F.col("typical")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
