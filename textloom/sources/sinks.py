@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,19 @@ def put_blob(spark: SparkSession, content: bytes, folder: str) -> str:
     return path
 
 
+def put_blobs(rows: DataFrame, column: str, folder: str) -> None:
+    """SNK12: a column's contents as blobs in one job, each in the folder of its hash; those that are there are left."""
+    spark = rows.sparkSession
+    new = rows.select(F.col(column).cast("binary").alias("content")).where("content IS NOT NULL").withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
+    try:
+        there = spark.read.option("basePath", folder).schema("content binary, sha256 string").parquet(folder).select("sha256")
+        new = new.join(there, "sha256", "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.repartition("sha256").write.partitionBy("sha256").mode("append").parquet(folder)
+
+
 def broken_blobs(spark: SparkSession, folder: str) -> DataFrame:
     """SNK12: blobs whose content does not have the hash they are named by."""
     return spark.read.option("basePath", folder).schema("content binary, sha256 string").parquet(folder).where(F.sha2("content", 256) != F.col("sha256"))
