@@ -53,6 +53,8 @@ KEEP = 0.5
 #: Numbers that are no digits (fractions, superscripts, Roman numerals, ...), which the class below would take for letters.
 _NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _NUMBER = re.compile(f"[{_NUMBERS}]")
+#: A quick test that most texts of Latin script pass: one of those numbers below U+0900, or anything from there on.
+_ODD = re.compile("[" + "".join(c for c in _NUMBERS if c < "\u0900") + "\u0900-\U0001ffff]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -184,9 +186,10 @@ def _groups(words: Sequence[bytes], languages: int) -> Iterator[list[int]]:
 def words_of(text: str) -> list[str]:
     """Runs of letters (Unicode's categories L), lower-cased."""
     text = text.lower()
-    if not text.isascii() and _NUMBER.search(text):
-        text = _NUMBER.sub(" ", text)
-    return _LETTERS.findall(text)
+    words = _LETTERS.findall(text)
+    if not text.isascii() and _ODD.search(text) and not all(map(str.isalpha, words)):
+        words = _LETTERS.findall(_NUMBER.sub(" ", text))
+    return words
 
 
 def _bytes(word: str) -> bytes:
