@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from textloom.llm import language_id, media, quality
 from textloom.llm.bpe import encode_and_decode
+from textloom.llm.centroid_clustering import cluster_vectors
 from textloom.llm.decontamination import decontaminate
 from textloom.llm.html_extract import extract_text
 from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.sharding import assign_shards
 from textloom.llm.substring_dedup import dedup_substrings
 from textloom.llm.url_filter import GLOBS, RULES, filter_urls
+from textloom.llm.vector_codes import compress_vectors
+from textloom.llm.vector_search import search_vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +82,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (language_id.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_vectors(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_ball_tree_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_filtering_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -145,9 +160,59 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_rem
 FROM w LEFT JOIN gone USING (r)"""
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _squared(a: str, b: str, width: int) -> str:
+    return f"list_sum(list_transform(range(1, {width + 1}), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))::BIGINT"
+
+
+def _floor_mean(s: str, n: str) -> str:
+    """Integer division that rounds down."""
+    return f"(({s} - ((({s} % {n}) + {n}) % {n})) // {n})::BIGINT"
+
+
+def _op12_sql(dims: int = 64, clusters: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds, one after the other, over all distances."""
+    steps = [
+        f"e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dims} AND {_FINITE})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e ORDER BY h LIMIT {clusters}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, e.v, c, {_squared('e.v', 'k.v', dims)} AS d FROM e, c{r} k) GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT c, i, {_floor_mean('sum(x)', 'count(*)')} AS x FROM (SELECT c, unnest(range(1, {dims + 1})) AS i, unnest(v) AS x FROM a{r}) GROUP BY c, i)")
+            steps.append(f"c{r + 1} AS (SELECT k.c, coalesce(n.v, k.v) AS v FROM c{r} k LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM m{r} GROUP BY c) n USING (c))")
+    return "WITH " + ",\n".join(f"{s.split(' ', 1)[0]} AS MATERIALIZED{s.split(' AS', 1)[1]}" for s in steps) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k USING (c)"""
+
+
+def _op13_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds for every part position, over all distances."""
+    steps = [
+        f"e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE})",
+        f"p AS (SELECT vec_id, q, list_slice(v, {width} * q + 1, {width} * q + {width}) AS v FROM (SELECT vec_id, v, unnest(range(0, {parts})) AS q FROM e))",
+        f"c0 AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS c, v FROM p WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, q, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, p.q, p.v, c, {_squared('p.v', 'k.v', width)} AS d FROM p JOIN c{r} k USING (q)) GROUP BY vec_id, q)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT q, c, i, {_floor_mean('sum(x)', 'count(*)')} AS x FROM (SELECT q, c, unnest(range(1, {width + 1})) AS i, unnest(v) AS x FROM a{r}) GROUP BY q, c, i)")
+            steps.append(f"c{r + 1} AS (SELECT k.q, k.c, coalesce(n.v, k.v) AS v FROM c{r} k LEFT JOIN (SELECT q, c, list(x ORDER BY i) AS v FROM m{r} GROUP BY q, c) n USING (q, c))")
+    return "WITH " + ",\n".join(f"{s.split(' ', 1)[0]} AS MATERIALIZED{s.split(' AS', 1)[1]}" for s in steps) + f""",
+coded AS (SELECT vec_id, string_agg(printf('%02x', c), '' ORDER BY q) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY q, c)) AS h FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM books) AS codebooks_sha256
+FROM coded JOIN e USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": _OP2_SQL,
         "op5_jaccard_join": _OP5_SQL,
         "op9_substring_dedup": _OP9_SQL,
-        "op8_url_filters": _op8_sql()}
+        "op8_url_filters": _op8_sql(),
+        "op12_ball_tree_clustering": _op12_sql(),
+        "op13_filtering_codes": _op13_sql()}
