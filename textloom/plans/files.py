@@ -39,9 +39,22 @@ def src2(spark, sf_dir):
     return out.select("record_id", "title", F.array_join("authors", "|").alias("authors"))
 
 
-@query("src3_oversized_files", "SELECT 0::BIGINT AS oversized")
+def _sized_files(spark, sf_dir):
+    """A file for each (source, language) of documents: a line for each document, as long as its number of characters tells."""
+    docs = table(spark, sf_dir, "documents")
+    line = F.concat(F.lit('"'), F.repeat(F.lit("x"), (F.col("n_chars") % 100).cast("int")), F.lit('",'), F.col("doc_id").cast("string"))
+    path = shared_path(spark, "sized")
+    docs.select(line.alias("value"), F.concat_ws("-", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))).alias("name")).repartition("name").write.partitionBy("name").text(path)
+    return path + "/*"
+
+
+@query("src3_oversized_files", "SELECT coalesce(source, 'none') || '-' || coalesce(lang, 'none') AS name, sum(n_chars % 100 + 4 + length(doc_id::VARCHAR))::BIGINT AS bytes, count(*) - 1 AS rows FROM documents GROUP BY 1 HAVING sum(n_chars % 100 + 4 + length(doc_id::VARCHAR)) > 300")
 def src3(spark, sf_dir):
-    return csv_strict.oversized(spark, _csv(spark, sf_dir), 1 << 40).agg(F.count("*").alias("oversized"))
+    rows = csv_strict.read_strict(spark, _sized_files(spark, sf_dir), max_bytes=300)
+    over = csv_strict.csv_errors(rows).select("path", F.regexp_extract("error", r"^the file has (\d+) bytes, more than", 1).cast("long").alias("bytes")).where("bytes IS NOT NULL")
+    counts = rows.where("row > 0").groupBy("path").agg(F.count("*").alias("rows"))
+    name = F.regexp_extract(F.col("path"), "/name=([^/]+)/", 1)
+    return over.join(counts, "path").select(name.alias("name"), "bytes", "rows")
 
 
 @query("src4_record_types", "SELECT p_partkey, CASE WHEN p_size < 25 THEN 'BOOK' ELSE 'OTHER' END AS type FROM part")

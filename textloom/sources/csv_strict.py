@@ -1,21 +1,19 @@
 """SRC1-4: strict CSV, and bibliography rows from it.
 
-Spark's own reader is lenient, so files that need diagnostics are read whole and
-parsed by a small state machine in an Arrow map, one file a row; large plain CSV
-should go through ``spark.read.csv`` with the same options (:func:`plain`).
+Spark's own reader is lenient, so files that need diagnostics are read by ranges
+(:mod:`textloom.sources.csv_split`); plain CSV whose lines are rows can go through
+``spark.read.csv`` (:func:`plain`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.hashing import record_fingerprint
 from textloom.operators.selection import occurrence_ids
+from textloom.sources.csv_split import Reader, read_rows, scan_rows
 
 # Limits of an import.
 MAX_BYTES, MAX_ROWS, MAX_FIELD = 10 * 1024 * 1024, 5_000, 50_000
@@ -56,70 +54,42 @@ TYPES = {
 
 def parse_csv(text: str) -> tuple[list[list[str]], list[str]]:
     """Rows and errors of one CSV text (header included); rows without any content are left out."""
-    text = text.removeprefix("﻿")
-    rows, errors, row, field = [], [], [], []
-    quoted = started = after = False
-    line = 1
-
-    def end_row() -> None:
-        nonlocal row, field, started, after
-        row.append("".join(field))
-        if len(row) > 1 or row[0]:
-            rows.append(row)
-        row, field, started, after = [], [], False, False
-
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if quoted:
-            if c == '"' and text[i + 1 : i + 2] == '"':
-                field.append('"')
-                i += 1
-            elif c == '"':
-                quoted, after = False, True
-            else:
-                line += c == "\n"
-                field.append(c)
-        elif c == ",":
-            row.append("".join(field))
-            field, started, after = [], False, False
-        elif c in "\r\n":
-            i += c == "\r" and text[i + 1 : i + 2] == "\n"
-            end_row()
-            line += 1
-        elif c == '"' and not started:
-            quoted = started = True
-        else:
-            if c == '"' or after:
-                errors.append(f"unexpected {'quote' if c == '"' else 'character'} at line {line}")
-            started = True
-            field.append(c)
-        i += 1
-    if quoted:
-        errors.append(f"unclosed quote at line {line}")
-    if field or row or started:
-        end_row()
-    for k, r in enumerate(rows[1:], 2):
-        if len(r) != len(rows[0]):
-            errors.append(f"row {k} has {len(r)} fields, the header {len(rows[0])}")
+    text = text.removeprefix("\ufeff")
+    rows, errors, found, reader = [], [], [], Reader(False)
+    lines = text.split("\n")
+    for one in lines[:-1] if lines[-1] == "" else lines:
+        found += reader.feed(one)
+    if reader.open is not None:
+        found += scan_rows("\n".join(reader.open) + "\n" * (lines[-1] == ""), reader.begin, ended=True)[0]
+    for cells, problems in found:
+        rows += [cells] if cells else []
+        errors += problems
+    errors += [f"row {k} has {len(r)} fields, the header {len(rows[0])}" for k, r in enumerate(rows[1:], 2) if len(r) != len(rows[0])]
     return rows, errors
 
 
-def read_strict(spark: SparkSession, path: str) -> DataFrame:
-    """``path, row, cells, header, errors`` of all files under a path; rows from 1, errors on row 0."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES).select("path", F.decode("content", "UTF-8").alias("text"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, text in zip(frame["path"], frame["text"]):
-                rows, errors = parse_csv(text)
-                header = rows[0] if rows else []
-                over = [f"more than {MAX_ROWS} rows"] if len(rows) - 1 > MAX_ROWS else []
-                over += [f"row {k} has a field of over {MAX_FIELD} characters" for k, r in enumerate(rows[1:], 1) if any(len(c) > MAX_FIELD for c in r)]
-                out = [(name, 0, header, header, errors + over)] + [(name, k, r, header, []) for k, r in enumerate(rows[1:], 1)]
-                yield pd.DataFrame(out, columns=["path", "row", "cells", "header", "errors"])
+def read_strict(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS, max_field: int = MAX_FIELD) -> DataFrame:
+    """``path, row, cells, header, errors`` of all files under a path, each read by as many tasks as it has byte ranges.
 
-    return files.mapInPandas(run, "path string, row int, cells array<string>, header array<string>, errors array<string>")
+    Row 0 is the header and has the errors of the file: its own quotes, and limits that the file
+    is beyond, whose rows are there all the same. Rows from 1 have their own errors.
+    Spark does not open empty files, so they have no rows. Errors name the line on which they stand.
+    """
+    rows, files = read_rows(spark, path)
+    over = F.array_compact(F.array(
+        F.when(F.col("bytes") > max_bytes, F.concat(F.lit("the file has "), F.col("bytes").cast("string"), F.lit(f" bytes, more than {max_bytes}"))),
+        F.when(F.col("rows") > max_rows, F.lit(f"more than {max_rows} rows")),
+    ))
+    heads = files.select("path", F.lit(0).cast("long").alias("row"), F.col("header").alias("cells"), "header", F.concat("problems", over).alias("errors"))
+    long = F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(f" has a field of over {max_field} characters"))
+    data = rows.join(files.select("path", "header"), "path").withColumn("errors", F.when(F.exists("cells", lambda c: F.length(c) > max_field), F.array_append("errors", long)).otherwise(F.col("errors")))
+    columns = ["path", F.col("row").cast("long").alias("row"), "cells", "header", "errors"]
+    return data.select(*columns).unionByName(heads.select(*columns))
+
+
+def csv_errors(rows: DataFrame) -> DataFrame:
+    """``path, row, error`` of everything that :func:`read_strict` found."""
+    return rows.select("path", "row", F.explode("errors").alias("error"))
 
 
 def oversized(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> DataFrame:
