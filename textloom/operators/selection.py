@@ -27,27 +27,28 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 last_wins = latest_per_key  # SET1
 
 
+#: Sampled rows for each cut between ranges.
+SAMPLED = 50
+
+
 def _bounds(df: DataFrame, order: list[str], parts: int) -> Column:
-    """The range that a row falls in, by quantiles of the first column of the order (ranges with ties stay whole)."""
-    first = order[0]
-    kind = dict(df.dtypes)[first]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "timestamp_ntz", "date") or kind.startswith("decimal"):
-        cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
-    else:  # texts: cuts among the hashed least of many
-        some = df.where(F.col(first).isNotNull()).select(first).orderBy(F.xxhash64(first), first).limit(50 * parts).toPandas()[first].sort_values().tolist()
-        cuts = some[50::50]
-    cuts = sorted(set(cuts))
+    """The range that a row falls in, by cuts of the whole order: a frequent first value is cut by the columns after it."""
+    kinds = dict(df.dtypes)
+    some = df.select(*order).orderBy(F.rand(7)).limit(SAMPLED * parts)
+    cuts = list(dict.fromkeys(tuple(r) for r in some.orderBy(*order).collect()[SAMPLED::SAMPLED]))
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.coalesce(c < F.col(first), F.lit(False))))
+    row = F.struct(*order)
+    cut = lambda values: F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, values)))
+    return F.size(F.filter(F.array(*map(cut, cuts)), lambda c: c < row))
 
 
 def running(df: DataFrame, order: list[str], value: Column | None = None) -> DataFrame:
     """WIN5/7/9: row number ``rank`` (from 1) and, with ``value``, the sum ``before`` each row, in total order.
 
-    Rows are dealt by ranges of the first column of the order and numbered within
-    their range; the ranges' own counts and sums (one row each) are added up and joined
-    back, so no single task sees all rows, unless all share one value of that column.
+    Rows are dealt by ranges of the order and numbered within their range; the ranges' own
+    counts and sums (one row each) are added up and joined back, so no single task sees all
+    rows, unless all agree in every column of the order. Nulls come first.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -62,16 +62,22 @@ def src4(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", csv_strict.record_type(F.when(F.col("p_size") < 25, " B-ook ").otherwise("p_name")).alias("type"))
 
 
-def _dictionary(spark, sf_dir, codec=None):
+def _dictionary_path(spark, sf_dir, codec=None, ordered=False):
     orders = table(spark, sf_dir, "orders")
+    orders = orders.orderBy("o_orderkey") if ordered else orders
     line = F.to_json(F.struct(F.lit("کتاب").alias("word"), F.when(F.col("o_orderstatus") == "P", "ar").otherwise("fa").alias("lang_code"), F.col("o_orderkey").cast("string").alias("pos")))
     path = shared_path(spark, "jsonl")
     writer = orders.select(F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("{"), F.col("o_orderkey").cast("string"))).otherwise(line).alias("value")).write
     (writer.option("compression", codec) if codec else writer).text(path)
-    return E.valid_entries(records.dictionary(spark, path))
+    return path
+
+
+def _dictionary(spark, sf_dir, codec=None):
+    return E.valid_entries(records.dictionary(spark, _dictionary_path(spark, sf_dir, codec)))
 
 
 _REASONS = "SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'MALFORMED_JSON' WHEN o_orderstatus = 'P' THEN 'NOT_PERSIAN' END AS reason, count(*) AS n FROM orders GROUP BY 1"
+_VALID = "SELECT o_orderkey::VARCHAR AS pos, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P'"
 
 
 @query("src5_dictionary_lines", _REASONS)
@@ -79,6 +85,13 @@ def src5(spark, sf_dir):
     return _dictionary(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("src5_line_numbers", "SELECT count(*) AS lines, count(*) AS ids FROM orders")
+def src5_ids(spark, sf_dir):
+    """Equal lines (here all of a priority's) have ids of their own."""
+    path = _lines(spark, table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.col("o_orderpriority").alias("word"))).alias("value")), "equal")
+    return records.dictionary(spark, path).agg(F.count("*").alias("lines"), F.count_distinct("entry_id").alias("ids"))
+
+
 @query("src6_gzip_lines", _REASONS)
 def src6(spark, sf_dir):
     return _dictionary(spark, sf_dir, "gzip").groupBy("reason").agg(F.count("*").alias("n"))
@@ -89,6 +102,19 @@ def src7(spark, sf_dir):
     return records.valid_range(_dictionary(spark, sf_dir), 0, 100).agg(F.count("*").alias("n"))
 
 
+@query("srt11_file_order_range", f"SELECT pos, rank FROM ({_VALID}) WHERE rank BETWEEN 11 AND 60")
+def srt11_files(spark, sf_dir):
+    path = _dictionary_path(spark, sf_dir, ordered=True)
+    return records.dictionary_range(spark, path, E.valid_entries, 10, 50).select("pos", "rank")
+
+
+@query("srt11_all_ranks", f"SELECT pos, rank FROM ({_VALID}) WHERE rank > 10")
+def srt11_ranks(spark, sf_dir):
+    """An offset without a limit: every valid row after it, numbered over all files."""
+    entries = E.valid_entries(records.dictionary(spark, _dictionary_path(spark, sf_dir, ordered=True)))
+    return records.valid_range(entries, 10).select("pos", "rank")
+
+
 def _marc_path(spark, sf_dir):
     record = F.concat(
         F.lit('<record><controlfield tag="001">'), F.col("o_orderkey").cast("string"), F.lit('</controlfield><datafield tag="100" ind1="1" ind2=" "><subfield code="6">880-01</subfield><subfield code="a">'), "o_orderpriority",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTRY = """word string, lang string, lang_code string, pos string, tags array<string>, etymology_number string, head_nr int,
@@ -19,23 +21,81 @@ MAX_XML_BYTES = 5 * 1024 * 1024
 #: Bounds of one record.
 MAX_FIELDS, MAX_SUBFIELDS, MAX_VALUE = 1_000, 10_000, 100_000
 
+#: Byte ranges of files that are broadcast as a small table; beyond it lines are dealt by range.
+BROADCAST_SPANS = 500_000
+
+
+def _by_span(rows: DataFrame, spans: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows`` with their span's columns; spans are broadcast where the files cannot have more than ``BROADCAST_SPANS``."""
+    most = source.rdd.getNumPartitions() + len(source.inputFiles())  # a partition holds whole files or ranges of them
+    return rows.join(F.broadcast(spans) if most <= BROADCAST_SPANS else spans.hint("merge"), ["file", "span"])
 
-def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """SRC5-7: JSON lines (gzip by name) with malformed lines kept; ``entry_id`` is the file's name and the line's hash.
 
-    Blank lines are no rows. Ids do not depend on how files are split; equal lines of a file share theirs.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, span, line, value`` of text files: the byte range that Spark read a line in, and its number in the file, from 1.
+
+    Lines are counted range by range (no shuffle of lines) and the counts are added up within each
+    file; a line's number does not depend on how files are cut.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
+    raw = spark.read.text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("span"), F.monotonically_increasing_id().alias("_at"), "value")
+    earlier = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = raw.groupBy("file", "span").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    spans = spans.select("file", "span", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    return _by_span(raw, spans, raw).select("file", "span", (F.col("_at") + F.col("_shift")).alias("line"), "value")
+
+
+def dictionary(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """SRC5-7: JSON lines (gzip by name) with malformed lines kept, or refused if ``strict``.
+
+    ``entry_id`` is the file's name and the line's number, so equal lines have different ids and ids do
+    not depend on how files are split. Blank lines count but are no rows.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.withColumn("e", F.from_json("value", ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    return parsed.select(F.concat_ws("#", "file", F.substring(F.sha2("value", 256), 1, 16)).alias("entry_id"), "e.*")
+    if strict:
+        message = F.concat(F.lit("malformed JSON at line "), F.col("line").cast("string"), F.lit(" of "), "file")
+        parsed = parsed.withColumn("line", F.when(F.col("e._corrupt_record").isNotNull(), F.raise_error(message).cast("long")).otherwise(F.col("line")))
+    name = F.element_at(F.split("file", "/"), -1)
+    return parsed.select(F.concat_ws("#", name, F.col("line").cast("string")).alias("entry_id"), "file", "span", "line", "e.*")
 
 
-def valid_range(entries: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """SRC5/SRT11: valid rows (``reason`` is null) from ``offset`` on, at most ``limit``, in order of their ids; invalid rows do not count."""
-    from textloom.operators.selection import running
+def valid_range(entries: DataFrame, offset: int = 0, limit: int | None = None, rejected: bool = False) -> DataFrame:
+    """SRC5/SRT11: valid rows (``reason`` is null) from ``offset`` on, at most ``limit``, in order of files and lines; ``rank`` counts valid rows.
 
-    ranked = running(entries.where("reason IS NULL"), ["entry_id"]).where(F.col("rank") > offset)
-    return (ranked if limit is None else ranked.where(F.col("rank") <= offset + limit)).drop("rank")
+    With ``rejected`` the other rows that a reader would meet before it stops come, too. Valid rows are counted
+    range by range; only ranges that the window touches are numbered, each for itself. Entries without
+    places (``file, span, line``) go in the order of their ids.
+    """
+    end = None if limit is None else offset + limit
+    valid = F.col("reason").isNull()
+    if not {"file", "span", "line"} <= set(entries.columns):
+        from textloom.operators.selection import running
+
+        ranked = running(entries.where(valid), ["entry_id"]).where(F.col("rank") > offset)
+        return (ranked if end is None else ranked.where(F.col("rank") <= end)).drop("rank")
+    earlier = Window.orderBy("file", "span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = entries.groupBy("file", "span").agg(F.count_if(valid).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    touched = F.lit(True) if end is None else F.col("_before") < end
+    spans = spans.where(touched if rejected else touched & (F.col("_before") + F.col("_n") > offset)).select("file", "span", "_before")
+    inside = Window.partitionBy("file", "span").orderBy("line")
+    ranked = _by_span(entries if rejected else entries.where(valid), spans, entries)
+    ranked = ranked.withColumn("rank", F.col("_before") + F.sum(valid.cast("long")).over(inside)).drop("_before")
+    stops = F.lit(True) if end is None else F.col("rank") < end + valid.cast("int")
+    return ranked.where(stops & (~valid | (F.col("rank") > offset)))
+
+
+def dictionary_range(spark: SparkSession, path: str, judge: Callable[[DataFrame], DataFrame], offset: int, limit: int, rejected: bool = False) -> DataFrame:
+    """:func:`valid_range` of files, with an early end: files are counted in the order of their names, twice as many each time, until the window is full.
+
+    ``judge`` adds ``reason``. Later files are never opened.
+    """
+    names = sorted(spark.read.text(path).inputFiles())
+    taken, found, step = 0, 0, 1
+    while taken < len(names) and found < offset + limit:
+        found += judge(dictionary(spark, names[taken : taken + step])).where("reason IS NULL").count()
+        taken, step = taken + step, 2 * step
+    return valid_range(judge(dictionary(spark, names[:taken] or path)), offset, limit, rejected)
 
 
 def marc(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +130,11 @@ def marc_fields(records: DataFrame) -> DataFrame:
 
 
 def deduplicated_records(records: DataFrame, ident: str, checksum: str) -> tuple[DataFrame, DataFrame]:
-    """SRC11: one row for each id, and ids that come with different content."""
+    """SRC11: one row for each id (that of the least checksum, then of the least other columns), and ids that come with different content."""
+    from textloom.operators.selection import first_wins
+
     conflicts = records.groupBy(ident).agg(F.count_distinct(checksum).alias("n")).where("n > 1")
-    return records.dropDuplicates([ident]), conflicts
+    return first_wins(records, [ident], [checksum, *(c for c in records.columns if c not in (ident, checksum))]), conflicts
 
 
 def catalogue_items(spark: SparkSession, path: str) -> DataFrame:
