@@ -90,8 +90,8 @@ def test_marc_linkage(spark, tmp_path):
     f008 = records.select(F.filter("controlfield", lambda c: c["_tag"] == "008")[0]["_VALUE"].alias("f"))
     assert len(f008.first()["f"]) >= 3
     (tmp_path / "bad.xml").write_text("<!DOCTYPE x><collection/>")
-    with pytest.raises(ValueError):
-        R.marc(spark, str(tmp_path / "bad.xml"))
+    assert R.marc(spark, str(tmp_path)).count() == 1
+    assert [(r["path"].rpartition("/")[2], r["reason"]) for r in R.refused_xml(spark, str(tmp_path)).collect()] == [("bad.xml", "DOCUMENT_TYPE")]
 
 
 def test_catalogue_json_and_pages(spark, tmp_path):

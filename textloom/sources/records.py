@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import marc_xml
+
 ENTRY = """word string, lang string, lang_code string, pos string, tags array<string>, etymology_number string, head_nr int,
 forms array<struct<form:string,tags:array<string>,raw_tags:array<string>,source:string,ipa:string,romanization:string,head_nr:int>>,
 sounds array<struct<ipa:string,tags:array<string>,raw_tags:array<string>,note:string>>,
 senses array<struct<id:string,senseid:array<string>,glosses:array<string>,tags:array<string>,form_of:array<struct<word:string,extra:string>>,alt_of:array<struct<word:string,extra:string>>>>,
 head_templates array<struct<name:string>>, _corrupt_record string"""
 
-MARC = """leader string, controlfield array<struct<_tag:string,_VALUE:string>>,
-datafield array<struct<_tag:string,_ind1:string,_ind2:string,subfield:array<struct<_code:string,_VALUE:string>>>>"""
+#: Bounds of a collection file: as of a page, but with any number of records that fits its size.
+COLLECTION = marc_xml.Bounds(records=1_000_000)
 
-# Bounds of an XML document.
-MAX_XML_BYTES = 5 * 1024 * 1024
 #: Bounds of one record.
 MAX_FIELDS, MAX_SUBFIELDS, MAX_VALUE = 1_000, 10_000, 100_000
 
@@ -98,20 +98,14 @@ def dictionary_range(spark: SparkSession, path: str, judge: Callable[[DataFrame]
     return valid_range(judge(dictionary(spark, names[:taken] or path)), offset, limit, rejected)
 
 
-def marc(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8/9: MARC XML with a fixed string schema; files with a DTD or above the size bound are refused."""
-    bad = [r["path"] for r in refused_xml(spark, path).collect()]
-    if bad:
-        raise ValueError("XML with a document type or above the size bound: " + ", ".join(sorted(bad)[:5]))
-    return spark.read.format("xml").option("rowTag", "record").schema(MARC).load(path)
+def marc(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """SRC8: MARC records of the good collections below a path; :func:`refused_xml` has the others."""
+    return marc_xml.page_records(marc_xml.read_pages(spark, path, "COLLECTION", strict, COLLECTION))
 
 
-def refused_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder that are not to be read: (path, reason). Contents of files above the bound are not looked at."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", "UTF-8")
-    reason = F.when(F.col("length") > MAX_XML_BYTES, "TOO_LARGE").when(text.rlike("(?i)<!DOCTYPE|<!ENTITY"), "DOCUMENT_TYPE")
-    return files.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+def refused_xml(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Files of a folder whose records :func:`marc` leaves out: ``path, reason``."""
+    return marc_xml.refused_pages(marc_xml.read_pages(spark, path, "COLLECTION", strict, COLLECTION))
 
 
 def bounded_records(records: DataFrame) -> DataFrame:
