@@ -1,13 +1,17 @@
 """Versioned store: snapshots, retention, diffs, manifests, ledgers, audits.
 
-Spark has no transaction over several tables: a snapshot is written as its own
-partition, verified, and only then named by the one-row pointer table, by a
-single writer.
+Spark has no transaction over several tables: a snapshot is written to a folder of its
+own and verified; then a file claims its id, and a file of the next version points to
+it. Both are created only if absent, so of writers that start from one version one
+succeeds and the others get a :class:`Conflict` and leave nothing behind.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import threading
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.hashing import manifest_checksum
 from textloom.operators.selection import latest_per_key
+from textloom.shared import create_if_absent, remove
 
 
 def snapshot_diff(active: DataFrame, incoming: DataFrame, keys: list[str], content: str, history: DataFrame | None = None) -> DataFrame:
@@ -65,53 +70,96 @@ def verify_snapshot(rows: DataFrame, manifest: DataFrame, keys: list[str], conte
     return both.where((F.col("candidate_count") != F.col("_n")) | ~F.col("manifest_checksum").eqNullSafe(F.col("_h"))).drop("_n", "_h")
 
 
-def publish(rows: DataFrame, path: str, snapshot_id: str, keys: list[str], content: str) -> DataFrame:
-    """STO1: write, verify, then flip the pointer. Returns the manifest."""
+class Conflict(ValueError):
+    """Another writer was first."""
+
+
+def publish(rows: DataFrame, path: str, snapshot_id: str, keys: list[str], content: str, version: int | None = None) -> DataFrame:
+    """STO1: write, verify, claim the id, then move the pointer on from ``version`` (None: the one that is there now). Returns the manifest."""
     spark = rows.sparkSession
-    rows.write.mode("error").parquet(f"{path}/snapshot_id={snapshot_id}")
-    stored = spark.read.parquet(f"{path}/snapshot_id={snapshot_id}")
-    # From what was written: a plan that is run again may give other rows.
-    manifest = build_snapshot(stored, snapshot_id, keys, content)
-    if not verify_snapshot(stored, manifest, keys, content).isEmpty():
-        raise ValueError(f"snapshot {snapshot_id} does not match its manifest")
-    manifest.write.mode("error").parquet(f"{path}/_manifests/{snapshot_id}")
-    activate(spark, path, snapshot_id)
+    version = pointed(spark, path)[0] if version is None else version
+    folder = f"snapshots/{uuid.uuid4().hex}"
+    claimed = False
+    try:
+        rows.write.mode("error").parquet(f"{path}/{folder}")
+        stored = spark.read.parquet(f"{path}/{folder}")
+        # From what was written: a plan that is run again may give other rows.
+        manifest = spark.createDataFrame(build_snapshot(stored, snapshot_id, keys, content).collect(), _MANIFEST)
+        if not verify_snapshot(stored, manifest, keys, content).isEmpty():
+            raise ValueError(f"snapshot {snapshot_id} does not match its manifest")
+        claimed = create_if_absent(spark, _claim(path, snapshot_id), json.dumps({**manifest.first().asDict(), "folder": folder}))
+        if not claimed:
+            raise Conflict(f"snapshot {snapshot_id} exists")
+        activate(spark, path, snapshot_id, version)
+    except Exception:
+        if claimed:
+            remove(spark, _claim(path, snapshot_id))
+        remove(spark, f"{path}/{folder}")
+        raise
     return manifest
 
 
 _POINTER = "version long, snapshot_id string"
+_MANIFEST = "snapshot_id string, candidate_count long, manifest_checksum string"
 
 
-def pointed(spark, path: str) -> tuple[int, str | None]:
-    """Version and snapshot of the pointer; (0, None) before the first."""
+def _claim(path: str, snapshot_id: str) -> str:
+    return f"{path}/_claims/{hashlib.sha256(snapshot_id.encode()).hexdigest()}"
+
+
+def _read_json(spark, path: str, schema: str) -> DataFrame | None:
     try:
-        row = spark.read.schema(_POINTER).parquet(f"{path}/_pointer").agg(F.max(F.struct("version", "snapshot_id")).alias("p")).first()["p"]
+        return spark.read.schema(schema).json(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        row = None
+        return None
+
+
+def snapshots(spark, path: str) -> DataFrame:
+    """Manifests and folders of all snapshots that were published and not withdrawn."""
+    found = _read_json(spark, f"{path}/_claims", f"{_MANIFEST}, folder string")
+    return spark.createDataFrame([], f"{_MANIFEST}, folder string") if found is None else found
+
+
+def pointed(spark, path: str) -> tuple[int, str | None]:
+    """Version and snapshot of the pointer; (0, None) before the first."""
+    found = _read_json(spark, f"{path}/_pointer", _POINTER)
+    row = None if found is None else found.agg(F.max(F.struct("version", "snapshot_id")).alias("p")).first()["p"]
     return (row["version"], row["snapshot_id"]) if row is not None else (0, None)
 
 
-def activate(spark, path: str, snapshot_id: str) -> None:
-    """STO5: point to a snapshot (again), by one more version of the pointer; older ones stay, so readers always find one."""
-    version = pointed(spark, path)[0] + 1
-    spark.createDataFrame([(version, snapshot_id)], _POINTER).coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
+def activate(spark, path: str, snapshot_id: str, version: int | None = None) -> None:
+    """STO5: point to a snapshot (again) by the version after ``version`` (None: the one that is there now).
+
+    Older versions stay, so readers always find one. If another writer made that version, :class:`Conflict`.
+    """
+    if _read_json(spark, _claim(path, snapshot_id), _MANIFEST) is None:
+        raise ValueError(f"no snapshot {snapshot_id}")
+    after = (pointed(spark, path)[0] if version is None else version) + 1
+    if not create_if_absent(spark, f"{path}/_pointer/{after:019d}", json.dumps({"version": after, "snapshot_id": snapshot_id})):
+        raise Conflict(f"another writer made version {after}")
 
 
 def active(spark, path: str) -> DataFrame:
     """SRC17: rows of the active snapshot; only its folder is read."""
-    return spark.read.parquet(f"{path}/snapshot_id={pointed(spark, path)[1]}")
+    name = pointed(spark, path)[1]
+    if name is None:
+        raise ValueError("no snapshot is active")
+    return spark.read.parquet(f"{path}/{_read_json(spark, _claim(path, name), 'folder string').first()['folder']}")
 
 
 def publish_incremental(rows: DataFrame, path: str, snapshot_id: str, keys: list[str], content: str, source_keys: list[str], expected: str | None, full_rebuild: bool = False) -> DataFrame:
-    """STO1: guard, compose, publish. ``expected`` names the snapshot that must be active (None: none yet); rows of sources that do not come in are retained."""
+    """STO1: guard, compose, publish. ``expected`` names the snapshot that must be active (None: none yet); rows of sources that do not come in are retained.
+
+    The pointer moves from the version that was composed from, or not at all.
+    """
     spark = rows.sparkSession
-    now = pointed(spark, path)[1]
+    version, now = pointed(spark, path)
     if now != expected:
         raise ValueError(f"the active snapshot is {now}, not {expected}")
     composed = rows if now is None else retain(active(spark, path), rows, source_keys, full_rebuild)
-    return publish(require_rows(composed, "a snapshot has rows"), path, snapshot_id, keys, content)
+    return publish(require_rows(composed, "a snapshot has rows"), path, snapshot_id, keys, content, version)
 
 
 class MemoryStore:

@@ -12,6 +12,7 @@ from textloom.operators import transduce as X
 from textloom.plans.catalog import query
 from textloom.session import table
 from textloom.shared import shared_path
+from textloom.sources.file_hashes import file_hashes
 from textloom.sources import csv_strict, marc_xml, records, remote, sinks
 
 
@@ -240,6 +241,43 @@ def src17(spark, sf_dir):
     return V.active(spark, path).select("o_orderkey")
 
 
+@query("sto1_two_writers", "SELECT o_orderkey, 's2' AS snapshot_id, 'Conflict' AS second FROM orders WHERE o_orderstatus <> 'O' OR o_orderdate >= timestamp '1995-01-01'")
+def sto1_two_writers(spark, sf_dir):
+    """Two writers start from one version; the second to finish must not move the pointer, and the first's rows stay."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate").withColumn("h", F.sha2("o_orderstatus", 256))
+    path, keys = shared_path(spark, "writers"), ["o_orderkey"]
+    V.publish(orders.where("o_orderstatus <> 'O'"), path, "s1", keys, "h")
+    version = V.pointed(spark, path)[0]
+    V.publish(V.retain(V.active(spark, path), orders.where("o_orderdate >= timestamp '1995-01-01'"), keys), path, "s2", keys, "h", version)
+    second = "published"
+    try:
+        V.publish(orders.where("o_orderdate < timestamp '1995-01-01'"), path, "s3", keys, "h", version)
+    except V.Conflict:
+        second = "Conflict"
+    return V.active(spark, path).select("o_orderkey", F.lit(V.pointed(spark, path)[1]).alias("snapshot_id"), F.lit(second).alias("second"))
+
+
+@query("sto5_restored_snapshot", "SELECT o_orderkey, 3::BIGINT AS version FROM orders WHERE o_orderstatus = 'F'")
+def sto5_restored(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").withColumn("h", F.sha2("o_orderstatus", 256))
+    path, keys = shared_path(spark, "restored"), ["o_orderkey"]
+    V.publish(orders.where("o_orderstatus = 'F'"), path, "s1", keys, "h")
+    V.publish(orders, path, "s2", keys, "h")
+    V.activate(spark, path, "s1")
+    return V.active(spark, path).select("o_orderkey", F.lit(V.pointed(spark, path)[0]).cast("long").alias("version"))
+
+
+@query("hsh10_streamed_hashes", """SELECT lang, count(*) AS lines, sha256(string_agg(line, '') ) AS sha256 FROM (
+  SELECT coalesce(lang, 'none') AS lang, doc_id || ':' || replace(coalesce(text, ''), chr(10), ' ') || chr(10) AS line FROM documents ORDER BY doc_id) GROUP BY lang""")
+def hsh10_streamed(spark, sf_dir):
+    """One file a language, its documents in order; hashed line by line, no file held whole."""
+    docs = table(spark, sf_dir, "documents")
+    line = F.concat_ws(":", F.col("doc_id").cast("string"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    path = shared_path(spark, "hashed")
+    docs.select(line.alias("value"), F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id").repartition("lang").sortWithinPartitions("lang", "doc_id").select("value", "lang").write.partitionBy("lang").text(path)
+    return file_hashes(spark, path + "/*").select(F.regexp_extract("file", "/lang=([^/]+)/", 1).alias("lang"), "lines", "sha256")
+
+
 @query("snk7_review_sheet", "SELECT p_partkey::VARCHAR || ',' || p_name || ',READY' AS line FROM part")
 def snk7(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("candidate"), F.col("p_name").alias("surface"), F.lit("READY").alias("state"))
