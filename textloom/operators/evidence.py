@@ -187,8 +187,8 @@ def search_index(index: DataFrame, query: str) -> DataFrame:
     return hits.groupBy("normalized").agg(F.count("*").alias("n"), F.when(F.bool_and("reviewed"), "REVIEWED").when(F.bool_or("reviewed"), "PARTLY_REVIEWED").otherwise("UNREVIEWED").alias("status"))
 
 
-def blocked_pairs(records: DataFrame, ident: str, blocks: list[tuple[str, str, int]], limit: int | None = None) -> DataFrame:
-    """JON15: pairs that share a block key, with the strongest relation; no all-pairs.
+def blocked_pairs(records: DataFrame, ident: str, blocks: list[tuple[str, str, int]]) -> DataFrame:
+    """Pairs that share a block key, with the strongest relation; no all-pairs. :mod:`textloom.operators.relations` has the rules of JON15.
 
     ``blocks``: (column with the key, relation, priority). Each record is compared with
     the first record of its block (star), which links a block of m records by m - 1 pairs.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import hashing as H
+from textloom.operators import relations
 from textloom.operators import audit as A
 from textloom.operators import bibliography as B
 from textloom.operators import coverage as C
@@ -612,6 +613,43 @@ def msc13(spark, sf_dir):
     return V.violations(forms, rules, ["normalized"]).groupBy("violation").agg(F.count("*").alias("n"))
 
 
+_CATALOGUE = """r AS (SELECT o_orderkey AS id, o_custkey || '/' || (o_orderkey % 400) AS source, CASE WHEN o_orderkey % 11 = 0 THEN (floor(o_totalprice)::BIGINT % 5000)::VARCHAR END AS ncid,
+  CASE WHEN o_orderkey % 7 = 0 THEN [(floor(o_totalprice)::BIGINT % 9000)::VARCHAR, 'o' || o_orderkey] ELSE [] END AS isbns, o_custkey::VARCHAR AS title,
+  CASE WHEN o_orderstatus = 'P' THEN [] WHEN o_orderkey % 3 = 0 THEN [o_orderpriority, o_orderstatus] ELSE [o_orderpriority] END AS authors, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS publisher FROM orders)"""
+
+
+def _catalogue(spark, sf_dir):
+    """Orders as bibliographic records with keys in common."""
+    key, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    price = F.floor("o_totalprice").cast("long")
+    none = F.array().cast("array<string>")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.concat_ws("/", text(F.col("o_custkey")), text(key % 400)).alias("source"), F.when(key % 11 == 0, text(price % 5000)).alias("ncid"),
+        F.when(key % 7 == 0, F.array(text(price % 9000), F.concat(F.lit("o"), text(key)))).otherwise(none).alias("isbns"), text(F.col("o_custkey")).alias("title"),
+        F.when(F.col("o_orderstatus") == "P", none).when(key % 3 == 0, F.array("o_orderpriority", "o_orderstatus")).otherwise(F.array("o_orderpriority")).alias("authors"),
+        F.when(key % 2 == 0, F.year("o_orderdate")).alias("year"), F.when(key % 5 == 0, F.col("o_orderstatus")).alias("publisher"),
+    )
+
+
+@query("jon15_relations", f"""WITH {_CATALOGUE},
+i AS (SELECT id, unnest(isbns) AS isbn FROM r),
+p AS (SELECT a.id, b.id AS other FROM r a JOIN r b ON a.source = b.source AND a.id <> b.id UNION SELECT a.id, b.id FROM r a JOIN r b ON a.ncid = b.ncid AND a.id <> b.id
+  UNION SELECT a.id, b.id FROM i a JOIN i b ON a.isbn = b.isbn AND a.id <> b.id UNION SELECT a.id, b.id FROM r a JOIN r b ON a.title = b.title AND a.id <> b.id),
+j AS (SELECT p.id, CASE WHEN a.source = b.source THEN 1 WHEN a.ncid = b.ncid OR list_has_any(a.isbns, b.isbns) THEN 2
+  WHEN list_has_any(a.authors, b.authors) AND (a.year <> b.year OR a.publisher <> b.publisher) THEN 3 WHEN len(a.authors) > 0 AND len(b.authors) > 0 AND NOT list_has_any(a.authors, b.authors) THEN 4 ELSE 5 END AS rule
+  FROM p JOIN r a ON a.id = p.id JOIN r b ON b.id = p.other)
+SELECT r.id, coalesce(['EXACT_DUPLICATE_RECORD', 'DUPLICATE_MANIFESTATION', 'RELATED_EDITION', 'SIMILAR_TITLE_ONLY', 'UNCERTAIN_RELATIONSHIP'][min(rule)], 'UNIQUE_RECORD') AS status FROM r LEFT JOIN j USING (id) GROUP BY r.id""")
+def jon15(spark, sf_dir):
+    return relations.relations(_catalogue(spark, sf_dir), "id", "source", ["ncid", "isbns"], "title", "authors", "year", "publisher")
+
+
+@query("jon15_membership", f"""WITH {_CATALOGUE},
+k AS (SELECT id, 'source' AS key, source AS value FROM r UNION SELECT id, 'ncid', ncid FROM r WHERE ncid IS NOT NULL UNION SELECT id, 'isbns', unnest(isbns) FROM r UNION SELECT id, 'title', title FROM r)
+SELECT id, key, value, min(id) OVER (PARTITION BY key, value) AS leader, count(*) OVER (PARTITION BY key, value) AS members FROM k QUALIFY members > 1""")
+def jon15_members(spark, sf_dir):
+    return relations.membership(_catalogue(spark, sf_dir), "id", "source", ["ncid", "isbns"], "title")
+
+
 @query("msc14_candidate_validation", """SELECT o_orderkey, 'SCHEMA:CHEAP' AS finding FROM orders WHERE o_totalprice < 50000 UNION ALL SELECT o_orderkey, 'DUPLICATE:CUSTOMER' FROM orders WHERE o_orderkey <> (SELECT min(b.o_orderkey) FROM orders b WHERE b.o_custkey = orders.o_custkey) UNION ALL SELECT o_orderkey, 'OVERLAP' FROM orders WHERE o_custkey IN (SELECT user_id FROM events)""")
 def msc14(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
