@@ -79,6 +79,63 @@ def test_profile_recovery(spark):
     assert {(r.record_id, r.idx): r.effective_profile for r in recover_profiles(rows).collect()} == {("r", 0): "IRANIAN", ("r", 1): "CLASSICAL_DARI", ("s", 0): "UNCLASSIFIED"}
 
 
+def test_tiers_of_profile_recovery(spark):
+    """Each row of a record against the rules by hand: tags, then templates, then pairs of what is left."""
+    schema = "record_id string, form string, etymology int, head int, idx int, romanization string, profile string, templates array<struct<name:string,args:map<string,string>>>"
+    template = lambda *a: [(n, dict(kv)) for n, kv in a]
+    rows = [
+        ("tags", "گل", 1, None, 0, "gol", "IRANIAN", None), ("tags", "گل", 1, None, 1, "gul", "UNCLASSIFIED", None), ("tags", "گل", 1, None, 2, "gol", "CONFLICTING", None),
+        ("templ", "گل", None, None, 0, " gol ", "UNCLASSIFIED", template(("x", [("tr", "gol")]), ("fa", [("tr", "gol"), ("c", "gol")]))), ("templ", "گل", None, None, 1, "gul", "UNCLASSIFIED", template(("fa", [("c", "gul"), ("tr", "gul")]))),
+        ("none", "گل", None, None, 0, "-", "UNCLASSIFIED", template(("fa", [("tr", "-")]))), ("none", "گل", None, None, 1, None, "UNCLASSIFIED", None),
+        ("wild", "گل", 1, None, 0, "gol", "UNCLASSIFIED", None), ("wild", "گل", None, 2, 1, "gul", "UNCLASSIFIED", None), ("wild", "گل", 2, None, 2, "gul", "UNCLASSIFIED", None), ("wild", "گل", 1, 3, 3, "gul", "UNCLASSIFIED", None),
+        ("both", "بد", 1, None, 0, "bad", "UNCLASSIFIED", None), ("both", "بد", 1, None, 1, "bad", "UNCLASSIFIED", None), ("form", "گل", 1, None, 0, "gol", "UNCLASSIFIED", None), ("form", "گلا", 1, None, 1, "gulā", "UNCLASSIFIED", None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    out = recover_profiles(df, (("fa", "tr", "IRANIAN"), ("fa", "c", "CLASSICAL_DARI"))).collect()
+    got = {(r.record_id, r.idx): (r.effective_profile, r.status, (r.tier or "-")[5:6], r.partners) for r in out}
+    no = ("UNCLASSIFIED", "UNRECOVERABLE", "", None)
+    assert got == {
+        ("tags", 0): ("IRANIAN", "EXPLICIT", "A", None), ("tags", 1): no, ("tags", 2): ("CONFLICTING", "CONFLICTING", "A", None),
+        ("templ", 0): ("IRANIAN", "RECOVERED", "B", None), ("templ", 1): ("CLASSICAL_DARI", "RECOVERED", "B", None), ("none", 0): no, ("none", 1): no,
+        ("wild", 0): ("IRANIAN", "RECOVERED", "C", [1, 3]), ("wild", 1): ("CLASSICAL_DARI", "RECOVERED", "C", [0]), ("wild", 2): no, ("wild", 3): ("CLASSICAL_DARI", "RECOVERED", "C", [0]),
+        ("both", 0): no, ("both", 1): no, ("form", 0): no, ("form", 1): no,
+    }
+    assert len({r.recovery_id for r in out}) == len(out) and {r.recovery_id for r in recover_profiles(df.repartition(1), (("fa", "tr", "IRANIAN"), ("fa", "c", "CLASSICAL_DARI"))).collect()} == {r.recovery_id for r in out}
+
+
+def test_issue_ids_name_their_document_and_evidence(spark):
+    base = [("a", 0, 0, "w", "p"), ("a", 1, 2, "v", "p"), ("b", 0, 0, "w", "p"), ("b", 1, 2, "u", "p"), ("c", 0, 0, "w", "p"), ("c", 1, 2, "v", "other")]
+    tokens = lambda rows: spark.createDataFrame(rows, "doc string, idx int, start int, surface string, proposal string").withColumns({"state": F.lit("UNRESOLVED"), "morph_status": F.lit(None).cast("string"), "unsupported_marks": F.array().cast("array<string>")})
+    ids = {(r["doc"], r["idx"]): r["issue_id"] for r in R.review_issues(tokens(base), "doc").collect()}
+    assert ids["a", 0] != ids["b", 0] and ids["a", 0] == ids["c", 0] and ids["a", 1] != ids["c", 1] and len(set(ids.values())) == 5
+    again = {(r["doc"], r["idx"]): r["issue_id"] for r in R.review_issues(tokens(base[::-1]), "doc").collect()}
+    assert again == ids
+    decisions = spark.createDataFrame([("b", ids["b", 0])], "doc string, issue_id string")
+    without = R.review_issues(tokens([r for r in base if r[0] != "b"]), "doc")
+    assert R.stale_decisions(decisions, without).count() == 1
+
+
+def test_accuracy_counters(spark):
+    from textloom.operators import accuracy as A
+
+    token = lambda i, s, c: (i, s, c)
+    cases = spark.createDataFrame([
+        (1, True, "Ab", ["x"], [token(0, "s", "c"), token(1, "t", "d")], [("f", "K", "v"), ("g", "K", "v")], {"STRUCTURAL": True, "IJMES_POLICY": False}), (2, True, "e\u0301", None, [token(0, "s", "c")], [], {"STRUCTURAL": True}),
+        (3, True, "z", [], [token(0, "s", "c")], [("f", "L", "v")], {"STRUCTURAL": False}), (4, False, "z", [], [], [], {}), (5, True, "q", [], [], None, None),
+    ], "case_id int, scorable boolean, canonical string, alternatives array<string>, tokens array<struct<idx:int,surface:string,canonical:string>>, features array<struct<id:string,kind:string,expected:string>>, truth map<string,boolean>")
+    predictions = spark.createDataFrame([
+        (1, "ANSWER", True, "aB ", [token(0, "s", "c"), token(1, "other", "d")], {"f": "v"}, [("STRUCTURAL", "BLOCK"), ("IJMES_POLICY", "INFO")]), (2, "ANSWER", True, "é", [token(0, "s", "no")], {}, []), (3, "TIMEOUT", True, "z", [], {}, []), (5, "ANSWER", True, "q", [], None, None),
+    ], "case_id int, class string, valid boolean, proposal string, tokens array<struct<idx:int,surface:string,canonical:string>>, features map<string,string>, signals array<struct<layer:string,severity:string>>")
+    counts = A.counters(cases, predictions)
+    got = {(r.part, r.name, r.measure): r.n for r in counts.collect() if r.part != "validator"}
+    assert got == {
+        ("flow", "", "excluded"): 1, ("flow", "", "unalignable"): 1, ("flow", "", "evaluated"): 2, ("flow", "", "timeout"): 1, ("phrase", "", "exact"): 1, ("phrase", "", "accepted"): 1, ("phrase", "", "normalized"): 2, ("phrase", "", "case_only"): 2, ("phrase", "", "unicode_only"): 1,
+        ("token", "", "eligible"): 4, ("token", "", "correct"): 1, ("token", "", "incorrect"): 1, ("token", "", "unalignable"): 1, ("token", "", "unsuccessful"): 1, ("feature", "K", "correct"): 1, ("feature", "K", "unevaluable"): 1, ("feature", "L", "unevaluable"): 1,
+    }
+    layers = {r.layer: (r.detected, r.missed, r.false_warning, r.unflagged, r.uncertain, r.measurable, r.precision, r.recall) for r in A.validator_matrices(counts).collect()}
+    assert layers["STRUCTURAL"] == (1, 1, 0, 0, 2, True, 1.0, 0.5) and layers["IJMES_POLICY"] == (0, 0, 0, 1, 3, True, None, None) and layers["LINGUISTIC_REVIEW"] == (0, 0, 0, 0, 4, False, None, None)
+
+
 def test_eligibility_cascade(spark):
     titles = ["", "کتاب خوب من", "کتاب خوب من", "abc", "کتاب abcdefg", "کتب", "کتابخانه", None]
     df = spark.createDataFrame([(i, t, "fa") for i, t in enumerate(titles)] + [(99, "کتاب خوب من", "en")], "id int, t string, lang string")

@@ -242,13 +242,14 @@ def render_documents(tokens: DataFrame, id_col: str, text: str, marks: DataFrame
 
 
 def review_issues(tokens: DataFrame, id_col: str) -> DataFrame:
-    """DOM8: the first of seven rules that an open token breaks, with a stable id; ``in_order`` sorts them.
+    """DOM8: the first of seven rules that an open token breaks; ``in_order`` sorts them.
+
+    An issue's id names its document's tokens, its place, its surface, its rule and its evidence: documents that differ
+    share none, and a decision on other evidence is stale.
 
     Optional columns: ``whole_word`` (a reviewed whole word competes), ``allomorph`` (the suffix needs a form that is
     not supported), ``blocking`` and ``proposal`` as :func:`routed` gives them.
     """
-    from textloom.functions.hashing import fnv1a_32
-
     has = lambda c: F.col(c) if c in tokens.columns else F.lit(None)
     yes = lambda c: F.coalesce(has(c).cast("boolean"), F.lit(False))
     open_ = ~F.coalesce(F.col("state").isin("DETERMINISTIC", "LEXICON_RESOLVED", "USER_OVERRIDE"), F.lit(False))
@@ -262,8 +263,22 @@ def review_issues(tokens: DataFrame, id_col: str) -> DataFrame:
         .when((F.col("state") == "UNRESOLVED") | has("blocking").isin("NO_LEXICAL_ENTRY", "VOCALIZATION_CONFLICT"), "UNKNOWN_TOKEN")
     )
     kind = F.when(open_, kind)
-    out = tokens.withColumn("issue_type", kind).where("issue_type IS NOT NULL")
-    return out.withColumn("issue_id", fnv1a_32(F.concat_ws("|", "issue_type", F.col("start").cast("string"), "surface"))).select(id_col, "idx", "start", "issue_id", "issue_type")
+    # What is to be decided: the same place with other evidence is another issue.
+    payload = F.sha2(F.to_json(F.struct(*(has(c).alias(c) for c in PAYLOAD)), {"ignoreNullFields": "false"}), 256)
+    texts = fingerprints(tokens, id_col)
+    out = tokens.withColumn("issue_type", kind).where("issue_type IS NOT NULL").join(texts, id_col)
+    parts = [F.lit("issue"), F.substring("_text", 1, 16), F.concat_ws("-", F.col("idx").cast("string"), F.col("start").cast("string")), "surface", "issue_type", F.substring(payload, 1, 16)]
+    return out.withColumn("issue_id", F.concat_ws(":", *parts)).select(id_col, "idx", "start", "issue_id", "issue_type")
+
+
+#: Columns of a token that are its evidence, as far as they are there.
+PAYLOAD = ("morph_status", "whole_word", "allomorph", "unsupported_marks", "blocking", "proposal", "readings", "alternatives")
+
+
+def fingerprints(tokens: DataFrame, id_col: str) -> DataFrame:
+    """``_text``: a hash of each document's tokens and their places; a document is the largest group, of hashes."""
+    one = F.sha2(F.concat_ws("\u0000", F.col("idx").cast("string"), F.col("start").cast("string"), "surface"), 256)
+    return tokens.groupBy(id_col).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "start", one.alias("h"))))["h"], ""), 256).alias("_text"))
 
 
 def in_order(issues: DataFrame, id_col: str) -> DataFrame:

@@ -142,29 +142,54 @@ def profile_of(tags: Column) -> Column:
     return F.when(F.coalesce(iranian & classical, F.lit(False)), "CONFLICTING").when(iranian, "IRANIAN").when(classical, "CLASSICAL_DARI").otherwise("UNCLASSIFIED")
 
 
-def recover_profiles(rows: DataFrame) -> DataFrame:
-    """DOM15/JON16: pairs of unclassified romanisations of one record that can only be one Iranian and one classical.
+# Arguments of a template that say nothing.
+NO_ARGUMENT = ("", "-", "—", "―", "+", "?", "none", "n/a", "null", "undefined", "--")
+#: Tiers in order of precedence.
+TIERS = ("TIER_A_EXPLICIT", "TIER_B_STRUCTURAL", "TIER_C_PAIRED")
 
-    ``rows``: record_id, form, etymology, head, idx, romanization, profile. Pairs are made
-    within (record, form, etymology, head), by index order, which bounds them by a record's own list.
+
+def recover_profiles(rows: DataFrame, rules: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
+    """DOM15/JON16: profiles of romanisations by three tiers of evidence; the first tier that says anything decides.
+
+    ``rows``: record_id, form, etymology, head, idx (of a record's romanisations), romanization, profile; optionally ``templates``, an
+    array of (name, args map). Tier A: the profile that the tags give; contradictory tags are a conflict. Tier B: the first
+    template, then the first of ``rules`` (template, argument, profile), whose argument is the romanisation and aligns with the form
+    in that profile. Tier C: of two romanisations of one record and form without other evidence, whose etymologies and heads do not
+    differ, one can be Iranian and the other classical, and not the other way round; partners that disagree are a conflict.
+
+    Adds effective_profile, status (EXPLICIT, RECOVERED, CONFLICTING, UNRECOVERABLE), tier, partners (idx of tier C, sorted) and
+    recovery_id. Pairs are made of one record's open romanisations only.
     """
-    keys = ["record_id", "form", "etymology", "head"]
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    pairs = a.join(b, [*same, F.col("a.idx") < F.col("b.idx"), F.col("a.romanization") != F.col("b.romanization")]).select(
-        *(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.idx").alias("ia"), F.col("b.idx").alias("ib"), F.col("a.romanization").alias("ra"), F.col("b.romanization").alias("rb")
-    )
-    iranian = lambda r: transduced(F.col("form"), r, F.lit("IRANIAN"))
-    classical = lambda r: transduced(F.col("form"), r, F.lit("CLASSICAL_DARI"))
-    not_classical, not_iranian = "[â]|ey|ow", "[āīūēō]"
-
-    def valid(i, c):
-        return iranian(i)["canonical"].isNotNull() & classical(c)["canonical"].isNotNull() & ~F.lower(c).rlike(not_classical) & ~F.lower(i).rlike(not_iranian)
-
-    judged = pairs.withColumn("ab", valid(F.col("ra"), F.col("rb"))).withColumn("ba", valid(F.col("rb"), F.col("ra"))).where("ab <> ba")
-    found = judged.select(*keys, F.explode(F.array(F.struct(F.col("ia").alias("idx"), F.when(F.col("ab"), "IRANIAN").otherwise("CLASSICAL_DARI").alias("p")), F.struct(F.col("ib").alias("idx"), F.when(F.col("ab"), "CLASSICAL_DARI").otherwise("IRANIAN").alias("p")))).alias("f")).select(*keys, "f.*")
-    votes = found.groupBy(*keys, "idx").agg(F.collect_set("p").alias("_p"))
-    out = rows.join(votes, [*keys, "idx"], "left") if not keys else rows.alias("r").join(votes.alias("v"), [*(F.col(f"r.{k}").eqNullSafe(F.col(f"v.{k}")) for k in [*keys, "idx"])], "left").select("r.*", "v._p")
-    known = F.col("profile").isin("IRANIAN", "CLASSICAL_DARI")
-    recovered = F.when(F.size("_p") > 1, "CONFLICTING").when(F.size("_p") == 1, F.col("_p")[0])
-    return out.withColumn("effective_profile", F.when(known & recovered.isNotNull() & (recovered != F.col("profile")), "CONFLICTING").when(known, F.col("profile")).otherwise(F.coalesce(recovered, F.col("profile")))).drop("_p")
+    low = F.lower(F.trim("romanization"))
+    ok = lambda profile: transduced(F.col("form"), F.trim("romanization"), F.lit(profile))["canonical"].isNotNull()
+    found = rows.withColumns({"_i": ok("IRANIAN"), "_c": ok("CLASSICAL_DARI")})
+    structural = F.lit(None).cast("string")
+    if rules and "templates" in rows.columns:
+        rule_rows = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(p).alias("p")) for t, a, p in rules))
+        holds = lambda t, r: (F.trim(t["name"]) == r["t"]) & (F.trim(F.try_element_at(t["args"], r["a"])) == F.trim("romanization")) & ~low.isin(*NO_ARGUMENT) & F.when(r["p"] == "IRANIAN", F.col("_i")).otherwise(F.col("_c"))
+        hits = F.flatten(F.transform("templates", lambda t: F.transform(F.filter(rule_rows, lambda r: F.coalesce(holds(t, r), F.lit(False))), lambda r: r["p"])))
+        structural = F.try_element_at(hits, F.lit(1))
+    explicit = F.when(F.col("profile").isin("IRANIAN", "CLASSICAL_DARI", "CONFLICTING"), F.col("profile"))
+    found = found.withColumns({"_a": explicit, "_b": F.when(explicit.isNull(), structural)})
+
+    open_ = found.where("_a IS NULL AND _b IS NULL AND romanization IS NOT NULL AND trim(romanization) <> ''")
+    place = ["record_id", "form", "idx"]
+    a, b = open_.alias("a"), open_.alias("b")
+    agrees = lambda k: F.col(f"a.{k}").isNull() | F.col(f"b.{k}").isNull() | (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    pairs = a.join(b, [F.col("a.record_id") == F.col("b.record_id"), F.col("a.form") == F.col("b.form"), F.col("a.idx") < F.col("b.idx"), F.col("a.romanization") != F.col("b.romanization"), agrees("etymology"), agrees("head")])
+    iranian = lambda s: F.col(f"{s}._i") & ~F.lower(f"{s}.romanization").rlike("[āīūēō]")
+    classical = lambda s: F.col(f"{s}._c") & ~F.lower(f"{s}.romanization").rlike("[â]|ey|ow")
+    judged = pairs.select(
+        "a.record_id", "a.form", F.col("a.idx").alias("ia"), F.col("b.idx").alias("ib"), (iranian("a") & classical("b")).alias("ab"), (iranian("b") & classical("a")).alias("ba")
+    ).where("ab <> ba")
+    side = lambda me, other, first: F.struct(F.col(me).alias("idx"), F.col(other).alias("partner"), F.when(F.col(first), "IRANIAN").otherwise("CLASSICAL_DARI").alias("p"))
+    votes = judged.select("record_id", "form", F.explode(F.array(side("ia", "ib", "ab"), side("ib", "ia", "ba"))).alias("v")).select("record_id", "form", "v.*")
+    votes = votes.groupBy(*place).agg(F.min("p").alias("_p"), F.max("p").alias("_q"), F.array_sort(F.collect_set("partner")).alias("partners"))
+
+    out = found.join(votes, place, "left")
+    paired = F.when(F.col("_p") == F.col("_q"), F.col("_p")).when(F.col("_p").isNotNull(), "CONFLICTING")
+    profile = F.coalesce("_a", "_b", paired)
+    tier = F.when(F.col("_a").isNotNull(), TIERS[0]).when(F.col("_b").isNotNull(), TIERS[1]).when(F.col("_p").isNotNull(), TIERS[2])
+    status = F.when(profile.isNull(), "UNRECOVERABLE").when(profile == "CONFLICTING", "CONFLICTING").when(F.col("_a").isNotNull(), "EXPLICIT").otherwise("RECOVERED")
+    basis = F.concat_ws("\u0000", F.col("record_id").cast("string"), "form", F.col("idx").cast("string"), F.coalesce(profile, F.lit("UNCLASSIFIED")), F.coalesce(tier, F.lit("NONE")), F.array_join("partners", ","))
+    return out.select(*rows.columns, F.coalesce(profile, F.col("profile")).alias("effective_profile"), status.alias("status"), tier.alias("tier"), "partners", F.concat(F.lit("rec-"), F.substring(F.sha2(basis, 256), 1, 16)).alias("recovery_id"))

@@ -324,33 +324,63 @@ def dom14(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.profile_of(tags).alias("profile"))
 
 
-#: Words with their two romanisations and the common form.
-_WORDS = {"F": ("کتاب", "ketâb", "kitāb"), "O": ("باد", "bâd", "bād"), "P": ("کتاب", "bâd", None)}
+# Words whose letters spell an order's key, with a short vowel between the consonants.
+_DIGITS, _LATIN, _PERSIAN = "0123456789", "bdrmnlfpkg", "بدرمنلفپکگ"
+_SPELT = f"""WITH w AS (SELECT *, string_split(translate(o_orderkey::VARCHAR, '{_DIGITS}', '{_LATIN}'), '') AS ls, length(o_orderkey::VARCHAR) > 1 AS long FROM orders)"""
 
 
-@query("dom12_transduction", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'DETERMINISTIC' WHEN 'O' THEN 'DETERMINISTIC' ELSE 'NOT_ALIGNED' END AS status, CASE o_orderstatus WHEN 'F' THEN 'kitāb' WHEN 'O' THEN 'bād' END AS canonical FROM orders")
-def dom12(spark, sf_dir):
-    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for s, w in _WORDS.items() for x in (s, w[k]))), F.col("o_orderstatus"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.transduced(pick(0), pick(1), F.lit("IRANIAN")).alias("t")).select("o_orderkey", "t.*")
+def _spelt(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    letters = F.split(F.translate(key, _DIGITS, _LATIN), "")
+    return table(spark, sf_dir, "orders").withColumns({"form": F.translate(key, _DIGITS, _PERSIAN), "letters": F.filter(letters, lambda c: c != "")})
 
 
-def _readings(spark, sf_dir):
-    """Each order as a record of one word with its two romanisations, their profiles unknown."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit("کتاب").alias("form"), F.lit(None).cast("string").alias("etymology"), F.lit(1).alias("head"), F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.lit("ketâb").alias("romanization")), F.struct(F.lit(1).alias("idx"), F.lit("kitāb").alias("romanization")))).alias("r"))
-    return orders.select("record_id", "form", "etymology", "head", "r.*", F.lit("UNCLASSIFIED").alias("profile"))
+def _with(vowel):
+    return F.array_join("letters", vowel)
 
 
-@query("dom15_recovered_profiles", "SELECT o_orderkey AS record_id, unnest(['IRANIAN', 'CLASSICAL_DARI']) AS effective_profile FROM orders")
+@query("dom12_transduction", f"""{_SPELT} SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND long THEN 'NOT_ALIGNED' WHEN o_orderstatus = 'F' AND long THEN 'DETERMINISTIC' ELSE 'DIRECT' END AS status,
+CASE WHEN NOT (o_orderstatus = 'P' AND long) THEN CASE WHEN o_orderstatus = 'F' THEN array_to_string(ls, 'i') ELSE array_to_string(ls, 'a') END END AS canonical FROM w""")
+def dom12(spark, sf_dir):
+    roman = F.when(F.col("o_orderstatus") == "F", _with("e")).when(F.col("o_orderstatus") == "O", _with("a")).otherwise(_with("u"))
+    return _spelt(spark, sf_dir).select("o_orderkey", X.transduced(F.col("form"), roman, F.lit("IRANIAN")).alias("t")).select("o_orderkey", "t.*")
+
+
+def _readings(spark, sf_dir):
+    """Each order as a record of one word with two romanisations: with tags, with a template that names the first, or with neither."""
+    words = _spelt(spark, sf_dir)
+    second = F.when(F.col("o_orderstatus") == "F", _with("i")).when(F.col("o_orderstatus") == "O", _with("a")).otherwise(_with("u"))
+    both = F.array(F.struct(F.lit(0).alias("idx"), F.when(F.col("o_orderstatus") == "O", _with("a")).otherwise(_with("e")).alias("romanization")), F.struct(F.lit(1).alias("idx"), second.alias("romanization")))
+    priority = F.substring("o_orderpriority", 1, 1)
+    first = lambda value, p: (F.col("r.idx") == 0) & (priority == p)
+    rows = words.select("*", F.explode(both).alias("r"))
+    template = F.array(F.struct(F.lit("fa-noun").alias("name"), F.create_map(F.lit("tr"), F.col("r.romanization")).alias("args")))
+    return rows.select(
+        F.col("o_orderkey").alias("record_id"), "form", F.when(priority == "5", F.col("r.idx")).alias("etymology"), F.lit(1).alias("head"), "r.idx", "r.romanization",
+        F.when(first("r", "2"), "IRANIAN").when(first("r", "3"), "CONFLICTING").otherwise("UNCLASSIFIED").alias("profile"), F.when(first("r", "1"), template).alias("templates"),
+    )
+
+
+_TIERS = f"""{_SPELT}, r AS (SELECT o_orderkey, o_orderstatus, long, o_orderpriority[1] AS p, unnest([0, 1]) AS idx FROM w),
+j AS (SELECT o_orderkey AS record_id, idx, CASE WHEN idx = 0 AND p IN ('2', '3') THEN 'TIER_A_EXPLICIT' WHEN idx = 0 AND p = '1' THEN 'TIER_B_STRUCTURAL' WHEN p = '4' AND o_orderstatus <> 'O' AND long THEN 'TIER_C_PAIRED' END AS tier, p FROM r)"""
+
+
+@query("dom15_recovered_profiles", f"""{_TIERS} SELECT record_id, idx, tier, CASE WHEN tier IS NULL THEN 'UNCLASSIFIED' WHEN p = '3' THEN 'CONFLICTING' WHEN idx = 0 THEN 'IRANIAN' ELSE 'CLASSICAL_DARI' END AS effective_profile,
+CASE WHEN tier IS NULL THEN 'UNRECOVERABLE' WHEN p = '3' THEN 'CONFLICTING' WHEN tier = 'TIER_A_EXPLICIT' THEN 'EXPLICIT' ELSE 'RECOVERED' END AS status FROM j""")
 def dom15(spark, sf_dir):
-    return X.recover_profiles(_readings(spark, sf_dir)).select("record_id", "effective_profile")
+    """Priority 1 has a template, 2 and 3 tags, 5 etymologies that keep the two apart; only 4 is left to pairing, which equal romanisations do not pass."""
+    return X.recover_profiles(_readings(spark, sf_dir), (("fa-noun", "tr", "IRANIAN"),)).select("record_id", "idx", "tier", "effective_profile", "status")
 
 
-@query("jon16_pairs_in_records", "SELECT o_orderkey AS record_id, 2::BIGINT AS recovered FROM orders")
+@query("jon16_pairs_in_records", f"{_TIERS} SELECT record_id, count(*) AS recovered, count(*) AS partners FROM j WHERE tier = 'TIER_C_PAIRED' GROUP BY 1")
 def jon16(spark, sf_dir):
-    return X.recover_profiles(_readings(spark, sf_dir)).where("effective_profile <> 'UNCLASSIFIED'").groupBy("record_id").agg(F.count("*").alias("recovered"))
+    rows = X.recover_profiles(_readings(spark, sf_dir), (("fa-noun", "tr", "IRANIAN"),)).where("tier = 'TIER_C_PAIRED'")
+    return rows.groupBy("record_id").agg(F.count("*").alias("recovered"), F.sum(F.size("partners")).alias("partners"))
 
 
-@query("dom16_slot_matches", "SELECT o_orderkey, TRUE AS matched FROM orders")
+@query("dom16_slot_matches", f"{_SPELT} SELECT o_orderkey, o_orderstatus <> 'P' OR NOT long AS matched FROM w")
 def dom16(spark, sf_dir):
-    both = table(spark, sf_dir, "orders").select("o_orderkey", X.transduced(F.lit("کتاب"), F.lit("ketâb"), F.lit("IRANIAN")).alias("i"), X.transduced(F.lit("کتاب"), F.lit("kitāb"), F.lit("CLASSICAL_DARI")).alias("c"))
+    classical = F.when(F.col("o_orderstatus") == "P", _with("a")).otherwise(_with("i"))
+    both = _spelt(spark, sf_dir).select("o_orderkey", X.transduced(F.col("form"), _with("e"), F.lit("IRANIAN")).alias("i"), X.transduced(F.col("form"), classical, F.lit("CLASSICAL_DARI")).alias("c"))
     return both.select("o_orderkey", (F.col("i.canonical") == F.col("c.canonical")).alias("matched"))
+

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import hashing as H
 from textloom.functions import text as T
+from textloom.operators import accuracy as A2
 from textloom.operators import audit as A
 from textloom.operators import bibliography as B
 from textloom.operators import coverage as C
@@ -535,6 +536,12 @@ def dom8(spark, sf_dir):
     return _issues(spark, sf_dir).select("idx", "issue_type")
 
 
+@query("dom8_issue_ids", _ISSUES + " SELECT count(*) AS issues, count(*) AS ids FROM i")
+def dom8_ids(spark, sf_dir):
+    """Documents that differ share no id, though all their words look alike."""
+    return _issues(spark, sf_dir).agg(F.count("*").alias("issues"), F.count_distinct("issue_id").alias("ids"))
+
+
 @query("srt6_issues_in_order", _ISSUES + " SELECT o_custkey, string_agg(issue_type, ',' ORDER BY o_orderkey) AS issues FROM i JOIN orders USING (o_orderkey) GROUP BY 1")
 def srt6(spark, sf_dir):
     return R.in_order(_issues(spark, sf_dir), "o_custkey").select("o_custkey", F.array_join(F.transform("issues", lambda x: x["issue_type"]), ",").alias("issues"))
@@ -591,6 +598,57 @@ def agg24(spark, sf_dir):
     return C.accuracy(refs, orders.select(F.col("o_orderkey").alias("case_id"), guess.alias("proposal")).where("proposal IS NOT NULL")).drop("exact_interval")
 
 
+_GRADED = """WITH c AS (SELECT o_orderkey AS id, o_orderstatus <> 'P' AS scorable, o_orderpriority AS canonical, o_totalprice AS price, o_orderstatus FROM orders),
+k AS (SELECT *, CASE WHEN id % 13 = 0 THEN 'missing_prediction' WHEN id % 13 = 1 THEN 'provider_failure' WHEN id % 13 = 2 THEN 'timeout' WHEN id % 13 = 3 THEN 'invalid_prediction' END AS failed,
+  CASE WHEN price > 200000 THEN canonical WHEN price > 100000 THEN lower(canonical) WHEN price > 50000 THEN ' ' || canonical || '  ' ELSE 'other' END AS proposal FROM c),
+t AS (SELECT l_orderkey AS id, l_linenumber AS idx, min(l_returnflag) AS canonical, CASE WHEN max(l_quantity) <= 5 THEN NULL WHEN max(l_discount) > 0.08 THEN 'X' ELSE min(l_returnflag) END AS reading FROM lineitem GROUP BY 1, 2),
+ks AS (SELECT * FROM k WHERE scorable), ts AS (SELECT t.*, failed FROM t JOIN ks USING (id)),
+un AS (SELECT id, bool_or(reading IS NULL) AS un FROM t GROUP BY 1)"""
+
+
+def _graded(spark, sf_dir):
+    """Orders as cases whose tokens are their lines, and predictions that go wrong by the columns."""
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key, price, name = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderpriority")
+    line = line.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"), F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"))
+    lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_list(F.struct(F.col("l_linenumber").alias("idx"), F.col("l_linestatus").alias("surface"), F.col("l_returnflag").alias("canonical"))).alias("tokens"),
+        F.collect_list(F.when(F.col("l_quantity") > 5, F.struct(F.col("l_linenumber").alias("idx"), F.col("l_linestatus").alias("surface"), F.when(F.col("l_discount") > 0.08, "X").otherwise(F.col("l_returnflag")).alias("canonical")))).alias("read"),
+    )
+    rows = orders.join(lines, "o_orderkey", "left")
+    kind = F.array(F.struct(F.lit("f1").alias("id"), F.col("o_orderstatus").alias("kind"), name.alias("expected")), F.struct(F.lit("f2").alias("id"), F.lit("HAMZA").alias("kind"), F.lit("x").alias("expected")))
+    truth = F.create_map(F.lit("STRUCTURAL"), key % 2 == 0, F.lit("IJMES_POLICY"), F.when(key % 3 > 0, key % 3 == 1))
+    cases = rows.select(key.alias("case_id"), (F.col("o_orderstatus") != "P").alias("scorable"), name.alias("canonical"), F.array(F.lit("other")).alias("alternatives"), F.coalesce("tokens", F.array().cast(dict(rows.dtypes)["tokens"])).alias("tokens"), kind.alias("features"), truth.alias("truth"))
+    proposal = F.when(price > 200000, name).when(price > 100000, F.lower(name)).when(price > 50000, F.concat(F.lit(" "), name, F.lit("  "))).otherwise("other")
+    signal = F.array_compact(F.array(F.when(key % 5 == 0, F.struct(F.lit("STRUCTURAL").alias("layer"), F.lit("BLOCK").alias("severity"))), F.when(key % 7 == 0, F.struct(F.lit("STRUCTURAL").alias("layer"), F.lit("INFO").alias("severity")))))
+    predictions = rows.where(key % 13 != 0).select(
+        key.alias("case_id"), F.when(key % 13 == 1, "PROVIDER_FAILURE").when(key % 13 == 2, "TIMEOUT").otherwise("ANSWER").alias("class"), (key % 13 != 3).alias("valid"), proposal.alias("proposal"), F.col("read").alias("tokens"),
+        F.when(price > 100000, F.create_map(F.lit("f1"), name)).otherwise(F.create_map(F.lit("f1"), F.lit("y"))).alias("features"), signal.alias("signals"),
+    )
+    return A2.counters(cases, predictions)
+
+
+@query("agg24_counters", f"""{_GRADED},
+r AS (SELECT 'flow' AS part, '' AS name, 'excluded' AS measure, 1 AS n FROM k WHERE NOT scorable
+UNION ALL SELECT 'flow', '', coalesce(failed, CASE WHEN un THEN 'unalignable' ELSE 'evaluated' END), 1 FROM ks LEFT JOIN un USING (id)
+UNION ALL SELECT 'phrase', '', unnest(list_filter(['exact', CASE WHEN price > 200000 OR price <= 50000 THEN 'accepted' END, CASE WHEN price > 200000 OR price <= 100000 THEN 'normalized' END, CASE WHEN price > 50000 AND price <= 200000 THEN 'case_only' END], lambda m: m IS NOT NULL AND (m <> 'exact' OR price > 200000))), 1 FROM ks WHERE failed IS NULL
+UNION ALL SELECT 'token', '', 'eligible', 1 FROM ts UNION ALL SELECT 'token', '', 'unsuccessful', 1 FROM ts WHERE failed IS NOT NULL
+UNION ALL SELECT 'token', '', CASE WHEN reading IS NULL THEN 'unalignable' WHEN reading = canonical THEN 'correct' ELSE 'incorrect' END, 1 FROM ts WHERE failed IS NULL
+UNION ALL SELECT 'feature', o_orderstatus, CASE WHEN failed IS NOT NULL THEN 'unevaluable' WHEN price > 100000 THEN 'correct' ELSE 'incorrect' END, 1 FROM ks UNION ALL SELECT 'feature', 'HAMZA', 'unevaluable', 1 FROM ks)
+SELECT part, name, measure, sum(n)::BIGINT AS n FROM r GROUP BY 1, 2, 3""")
+def agg24_counters(spark, sf_dir):
+    return _graded(spark, sf_dir).where("part <> 'validator'")
+
+
+@query("agg24_validator_layers", f"""{_GRADED},
+v AS (SELECT unnest(['STRUCTURAL', 'DETERMINISTIC_CONSISTENCY', 'IJMES_POLICY', 'LINGUISTIC_REVIEW']) AS layer, * FROM ks),
+j AS (SELECT layer, failed IS NULL AS ok, CASE layer WHEN 'STRUCTURAL' THEN id % 2 = 0 WHEN 'IJMES_POLICY' THEN CASE WHEN id % 3 > 0 THEN id % 3 = 1 END END AS truth, layer = 'STRUCTURAL' AND id % 5 = 0 AS flagged FROM v),
+m AS (SELECT layer, count_if(ok AND truth AND flagged) AS detected, count_if(ok AND truth AND NOT flagged) AS missed, count_if(ok AND NOT truth AND flagged) AS false_warning, count_if(ok AND NOT truth AND NOT flagged) AS unflagged, count_if(NOT ok OR truth IS NULL) AS uncertain FROM j GROUP BY 1)
+SELECT *, detected + missed + false_warning + unflagged > 0 AS measurable, detected / nullif(detected + false_warning, 0) AS precision, detected / nullif(detected + missed, 0) AS recall FROM m""")
+def agg24_layers(spark, sf_dir):
+    return A2.validator_matrices(_graded(spark, sf_dir))
+
+
 @query("jon26_unanswered_cases", """SELECT count(*) AS cases, count_if(o_orderstatus = 'F') AS answered FROM orders""")
 def jon26(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
