@@ -21,6 +21,27 @@ def acquisition_summary(obs: DataFrame) -> DataFrame:
     ).withColumn("duplicates", F.col("observations") - F.col("unique_observations"))
 
 
+def funnel(rows: DataFrame, shares: dict[str, Column], distinct: dict[str, Column], variants: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """AGG11: many distributions and distinct counts of one scan, as ``part, name, value, n``.
+
+    Every row makes a tagged key for each measure, and tagged keys are counted together, map-side first. ``shares``: rows by value (null
+    is a value). ``distinct``: TOTAL rows with the key, DISTINCT keys, REPEATED keys and SURPLUS rows beyond the first of their key.
+    ``variants`` (key, value): keys by their number of different values, as a number; null values are none.
+    """
+    tag = lambda part, name, key, value: F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    tags = [tag("share", n, none, c) for n, c in shares.items()]
+    tags += [F.when(c.isNotNull(), tag("distinct", n, c, none)) for n, c in distinct.items()]
+    tags += [F.when(k.isNotNull(), tag("variants", n, k, v)) for n, (k, v) in variants.items()]
+    counted = rows.select(F.explode(F.array_compact(F.array(*tags))).alias("t")).groupBy("t.part", "t.name", "t.key", "t.value").agg(F.count("*").alias("n"))
+    out = counted.where("part = 'share'").select("part", "name", "value", "n")
+    facts = {"TOTAL": F.sum("n"), "DISTINCT": F.count("*"), "REPEATED": F.count_if(F.col("n") > 1), "SURPLUS": F.sum(F.col("n") - 1)}
+    wide = counted.where("part = 'distinct'").groupBy("name").agg(*(f.cast("long").alias(k) for k, f in facts.items()))
+    out = out.unionByName(wide.select(F.lit("distinct").alias("part"), "name", F.explode(F.array(*(F.struct(F.lit(k).alias("value"), F.col(k).alias("n")) for k in facts))).alias("f")).select("part", "name", "f.*"))
+    many = counted.where("part = 'variants'").groupBy("name", "key").agg(F.count("value").cast("string").alias("value")).groupBy("name", "value").agg(F.count("*").alias("n"))
+    return out.unionByName(many.select(F.lit("variants").alias("part"), "name", "value", "n"))
+
+
 def multiplicity(rows: DataFrame, key: str, value: str) -> DataFrame:
     """AGG3: keys with no, one or many different values."""
     n = rows.groupBy(key).agg(F.count_distinct(value).alias("n"))

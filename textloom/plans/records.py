@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import hashing as H
-from textloom.operators import relations
+from textloom.operators import relations, seals
 from textloom.operators import audit as A
 from textloom.operators import bibliography as B
 from textloom.operators import coverage as C
@@ -15,6 +15,7 @@ from textloom.operators import store as V
 from textloom.plans.catalog import _bibliography, _cases, _CASES, _covered, _COVERED, query
 from textloom.plans.texts import _FIRST, _part, _TURNS, _turns
 from textloom.session import table
+from textloom.shared import shared_path
 
 # Joins
 
@@ -171,6 +172,16 @@ def agg11(spark, sf_dir):
     return A.acquisition_summary(rows.unionByName(rows)).select("observations", "duplicates")
 
 
+@query("agg11_scale_funnel", """WITH l AS (SELECT l_returnflag AS f, l_linestatus AS s, l_partkey AS p, l_suppkey AS u, l_orderkey AS o, CASE WHEN l_discount > 0.05 THEN l_suppkey END AS d FROM lineitem)
+SELECT 'share' AS part, 'flag' AS name, f AS value, count(*) AS n FROM l GROUP BY f UNION ALL SELECT 'share', 'status', s, count(*) FROM l GROUP BY s
+UNION ALL SELECT 'distinct', name, unnest(['TOTAL', 'DISTINCT', 'REPEATED', 'SURPLUS']), unnest([sum(n), count(*), count_if(n > 1), sum(n) - count(*)])::BIGINT FROM (SELECT 'part' AS name, p AS k, count(*) AS n FROM l GROUP BY p UNION ALL SELECT 'discounted', d, count(*) FROM l WHERE d IS NOT NULL GROUP BY d) GROUP BY name
+UNION ALL SELECT 'variants', name, v::VARCHAR, count(*) FROM (SELECT 'flags_of_order' AS name, o AS k, count(DISTINCT f) AS v FROM l GROUP BY o UNION ALL SELECT 'suppliers_of_part', p, count(DISTINCT d) FROM l GROUP BY p) GROUP BY name, v""")
+def agg11_funnel(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    discounted = F.when(F.col("l_discount") > 0.05, F.col("l_suppkey"))
+    return A.funnel(line, {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus")}, {"part": F.col("l_partkey"), "discounted": discounted}, {"flags_of_order": (F.col("l_orderkey"), F.col("l_returnflag")), "suppliers_of_part": (F.col("l_partkey"), discounted)})
+
+
 @query("agg12_diagnostic_index", _OBS + " SELECT word AS normalized, bool_or(r IS NOT NULL) AS romanized, bool_or(lemma = 'LEMMA') AS lemma, count(*) AS n, array_to_string(list_sort(list_distinct(list(pos))), ',') AS parts_of_speech FROM o GROUP BY 1")
 def agg12(spark, sf_dir):
     return A.diagnostic_index(E.observations(_entries(spark, sf_dir))).select("normalized", "romanized", "lemma", "n", F.array_join("parts_of_speech", ",").alias("parts_of_speech"))
@@ -523,6 +534,19 @@ def sto14(spark, sf_dir):
     return A.verify_package(files, manifest)
 
 
+@query("sto14_located_changes", """SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 0 THEN 'MISSING' WHEN o_orderkey % 991 = 1 THEN 'ADDED' ELSE 'CHANGED' END AS finding, CASE WHEN o_orderkey % 997 <> 0 AND o_orderkey % 991 <> 1 THEN CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'X' THEN 'o_orderstatus' ELSE 'o_totalprice' END END AS fields
+FROM orders WHERE NOT (o_orderkey % 997 = 0 AND o_orderkey % 991 = 1) AND (o_orderkey % 997 = 0 OR o_orderkey % 991 = 1 OR o_orderkey % 983 = 2)""")
+def sto14_located(spark, sf_dir):
+    """Two sealed packages; of the second a few rows are gone, new or other."""
+    orders, key = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderkey")
+    hit = key % 983 == 2
+    other = orders.where(key % 997 != 0).withColumns({"o_orderstatus": F.when(hit & (key % 2 == 0), "X").otherwise(F.col("o_orderstatus")), "o_totalprice": F.when(hit & (key % 2 != 0), -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))})
+    before, after = shared_path(spark, "sealed"), shared_path(spark, "sealed")
+    seals.seal(orders.where(key % 991 != 1), before, ["o_orderkey"])
+    seals.seal(other, after, ["o_orderkey"])
+    return seals.located(spark, before, after, ["o_orderkey"]).select("o_orderkey", "finding", F.array_join("fields", ",").alias("fields"))
+
+
 @query("sto15_consolidation_equality", f"SELECT o_orderkey, 'LEFT' AS side FROM orders WHERE {_OLD} AND NOT {_NEW} UNION ALL SELECT o_orderkey, 'RIGHT' FROM orders WHERE {_NEW} AND NOT {_OLD}")
 def sto15(spark, sf_dir):
     old, new = _dates(spark, sf_dir)
