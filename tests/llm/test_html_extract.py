@@ -173,3 +173,30 @@ def test_against_brute_force(seed):
 
     text = f"<div>{section(0)}<p>{LOREM * 4}</p></div>"
     assert extract(text) == plain(text)
+
+
+SENTENCE = "The committee met on Tuesday, and it approved the plan; members, however, asked for changes. "
+
+
+@pytest.mark.parametrize("attribute,shown", [
+    ('data-title="the hidden world"', True), ('aria-label="the hidden cost"', True), ('data-note="display:none"', True), ('title="hidden"', True), ('aria-hidden="false"', True), ('style="color: red"', True), ('data-style="display:none"', True),
+    ("hidden", False), ('hidden=""', False), ("aria-hidden=true", False), ('style="color:red; display : none"', False), ('style="VISIBILITY:hidden"', False),
+])
+def test_only_attributes_that_hide_hide(attribute, shown):
+    body = f"<p>{SENTENCE * 3}</p>" * 3
+    want = "\n".join([" ".join([SENTENCE.strip()] * 3)] * 3)
+    assert extract(f"<html><body><div {attribute}>{body}</div></body></html>") == (want if shown else "")
+    inside = extract(f"<article>{body}<p {attribute}>A gem, found.</p></article>")
+    assert inside == want + "\nA gem, found." * shown
+
+
+@pytest.mark.parametrize("times", [2, 5, 20])
+@pytest.mark.parametrize("page", [
+    "<body><div>%s</div><div class=comments>%s</div></body>", "<body><article>%s</article><div id='comments'>%s</div></body>", "<body><div class=post>%s<div class='comment-list'><ol>%s</ol></div></div></body>", "<body><main>%s</main><section class='remarks'>%s</section></body>",
+])
+def test_comments_longer_than_the_article_go(page, times):
+    article = [f"{SENTENCE * 2}{k}" for k in range(4)]
+    size = sum(map(len, article))
+    comments = [f"I agree, really: this is a good point, thank you! {k}" for k in range(times * size // 50)]
+    assert sum(map(len, comments)) > (times - 0.2) * size
+    assert extract(page % ("".join(f"<p>{t}</p>" for t in article), "".join(f"<p>{t}</p>" for t in comments))) == "\n".join(article)

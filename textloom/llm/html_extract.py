@@ -7,7 +7,7 @@ paragraph shares the fate of the other paragraphs. A path's ratio is its text pe
 block times its punctuation per block, both damped, less its share of links.
 Ratios are smoothed over paths with the same container (weighted by text), fused
 with the path's own, and paths above a share of the page's text-weighted mean are
-content. Parts of lists, tables and figures (``PARTS``) are also smoothed over the
+content (that of the text that no name marks, if it is higher: long comments don't lower it). Parts of lists, tables and figures (``PARTS``) are also smoothed over the
 paths around the whole list, table or figure, less their links. Text of an article
 element (of a main element where no article has any) with no such name of its own is
 content whatever its ratio: short items, cells and captions are the article's too.
@@ -57,7 +57,8 @@ _START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--|!\[CDATA\[|[!?]))")
 _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMED = frozenset(("class", "id", "role", "itemprop"))
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HIDING = frozenset(("hidden", "aria-hidden", "style"))
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[,.;:!?…，。；：！？、«»„“”]")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -233,9 +234,12 @@ class Page:
                 words: set[str] = set()
                 for m in _ATTRIBUTE.finditer(attributes):
                     key = m[1].lower()
-                    if key not in _NAMED:
+                    if key not in _NAMED and key not in _HIDING:
                         continue
                     value = m[2] or m[3] or m[4] or ""
+                    if key in _HIDING:
+                        hard = hard or key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and bool(_UNSEEN.search(value))
+                        continue
                     words.update(w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w)
                     if key in ("class", "id"):
                         label += "." + re.sub(r"\d+", "", value)
@@ -245,7 +249,8 @@ class Page:
                         own = max(own, 1)
                 if name not in ("html", "body", *MARKS):
                     soft = soft or bool(words & ASIDE_WORDS)
-                    hard = bool(_HIDDEN.search(attributes))
+                else:
+                    hard = False
             marked = max(above, own)
             if bar == HARD or hard or (name in ASIDE and name not in SOFT and not (name == "header" and marked)):
                 bar = HARD
@@ -325,10 +330,15 @@ def extract(page: str | None) -> str:
 
     fused = {p: (OWN * r + (1 - OWN) * surroundings(p)) * sums[p][5] for p, r in ratio.items()}
     top = max((b.marked for b, _ in found if not excess[b.bar]), default=0)
-    mean = sum(sums[p][1] * f for p, f in fused.items()) / sum(s[1] for s in sums.values())
+    mean = max(_mean(sums, fused), _mean({p: s for p, s in sums.items() if s[5] == 1.0}, fused))
     return "\n".join(text for b, text in found if (b.marked and b.marked == top and not excess[b.bar]) or fused[b.path] >= max(THRESHOLD * mean, 1e-9))
 
 
+def _mean(sums: dict[int, list[float]], fused: dict[int, float]) -> float:
+    """Mean of the fused ratios of some paths, weighted by their text."""
+    return sum(s[1] * fused[p] for p, s in sums.items()) / max(1, sum(s[1] for s in sums.values()))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: Sequence[str] = ("url",)) -> DataFrame:
     """``id_col, *carry, text, n_chars`` of every row of ``pages``."""
     narrow = pages.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)), F.col(html_col).alias("html"))
