@@ -151,7 +151,8 @@ def plain(page_text):
         mates = [p for p in own if p[:-1] == path[:-1]]
         near = sum(own[p] * lengths[p] for p in mates) / sum(lengths[p] for p in mates)
         fused[path] = (0.4 * own[path] + 0.6 * near) * 0.1 ** sum(x.endswith((".sidebar", ".ad")) for x in path)
-    mean = sum(fused[p] * lengths[p] for p in own) / total
+    unnamed = [p for p in own if not any(x.endswith((".sidebar", ".ad")) for x in p)]
+    mean = max(sum(fused[p] * lengths[p] for p in some) / sum(lengths[p] for p in some) for some in (own, unnamed))
     return "\n".join(t for p, t in rows if fused[p] >= 0.25 * mean)
 
 
