@@ -213,10 +213,11 @@ def provenance_findings(claims: DataFrame, receipts: DataFrame, rules: list[tupl
 
 
 def derivation_breaks(evidence: DataFrame) -> DataFrame:
-    """JON11: children whose parent is absent, is itself derived, or does not hold their text at their span."""
-    parent = evidence.select(F.col("evidence_id").alias("parent_id"), F.col("text").alias("_pt"), F.col("parent_id").alias("_pp"))
+    """JON11: children whose parent is absent, is itself derived, or does not hold their text at their span (a null text is the text of null only)."""
+    parent = evidence.select(F.col("evidence_id").alias("parent_id"), F.col("text").alias("_pt"), F.col("parent_id").alias("_pp"), F.lit(True).alias("_there"))
     both = evidence.where("parent_id IS NOT NULL").join(parent, "parent_id", "left")
-    finding = F.when(F.col("_pt").isNull(), "MISSING_PARENT").when(F.col("_pp").isNotNull(), "NESTED_DERIVATION").when(F.substr("_pt", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text"), "SPAN_MISMATCH")
+    held = F.substr("_pt", F.col("start") + 1, F.col("end") - F.col("start")).eqNullSafe(F.col("text"))
+    finding = F.when(F.col("_there").isNull(), "MISSING_PARENT").when(F.col("_pp").isNotNull(), "NESTED_DERIVATION").when(~held, "SPAN_MISMATCH")
     return both.withColumn("finding", finding).where("finding IS NOT NULL").select("evidence_id", "finding")
 
 

@@ -147,10 +147,29 @@ def eligibility(spark, sf_dir):
     return C.title_eligibility(table(spark, sf_dir, "documents"), "text", "lang", ["doc_id"], "fr").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("jon5_cascade", f"""WITH w AS (SELECT item_id, {_WORDS} FROM benchmark), a AS (SELECT lower(c_mktsegment) AS w FROM customer GROUP BY 1), n AS (SELECT w FROM w GROUP BY 1 HAVING count(*) > 20)
+#: Names as titles: in Persian letters, in Latin ones, in both, cut, or gone.
+_TITLES = """t AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'en' ELSE 'fa' END AS lang, CASE p_size % 6 WHEN 0 THEN '  ' WHEN 1 THEN p_name WHEN 2 THEN fa WHEN 3 THEN split_part(fa, ' ', 1) || ' ' || p_name WHEN 4 THEN left(fa, p_size % 5 + 1) ELSE split_part(fa, ' ', 1) || ' ' || CASE WHEN p_size > 30 THEN '' ELSE 'x ' || fa END END AS title
+FROM (SELECT *, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz', 'ابپتثجچحخدذرزژسشصضطظعغفقکگ') AS fa FROM part))"""
+
+
+@query("flt1_all_reasons", f"""WITH {_TITLES}, n AS (SELECT *, trim(regexp_replace(title, ' +', ' ', 'g')) AS x FROM t),
+c AS (SELECT *, len(regexp_extract_all(x, '\\p{{Arabic}}')) AS a, len(regexp_extract_all(x, '\\p{{Latin}}')) AS l, len(regexp_extract_all(x, '\\p{{Arabic}}+')) AS w FROM n),
+r AS (SELECT *, CASE WHEN x = '' THEN 'EMPTY_TITLE' WHEN lang <> 'fa' THEN 'NOT_LANGUAGE_FA' WHEN a = 0 THEN 'ONLY_PUNCTUATION_OR_NUMBERS' WHEN l > a * 0.5 THEN 'PRIMARY_LATIN_METADATA' WHEN a < 4 THEN 'INSUFFICIENT_ARABIC_SCRIPT' WHEN w < 2 THEN 'FEWER_THAN_TWO_PERSIAN_TOKENS' END AS reason FROM c)
+SELECT p_partkey, coalesce(reason, CASE WHEN p_partkey <> min(p_partkey) FILTER (WHERE reason IS NULL) OVER (PARTITION BY x) THEN 'DUPLICATE_NORMALIZED_TITLE' END) AS reason FROM r""")
+def all_reasons(spark, sf_dir):
+    part, size = table(spark, sf_dir, "part"), F.col("p_size")
+    fa = F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", "ابپتثجچحخدذرزژسشصضطظعغفقکگ")
+    first = F.concat(F.split_part(fa, F.lit(" "), F.lit(1)), F.lit(" "))
+    mixed = F.concat(first, F.when(size > 30, "").otherwise(F.concat(F.lit("x "), fa)))
+    title = F.when(size % 6 == 0, "  ").when(size % 6 == 1, F.col("p_name")).when(size % 6 == 2, fa).when(size % 6 == 3, F.concat(first, "p_name")).when(size % 6 == 4, F.left(fa, (size % 5 + 1).cast("int"))).otherwise(mixed)
+    rows = part.select("p_partkey", F.when(size % 7 == 0, "en").otherwise("fa").alias("lang"), title.alias("title"))
+    return C.title_eligibility(rows, "title", "lang", ["p_partkey"]).select("p_partkey", "reason")
+
+
+@query("jon5_cascade", f"""WITH w AS (SELECT doc_id, {_WORDS} FROM documents), a AS (SELECT lower(c_mktsegment) AS w FROM customer GROUP BY 1), n AS (SELECT w FROM w GROUP BY 1 HAVING count(*) > 20)
 SELECT CASE WHEN a.w IS NOT NULL THEN 'SEGMENT' WHEN n.w IS NOT NULL THEN 'FREQUENT' END AS source, CASE WHEN a.w IS NOT NULL OR n.w IS NOT NULL THEN 'LEXICON_RESOLVED' ELSE 'UNRESOLVED' END AS state, count(*) AS n FROM w LEFT JOIN a USING (w) LEFT JOIN n USING (w) GROUP BY 1, 2""")
 def cascade(spark, sf_dir):
-    words = _words(table(spark, sf_dir, "benchmark"), "item_id")
+    words = _words(table(spark, sf_dir, "documents"), "doc_id")
     segments = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("form")).distinct()
     frequent = words.groupBy(F.col("w").alias("form")).agg(F.count("*").alias("n")).where("n > 20").drop("n")
     sources = [(name, df.select("form", F.array("form").alias("canonicals"))) for name, df in (("SEGMENT", segments), ("FREQUENT", frequent))]

@@ -13,7 +13,7 @@ from textloom.operators import evidence as E
 from textloom.operators import selection as S
 from textloom.operators import store as V
 from textloom.plans.catalog import _bibliography, _cases, _CASES, _covered, _COVERED, query
-from textloom.plans.texts import _FIRST, _part, _TURNS, _turns
+from textloom.plans.texts import _FIRST, _NAME, _part, _TURNS, _turns
 from textloom.session import table
 from textloom.shared import shared_path
 
@@ -32,7 +32,7 @@ def dom10(spark, sf_dir):
 
 def _derived(spark, sf_dir):
     """Documents as evidence, and a child for each: by length a true span, a wrong one, or one without a parent."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 10")
+    docs = table(spark, sf_dir, "documents")
     whole = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("evidence_id"), F.lit(None).cast("string").alias("parent_id"), "text", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     k = F.length("text") % 3
     parent = F.concat(F.when(k == 2, "none").otherwise("d"), F.col("doc_id").cast("string"))
@@ -40,7 +40,7 @@ def _derived(spark, sf_dir):
     return whole.unionByName(child)
 
 
-@query("jon11_derivation_breaks", "SELECT 'c' || doc_id AS evidence_id, CASE length(text) % 3 WHEN 1 THEN 'SPAN_MISMATCH' ELSE 'MISSING_PARENT' END AS finding FROM documents WHERE length(text) >= 10 AND length(text) % 3 > 0")
+@query("jon11_derivation_breaks", "SELECT 'c' || doc_id AS evidence_id, CASE length(text) % 3 WHEN 1 THEN 'SPAN_MISMATCH' ELSE 'MISSING_PARENT' END AS finding FROM documents WHERE length(text) % 3 > 0")
 def jon11(spark, sf_dir):
     return E.derivation_breaks(_derived(spark, sf_dir))
 
@@ -334,9 +334,16 @@ def agg30(spark, sf_dir):
     return V.duplicate_keys(table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
-@query("agg31_batch_summary", "SELECT count(*) AS total, count_if(p_name IS NOT NULL) AS ready, 0::BIGINT AS review_required, 0::BIGINT AS invalid FROM part")
+@query("agg31_batch_summary", """WITH r AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN 'same' ELSE p_partkey::VARCHAR END AS id, p_size % 9 = 0 AS untitled, p_retailprice > 1500 OR p_size % 4 = 1 AS open FROM part),
+g AS (SELECT id, count(*) AS n, bool_or(open) AS open FROM r GROUP BY 1), s AS (SELECT CASE WHEN g.n > 1 OR untitled THEN 'I' WHEN g.open THEN 'Q' ELSE 'R' END AS s FROM r JOIN g USING (id))
+SELECT count(*) AS total, count_if(s = 'R') AS ready, count_if(s = 'Q') AS review_required, count_if(s = 'I') AS invalid FROM s""")
 def agg31(spark, sf_dir):
-    return B.batch_summary(B.readiness(*_bibliography(spark, sf_dir)))
+    """Parts as records: some share an id, some have no title, some have a field with issues or an open one."""
+    records, _ = _bibliography(spark, sf_dir)
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("record_id"), "p_partkey", "p_size", "p_retailprice")
+    joined = records.join(part, "record_id").withColumn("title", F.when(F.col("p_size") % 9 != 0, F.col("title"))).withColumn("record_id", F.when(F.col("p_partkey") % 97 == 0, "same").otherwise(F.col("record_id")))
+    fields = joined.select("record_id", F.when(F.col("p_size") % 4 == 1, "UNRESOLVED").otherwise("LEXICON_RESOLVED").alias("status"), (F.col("p_retailprice") > 1500).cast("int").alias("issues"))
+    return B.batch_summary(B.readiness(joined.drop("p_partkey", "p_size", "p_retailprice"), fields))
 
 
 @query("agg37_json_lists", """SELECT l_orderkey, '[' || string_agg('{"n":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS lines FROM lineitem GROUP BY 1""")
@@ -705,6 +712,10 @@ def dom24(spark, sf_dir):
     return A.triage(table(spark, sf_dir, "orders").withColumn("id", F.col("o_orderstatus")), rules).select("o_orderkey", "triage")
 
 
-@query("msc3_rule_registry", "SELECT status, count(*) AS letters FROM (SELECT CASE WHEN length(v) = 1 THEN 'SINGLE' ELSE 'MULTIPLE' END AS status FROM (SELECT unnest(['b', 'p', 'kh', 'sh', 'ch', 'zh', 'gh']) AS v)) GROUP BY 1")
+@query("msc3_rule_registry", f"""SELECT letter, CASE WHEN letter IN ('چ', 'خ', 'ش', 'ژ', 'غ') THEN 'MULTIPLE' WHEN letter IN ('ا', 'آ') THEN 'NO_RULE' ELSE 'SINGLE' END AS status, count(*) AS n
+FROM (SELECT unnest(string_split(replace({_NAME}, ' ', ''), '')) AS letter FROM part) GROUP BY 1, 2""")
 def msc3(spark, sf_dir):
-    return A.rule_registry(spark).where("rendering IN ('b', 'p', 'kh', 'sh', 'ch', 'zh', 'gh')").groupBy("status").agg(F.count("*").alias("letters"))
+    """Every letter of all names with the status of its rule."""
+    letters = _part(spark, sf_dir).select(F.explode(F.split(F.replace("fa", F.lit(" "), F.lit("")), "")).alias("letter")).where("letter <> ''")
+    counted = letters.groupBy("letter").agg(F.count("*").alias("n"))
+    return counted.join(A.rule_registry(spark), "letter", "left").select("letter", F.coalesce("status", F.lit("NO_RULE")).alias("status"), "n")

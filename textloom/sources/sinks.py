@@ -78,8 +78,17 @@ def load_repository(spark: SparkSession, path: str, keys: list[str]) -> DataFram
     return rows
 
 
-def report_lines(metrics: DataFrame, title: str) -> str:
-    """SNK10: a small table as Markdown; for results of a few rows only."""
-    rows = metrics.limit(1000).collect()
-    head = "| " + " | ".join(metrics.columns) + " |"
-    return "\n".join([f"# {title}", "", head, "|" + "---|" * len(metrics.columns), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)])
+def report_rows(metrics: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """SNK10: a table as Markdown, as ``place, line`` from 0; its lines are made where its rows are, in the given order."""
+    from textloom.operators.selection import running
+
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in metrics.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.replace(c, F.lit("|"), F.lit("\\|")) for c in cells)), F.lit(" |"))
+    body = running(metrics, order).select((F.col("rank") + 3).alias("place"), line.alias("line"))
+    head = [f"# {title}", "", "| " + " | ".join(metrics.columns) + " |", "|" + "---|" * len(metrics.columns)]
+    return metrics.sparkSession.createDataFrame(list(enumerate(head)), "place long, line string").unionByName(body)
+
+
+def write_report(metrics: DataFrame, title: str, order: list[str], path: str) -> None:
+    """SNK10: the lines of :func:`report_rows` as text, in part files whose names are in their order."""
+    report_rows(metrics, title, order).orderBy("place").select(F.col("line").alias("value")).write.mode("error").text(path)
