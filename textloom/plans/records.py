@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import hashing as H
-from textloom.operators import relations, seals
+from textloom.operators import ledger, relations, seals
 from textloom.operators import audit as A
 from textloom.operators import bibliography as B
 from textloom.operators import coverage as C
@@ -541,6 +541,45 @@ def sto14(spark, sf_dir):
     return A.verify_package(files, manifest)
 
 
+def _requests(spark, sf_dir):
+    """Orders as requests to decide on their customer's reading; customers as packets; some requests are stale, incomplete or come twice."""
+    orders, key, status = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_orderstatus")
+    text = lambda c: F.col(c).cast("string")
+    customers = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
+    packets = customers.select(text("o_custkey").alias("candidate_id"), F.concat(F.lit("p"), text("o_custkey")).alias("packet_id"), F.concat(F.lit("b"), text("o_custkey")).alias("basis"), F.concat(F.lit("n"), (F.col("o_custkey") % 300).cast("string")).alias("normalized"), F.array(F.lit("h1"), F.lit("h2")).alias("hypotheses"))
+    accepted = status != "P"
+    made = orders.select(
+        key.cast("long").alias("seq"), F.concat(F.when(key % 17 == 0, "old").otherwise("p"), text("o_custkey")).alias("packet_id"), F.concat(F.lit("b"), text("o_custkey")).alias("basis"), text("o_custkey").alias("candidate_id"),
+        F.when(accepted, "ACCEPT").otherwise("DEFER").alias("disposition"), F.when(accepted | (key % 5 == 0), "SELECT_SCHEME_HYPOTHESIS").alias("kind"), F.when(accepted, F.when(key % 7 == 0, "h3").when(F.col("o_custkey") % 2 == 0, "h1").otherwise(F.concat(F.lit("h"), (key % 2 + 1).cast("string")))).alias("canonical"),
+        F.when(key % 19 == 0, " ").otherwise(F.col("o_orderpriority")).alias("reviewer"), F.when(key % 23 == 0, "other").otherwise("r").alias("rationale"), F.year("o_orderdate").cast("string").alias("decided_at"))
+    return made, packets, spark.createDataFrame([], "decision_id string, packet_id string, basis string, candidate_id string, normalized string, disposition string, kind string, canonical string, reviewer string, rationale string, decided_at string")
+
+
+_REQUESTED = """WITH q AS (SELECT o_orderkey AS seq, o_custkey AS c, o_orderstatus <> 'P' AS ok, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'h3' WHEN o_custkey % 2 = 0 THEN 'h1' ELSE 'h' || (o_orderkey % 2 + 1) END END AS canonical, o_orderpriority AS reviewer, CASE WHEN o_orderkey % 23 = 0 THEN 'other' ELSE 'r' END AS rationale, year(o_orderdate) AS y, o_orderkey FROM orders),
+j AS (SELECT *, CASE WHEN o_orderkey % 19 = 0 THEN 'MISSING_REVIEWER' WHEN o_orderkey % 17 = 0 THEN 'STALE_PACKET' WHEN NOT ok AND o_orderkey % 5 = 0 THEN 'SELECTION_NOT_ALLOWED' WHEN canonical = 'h3' THEN 'NOT_A_HYPOTHESIS' END AS reason FROM q),
+f AS (SELECT c, reviewer, ok, canonical, y, min(seq) AS first, arg_min(rationale, seq) AS stood FROM j WHERE reason IS NULL GROUP BY ALL),
+d AS (SELECT j.*, CASE WHEN reason IS NOT NULL THEN 'REFUSED' WHEN seq = first THEN 'RECORDED' WHEN rationale = stood THEN 'IDEMPOTENT' ELSE 'VIOLATION' END AS outcome FROM j LEFT JOIN f ON reason IS NULL AND f.c = j.c AND f.reviewer = j.reviewer AND f.ok = j.ok AND f.canonical IS NOT DISTINCT FROM j.canonical AND f.y = j.y)"""
+
+
+@query("sto12_ledger_outcomes", f"{_REQUESTED} SELECT seq, outcome, reason FROM d")
+def sto12_ledger(spark, sf_dir):
+    made, packets, empty = _requests(spark, sf_dir)
+    return ledger.record_decisions(empty, made, packets)[1].select("seq", "outcome", "reason")
+
+
+@query("sto12_promotions", f"""{_REQUESTED}, a AS (SELECT c, c % 300 AS n, canonical, y FROM d WHERE outcome = 'RECORDED' AND ok), t AS (SELECT c FROM a GROUP BY 1 HAVING min(canonical) <> max(canonical)),
+p AS (SELECT n, canonical FROM a WHERE c NOT IN (SELECT c FROM t)), g AS (SELECT n, count(*) AS promoted, list_sort(list_distinct(list(canonical))) AS new FROM p GROUP BY 1)
+SELECT 'n' || n AS normalized, promoted, len(list_filter(new, lambda x: n % 3 > 0 OR x <> 'h1'))::BIGINT AS added, array_to_string(list_sort(list_distinct(list_concat(new, CASE WHEN n % 3 = 0 THEN ['h1'] ELSE [] END))), ',') AS canonicals FROM g""")
+def sto12_promotions(spark, sf_dir):
+    """A third of the forms are in the lexicon with one reading; what is promoted, what that adds, and the readings after it."""
+    made, packets, empty = _requests(spark, sf_dir)
+    decided = ledger.record_decisions(empty, made, packets)[0]
+    lexicon = spark.range(0, 300, 3).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("normalized"), F.array(F.lit("h1")).alias("canonicals"))
+    receipts, after = ledger.promote(decided, spark.createDataFrame([], "decision_id string"), lexicon, "me", "2024")
+    told = receipts.groupBy("normalized").agg(F.count("*").alias("promoted"), F.count_if(F.col("action") != "ALREADY_PRESENT").alias("added"))
+    return told.join(after, "normalized").select("normalized", "promoted", "added", F.array_join("canonicals", ",").alias("canonicals"))
+
+
 @query("sto14_located_changes", """SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 0 THEN 'MISSING' WHEN o_orderkey % 991 = 1 THEN 'ADDED' ELSE 'CHANGED' END AS finding, CASE WHEN o_orderkey % 997 <> 0 AND o_orderkey % 991 <> 1 THEN CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'X' THEN 'o_orderstatus' ELSE 'o_totalprice' END END AS fields
 FROM orders WHERE NOT (o_orderkey % 997 = 0 AND o_orderkey % 991 = 1) AND (o_orderkey % 997 = 0 OR o_orderkey % 991 = 1 OR o_orderkey % 983 = 2)""")
 def sto14_located(spark, sf_dir):
