@@ -71,3 +71,25 @@ def test_empty_and_carry(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert dedup_substrings(df, carry=["lang"]).columns == ["doc_id", "lang", "n_words", "n_removed", "kept_text"]
     assert dedup_substrings(df).count() == 0
+
+
+def test_words_of_alike_codes_are_other_words(spark):
+    """Numbers whose 32 high bits of the hash are equal, each in the middle and at the end of texts that are otherwise one: windows without them repeat, those with them do not."""
+    import numpy as np
+
+    from textloom.llm.scan import hash_bytes
+
+    numbers = [b"%d" % n for n in range(1_000_000, 1_400_000)]
+    high = hash_bytes(numbers) >> np.uint64(32)
+    order = np.argsort(high, kind="stable")
+    pairs = [(order[k], order[k + 1]) for k in np.flatnonzero(high[order][1:] == high[order][:-1])][:8]
+    assert len(pairs) == 8
+    rows = []
+    for p, pair in enumerate(pairs):
+        for place in (0, 17, 34):
+            for n in pair:
+                words = [f"p{p}x{place}w{k}" for k in range(35)]
+                words[place] = numbers[n].decode()
+                rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame([(i, t, "xx", 5) for i, t in rows], SCHEMA).repartition(2)
+    assert all(r.n_removed == 0 and r.kept_text == dict(rows)[r.doc_id] for r in dedup_substrings(df).collect())
