@@ -11,7 +11,7 @@ are never written out. Instead:
    with some 1.5 bytes of rows a byte of Parquet. A prefix that a task has seen to
    repeat is sent once by it, so a hot one is about a row a map task.
 2. Contexts. Each surviving suffix gets its next words and, reversed, the words
-   before it, as 64-bit word codes, as far as its windows reach (those in which
+   before it, as 48-bit word codes, as far as its windows reach (those in which
    it is the first of the least prefixes, so that each window has one owner). Equal contexts are folded by a pre-aggregated
    group-by, so a text that a third of the rows share is one context a map task.
 3. Longer prefixes. The contexts of every prefix are counted, and a prefix with more than
@@ -28,8 +28,8 @@ are never written out. Instead:
 5. Masks of repeated windows go back to their documents, which are rewritten.
 
 Texts that are dealt by document (twice: to take contexts, and to be rewritten) are
-packed by zstandard on the way. Word codes have 64 bits, so a
-wrong match needs windows that differ only in words whose hashes collide (2**-64 a pair). Documents are dealt by a 96-bit key of id and text.
+packed by zstandard on the way. Word codes have 48 bits (64 take
+over four times the input on disk), so a wrong match needs windows that differ only in words whose codes collide (2**-48 a pair). Documents are dealt by a 96-bit key of id and text.
 
 Cases: null texts have no words (0, 0, empty kept text). Repeated rows (same id
 and text) are each other's copies. Empty tables give empty results. Texts of any
@@ -51,6 +51,8 @@ from textloom.llm.scratch import discard, materialize
 
 WINDOW = 35
 PREFIX = 6
+#: Bytes of a word's code.
+CODE = 6
 #: Suffixes (distinct contexts) of one prefix, which are held at once; beyond, the prefix is made longer.
 SUBTREE = 2_000
 #: Repeated prefixes that a task remembers.
@@ -141,7 +143,8 @@ def _anchor_rows(window: int, prefix: int):
 
 
 def _codes(words) -> np.ndarray:
-    return words.hash.astype(">u8")
+    """The first ``CODE`` bytes of every word's hash."""
+    return words.hash.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
 
 
 def _context_rows(window: int, prefix: int):
@@ -180,20 +183,22 @@ def _context_rows(window: int, prefix: int):
 
 
 def _gather(codes: np.ndarray, index: np.ndarray, length: np.ndarray) -> pa.Array:
-    """Rows of codes as binary values of 8 * length bytes."""
+    """Rows of codes as binary values of CODE * length bytes."""
     taken = codes[np.clip(index, 0, max(len(codes) - 1, 0))]
     kept = taken[np.arange(index.shape[1]) < length[:, None]]
-    ends = np.concatenate(([0], np.cumsum(length * 8))).astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum(length * CODE))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(kept.tobytes())])
 
 
 def _unpack(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Binary values as a matrix of codes (0 beyond their ends) and their lengths."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // CODE
     length = np.diff(offsets)
-    flat = np.frombuffer(column.buffers()[2], ">u8")[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, ">u8")
+    wide = np.zeros((offsets[-1] - offsets[0], 8), np.uint8)
+    if column.buffers()[2] is not None:
+        wide[:, 8 - CODE :] = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] * CODE : offsets[-1] * CODE].reshape(-1, CODE)
     out = np.zeros((len(column), width), U64)
-    out[np.arange(width) < length[:, None]] = flat
+    out[np.arange(width) < length[:, None]] = wide.view(">u8").ravel()
     return out, length
 
 
@@ -274,10 +279,10 @@ def _longer_prefixes(folded: DataFrame, window: int, prefix: int, limit: int) ->
             return done, over.select("g", "cd", F.expr("shiftleft(1L, lo)").alias("mask")), spent
         e = (free + 1) // 2
         turn = F.lit(window) - F.col("b") - e  # most words left of windows that reach e words further right
-        further = over.where((F.octet_length("right") >= 8 * (F.col("b") + e)) & (F.col("lo") <= turn))
-        further = further.withColumns({"key": F.xxhash64("key", F.lit(1), F.expr(f"substring(right, 8 * b + 1, {8 * e})")), "hi": F.least("hi", turn), "b": F.col("b") + e})
-        before = over.where((F.octet_length("left") >= 8 * (F.col("a") + e)) & (F.col("hi") > turn))
-        before = before.withColumns({"key": F.xxhash64("key", F.lit(2), F.expr(f"substring(left, 8 * a + 1, {8 * e})")), "lo": F.greatest("lo", turn + 1), "a": F.col("a") + e})
+        further = over.where((F.octet_length("right") >= CODE * (F.col("b") + e)) & (F.col("lo") <= turn))
+        further = further.withColumns({"key": F.xxhash64("key", F.lit(1), F.expr(f"substring(right, {CODE} * b + 1, {CODE * e})")), "hi": F.least("hi", turn), "b": F.col("b") + e})
+        before = over.where((F.octet_length("left") >= CODE * (F.col("a") + e)) & (F.col("hi") > turn))
+        before = before.withColumns({"key": F.xxhash64("key", F.lit(2), F.expr(f"substring(left, {CODE} * a + 1, {CODE * e})")), "lo": F.greatest("lo", turn + 1), "a": F.col("a") + e})
         rows = materialize(further.unionByName(before.select(further.columns)), "longer-prefixes")
         spent.append(rows)
         free -= e
@@ -337,9 +342,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = found.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).where("n > 1")
     places = shared.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
     contexts = _packed(bodies).join(places, ["k1", "k2"]).mapInArrow(tidy(_context_rows(window, prefix)), "g long, right binary, left binary, k1 long, k2 int, pos int")
-    contexts = materialize(contexts.withColumn("cd", F.xxhash64("g", "right", "left")), "suffix-contexts")
+    contexts = materialize(contexts.withColumn("cd", F.xxhash64("g", "right", "left")), "suffix-contexts", "zstd")
 
-    folded = materialize(contexts.groupBy("g", "right", "left", "cd").agg(F.count("*").alias("n")), "suffixes")
+    folded = materialize(contexts.groupBy("g", "right", "left", "cd").agg(F.count("*").alias("n")), "suffixes", "zstd")
     suffixes, whole, spent = _longer_prefixes(folded, window, prefix, subtree)
     ordered = suffixes.select("key", "g", "right", "left", "cd", "n", "lo", "hi").repartition("key").sortWithinPartitions("key", "right")
     masks = ordered.mapInArrow(tidy(_subtrees(window, prefix)), "g long, cd long, mask long")
