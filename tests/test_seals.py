@@ -50,3 +50,11 @@ def test_funnel(spark):
     want |= {("variants", "v", str(n)): c for n, c in Counter(map(len, values.values())).items()}
     assert got == want
     assert A.funnel(df.limit(0), {"b": F.col("b")}, {"k": F.col("k")}, {}).count() == 0
+
+
+def test_observability_of_nested_fields(spark):
+    rows = [(1, ("a", None), [("x", [1, None]), None]), (None, None, []), (2, ("", 3), None)]
+    df = spark.createDataFrame(rows, "k int, s struct<t:string,n:int>, l array<struct<c:string,v:array<int>>>")
+    got = {r["path"]: (r["rows"], r["places"], r["present"]) for r in A.observability(df).collect()}
+    assert got == {"k": (2, 3, 2), "s": (2, 3, 2), "s.t": (1, 3, 1), "s.n": (1, 3, 1), "l": (1, 3, 1), "l[]": (1, 2, 1), "l[].c": (1, 2, 1), "l[].v": (1, 2, 1), "l[].v[]": (1, 2, 1)}
+    assert {r["present"] for r in A.observability(df.limit(0)).collect()} == {0}

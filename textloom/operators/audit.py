@@ -226,6 +226,54 @@ def field_presence(df: DataFrame, fields: list[str]) -> DataFrame:
     return one.select("rows", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("present")) for c in fields))).alias("f")).select("f.field", "f.present", "rows")
 
 
+def observability(df: DataFrame) -> DataFrame:
+    """AGG41: how often every field is there, at any depth of structs and arrays: ``path, rows, places, present``.
+
+    ``rows`` have the field at least once, of ``places`` where it could stand ``present`` hold it (null, and empty texts and arrays, do
+    not). A path names struct fields by dots and elements of arrays by ``[]``. The paths come from the schema; one scan, one row.
+    """
+    found: list[tuple[str, Column]] = []
+
+    def visit(path: str, kind, values: Column) -> None:
+        found.append((path, values))
+        if isinstance(kind, StructType):
+            for field in kind.fields:
+                visit(f"{path}.{field.name}", field.dataType, F.transform(values, _field(field.name)))
+        elif isinstance(kind, ArrayType):
+            visit(f"{path}[]", kind.elementType, F.flatten(F.filter(values, lambda v: v.isNotNull())))
+
+    for field in df.schema.fields:
+        visit(field.name, field.dataType, F.array(F.col(field.name)))
+    measures = []
+    for k, (path, values) in enumerate(found):
+        n = F.size(F.filter(values, _held))
+        measures.append(F.struct(F.lit(path).alias("path"), F.count_if(n > 0).alias("rows"), F.coalesce(F.sum(F.size(values)), F.lit(0)).alias("places"), F.coalesce(F.sum(n), F.lit(0)).alias("present")).alias(f"m{k}"))
+    one = df.agg(*measures)
+    return one.select(F.explode(F.array(*one.columns)).alias("m")).select("m.*")
+
+
+def _field(name: str):
+    return lambda v: v[name]
+
+
+def _held(v: Column) -> Column:
+    return v.isNotNull() & ~F.coalesce(F.to_json(F.struct(v.alias("v"))).isin('{"v":""}', '{"v":[]}'), F.lit(False))
+
+
+def reviewed_agreement(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """AGG40: forms and evidence by what reviewed readings say of them.
+
+    ``forms``: normalized, hypothesis (null without a unanimous one), evidence_count; ``lexicon``: normalized, canonicals. AGREES, DISAGREES or
+    NO_HYPOTHESIS where the form is reviewed, NOT_REVIEWED else; with the share of the forms that can be compared.
+    """
+    both = forms.join(lexicon.select("normalized", "canonicals"), "normalized", "left")
+    outcome = F.when(F.col("canonicals").isNull(), "NOT_REVIEWED").when(F.col("hypothesis").isNull(), "NO_HYPOTHESIS").when(F.array_contains("canonicals", F.col("hypothesis")), "AGREES").otherwise("DISAGREES")
+    counts = both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("forms"), F.sum("evidence_count").alias("evidence"))
+    compared = F.col("outcome").isin("AGREES", "DISAGREES")
+    total = counts.where(compared).agg(F.sum("forms").alias("_t"))
+    return counts.join(F.broadcast(total)).withColumn("share", F.when(compared, F.round(F.col("forms") / F.col("_t"), 6))).drop("_t")
+
+
 def ordered_json(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """AGG37: each key's rows as one JSON list, in order of their columns; a key's rows are the largest group."""
     return rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("items"))

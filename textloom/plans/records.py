@@ -365,6 +365,28 @@ def agg40(spark, sf_dir):
     return A.interpretation_report(E.consensus(_hypotheses(spark, sf_dir), "normalized"))
 
 
+@query("agg40_reviewed_agreement", """WITH f AS (SELECT o_custkey AS n, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS h, count(*) AS e FROM orders GROUP BY 1), l AS (SELECT c_custkey AS n, c_nationkey FROM customer WHERE c_nationkey < 12),
+r AS (SELECT CASE WHEN l.n IS NULL THEN 'NOT_REVIEWED' WHEN h IS NULL THEN 'NO_HYPOTHESIS' WHEN h = 'F' OR h = 'O' AND c_nationkey % 2 = 0 THEN 'AGREES' ELSE 'DISAGREES' END AS outcome, e FROM f LEFT JOIN l USING (n)),
+g AS (SELECT outcome, count(*) AS forms, sum(e)::BIGINT AS evidence FROM r GROUP BY 1) SELECT outcome, forms, evidence, CASE WHEN outcome IN ('AGREES', 'DISAGREES') THEN round(forms / sum(forms) FILTER (WHERE outcome IN ('AGREES', 'DISAGREES')) OVER (), 6) END AS share FROM g""")
+def agg40_agreement(spark, sf_dir):
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_nationkey < 12")
+    forms = orders.groupBy(F.col("o_custkey").alias("normalized")).agg(F.when(F.min("o_orderstatus") == F.max("o_orderstatus"), F.min("o_orderstatus")).alias("hypothesis"), F.count("*").alias("evidence_count"))
+    return A.reviewed_agreement(forms, customer.select(F.col("c_custkey").alias("normalized"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("F"), F.lit("O"))).otherwise(F.array(F.lit("F"))).alias("canonicals")))
+
+
+@query("agg41_nested_fields", """WITH l AS (SELECT l_orderkey AS o, l_quantity > 25 AS tagged, l_discount > 0.05 AS noted FROM lineitem), g AS (SELECT o_orderkey AS o, o_orderstatus = 'P' AS bare, count(l.o) AS n, count_if(tagged) AS t, count_if(noted) AS d FROM orders LEFT JOIN l ON l.o = o_orderkey GROUP BY 1, 2)
+SELECT unnest(['id', 'who', 'who.name', 'lines', 'lines[]', 'lines[].tags', 'lines[].tags[]', 'lines[].note']) AS path,
+unnest([count(*), count_if(NOT bare), count_if(NOT bare), count_if(n > 0), count_if(n > 0), count_if(t > 0), count_if(t > 0), count_if(d > 0)]) AS rows,
+unnest([count(*), count(*), count(*), count(*), sum(n), sum(n), 2 * sum(t), sum(n)])::BIGINT AS places, unnest([count(*), count_if(NOT bare), count_if(NOT bare), count_if(n > 0), sum(n), sum(t), 2 * sum(t), sum(d)])::BIGINT AS present FROM g""")
+def agg41_nested(spark, sf_dir):
+    """Orders with their lines: a struct that may be null, and arrays of structs with arrays and empty texts."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tags = F.when(F.col("l_quantity") > 25, F.array("l_returnflag", "l_linestatus")).otherwise(F.array().cast("array<string>"))
+    lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(tags.alias("tags"), F.when(F.col("l_discount") > 0.05, "x").otherwise("").alias("note"))).alias("lines"))
+    who = F.when(F.col("o_orderstatus") != "P", F.struct(F.col("o_orderpriority").alias("name")))
+    return A.observability(orders.join(lines, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), who.alias("who"), "lines"))
+
+
 @query("agg42_dominant_category", """SELECT c_mktsegment AS category, n AS tokens FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) ORDER BY n DESC, category LIMIT 1""")
 def agg42(spark, sf_dir):
     counts = C.blocker_shares(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category"), F.col("c_name").alias("form")), "category", "form")
