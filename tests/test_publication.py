@@ -77,3 +77,23 @@ def test_file_hashes_are_those_of_the_bytes(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {n: hashlib.sha256(b).hexdigest() for n, b in bodies.items()}
+
+
+def test_ingest_compares_within_its_horizon(spark, tmp_path):
+    """A key that comes again within the horizon is dropped, a later one is new; without a time all of the past counts."""
+    from datetime import datetime
+
+    from textloom.streaming import ingest as G
+
+    rows = [("a", datetime(2024, 1, 1)), ("b", datetime(2024, 1, 5)), ("a", datetime(2024, 1, 6)), ("c", datetime(2024, 1, 6)), ("a", datetime(2024, 2, 1)), ("c", datetime(2024, 2, 1))]
+    for k in range(3):
+        spark.createDataFrame(rows[2 * k : 2 * k + 2], "k string, t timestamp").coalesce(1).write.parquet(str(tmp_path / f"x{k}"))
+        part = next((tmp_path / f"x{k}").glob("part*"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    for name, more, want in (("h", {"at": "t", "horizon": "7 days"}, "aabcc"), ("all", {}, "abc")):
+        G.ingest(G.stream_parquet(spark, str(tmp_path / "in"), 1), str(tmp_path / name), str(tmp_path / f"cp-{name}"), ["k"], **more).awaitTermination()
+        assert "".join(sorted(r["k"] for r in spark.read.parquet(str(tmp_path / name)).collect())) == want
+    with pytest.raises(Exception, match="another checkpoint"):
+        G.ingest(G.stream_parquet(spark, str(tmp_path / "in"), 1), str(tmp_path / "h"), str(tmp_path / "cp-other"), ["k"]).awaitTermination()

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textloom.shared import create_if_absent
+
 
 def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A stream over a folder of Parquet files."""
@@ -23,22 +24,19 @@ def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None
 def claim(spark: SparkSession, target: str, checkpoint: str) -> None:
     """Name the checkpoint's query as the owner of a target, or fail if another one is: its batches would be overwritten."""
     own = json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
-    try:
-        owner = spark.read.text(f"{target}/_owner").first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        spark.createDataFrame([(own,)], "value string").coalesce(1).write.text(f"{target}/_owner")
-        return
-    if owner != own:
+    if not create_if_absent(spark, f"{target}/_owner/id", own) and spark.read.text(f"{target}/_owner/id").first()[0] != own:
         raise ValueError(f"{target} is filled by another checkpoint")
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], sink: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def ingest(
+    stream: DataFrame, target: str, checkpoint: str, keys: list[str], sink: Callable[[DataFrame], None] | None = None, at: str | None = None, horizon: str = "7 days"
+) -> StreamingQuery:
     """Append rows whose key is not stored yet; a batch that is run again adds nothing.
 
     Each batch goes to a folder of its own number, overwritten on a retry, and is
-    compared only with earlier batches.
+    compared only with earlier batches: with all of them, so that its cost grows with
+    what is stored, or, where ``at`` names a time, with stored rows from ``horizon`` before the batch's
+    first time on, which Parquet's statistics find. A key that comes again later than that is new.
     """
     spark = stream.sparkSession
 
@@ -47,8 +45,11 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], sin
         if number == 0:
             claim(spark, target, checkpoint)
         if number:
-            earlier = spark.read.parquet(target).where(F.col("batch") < number).select(*keys)
-            new = new.join(earlier, keys, "left_anti")
+            earlier = spark.read.parquet(target).where(F.col("batch") < number)
+            if at is not None:
+                since = df.agg((F.min(at) - F.expr(f"INTERVAL {horizon}")).alias("t")).first()["t"]
+                earlier = earlier.where(F.col(at).isNull() | (F.col(at) >= F.lit(since)))
+            new = new.join(earlier.select(*keys), keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if sink is not None:
             sink(new)
