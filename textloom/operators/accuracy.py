@@ -22,6 +22,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions import text as T
 
@@ -29,7 +30,7 @@ LAYERS = ("STRUCTURAL", "DETERMINISTIC_CONSISTENCY", "IJMES_POLICY", "LINGUISTIC
 FAILURES = {"PROVIDER_FAILURE": "provider_failure", "TIMEOUT": "timeout"}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda values: None if values is None else [None if v is None else unicodedata.normalize("NFC", v) for v in values])
 
