@@ -25,9 +25,12 @@ MAX_FIELDS, MAX_SUBFIELDS, MAX_VALUE = 1_000, 10_000, 100_000
 BROADCAST_SPANS = 500_000
 
 
-def _by_span(rows: DataFrame, spans: DataFrame, source: DataFrame) -> DataFrame:
-    """``rows`` with their span's columns; spans are broadcast where the files cannot have more than ``BROADCAST_SPANS``."""
-    most = source.rdd.getNumPartitions() + len(source.inputFiles())  # a partition holds whole files or ranges of them
+def _by_span(rows: DataFrame, spans: DataFrame, scan: DataFrame) -> DataFrame:
+    """``rows`` with their span's columns; spans are broadcast where the files cannot have more than ``BROADCAST_SPANS``.
+
+    ``scan`` reads the files and does nothing else, so that asking for its partitions plans it and runs nothing.
+    """
+    most = scan.rdd.getNumPartitions() + len(scan.inputFiles())  # a partition holds whole files or ranges of them
     return rows.join(F.broadcast(spans) if most <= BROADCAST_SPANS else spans.hint("merge"), ["file", "span"])
 
 
@@ -79,7 +82,7 @@ def valid_range(entries: DataFrame, offset: int = 0, limit: int | None = None, r
     touched = F.lit(True) if end is None else F.col("_before") < end
     spans = spans.where(touched if rejected else touched & (F.col("_before") + F.col("_n") > offset)).select("file", "span", "_before")
     inside = Window.partitionBy("file", "span").orderBy("line")
-    ranked = _by_span(entries if rejected else entries.where(valid), spans, entries)
+    ranked = _by_span(entries if rejected else entries.where(valid), spans, entries.sparkSession.read.text(entries.inputFiles()))
     ranked = ranked.withColumn("rank", F.col("_before") + F.sum(valid.cast("long")).over(inside)).drop("_before")
     stops = F.lit(True) if end is None else F.col("rank") < end + valid.cast("int")
     return ranked.where(stops & (~valid | (F.col("rank") > offset)))
