@@ -142,3 +142,18 @@ def test_rows_that_cross_and_are_too_long(monkeypatch):
     rows = [x for b in csv_split._stitched(iter(cases.to_batches())) for x in b.to_pylist()]
     assert rows == [{"path": "f", "row": 1, "cells": None, "errors": ["a row of over 50 characters starts at line 2"]}]
     assert cases["rows"][0].as_py() == 2 and cases["first_row"][-1].as_py() == 1
+
+
+@pytest.mark.parametrize("quoted", [True, False])
+def test_a_reader_holds_no_more_than_its_limit(quoted):
+    """The wrong case of a range without quotes is one open row: it is not kept, and what follows it is read as before."""
+    reader = csv_split.Reader(quoted, limit=100)
+    if not quoted:
+        assert reader.feed('a,"open') == []
+    for _ in range(1000):
+        assert reader.feed("abc,def") == []
+        assert sum(map(len, reader.open)) <= 2 * 110
+    found = reader.feed('x",y\rnext,"more')
+    assert len(found) == (not quoted) and reader.rows == 1 and reader.tail == 'next,"more' and (not quoted or len(reader.head) > 100)
+    assert reader.begin == 1001 + (not quoted) + 1
+    assert reader.feed('and"') == [(["next", "more\nand"], [])] and reader.feed('p"q') == [(['p"q'], [f"unexpected quote at line {1004 + (not quoted)}"])]

@@ -91,14 +91,18 @@ def scan_rows(text: str, line: int, ended: bool = False) -> tuple[list[tuple[lis
 
 
 class Reader:
-    """Lines of one range, in order, from one of the two cases."""
+    """Lines of one range, in order, from one of the two cases.
 
-    def __init__(self, quoted: bool, line: int = 1):
-        self.line = self.begin = line  #: number of the next line; of the first line of the open row
+    With ``limit`` an open row of more characters is only known to be longer: a stand-in is held for it.
+    """
+
+    def __init__(self, quoted: bool, line: int = 1, limit: int | None = None):
+        self.line = self.begin = self.base = line  #: number of the next line; of the open row's first line; of the first line that is held
         self.open: list[str] | None = [] if quoted else None  #: lines of the row that is not over
         self.quote = '"' if quoted else ""  #: stands for what the row that was open at the start had before
         self.head: str | None = None  #: the rest of that row, once it is over
-        self.rows = 0
+        self.rows = self.held = 0
+        self.limit = limit
 
     def feed(self, text: str) -> list[tuple[list[str], list[str]]]:
         """The rows that end with this line; the one that was open at the start counts, but its cells are not here."""
@@ -110,13 +114,16 @@ class Reader:
             whole, at_line = text, at
         else:
             self.open.append(text)
+            self.held += len(text) + 1
             if _WITHIN.match(text).end() == len(text):
+                if self.limit is not None and self.held > self.limit:
+                    self.open, self.base, self.held = ["x" * (self.limit + 1) if self.quote else '"' + "x" * (self.limit + 1)], at, 0
                 return []
-            whole, at_line = self.quote + "\n".join(self.open), self.begin
+            whole, at_line = self.quote + "\n".join(self.open), self.base
         found, rest = scan_rows(whole, at_line)
         if rest == 0:
             if self.open is None:
-                self.open, self.begin = [text], at
+                self.open, self.begin, self.base, self.held = [text], at, at, len(text)
             return []
         if self.quote:
             end = _row_end(whole)
@@ -127,7 +134,8 @@ class Reader:
         self.rows += len(found)
         self.open = None if rest is None else [whole[rest:]]
         if rest:
-            self.begin = at_line + len(_BREAK.findall(whole[:rest]))
+            self.begin = self.base = at_line + len(_BREAK.findall(whole[:rest]))
+            self.held = len(self.open[0])
         return found
 
     @property
@@ -182,7 +190,7 @@ def _notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first:
             if info:
                 yield made()
-            info, plain, other, together, size, header = found, Reader(False), Reader(True), None, 0, None
+            info, plain, other, together, size, header = found, Reader(False, limit=MAX_CROSSING), Reader(True, limit=MAX_CROSSING), None, 0, None
         for value in values:
             text = value.decode("utf-8", errors="replace")
             if not size and not info["start"]:
