@@ -235,6 +235,15 @@ def test_hot_cells_are_cut_and_short_queries_searched_exactly(spark, monkeypatch
     assert got == brute_neighbours(rows, lambda i: i % 2 == 0, 5)
 
 
+def test_ids_may_be_texts(spark):
+    rows = [(f"v{i:03d}", v, n) for i, v, n in sample(120, copies=30)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "name string, e array<double>, label int, id string")
+    got = _found(search_vectors(df, F.col("name").endswith("0"), "name", "e", k=5).withColumnRenamed("name", "vec_id"))
+    want = brute_neighbours(rows, lambda i: i.endswith("0"), 5)
+    assert got.keys() == want.keys() and np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+    assert {len(r["code"]) for r in compress_vectors(df, "name", "e").collect()} == {16} and cluster_vectors(df, "name", "e").count() == 120
+
+
 def test_blocks_rank_only_the_buckets_asked_for():
     x = np.eye(4)[[0, 0, 1, 2, 3]]
     found = best_of_block((np.arange(5), x, np.array([8, 9, 9, 9, 7])), (np.array([4]), np.ones((1, 4)), [[9, 1]]), 2)

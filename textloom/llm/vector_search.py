@@ -350,7 +350,9 @@ def _searched(rows: DataFrame, probes: DataFrame, dims: int, k: int, id_type: st
             return empty
         held = [table.filter(pa.array(side)) for side in (~seeks, seeks)]
         (_, x), (_, q) = (rows_of(t["v"], dims) for t in held)
-        ids, own = (t["id"].to_numpy() for t in held)
+        # Numbers in the order of the ids, whatever their type.
+        order = np.unique(np.concatenate([t["id"].to_numpy() for t in held]), return_inverse=True)[1]
+        ids, own = order[: len(x)], order[len(x) :]
         bucket = held[0]["buckets"].combine_chunks().flatten().to_numpy()
         keep = _thinned(ids, x, bucket, k)
         found = best_of_block((ids[keep], x[keep], bucket[keep]), (own, q, held[1]["buckets"].to_pylist()), k)
