@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -44,9 +46,16 @@ def discard(*tables: DataFrame) -> None:
 
 
 def shrink_heaps(spark: SparkSession) -> None:
-    """Ask every executor to collect its garbage, which gives the heap that earlier stages had grown back to the system.
+    """Ask every executor, and the driver, to collect its garbage, which gives the heap that earlier stages had grown back to the system.
 
-    Python workers share the executors' memory with that heap and cannot have what it holds.
+    Python workers share the executors' memory with that heap and cannot have what it holds. On the driver
+    the sample that a model was fitted on is free by then, but still held by its Python.
     """
+    gc.collect()
+    spark._jvm.System.gc()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
     tasks = max(2 * spark.sparkContext.defaultParallelism, 2)
     spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
