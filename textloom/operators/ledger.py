@@ -4,12 +4,12 @@ Decisions and receipts are named by their content, so what comes twice is no cha
 what comes otherwise under a name that is taken is a violation; nothing is ever updated. All of a
 batch is judged at once, as if its rows came one after the other in the order of ``seq``: the
 first of an id stands, later ones are compared with it. Ids and forms are grouped with
-map-side minima; only the decisions on one written form are ordered in a window.
+map-side minima; no group's decisions are gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import content_id
@@ -80,20 +80,25 @@ def promote(ledger: DataFrame, receipts: DataFrame, lexicon: DataFrame, promoter
 
     A decision is promoted if it accepts, has no receipt, and no other decision accepts another reading on the same basis. Those of a
     form take their turns by time and id: the first new reading of an unknown form creates its entry, other new readings are
-    added, known ones are there already.
+    added, known ones are there already. What a form had at a turn is known from the first turn of each of its readings, so
+    no decisions are gathered, however many a form has; a form's different readings are held together, as in its entry.
     """
     accepts = ledger.where("disposition = 'ACCEPT'")
     torn = accepts.groupBy("basis").agg((F.min("canonical") != F.max("canonical")).alias("_torn")).where("_torn").select("basis")
     todo = accepts.join(torn, "basis", "left_anti").join(receipts.select("decision_id"), "decision_id", "left_anti")
     have = lexicon.select("normalized", F.array_sort("canonicals").alias("_have"))
-    turns = Window.partitionBy("normalized").orderBy("decided_at", "decision_id")
     none = F.array().cast("array<string>")
-    rows = todo.join(have, "normalized", "left").withColumn("base_readings", F.array_sort(F.array_distinct(F.concat(F.coalesce("_have", none), F.coalesce(F.collect_list("canonical").over(turns.rowsBetween(Window.unboundedPreceding, -1)), none)))))
+    turn = F.struct("decided_at", "decision_id")
+    firsts = todo.groupBy("normalized", "canonical").agg(F.min(turn).alias("first")).groupBy("normalized").agg(F.collect_list(F.struct("canonical", "first")).alias("_firsts"))
+    forms = firsts.join(have, "normalized", "left").withColumnRenamed("normalized", "_form")
+    rows = todo.join(forms, F.col("normalized").eqNullSafe(F.col("_form")), "left").withColumn("_turn", turn)
+    earlier = F.transform(F.filter("_firsts", lambda f: f["canonical"].isNotNull() & (f["first"] < F.col("_turn"))), lambda f: f["canonical"])
+    rows = rows.withColumn("base_readings", F.array_sort(F.array_distinct(F.concat(F.coalesce("_have", none), F.coalesce(earlier, none)))))
     known = F.array_contains("base_readings", F.col("canonical"))
     action = F.when(known, "ALREADY_PRESENT").when(F.size("base_readings") > 0, "ADD_READING").otherwise("CREATE_ENTRY")
     rows = rows.withColumns({"action": action, "result_readings": F.when(known, F.col("base_readings")).otherwise(F.array_sort(F.array_append("base_readings", F.col("canonical")))), "promoter": F.lit(promoter), "promoted_at": F.lit(at)})
     made = rows.select(_named(RECEIPT, "receipt-").alias("receipt_id"), *RECEIPT)
-    grown = made.groupBy("normalized").agg(F.array_distinct(F.flatten(F.collect_list("result_readings"))).alias("_new"))
+    grown = firsts.select("normalized", F.transform("_firsts", lambda f: f["canonical"]).alias("_new"))
     after = lexicon.select("normalized", "canonicals").join(grown, "normalized", "full").select("normalized", F.array_sort(F.array_union(F.coalesce("canonicals", none), F.coalesce("_new", none))).alias("canonicals"))
     return made, after
 
