@@ -1,14 +1,19 @@
 """Queries on tables that are made for what only larger tables have: many rows a file, several groups a file, ties."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.plans import catalog
+from textloom.functions import text as T
+from textloom.operators import coverage as C
+from textloom.plans import catalog, files
 
 
-def write(df, folder, name, files=1):
-    df.coalesce(files).write.parquet(f"{folder}/{name}.parquet")
+def write(df, folder, name):
+    df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
 
 
 def rows(df):
@@ -58,3 +63,32 @@ def parts(spark, tmp_path_factory):
 def test_several_files_of_parts(spark, parts, name):
     """A file has one document, or one header."""
     same(spark, parts, name, "part")
+
+
+def test_a_key_that_is_covered_twice(spark):
+    """Tokens are those of the baseline, however often the experiment covers their key."""
+    base = spark.createDataFrame([(1, "a", False), (1, "a", False), (1, "b", False), (2, "a", True)], "doc_id long, w string, covered boolean")
+    now = spark.createDataFrame([(1, "a", True), (1, "a", True), (1, "b", False), (1, "b", None)], "doc_id long, w string, covered boolean")
+    assert tuple(C.miss_recovery(base, now, ["doc_id", "w"], "w").first()) == (3, 2, 2, 1)
+
+
+def test_words_do_not_meet_their_documents_again(spark):
+    plan = catalog.queries()["agg15_cohort_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "doc_id" in line]
+
+
+@pytest.mark.parametrize("change", [T.nfc, T.without_diacritics])
+def test_python_holds_few_texts(change):
+    """Of a batch of 20 MB Python holds some texts at a time."""
+    texts = pa.array(["é" * 3_000, None, "plain", ""] * 1_000)
+    tracemalloc.start()
+    got = change.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
+    assert got[:4].to_pylist() == [("é" if change is T.nfc else "e") * 3_000, None, "plain", ""] and len(got) == 4_000
+
+
+def test_pages_are_rows_of_few_files(spark):
+    pages = files._responses(spark, "/root/testdata/sf0.01")
+    assert len(pages.inputFiles()) * 10 < pages.count()
