@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import coverage as C
+from textloom.operators import evidence as E
 from textloom.plans import catalog
 
 
@@ -87,3 +88,21 @@ def test_python_holds_few_texts(change):
     tracemalloc.stop()
     assert peak < 4_000_000
     assert got[:4].to_pylist() == [("é" if change is T.nfc else "e") * 3_000, None, "plain", ""] and len(got) == 4_000
+
+
+def test_collections_are_parsed_once(spark):
+    """Both sides of a link, and fields without one, come from one reading of the files."""
+    plan = catalog.queries()["msc2_catalogue_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line for line in plan.splitlines()) == 1
+
+
+def test_linked_fields_of_every_kind(spark):
+    fields = [
+        ("a", "245", "880-01", "x"), ("a", "880", "245-01", "y"), ("a", "880", "260-02", "z"), ("a", "100", "880-03", None), ("a", "880", "100-03", "u"), ("a", "880", "100-00", "p"), ("a", "880", "100-00", "q"), ("a", "880", None, "r"),
+        ("b", "245", "880-01", "x"), ("b", "245", "880-01", "x"), ("b", "880", "245-01", "y"), ("b", "260", "880-07", "w"), ("b", None, "880-01", "n"), (None, "245", "880-01", "x"), (None, "880", "245-01", "y"),
+    ]
+    got = E.linked_fields(spark.createDataFrame(fields, "record_id string, tag string, linkage string, value string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([
+        ("a", "245", "01", "MATCHED", "x", "y"), ("a", "260", "02", "UNMATCHED_NONZERO", None, "z"), ("a", "100", "03", "UNMATCHED_NONZERO", None, "u"), ("a", "100", "00", "OCCURRENCE_00", None, None), ("a", "100", "00", "OCCURRENCE_00", None, None), ("a", "880", None, "MALFORMED_LINKAGE", None, None),
+        ("b", "245", "01", "AMBIGUOUS_DUPLICATE", "x", "y"), (None, "245", "01", "UNMATCHED_NONZERO", None, "y"),
+    ], key=repr)

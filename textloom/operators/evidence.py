@@ -147,16 +147,18 @@ def linked_fields(fields: DataFrame) -> DataFrame:
     ``fields``: record_id, tag, linkage ($6), value. An 880 field is MATCHED, UNMATCHED_NONZERO, AMBIGUOUS_DUPLICATE, OCCURRENCE_00
     or MALFORMED_LINKAGE; a regular field that no 880 field answers makes no row.
     """
-    parsed = fields.withColumn("_p", T.linkage_subfield(F.col("linkage")))
-    good = parsed.where("_p.tag IS NOT NULL AND _p.occurrence <> '00'")
-    regular = good.where("tag <> '880'").select("record_id", "tag", F.col("_p.occurrence").alias("occurrence"), F.col("value").alias("regular"))
-    other = good.where("tag = '880'").select("record_id", F.col("_p.tag").alias("tag"), F.col("_p.occurrence").alias("occurrence"), F.col("value").alias("alternate"))
-    keys = ["record_id", "tag", "occurrence"]
-    one = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(f"n_{c}"), F.first(c).alias(c))
-    both = one(other, "alternate").join(one(regular, "regular"), keys, "left")
-    status = F.when((F.col("n_regular") > 1) | (F.col("n_alternate") > 1), "AMBIGUOUS_DUPLICATE").when(F.col("regular").isNull(), "UNMATCHED_NONZERO").otherwise("MATCHED")
-    bad = parsed.where("tag = '880' AND (_p.tag IS NULL OR _p.occurrence = '00')").select("record_id", F.coalesce("_p.tag", "tag").alias("tag"), F.col("_p.occurrence").alias("occurrence"), F.when(F.col("_p.tag").isNull(), "MALFORMED_LINKAGE").otherwise("OCCURRENCE_00").alias("status"))
-    return both.select(*keys, status.alias("status"), "regular", "alternate").unionByName(bad, allowMissingColumns=True)
+    parsed = fields.withColumn("_p", T.linkage_subfield(F.col("linkage"))).select("record_id", "tag", F.col("_p.tag").alias("to"), F.col("_p.occurrence").alias("occurrence"), "value")
+    is_880, links = F.col("tag") == "880", F.col("to").isNotNull() & (F.col("occurrence") != "00")
+    bad = F.when(is_880 & ~F.coalesce(links, F.lit(False)), F.when(F.col("to").isNull(), "MALFORMED_LINKAGE").otherwise("OCCURRENCE_00"))
+    parsed = parsed.withColumn("bad", bad).where(is_880 | links & (F.col("tag") != "880") & F.col("record_id").isNotNull())
+    # One pass over the fields, which may be costly to make: both sides of a link, and fields without one, are groups of one shuffle.
+    side = F.when(is_880, F.coalesce("to", "tag")).otherwise(F.col("tag")).alias("tag")
+    one = lambda there: F.first(F.when(there, F.struct("value")), ignorenulls=True)["value"]
+    groups = parsed.groupBy("record_id", side, "occurrence", "bad").agg(F.count_if(~is_880).alias("n_regular"), F.count_if(~is_880 & F.col("value").isNotNull()).alias("n_known"), one(~is_880).alias("regular"), F.count_if(is_880).alias("n_alternate"), one(is_880).alias("alternate"))
+    status = F.when((F.col("n_regular") > 1) | (F.col("n_alternate") > 1), "AMBIGUOUS_DUPLICATE").when(F.col("n_known") == 0, "UNMATCHED_NONZERO").otherwise("MATCHED")
+    keys, no_link = ["record_id", "tag", "occurrence"], F.col("bad").isNotNull()
+    rows = groups.where("n_alternate > 0").withColumn("_row", F.explode(F.sequence(F.lit(1), F.when(no_link, F.col("n_alternate")).otherwise(1))))
+    return rows.select(*keys, F.coalesce("bad", status).alias("status"), F.when(~no_link, F.col("regular")).alias("regular"), F.when(~no_link, F.col("alternate")).alias("alternate"))
 
 
 def language_evidence(f041: Column, f008: Column, f546: Column) -> Column:

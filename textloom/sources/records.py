@@ -101,9 +101,9 @@ def dictionary_range(spark: SparkSession, path: str, judge: Callable[[DataFrame]
     return valid_range(judge(dictionary(spark, names[:taken] or path)), offset, limit, rejected)
 
 
-def marc(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """SRC8: MARC records of the good collections below a path; :func:`refused_xml` has the others."""
-    return marc_xml.page_records(marc_xml.read_pages(spark, path, "COLLECTION", strict, COLLECTION))
+def marc(spark: SparkSession, path: str, strict: bool = False, xml: bool = True) -> DataFrame:
+    """SRC8: MARC records of the good collections below a path, with or without their canonical text; :func:`refused_xml` has the others."""
+    return marc_xml.page_records(marc_xml.read_pages(spark, path, "COLLECTION", strict, COLLECTION, xml))
 
 
 def refused_xml(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -121,9 +121,20 @@ def bounded_records(records: DataFrame) -> DataFrame:
 
 def marc_fields(records: DataFrame) -> DataFrame:
     """A row for each subfield: record_id, place, tag, code, value."""
+    fields = _datafields(records).select("record_id", "place", "tag", F.explode("subfield").alias("s"))
+    return fields.select("record_id", "place", "tag", F.col("s._code").alias("code"), F.col("s._VALUE").alias("value"))
+
+
+def marc_links(records: DataFrame) -> DataFrame:
+    """A row for each field with subfields: record_id, place, tag, linkage ($6), value ($a); of repeated subfields the greatest, as text."""
+    of = lambda code: F.array_max(F.transform(F.filter("subfield", lambda s: s["_code"] == code), lambda s: s["_VALUE"]))
+    return _datafields(records).where(F.size("subfield") > 0).select("record_id", "place", "tag", of("6").alias("linkage"), of("a").alias("value"))
+
+
+def _datafields(records: DataFrame) -> DataFrame:
     ident = F.filter("controlfield", lambda c: c["_tag"] == "001")[0]["_VALUE"]
     fields = records.select(ident.alias("record_id"), F.posexplode("datafield").alias("place", "d"))
-    return fields.select("record_id", "place", F.col("d._tag").alias("tag"), F.explode("d.subfield").alias("s")).select("record_id", "place", "tag", F.col("s._code").alias("code"), F.col("s._VALUE").alias("value"))
+    return fields.select("record_id", "place", F.col("d._tag").alias("tag"), F.col("d.subfield").alias("subfield"))
 
 
 def deduplicated_records(records: DataFrame, ident: str, checksum: str) -> tuple[DataFrame, DataFrame]:
