@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from decimal import Decimal
 
@@ -142,3 +143,15 @@ def test_quality_edges(spark):
     assert got[1] == got[2] and all(0 <= s <= 1 for s in got.values()) and got[None] > got[4]
     assert Q.score(df.limit(0), model).count() == 0
     assert {r.score for r in Q.score(df, Q.fit_texts([])).collect()} == {0.5}
+
+
+def test_a_fit_holds_few_bytes_an_arc():
+    """Arcs are packed numbers, while they are gathered and after."""
+    pieces = L.index_of([bytes(p) for k in (1, 2, 3) for p in itertools.product(b"abcde", repeat=k)])
+    words = [bytes(w) for w in itertools.product(b"abcde", repeat=6)]
+    tracemalloc.start()
+    lattice = L.Lattice(words, pieces, 3)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(lattice.word) == 15 * len(words)
+    assert held < 16 * len(lattice.word) and peak < 60 * len(lattice.word)

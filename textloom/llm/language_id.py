@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -39,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.scan import chunks, text_buffer, tidy
+from textloom.llm.scratch import shrink_driver
 
 FIT_ROWS = 800
 ROUNDS = 4
@@ -75,7 +77,7 @@ class Lattice:
     """All segmentations of a list of words, as arcs in order of their ends; ``pieces`` is made by :func:`index_of`."""
 
     def __init__(self, words: Sequence[bytes], pieces: dict[bytes, int], longest: int):
-        word, begin, end, piece = [], [], [], []
+        word, begin, end, piece = (array("i") for _ in range(4))  # lists would hold an object for each number
         get = pieces.get
         for w, text in enumerate(words):
             n = len(text)
@@ -89,8 +91,10 @@ class Lattice:
                         begin.append(i)
                         end.append(j)
                         piece.append(k)
-        order = np.argsort(np.array(end, np.int64), kind="stable")
-        self.word, self.begin, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, begin, end, piece))
+        order = np.argsort(np.frombuffer(end, np.int32), kind="stable").astype(np.int32)
+        self.word, self.piece = (np.frombuffer(x, np.int32)[order] for x in (word, piece))
+        places = np.int16 if max(map(len, words), default=0) < 1 << 15 else np.int32
+        self.begin, self.end = (np.frombuffer(x, np.int32)[order].astype(places) for x in (begin, end))
         self.lengths = np.array([len(t) for t in words], np.int64)
         self.steps = np.searchsorted(self.end, np.arange(1, int(self.lengths.max(initial=0)) + 2))
 
@@ -201,10 +205,13 @@ class Model:
         self.languages, self.p = languages, p
         self.pieces = index_of(pieces)
         self.longest = max(map(len, pieces), default=0)
-        self.known: dict[str, int] = {}
-        self.log, self.bytes = np.zeros((1024, len(languages))), np.zeros(1024)  # of a known word, by language and altogether
+        self.forget()
         self.floor = np.full(len(languages), -np.inf)
 
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.log, self.bytes = np.zeros((1024, len(self.languages))), np.zeros(1024)  # of a known word, by language and altogether
+
     def log_likelihood(self, words: Sequence[bytes]) -> np.ndarray:
         out = np.full((len(words), len(self.languages)), -np.inf)
         short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
@@ -273,7 +280,7 @@ class Model:
             rows = [r for r in self.sums([t for name, t in texts if name == language]) if r is not None and r[-1] >= JUDGED]
             if rows:
                 self.floor[k] = WORSE * np.mean([r[k] / r[-1] for r in rows])
-        self.known.clear()
+            self.forget()
 
 
 def fit_texts(texts: Sequence[tuple[str, str]], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
@@ -289,7 +296,9 @@ def fit_texts(texts: Sequence[tuple[str, str]], pieces: list[bytes], rounds: int
         return model
     vocabulary = sorted(set().union(*(counts[k] for k in languages)))
     words = [_bytes(w) for w in vocabulary]
-    weight = np.array([[counts[k][w] for k in languages] for w in vocabulary], float)
+    weight = np.zeros((len(words), len(languages)))
+    for c, k in enumerate(languages):
+        weight[:, c] = np.fromiter(map(counts[k].__getitem__, vocabulary), float, len(words))
     short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
     long = [k for k, w in enumerate(words) if len(w) > LONGEST]
     lattice = lambda at: (Lattice([words[k] for k in at], model.pieces, model.longest), weight[at])
@@ -302,6 +311,7 @@ def fit_texts(texts: Sequence[tuple[str, str]], pieces: list[bytes], rounds: int
         uses += 0.05 / lengths**2  # unseen pieces keep a little, short ones more
         p = uses / uses.sum(0)
     model.p = p
+    del blocks, long_blocks, words, weight, vocabulary, counts  # the driver need not hold them beside what follows
     model.set_floors(texts)
     return model
 
@@ -315,7 +325,13 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         return fit_texts([], read_pieces(path))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))))
     sample = known.where(place <= share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).toArrow()
-    return fit_texts(sorted(zip(sample["l"].to_pylist(), sample["t"].to_pylist())), read_pieces(path))
+    texts = sorted(zip(sample["l"].to_pylist(), sample["t"].to_pylist()))
+    del sample
+    shrink_driver(docs.sparkSession)  # what collecting took is not held beside what fitting takes
+    model = fit_texts(texts, read_pieces(path))
+    del texts
+    shrink_driver(docs.sparkSession)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
