@@ -1,9 +1,11 @@
 """Queries on tables that are made for what only larger tables have: many rows a file, several groups a file, ties."""
 
+import datetime as dt
 import tracemalloc
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,19 @@ def test_equal_receipts(spark, tmp_path):
     same(spark, str(tmp_path), "jon27_provenance", "orders", "lineitem")
 
 
+def test_equal_receipts_of_several_files(spark, tmp_path):
+    """The first in the table is that of the first file, wherever it stands there; unknown dates and quantities are the greatest, receipts without a flag none."""
+    write(spark.range(40).select(F.col("id").alias("o_orderkey")), tmp_path, "orders")
+    (tmp_path / "lineitem.parquet").mkdir()
+    day, flags = dt.datetime(2024, 1, 1), "RAN"
+    for file in range(3):
+        lines = [(k, 1, 5.0, flags[(k + file) % 3], day) for k in range(file, 30)]  # a key stands earlier in later files
+        odd = [(30 + file, 1, 5.0, "N", day), (30 + file, 1, None, "R", day), (33 + file, 1, 1.0, "R", None), (33 + file, 1, 9.0, "A", day), (36 + file, 1, 9.0, None, day), (36 + file, 1, 1.0, "R", day), (39, 1, 1.0, None, day)]
+        names = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+        pq.write_table(pa.table(dict(zip(names, map(list, zip(*lines, *odd))))), tmp_path / f"lineitem.parquet/part-{file}.parquet")
+    same(spark, str(tmp_path), "jon27_provenance", "orders", "lineitem")
+
+
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
     """More parts than a file holds."""

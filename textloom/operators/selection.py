@@ -27,6 +27,11 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 last_wins = latest_per_key  # SET1
 
 
+def descending(text: Column) -> Column:
+    """A text whose order is the reverse of the given one's, for orders that mix both."""
+    return F.concat(F.translate(F.hex(F.encode(text, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+
+
 #: Sampled rows for each cut between ranges.
 SAMPLED = 50
 
