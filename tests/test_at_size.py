@@ -66,7 +66,7 @@ def test_equal_receipts_of_several_files(spark, tmp_path):
     same(spark, str(tmp_path), "jon27_provenance", "orders", "lineitem")
 
 
-@pytest.mark.parametrize("name", ["src9_bounded_records"])
+@pytest.mark.parametrize("name", ["src9_bounded_records", "src9_refused_pages"])
 def test_responses_are_few_files(spark, tmp_path, name):
     """However many responses there are; one has 60 records, one 9,930, and orders without a customer are on none."""
     customer = F.when(F.col("id") < 60, 36).when(F.col("id") < 70, None).when(F.col("id") < 10_000, 360_001).otherwise(F.col("id") % 1_500).cast("long")
